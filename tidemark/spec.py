@@ -1,0 +1,25 @@
+"""Column roles shared by the snapshot operators."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class SnapshotSpec:
+    """Which columns play which role in an entity-snapshot table.
+
+    The defaults are the export's own column names, so the operators work on a
+    Bronze table as-is; any other table of periodic full exports can be fed in
+    by renaming or by passing another spec.
+    """
+
+    entity_col: str = "connection_id"
+    snapshot_col: str = "snapshot_ts"
+    order_col: str = "source_row_number"
+    tracked_cols: tuple[str, ...] = ("company", "position")
+    group_col: str = "company_key"
+    event_date_col: str = "connected_on"
+
+
+DEFAULT_SPEC = SnapshotSpec()
