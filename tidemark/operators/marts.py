@@ -63,3 +63,120 @@ def network_stats(fact_flow: DataFrame, silver: DataFrame) -> DataFrame:
             .alias("connections_without_position"),
         )
     )
+
+
+# --- distributions ------------------------------------------------------------
+COMPANY, POSITION, YEAR_MONTH = "company", "position", "connected_year_month"
+
+
+def company_labels(fact: DataFrame) -> DataFrame:
+    """Display spelling per (export, employer key): the variant most rows carry,
+    alphabetical on ties — two partial aggregations, no window."""
+    by_label = fact.groupBy("snapshot_ts", "company_key", "company_label").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    vote = F.struct((-F.col("_n")).alias("n"), F.col("company_label").alias("l"))
+    return by_label.groupBy("snapshot_ts", "company_key").agg(
+        F.min_by("company_label", vote).alias("company_label"),
+        F.sum("_n").alias("connection_count"),
+    )
+
+
+def breakdown(fact: DataFrame) -> DataFrame:
+    """Tidy (export, dimension, value) counts with rank and share of the export.
+
+    The rank/share window runs over already-aggregated distributions (one row
+    per distinct value per export), never over raw rows.
+    """
+    companies = company_labels(fact).select(
+        "snapshot_ts", F.lit(COMPANY).alias("dimension_type"),
+        F.col("company_label").alias("dimension_value"), "connection_count",
+    )
+    positions = fact.groupBy(
+        "snapshot_ts", F.coalesce("position", F.lit(UNKNOWN_LABEL)).alias("dimension_value")
+    ).agg(F.count(F.lit(1)).alias("connection_count")).select(
+        "snapshot_ts", F.lit(POSITION).alias("dimension_type"), "dimension_value",
+        "connection_count",
+    )
+    months = fact.groupBy(
+        "snapshot_ts", F.date_format("connected_on", "yyyy-MM").alias("dimension_value")
+    ).agg(F.count(F.lit(1)).alias("connection_count")).select(
+        "snapshot_ts", F.lit(YEAR_MONTH).alias("dimension_type"), "dimension_value",
+        "connection_count",
+    )
+    combined = companies.unionByName(positions).unionByName(months)
+    part = Window.partitionBy("snapshot_ts", "dimension_type")
+    ranked = part.orderBy(F.desc("connection_count"), F.asc_nulls_last("dimension_value"))
+    return combined.select(
+        "snapshot_ts", "dimension_type", "dimension_value", "connection_count",
+        F.row_number().over(ranked).alias("rank_within_dimension"),
+        pct("connection_count", F.sum("connection_count").over(part)).alias("share_pct"),
+    )
+
+
+def _at_latest(bd: DataFrame) -> DataFrame:
+    return bd.filter(F.col("snapshot_ts") == bd.agg(F.max("snapshot_ts")).scalar())
+
+
+def top_values(bd: DataFrame, dimension: str, n: int = 15) -> DataFrame:
+    """Top-N values of one dimension at the newest export, unknown excluded."""
+    latest = _at_latest(bd).filter(
+        (F.col("dimension_type") == dimension) & (F.col("dimension_value") != UNKNOWN_LABEL)
+    )
+    return latest.orderBy("rank_within_dimension").limit(n).select(
+        "dimension_value", "connection_count", "share_pct"
+    )
+
+
+def value_counts(bd: DataFrame) -> DataFrame:
+    """Distinct values per dimension at the newest export, unknown excluded."""
+    latest = _at_latest(bd).filter(F.col("dimension_value") != UNKNOWN_LABEL)
+    return latest.groupBy("dimension_type").agg(F.count(F.lit(1)).alias("distinct_values"))
+
+
+def undisclosed(bd: DataFrame) -> DataFrame:
+    """Size of each dimension's ``(unknown)`` bucket at the newest export."""
+    return _at_latest(bd).filter(F.col("dimension_value") == UNKNOWN_LABEL).select(
+        "dimension_type", "connection_count"
+    )
+
+
+def connected_over_time(bd: DataFrame) -> DataFrame:
+    latest = _at_latest(bd).filter(F.col("dimension_type") == YEAR_MONTH)
+    return latest.select(F.col("dimension_value").alias("year_month"), "connection_count").orderBy(
+        F.asc_nulls_last("year_month")
+    )
+
+
+def cumulative(monthly: DataFrame) -> DataFrame:
+    """Running total over months (input: one row per month — a tiny table)."""
+    w = Window.orderBy(F.asc_nulls_last("year_month")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    return monthly.select(
+        "year_month", "connection_count",
+        F.sum("connection_count").over(w).alias("cumulative_connections"),
+    )
+
+
+def headline(stats: DataFrame) -> DataFrame:
+    """The newest export's row plus the number of exports, in one aggregate."""
+    cols = ("snapshot_ts", "total_connections", "net_change", "distinct_companies",
+            "new_connections", "lost_connections", "restricted_profile_rows")
+    latest = F.max_by(F.struct(*cols), "snapshot_ts")
+    out = stats.agg(latest.alias("_l"), F.count(F.lit(1)).alias("snapshots_ingested"))
+    return out.select(
+        *[F.col(f"_l.{c}").alias(c) for c in cols if c != "net_change"],
+        F.when(F.col("snapshots_ingested") > 1, F.col("_l.net_change")).alias("delta_since_previous"),
+        "snapshots_ingested",
+    )
+
+
+def churn_long(stats: DataFrame) -> DataFrame:
+    """Joined and left per export in long form, losses negated."""
+    wide = stats.select(
+        "snapshot_ts",
+        F.col("new_connections").cast("int").alias("Joined"),
+        (-F.col("lost_connections")).cast("int").alias("Left"),
+    )
+    return wide.unpivot("snapshot_ts", ["Joined", "Left"], "change_type", "connections")

@@ -196,3 +196,179 @@ oracle("raw_snap", "SELECT * FROM raw_snap", "raw_snap")
 oracle("silver", "SELECT * FROM silver", "silver")
 oracle("fct_snapshot", "SELECT * FROM fact", "fact")
 oracle("network_stats", "SELECT * FROM stats", "stats")
+
+# --- SCD2 / dims ----------------------------------------------------------------
+TODAY = "2026-08-27"
+
+cte("scd_flags", """
+    SELECT i.connection_id, i.first_name, i.last_name, i.full_name, i.email_address, i.company,
+      i.company_label, i.company_key, i.position, i.connected_on, i.connected_on_date_key,
+      i.snapshot_ts,
+      CASE WHEN lag(i.snapshot_ts) OVER w IS NULL
+             OR lag(i.snapshot_ts) OVER w <> q.previous_snapshot_ts
+             OR lag(i.company) OVER w IS DISTINCT FROM i.company
+             OR lag(i.position) OVER w IS DISTINCT FROM i.position
+           THEN 1 ELSE 0 END AS is_start
+    FROM ident i JOIN seq q ON q.snapshot_ts = i.snapshot_ts
+    WINDOW w AS (PARTITION BY i.connection_id ORDER BY i.snapshot_ts)""", "ident", "seq")
+cte("scd_islands", """
+    SELECT *, sum(is_start) OVER (PARTITION BY connection_id ORDER BY snapshot_ts
+                                  ROWS UNBOUNDED PRECEDING) AS island
+    FROM scd_flags""", "scd_flags")
+cte("scd2", """
+    SELECT s.connection_id, s.first_name, s.last_name, s.full_name, s.email_address, s.company,
+      s.company_label, s.company_key, s.position, s.connected_on, s.connected_on_date_key,
+      s.snapshot_ts AS source_snapshot_ts,
+      md5(s.connection_id || '|' || CAST(s.snapshot_ts AS VARCHAR)) AS scd_id,
+      s.snapshot_ts AS valid_from, e.next_snapshot_ts AS valid_to
+    FROM scd_islands s
+    JOIN (SELECT connection_id, island, max(snapshot_ts) AS last_ts
+          FROM scd_islands GROUP BY connection_id, island) g
+      ON g.connection_id = s.connection_id AND g.island = s.island
+    JOIN seq e ON e.snapshot_ts = g.last_ts
+    WHERE s.is_start = 1""", "scd_islands", "seq")
+cte("dim_company", """
+    SELECT a.company_key, l.company_label AS company_name, a.company_normalised,
+      l.company_label = '(unknown)' AS is_unknown_company, a.first_seen_snapshot_ts,
+      a.last_seen_snapshot_ts, a.first_connected_on, a.last_connected_on, a.connections_ever,
+      coalesce(cc.n, 0) AS current_connection_count
+    FROM (SELECT company_key, min(company_normalised) AS company_normalised,
+            min(snapshot_ts) AS first_seen_snapshot_ts, max(snapshot_ts) AS last_seen_snapshot_ts,
+            min(connected_on) AS first_connected_on, max(connected_on) AS last_connected_on,
+            count(DISTINCT connection_id) AS connections_ever
+          FROM ident GROUP BY company_key) a
+    JOIN (SELECT company_key, company_label,
+            row_number() OVER (PARTITION BY company_key
+                               ORDER BY snapshot_ts DESC, company_label ASC) AS rk
+          FROM ident) l ON l.company_key = a.company_key AND l.rk = 1
+    LEFT JOIN (SELECT company_key, count(*) AS n FROM scd2 WHERE valid_to IS NULL
+               GROUP BY company_key) cc ON cc.company_key = a.company_key""", "ident", "scd2")
+cte("current_conn", """
+    SELECT d.connection_id, d.full_name, d.first_name, d.last_name, d.email_address, d.company,
+      d.company_key, c.company_name, c.current_connection_count AS company_connection_count,
+      d.position, d.connected_on, d.valid_from,
+      coalesce(v.version_count, 1) > 1 AS has_previous_version, d.valid_to IS NULL AS is_current
+    FROM scd2 d
+    LEFT JOIN dim_company c ON c.company_key = d.company_key
+    LEFT JOIN (SELECT connection_id, count(*) AS version_count FROM scd2 GROUP BY 1) v
+      ON v.connection_id = d.connection_id
+    WHERE d.valid_to IS NULL""", "scd2", "dim_company")
+cte("breakdown", """
+    SELECT snapshot_ts, dimension_type, dimension_value, connection_count,
+      row_number() OVER (PARTITION BY snapshot_ts, dimension_type
+                         ORDER BY connection_count DESC, dimension_value ASC NULLS LAST)
+        AS rank_within_dimension,
+      round(100.0 * connection_count
+            / sum(connection_count) OVER (PARTITION BY snapshot_ts, dimension_type), 2)
+        AS share_pct
+    FROM (
+      SELECT k.snapshot_ts, 'company' AS dimension_type, lb.company_label AS dimension_value,
+             k.n AS connection_count
+      FROM (SELECT snapshot_ts, company_key, count(*) AS n FROM fact GROUP BY 1, 2) k
+      JOIN (SELECT snapshot_ts, company_key, company_label FROM (
+              SELECT snapshot_ts, company_key, company_label,
+                row_number() OVER (PARTITION BY snapshot_ts, company_key
+                                   ORDER BY count(*) DESC, company_label) AS rk
+              FROM fact GROUP BY 1, 2, 3) z WHERE rk = 1) lb
+        ON lb.snapshot_ts = k.snapshot_ts AND lb.company_key = k.company_key
+      UNION ALL
+      SELECT snapshot_ts, 'position', coalesce(position, '(unknown)'), count(*)
+      FROM fact GROUP BY 1, 3
+      UNION ALL
+      SELECT snapshot_ts, 'connected_year_month', strftime(connected_on, '%Y-%m'), count(*)
+      FROM fact GROUP BY 1, 3
+    ) u""", "fact")
+cte("bd_latest", """
+    SELECT * FROM breakdown WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM breakdown)""",
+    "breakdown")
+cte("monthly", """
+    SELECT dimension_value AS year_month, connection_count FROM bd_latest
+    WHERE dimension_type = 'connected_year_month'""", "bd_latest")
+
+oracle("snapshot_sequence", "SELECT * FROM seq", "seq")
+oracle("first_appearance", """
+    SELECT connection_id, min(snapshot_ts) AS first_seen_snapshot_ts FROM ident GROUP BY 1""",
+    "ident")
+oracle("identifiable", "SELECT * FROM ident", "ident")
+oracle("lost_entities", """
+    SELECT cur.snapshot_ts, prev.connection_id, prev.snapshot_ts AS last_seen_snapshot_ts
+    FROM seq cur
+    JOIN ident prev ON prev.snapshot_ts = cur.previous_snapshot_ts
+    LEFT JOIN ident now ON now.snapshot_ts = cur.snapshot_ts
+                       AND now.connection_id = prev.connection_id
+    WHERE now.connection_id IS NULL""", "seq", "ident")
+oracle("new_since_previous", """
+    SELECT snapshot_ts, connection_id FROM fact WHERE is_new_since_previous_snapshot""", "fact")
+oracle("scd2_replay", "SELECT * FROM scd2", "scd2")
+oracle("scd2_apply", "SELECT * FROM scd2", "scd2")
+oracle("scd2_current", "SELECT * FROM scd2 WHERE valid_to IS NULL", "scd2")
+oracle("entity_history", """
+    SELECT connection_id, company, position, valid_from, valid_to,
+           valid_to IS NULL AS is_current FROM scd2""", "scd2")
+oracle("recent_changes", """
+    SELECT c.full_name, p.company AS previous_company, p.position AS previous_position,
+           c.company, c.position, c.valid_from AS changed_at, c.connection_id
+    FROM (SELECT *, row_number() OVER (PARTITION BY connection_id ORDER BY valid_from DESC) vr
+          FROM scd2) c
+    JOIN (SELECT *, row_number() OVER (PARTITION BY connection_id ORDER BY valid_from DESC) vr
+          FROM scd2) p ON p.connection_id = c.connection_id AND p.vr = c.vr + 1
+    WHERE c.valid_to IS NULL
+    ORDER BY c.valid_from DESC, c.connection_id LIMIT 25""", "scd2")
+oracle("departed", """
+    SELECT full_name, company, position, valid_to AS absent_since, connection_id FROM scd2
+    WHERE valid_to IS NOT NULL
+      AND connection_id NOT IN (SELECT connection_id FROM scd2 WHERE valid_to IS NULL)
+    ORDER BY valid_to DESC, connection_id LIMIT 25""", "scd2")
+oracle("dim_company", "SELECT * FROM dim_company", "dim_company")
+oracle("current_connections", "SELECT * FROM current_conn", "current_conn")
+oracle("dim_date", f"""
+    SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_key, d AS date_day,
+      CAST(extract(year FROM d) AS INTEGER) AS calendar_year,
+      CAST(extract(quarter FROM d) AS INTEGER) AS calendar_quarter,
+      CAST(extract(month FROM d) AS INTEGER) AS calendar_month,
+      strftime(d, '%B') AS month_name, strftime(d, '%Y-%m') AS year_month,
+      CAST(extract(day FROM d) AS INTEGER) AS day_of_month,
+      CAST(extract(isodow FROM d) AS INTEGER) AS iso_day_of_week,
+      strftime(d, '%A') AS day_name, CAST(extract(week FROM d) AS INTEGER) AS iso_week,
+      CAST(date_trunc('month', d) AS DATE) AS month_start_date,
+      CAST(last_day(d) AS DATE) AS month_end_date, extract(isodow FROM d) >= 6 AS is_weekend
+    FROM (SELECT CAST(unnest(generate_series(s, e, INTERVAL 1 DAY)) AS DATE) AS d
+          FROM (SELECT coalesce(min(connected_on), DATE '{TODAY}') AS s,
+                  greatest(coalesce(max(connected_on), DATE '{TODAY}'),
+                           coalesce(max(snapshot_date), DATE '{TODAY}')) AS e
+                FROM silver) b) x""", "silver")
+oracle("breakdown", "SELECT * FROM breakdown", "breakdown")
+oracle("company_labels", """
+    SELECT snapshot_ts, company_key, company_label, n AS connection_count FROM (
+      SELECT snapshot_ts, company_key, company_label,
+        sum(count(*)) OVER (PARTITION BY snapshot_ts, company_key) AS n,
+        row_number() OVER (PARTITION BY snapshot_ts, company_key
+                           ORDER BY count(*) DESC, company_label) AS rk
+      FROM fact GROUP BY 1, 2, 3) z WHERE rk = 1""", "fact")
+oracle("top_breakdown", """
+    SELECT dimension_value, connection_count, share_pct FROM bd_latest
+    WHERE dimension_type = 'company' AND dimension_value <> '(unknown)'
+    ORDER BY rank_within_dimension LIMIT 15""", "bd_latest")
+oracle("breakdown_value_count", """
+    SELECT dimension_type, count(*) AS distinct_values FROM bd_latest
+    WHERE dimension_value <> '(unknown)' GROUP BY dimension_type""", "bd_latest")
+oracle("undisclosed_count", """
+    SELECT dimension_type, connection_count FROM bd_latest
+    WHERE dimension_value = '(unknown)'""", "bd_latest")
+oracle("connected_over_time", "SELECT * FROM monthly", "monthly")
+oracle("cumulative_growth", """
+    SELECT year_month, connection_count,
+      CAST(sum(connection_count) OVER (ORDER BY year_month ASC NULLS LAST
+                                       ROWS UNBOUNDED PRECEDING) AS BIGINT)
+        AS cumulative_connections
+    FROM monthly""", "monthly")
+oracle("headline", """
+    SELECT snapshot_ts, total_connections, distinct_companies, new_connections,
+      lost_connections, restricted_profile_rows,
+      CASE WHEN c.n > 1 THEN net_change END AS delta_since_previous, c.n AS snapshots_ingested
+    FROM stats, (SELECT count(*) AS n FROM stats) c
+    WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM stats)""", "stats")
+oracle("churn_long", """
+    SELECT snapshot_ts, 'Joined' AS change_type, new_connections AS connections FROM stats
+    UNION ALL
+    SELECT snapshot_ts, 'Left', -lost_connections FROM stats""", "stats")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators import fact as fact_ops
 from tidemark.operators import marts
@@ -55,3 +56,151 @@ def q_fact(spark, sf):
 def q_network_stats(spark, sf):
     s = silver(spark, sf)
     return marts.network_stats(fact_ops.fact_with_flow(s), s)
+
+
+# --- flow, SCD2 and dimensions -------------------------------------------------------
+from tidemark.operators import dims, scd2  # noqa: E402
+from tidemark.operators.silver import identifiable  # noqa: E402
+
+TODAY = "2026-08-27"
+
+
+def dim(spark, sf):
+    return scd2.replay(silver(spark, sf))
+
+
+def company_dim(spark, sf):
+    s = silver(spark, sf)
+    return dims.dim_company(s, scd2.replay(s))
+
+
+def bd(spark, sf):
+    return marts.breakdown(fact_ops.build_fact(silver(spark, sf)))
+
+
+def stats(spark, sf):
+    s = silver(spark, sf)
+    return marts.network_stats(fact_ops.fact_with_flow(s), s)
+
+
+@query("snapshot_sequence")
+def q_seq(spark, sf):
+    return fact_ops.snapshot_sequence(identifiable(silver(spark, sf)))
+
+
+@query("first_appearance")
+def q_first(spark, sf):
+    return fact_ops.first_appearance(silver(spark, sf))
+
+
+@query("identifiable")
+def q_ident(spark, sf):
+    return identifiable(silver(spark, sf))
+
+
+@query("lost_entities")
+def q_lost(spark, sf):
+    return fact_ops.lost_entities(fact_flow(spark, sf))
+
+
+@query("new_since_previous")
+def q_new(spark, sf):
+    return fact_ops.build_fact(silver(spark, sf)).filter("is_new_since_previous_snapshot").select(
+        "snapshot_ts", "connection_id"
+    )
+
+
+@query("scd2_replay")
+def q_replay(spark, sf):
+    return dim(spark, sf)
+
+
+@query("scd2_apply")
+def q_apply(spark, sf):
+    """History of every export but the newest, then the newest folded in."""
+    s = silver(spark, sf)
+    newest = s.agg(F.max("snapshot_ts")).scalar()
+    before = scd2.replay(s.filter(F.col("snapshot_ts") < newest))
+    return scd2.apply(before, scd2.latest_export(s))
+
+
+@query("scd2_current")
+def q_current(spark, sf):
+    return scd2.current(dim(spark, sf))
+
+
+@query("entity_history")
+def q_history(spark, sf):
+    return scd2.history(dim(spark, sf))
+
+
+@query("recent_changes")
+def q_changes(spark, sf):
+    return scd2.recent_changes(dim(spark, sf), 25)
+
+
+@query("departed")
+def q_departed(spark, sf):
+    return scd2.departed(dim(spark, sf), 25)
+
+
+@query("dim_company")
+def q_dim_company(spark, sf):
+    return company_dim(spark, sf)
+
+
+@query("current_connections")
+def q_current_connections(spark, sf):
+    s = silver(spark, sf)
+    d = scd2.replay(s)
+    return dims.current_entities(d, dims.dim_company(s, d))
+
+
+@query("dim_date")
+def q_dim_date(spark, sf):
+    return dims.dim_date(silver(spark, sf), TODAY)
+
+
+@query("breakdown")
+def q_breakdown(spark, sf):
+    return bd(spark, sf)
+
+
+@query("company_labels")
+def q_labels(spark, sf):
+    return marts.company_labels(fact_ops.build_fact(silver(spark, sf)))
+
+
+@query("top_breakdown")
+def q_top(spark, sf):
+    return marts.top_values(bd(spark, sf), marts.COMPANY, 15)
+
+
+@query("breakdown_value_count")
+def q_value_count(spark, sf):
+    return marts.value_counts(bd(spark, sf))
+
+
+@query("undisclosed_count")
+def q_undisclosed(spark, sf):
+    return marts.undisclosed(bd(spark, sf))
+
+
+@query("connected_over_time")
+def q_monthly(spark, sf):
+    return marts.connected_over_time(bd(spark, sf))
+
+
+@query("cumulative_growth")
+def q_cumulative(spark, sf):
+    return marts.cumulative(marts.connected_over_time(bd(spark, sf)))
+
+
+@query("headline")
+def q_headline(spark, sf):
+    return marts.headline(stats(spark, sf))
+
+
+@query("churn_long")
+def q_churn(spark, sf):
+    return marts.churn_long(stats(spark, sf))
