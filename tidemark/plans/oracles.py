@@ -372,3 +372,189 @@ oracle("churn_long", """
     SELECT snapshot_ts, 'Joined' AS change_type, new_connections AS connections FROM stats
     UNION ALL
     SELECT snapshot_ts, 'Left', -lost_connections FROM stats""", "stats")
+
+# --- taxonomy / scoring / reach ----------------------------------------------------
+from tidemark.functions import taxonomy as _tx  # noqa: E402
+from tidemark.operators import scoring as _sc  # noqa: E402
+
+_META = set(".^$*+?()[]{}|\\-")
+
+
+def _re(keywords) -> str:
+    body = "|".join("".join("\\" + ch if ch in _META else ch for ch in k) for k in keywords)
+    return "(?i)\\b(?:" + body + ")\\b"
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_match(col: str, keywords) -> str:
+    return (f"(coalesce(trim({col}), '') <> '' AND "
+            f"coalesce(regexp_matches(trim({col}), {_q(_re(keywords))}), false))")
+
+
+def sql_tag_preds(col: str) -> dict[str, str]:
+    preds = {t: sql_match(col, kws) for t, kws in _tx.TAG_KEYWORDS}
+    c_level = (f"(coalesce(trim({col}), '') <> '' AND coalesce(regexp_matches(trim({col}), "
+               f"{_q('(?i)' + _tx.C_LEVEL_PATTERN)}), false))")
+    preds[_tx.EXECUTIVE] = f"({preds[_tx.EXECUTIVE]} OR {c_level})"
+    return preds
+
+
+def sql_tags(col: str) -> str:
+    preds = sql_tag_preds(col)
+    items = ", ".join(f"CASE WHEN {preds[t]} THEN {_q(t)} END" for t in _tx.ALL_TAGS)
+    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
+
+
+def sql_family(col: str) -> str:
+    whens = " ".join(f"WHEN {sql_match(col, kws)} THEN {_q(f)}" for f, kws in _tx.JOB_FAMILY_RULES)
+    return f"CASE {whens} ELSE 'Other' END"
+
+
+def sql_seniority(col: str) -> str:
+    p = sql_tag_preds(col)
+    word = f"coalesce(regexp_matches({col}, {_q(_re(_tx.SENIORITY_WORDS))}), false)"
+    return (f"(coalesce({col}, '') <> '' AND ({p[_tx.LEADERSHIP]} OR {p[_tx.EXECUTIVE]} "
+            f"OR {word}))")
+
+
+def _in(values) -> str:
+    return "(" + ", ".join(_q(v) for v in values) + ")"
+
+
+def sql_months(col: str, today: str = TODAY) -> str:
+    return (f"(floor((epoch_us(TIMESTAMP '{today}') - epoch_us(CAST({col} AS TIMESTAMP)))"
+            f" / 86400000000.0) / 30.44)")
+
+
+def sql_fold(col: str) -> str:
+    return (f"replace(lower(strip_accents(translate(coalesce({col}, ''), "
+            f"'đĐð', 'dDd'))), 'ß', 'ss')")
+
+
+_TARGET, _ADJ = _in(_tx.TARGET_FAMILIES), _in(_tx.ADJACENT_FAMILIES)
+_W = _sc.DEFAULT_WEIGHTS
+cte("net_tf", f"""
+    SELECT n.*, {sql_tags('n.position')} AS tags, {sql_family('n.position')} AS family,
+      coalesce(t.has_team, false) AS company_has_data_team
+    FROM current_conn n
+    LEFT JOIN (SELECT DISTINCT company_key, true AS has_team FROM current_conn
+               WHERE company_key IS NOT NULL
+                 AND {sql_family('position')} IN {_in(_tx.TARGET_FAMILIES + _tx.ADJACENT_FAMILIES)}) t
+      ON t.company_key = n.company_key""", "current_conn")
+_LEADS = "(list_contains(tags, 'leadership') OR list_contains(tags, 'executive'))"
+cte("net_path", f"""
+    SELECT *, CASE
+      WHEN coalesce(trim(company), '') = '' THEN 'no_employer'
+      WHEN {_LEADS} AND (family IN {_TARGET} OR list_contains(tags, 'target_peer')) THEN 'field_leader'
+      WHEN family IN {_TARGET} THEN 'field_peer'
+      WHEN list_contains(tags, 'recruiter_talent') THEN
+        CASE WHEN company_has_data_team THEN 'inhouse_recruiter' ELSE 'outside_recruiter' END
+      WHEN {_LEADS} AND family IN {_ADJ} THEN 'adjacent_leader'
+      WHEN family IN {_ADJ} THEN 'adjacent_peer'
+      WHEN {_LEADS} THEN 'outside_leader'
+      ELSE 'none' END AS referral_path,
+      {sql_months('connected_on')} AS m_conn,
+      {sql_months('valid_from')} AS m_moved,
+      {sql_seniority('position')} AS is_senior
+    FROM net_tf""", "net_tf")
+_BASE = " ".join(f"WHEN {_q(k)} THEN {v}" for k, v in _W.base().items())
+_REASON = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in _sc.PATH_REASONS)
+cte("net_pts", f"""
+    SELECT *,
+      CASE WHEN role_base > 0 THEN role_base END AS role_points,
+      CASE WHEN role_base > 0 AND referral_path NOT IN {_in(_sc.LEADER_PATHS)} AND is_senior
+           THEN {_W.seniority} END AS seniority_points,
+      CASE WHEN role_base > 0 AND m_conn >= 0
+            AND round_even({_W.warmth} * exp(-m_conn / {_W.warmth_decay_months}), 0) <> 0
+           THEN CAST(round_even({_W.warmth} * exp(-m_conn / {_W.warmth_decay_months}), 0) AS INTEGER)
+      END AS warmth_points,
+      CASE WHEN role_base > 0 AND has_previous_version AND m_moved BETWEEN 0 AND {_W.recent_move_months}
+           THEN {_W.recent_move} END AS recent_move_points,
+      CASE WHEN role_base > 0 AND list_contains(tags, 'early_career')
+           THEN -{_W.early_career_penalty} END AS early_career_points
+    FROM (SELECT *, CASE referral_path {_BASE} END AS role_base FROM net_path) b""", "net_path")
+cte("scored", f"""
+    SELECT *,
+      CASE WHEN role_base > 0 THEN greatest(0, role_points + coalesce(seniority_points, 0)
+        + coalesce(warmth_points, 0) + coalesce(recent_move_points, 0)
+        + coalesce(early_career_points, 0)) ELSE 0 END AS score,
+      concat_ws('; ', CASE referral_path {_REASON} END,
+        CASE WHEN seniority_points IS NOT NULL THEN 'seniority signal in title' END,
+        CASE WHEN warmth_points IS NOT NULL
+             THEN 'connected ' || CAST(CAST(floor(m_conn) AS BIGINT) AS VARCHAR) || ' month(s) ago' END,
+        CASE WHEN recent_move_points IS NOT NULL THEN 'changed job recently' END,
+        CASE WHEN early_career_points IS NOT NULL THEN 'early in their career' END) AS score_reason
+    FROM net_pts""", "net_pts")
+
+_SCORE_COLS = ("connection_id, tags, family, company_has_data_team, referral_path, role_points, "
+               "seniority_points, warmth_points, recent_move_points, early_career_points, score, "
+               "score_reason")
+oracle("score", f"SELECT {_SCORE_COLS} FROM scored", "scored")
+oracle("referral_path", "SELECT connection_id, referral_path FROM scored", "scored")
+oracle("role_tags", f"""
+    SELECT connection_id, snapshot_ts, position, {sql_tags('position')} AS tags FROM ident""",
+    "ident")
+oracle("job_family", f"""
+    SELECT connection_id, snapshot_ts, {sql_family('position')} AS family FROM ident""", "ident")
+oracle("taxonomy_join", f"""
+    SELECT connection_id, snapshot_ts, {sql_family('position')} AS family FROM ident""", "ident")
+oracle("seniority", f"""
+    SELECT connection_id, snapshot_ts, {sql_seniority('position')} AS is_senior FROM ident""",
+    "ident")
+oracle("months_since", f"""
+    SELECT connection_id, {sql_months('connected_on')} AS months_since_connected,
+           {sql_months('valid_from')} AS months_since_change FROM current_conn""", "current_conn")
+oracle("warmth", f"""
+    SELECT connection_id, CASE WHEN m >= 0 THEN CAST(round_even(
+             {_W.warmth} * exp(-m / {_W.warmth_decay_months}), 0) AS INTEGER) END AS warmth
+    FROM (SELECT connection_id, {sql_months('connected_on')} AS m FROM current_conn) x""",
+    "current_conn")
+oracle("data_team_flag", f"""
+    SELECT DISTINCT company_key FROM current_conn
+    WHERE company_key IS NOT NULL
+      AND {sql_family('position')} IN {_in(_tx.TARGET_FAMILIES + _tx.ADJACENT_FAMILIES)}""",
+    "current_conn")
+_ROUTED = "referral_path NOT IN ('none', 'no_employer')"
+_SIG_COLS = ("role_points", "seniority_points", "warmth_points", "recent_move_points",
+             "early_career_points")
+oracle("signal_frequency", " UNION ALL ".join(
+    f"SELECT {_q(label)} AS signal, CAST(count(*) FILTER (WHERE {_ROUTED} AND {c} IS NOT NULL)"
+    f" AS BIGINT) AS connections FROM scored"
+    for (_, label), c in zip(_sc.SIGNAL_LABELS, _SIG_COLS)), "scored")
+oracle("path_frequency", "SELECT r.path, coalesce(c.n, 0) AS connections FROM (VALUES "
+       + ", ".join(f"({_q(k)}, {_q(v)})" for k, v in _sc.PATH_REASONS)
+       + ") r(referral_path, path) LEFT JOIN (SELECT referral_path, count(*) AS n FROM scored "
+         "GROUP BY 1) c ON c.referral_path = r.referral_path", "scored")
+oracle("score_bands", " UNION ALL ".join(
+    f"SELECT {_q(label)} AS band, CAST(count(*) FILTER (WHERE score BETWEEN {lo} AND {hi})"
+    f" AS BIGINT) AS connections FROM scored" for label, lo, hi in _sc.SCORE_BANDS), "scored")
+oracle("score_summary", """
+    SELECT CAST(trunc(median(score)) AS INTEGER) AS median_score,
+      CAST(count(*) FILTER (WHERE score >= 75) AS BIGINT) AS scoring_75_plus,
+      CAST(count(*) FILTER (WHERE score >= 50) AS BIGINT) AS scoring_50_plus,
+      CAST(count(*) FILTER (WHERE score = 0) AS BIGINT) AS scoring_0
+    FROM scored""", "scored")
+oracle("shortlist_summary", f"""
+    SELECT count(*) AS matching_connections,
+      CAST(count(*) FILTER (WHERE score >= {_sc.STRONG_SCORE}) AS BIGINT) AS strong_connections,
+      count(DISTINCT CASE WHEN company IS NOT NULL THEN company_key END) AS companies_covered,
+      coalesce(max(score), 0) AS best_score
+    FROM scored""", "scored")
+oracle("strongholds", f"""
+    SELECT company, count(connection_id) AS connections,
+      CAST(sum(CASE WHEN list_contains(tags, 'target_peer') OR list_contains(tags, 'engineering')
+               THEN 1 ELSE 0 END) AS BIGINT) AS in_field,
+      CAST(sum(CASE WHEN list_contains(tags, 'recruiter_talent') THEN 1 ELSE 0 END) AS BIGINT)
+        AS recruiters,
+      max(score) AS best_score
+    FROM scored WHERE company IS NOT NULL GROUP BY company
+    HAVING count(connection_id) >= {_sc.STRONGHOLD_MINIMUM}
+    ORDER BY in_field DESC, best_score DESC, connections DESC, company ASC
+    LIMIT {_sc.STRONGHOLD_TOP}""", "scored")
+oracle("rank_referrals", f"""
+    SELECT {_SCORE_COLS}, full_name, connected_on, company FROM scored
+    ORDER BY score DESC NULLS LAST, connected_on DESC NULLS LAST, full_name ASC NULLS LAST""",
+    "scored")

@@ -204,3 +204,121 @@ def q_headline(spark, sf):
 @query("churn_long")
 def q_churn(spark, sf):
     return marts.churn_long(stats(spark, sf))
+
+
+# --- taxonomy, scoring, reach, search ------------------------------------------------------
+from tidemark.functions import taxonomy as tx  # noqa: E402
+from tidemark.operators import reach as reach_ops  # noqa: E402
+from tidemark.operators import rules as rule_ops  # noqa: E402
+from tidemark.operators import scoring  # noqa: E402
+from tidemark.operators import search  # noqa: E402
+
+SCORE_COLUMNS = ("connection_id", "tags", "family", "company_has_data_team", "referral_path",
+                 "role_points", "seniority_points", "warmth_points", "recent_move_points",
+                 "early_career_points", "score", "score_reason")
+
+
+def network(spark, sf):
+    """Current entities enriched with employer and version facts."""
+    s = silver(spark, sf)
+    d = scd2.replay(s)
+    return dims.current_entities(d, dims.dim_company(s, d))
+
+
+def scored(spark, sf):
+    return scoring.score(network(spark, sf), today=TODAY)
+
+
+@query("score")
+def q_score(spark, sf):
+    return scored(spark, sf).select(*SCORE_COLUMNS)
+
+
+@query("referral_path")
+def q_path(spark, sf):
+    return scored(spark, sf).select("connection_id", "referral_path")
+
+
+@query("role_tags")
+def q_tags(spark, sf):
+    return identifiable(silver(spark, sf)).select(
+        "connection_id", "snapshot_ts", "position", tx.role_tags("position").alias("tags"))
+
+
+@query("job_family")
+def q_family(spark, sf):
+    return identifiable(silver(spark, sf)).select(
+        "connection_id", "snapshot_ts", tx.job_family("position").alias("family"))
+
+
+@query("taxonomy_join")
+def q_taxonomy_join(spark, sf):
+    rows = identifiable(silver(spark, sf)).select("connection_id", "snapshot_ts", "position")
+    rules = rule_ops.rules_frame(spark, tx.JOB_FAMILY_RULES)
+    return rule_ops.apply_rules(rows, rules, "position", mode="first",
+                                default=tx.OTHER_FAMILY, out="family").drop("position")
+
+
+@query("seniority")
+def q_seniority(spark, sf):
+    return identifiable(silver(spark, sf)).select(
+        "connection_id", "snapshot_ts", tx.seniority(F.col("position")).alias("is_senior"))
+
+
+@query("months_since")
+def q_months(spark, sf):
+    from tidemark.functions.dates import months_since
+    return network(spark, sf).select(
+        "connection_id",
+        months_since("connected_on", TODAY).alias("months_since_connected"),
+        months_since("valid_from", TODAY).alias("months_since_change"))
+
+
+@query("warmth")
+def q_warmth(spark, sf):
+    from tidemark.functions.dates import months_since, warmth
+    w = scoring.DEFAULT_WEIGHTS
+    return network(spark, sf).select(
+        "connection_id",
+        warmth(months_since("connected_on", TODAY), w.warmth, w.warmth_decay_months).alias("warmth"))
+
+
+@query("data_team_flag")
+def q_data_team(spark, sf):
+    return scoring.data_team_keys(network(spark, sf)).select("company_key")
+
+
+@query("signal_frequency")
+def q_signals(spark, sf):
+    return scoring.signal_frequency(scored(spark, sf))
+
+
+@query("path_frequency")
+def q_paths(spark, sf):
+    return scoring.path_frequency(scored(spark, sf))
+
+
+@query("score_bands")
+def q_bands(spark, sf):
+    return scoring.score_bands(scored(spark, sf))
+
+
+@query("score_summary")
+def q_score_summary(spark, sf):
+    return scoring.score_summary(scored(spark, sf))
+
+
+@query("shortlist_summary")
+def q_shortlist_summary(spark, sf):
+    return scoring.shortlist_summary(scored(spark, sf))
+
+
+@query("strongholds")
+def q_strongholds(spark, sf):
+    return scoring.strongholds(scored(spark, sf))
+
+
+@query("rank_referrals")
+def q_rank(spark, sf):
+    return scoring.rank(scored(spark, sf)).select(*SCORE_COLUMNS, "full_name", "connected_on",
+                                                  "company")
