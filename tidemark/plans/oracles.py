@@ -558,3 +558,140 @@ oracle("rank_referrals", f"""
     SELECT {_SCORE_COLS}, full_name, connected_on, company FROM scored
     ORDER BY score DESC NULLS LAST, connected_on DESC NULLS LAST, full_name ASC NULLS LAST""",
     "scored")
+
+_ALL_FAM = _in(_tx.TARGET_FAMILIES + _tx.ADJACENT_FAMILIES)
+cte("classified", f"""
+    SELECT *, family IN {_TARGET} AS is_core, family IN {_ALL_FAM} AS is_data,
+      list_contains(tags, 'recruiter_talent') AS is_recruiter,
+      {_LEADS} AND (family IN {_ALL_FAM} OR list_contains(tags, 'target_peer')) AS is_data_leader
+    FROM (SELECT *, {sql_tags('position')} AS tags, {sql_family('position')} AS family
+          FROM current_conn) x""", "current_conn")
+cte("reach", """
+    SELECT company, core_peers * 3 + data_leaders * 3 + recruiters * 2 + data_people AS reach,
+      core_peers, data_people, data_leaders, recruiters, recruiters > 0 AS has_front_door,
+      connections
+    FROM (SELECT company_name AS company, count(*) AS connections,
+            CAST(sum(CASE WHEN is_core THEN 1 ELSE 0 END) AS BIGINT) AS core_peers,
+            CAST(sum(CASE WHEN is_data THEN 1 ELSE 0 END) AS BIGINT) AS data_people,
+            CAST(sum(CASE WHEN is_data_leader THEN 1 ELSE 0 END) AS BIGINT) AS data_leaders,
+            CAST(sum(CASE WHEN is_recruiter THEN 1 ELSE 0 END) AS BIGINT) AS recruiters
+          FROM classified
+          WHERE coalesce(trim(company_name), '') <> '' AND company_name <> '(unknown)'
+          GROUP BY company_name) a""", "classified")
+oracle("company_reach", "SELECT * FROM reach ORDER BY reach DESC, company", "reach")
+oracle("top_reach", "SELECT * FROM reach ORDER BY reach DESC, company LIMIT 15", "reach")
+oracle("reach_summary", """
+    SELECT count(*) AS companies,
+      CAST(count(*) FILTER (WHERE core_peers > 0) AS BIGINT) AS with_core,
+      CAST(count(*) FILTER (WHERE has_front_door) AS BIGINT) AS front_door,
+      CAST(count(*) FILTER (WHERE NOT has_front_door AND data_leaders > 0) AS BIGINT)
+        AS closed_with_leader,
+      CAST(count(*) FILTER (WHERE core_peers > 0 AND data_leaders > 0 AND has_front_door)
+           AS BIGINT) AS all_three
+    FROM reach""", "reach")
+oracle("reach_filters", "SELECT * FROM reach WHERE has_front_door AND core_peers > 0", "reach")
+oracle("family_counts", f"""
+    SELECT {sql_family('position')} AS family, count(*) AS connections FROM current_conn
+    GROUP BY 1 ORDER BY connections DESC, family LIMIT 15""", "current_conn")
+oracle("family_depth", f"""
+    SELECT family, connections, senior, 100.0 * senior / connections AS senior_share FROM (
+      SELECT {sql_family('position')} AS family, count(*) AS connections,
+        CAST(sum(CASE WHEN {sql_seniority('position')} THEN 1 ELSE 0 END) AS BIGINT) AS senior
+      FROM current_conn GROUP BY 1 ORDER BY connections DESC, family LIMIT 10) t""",
+    "current_conn")
+_TP = sql_tag_preds("position")
+oracle("tag_counts", " UNION ALL ".join(
+    [f"SELECT {_q(t)} AS tag, CAST(count(*) FILTER (WHERE {_TP[t]}) AS BIGINT) AS connections "
+     f"FROM current_conn" for t in _tx.ALL_TAGS]
+    + ["SELECT 'untagged', CAST(count(*) FILTER (WHERE NOT (" + " OR ".join(_TP.values())
+       + ")) AS BIGINT) FROM current_conn"]), "current_conn")
+cte("sizes", """
+    SELECT company_key, count(*) AS n FROM current_conn WHERE company IS NOT NULL
+    GROUP BY company_key""", "current_conn")
+oracle("concentration", """
+    SELECT count(*) AS employers,
+      100.0 * coalesce((SELECT sum(n) FROM (SELECT n FROM sizes ORDER BY n DESC LIMIT 10) t), 0)
+        / (SELECT count(*) FROM current_conn) AS top_share_pct,
+      CAST(count(*) FILTER (WHERE n >= 3) AS BIGINT) AS employers_with_min
+    FROM sizes""", "sizes")
+oracle("career_stage", f"""
+    SELECT connections, senior, 100.0 * senior / connections AS senior_pct,
+      early_career, 100.0 * early_career / connections AS early_career_pct,
+      with_email, 100.0 * with_email / connections AS with_email_pct,
+      no_company, 100.0 * no_company / connections AS no_company_pct
+    FROM (SELECT count(*) AS connections,
+            CAST(count(*) FILTER (WHERE {sql_seniority('position')}) AS BIGINT) AS senior,
+            CAST(count(*) FILTER (WHERE {_TP[_tx.EARLY_CAREER]}) AS BIGINT) AS early_career,
+            CAST(count(*) FILTER (WHERE email_address IS NOT NULL) AS BIGINT) AS with_email,
+            CAST(count(*) FILTER (WHERE company IS NULL) AS BIGINT) AS no_company
+          FROM current_conn) t""", "current_conn")
+
+# --- search / display ---------------------------------------------------------------
+SEARCH_PEOPLE = "data"
+SEARCH_COMPANY = "ngan hang"
+SEARCH_DOCS = "uber"
+FILTER_TAGS = ("leadership", "executive")
+cte("tagged_net", f"SELECT *, {sql_tags('position')} AS tags FROM current_conn", "current_conn")
+oracle("filter_tags", f"""
+    SELECT connection_id, tags FROM tagged_net
+    WHERE list_has_any(tags, [{", ".join(_q(t) for t in FILTER_TAGS)}])""", "tagged_net")
+oracle("search_people", f"""
+    SELECT connection_id, full_name, position FROM current_conn
+    WHERE contains({sql_fold('full_name')} || ' ' || {sql_fold('position')},
+                   {_q(SEARCH_PEOPLE)})""", "current_conn")
+oracle("search_company", f"""
+    SELECT connection_id, company FROM current_conn
+    WHERE contains({sql_fold('company')}, {_q(SEARCH_COMPANY)})""", "current_conn")
+oracle("filter_date_range", """
+    SELECT connection_id, connected_on FROM current_conn
+    WHERE connected_on BETWEEN (SELECT min(connected_on) FROM current_conn)
+                           AND (SELECT max(connected_on) FROM current_conn)""", "current_conn")
+_DISPLAY_URL = ("CASE WHEN coalesce(connection_id, '') = '' THEN '' ELSE coalesce("
+                "url_decode(replace(connection_id, '+', '%2B')), connection_id) END")
+oracle("shortlist_view", f"""
+    SELECT full_name AS name, coalesce(company, '—') AS company,
+      coalesce(position, '—') AS position,
+      CASE WHEN len(tags) > 0 THEN array_to_string(tags, ', ') ELSE '—' END AS tags,
+      coalesce(strftime(connected_on, '%Y-%m-%d'), '—') AS connected, score,
+      score_reason AS why, {_DISPLAY_URL} AS profile
+    FROM scored""", "scored")
+oracle("fold_accents", f"""
+    SELECT doc_id, md5({sql_fold('text')}) AS folded_md5,
+           length({sql_fold('text')}) AS folded_chars FROM documents""")
+oracle("search_documents", f"""
+    SELECT doc_id, lang FROM documents WHERE contains({sql_fold('text')}, {_q(SEARCH_DOCS)})""")
+oracle("display_url", f"SELECT DISTINCT connection_id, {_DISPLAY_URL} AS display_url FROM ident",
+       "ident")
+_DASH = ("CASE WHEN coalesce(trim(CAST({c} AS VARCHAR)), '') = '' THEN '—' "
+         "ELSE trim(CAST({c} AS VARCHAR)) END")
+
+
+def sql_change(prev: str, cur: str) -> str:
+    p, c = _DASH.format(c=prev), _DASH.format(c=cur)
+    return f"CASE WHEN {p} = {c} THEN {c} ELSE {p} || ' → ' || {c} END"
+
+
+oracle("change_text", f"""
+    SELECT c.connection_id, {sql_change('p.company', 'c.company')} AS company_change,
+      {sql_change('p.position', 'c.position')} AS position_change
+    FROM (SELECT *, row_number() OVER (PARTITION BY connection_id ORDER BY valid_from DESC) vr
+          FROM scd2) c
+    JOIN (SELECT *, row_number() OVER (PARTITION BY connection_id ORDER BY valid_from DESC) vr
+          FROM scd2) p ON p.connection_id = c.connection_id AND p.vr = c.vr + 1
+    WHERE c.valid_to IS NULL""", "scd2")
+oracle("format_cols", """
+    SELECT snapshot_sequence, strftime(snapshot_ts, '%Y-%m-%d %H:%M') AS snapshot_label,
+      coalesce(strftime(previous_snapshot_ts, '%Y-%m-%d %H:%M'), '—') AS previous_label,
+      CASE WHEN secs IS NULL THEN '—'
+           WHEN secs // 60 > 0 THEN printf('%dm %02ds', secs // 60, secs % 60)
+           ELSE printf('%ds', secs % 60) END AS gap_text
+    FROM (SELECT *, CAST(floor(epoch(snapshot_ts) - epoch(previous_snapshot_ts)) AS BIGINT)
+                    AS secs FROM stats) s""", "stats")
+oracle("normalise", """
+    SELECT DISTINCT company_label, company_normalised, company_key FROM silver""", "silver")
+oracle("parse_date", """
+    SELECT DISTINCT connected_on AS raw,
+      CAST(try_strptime(trim(connected_on), '%d %b %Y') AS DATE) AS parsed FROM raw_snap""",
+    "raw_snap")
+oracle("surrogate_key", """
+    SELECT connection_id, snapshot_ts, connection_snapshot_key FROM fact""", "fact")

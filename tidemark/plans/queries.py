@@ -322,3 +322,143 @@ def q_strongholds(spark, sf):
 def q_rank(spark, sf):
     return scoring.rank(scored(spark, sf)).select(*SCORE_COLUMNS, "full_name", "connected_on",
                                                   "company")
+
+
+@query("company_reach")
+def q_reach(spark, sf):
+    return reach_ops.company_reach(network(spark, sf))
+
+
+@query("top_reach")
+def q_top_reach(spark, sf):
+    return reach_ops.top_reach(reach_ops.company_reach(network(spark, sf)))
+
+
+@query("reach_summary")
+def q_reach_summary(spark, sf):
+    return reach_ops.summarise(reach_ops.company_reach(network(spark, sf)))
+
+
+@query("reach_filters")
+def q_reach_filters(spark, sf):
+    return reach_ops.reach_filter(reach_ops.company_reach(network(spark, sf)), "has", True)
+
+
+@query("family_counts")
+def q_family_counts(spark, sf):
+    return reach_ops.family_counts(network(spark, sf))
+
+
+@query("family_depth")
+def q_family_depth(spark, sf):
+    return reach_ops.family_depth(network(spark, sf))
+
+
+@query("tag_counts")
+def q_tag_counts(spark, sf):
+    return reach_ops.tag_counts(network(spark, sf))
+
+
+@query("concentration")
+def q_concentration(spark, sf):
+    return reach_ops.concentration(network(spark, sf))
+
+
+@query("career_stage")
+def q_career(spark, sf):
+    return reach_ops.career_stage(network(spark, sf))
+
+
+# --- search and display -------------------------------------------------------------
+from tidemark.functions import render, text  # noqa: E402
+from tidemark.functions.dates import parse_export_date  # noqa: E402
+from tidemark.plans.oracles import (  # noqa: E402
+    FILTER_TAGS, SEARCH_COMPANY, SEARCH_DOCS, SEARCH_PEOPLE,
+)
+
+
+@query("filter_tags")
+def q_filter_tags(spark, sf):
+    tagged = network(spark, sf).withColumn("tags", tx.role_tags("position"))
+    return search.filter_tags(tagged, list(FILTER_TAGS), include_untagged=False).select(
+        "connection_id", "tags")
+
+
+@query("search_people")
+def q_search_people(spark, sf):
+    return search.search_people(network(spark, sf), SEARCH_PEOPLE).select(
+        "connection_id", "full_name", "position")
+
+
+@query("search_company")
+def q_search_company(spark, sf):
+    return search.search_company(network(spark, sf), SEARCH_COMPANY).select(
+        "connection_id", "company")
+
+
+@query("filter_date_range")
+def q_date_range(spark, sf):
+    return search.date_range(network(spark, sf)).select("connection_id", "connected_on")
+
+
+@query("shortlist_view")
+def q_shortlist(spark, sf):
+    return search.shortlist(scoring.rank(scored(spark, sf)))
+
+
+@query("fold_accents")
+def q_fold(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    folded = text.fold_accents("text")
+    return docs.select("doc_id", F.md5(folded).alias("folded_md5"),
+                       F.length(folded).alias("folded_chars"))
+
+
+@query("search_documents")
+def q_search_docs(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
+    return search.search_company(docs, SEARCH_DOCS, col="text").select("doc_id", "lang")
+
+
+@query("display_url")
+def q_display_url(spark, sf):
+    return identifiable(silver(spark, sf)).select(
+        "connection_id", render.display_url("connection_id").alias("display_url")).distinct()
+
+
+@query("change_text")
+def q_change_text(spark, sf):
+    ch = scd2.recent_changes(dim(spark, sf), None)
+    return ch.select(
+        "connection_id",
+        render.change_text("previous_company", "company").alias("company_change"),
+        render.change_text("previous_position", "position").alias("position_change"))
+
+
+@query("format_cols")
+def q_format(spark, sf):
+    st = stats(spark, sf)
+    secs = F.unix_timestamp("snapshot_ts") - F.unix_timestamp("previous_snapshot_ts")
+    return st.select(
+        "snapshot_sequence",
+        render.format_ts("snapshot_ts").alias("snapshot_label"),
+        render.format_ts("previous_snapshot_ts").alias("previous_label"),
+        render.format_duration(secs).alias("gap_text"))
+
+
+@query("normalise")
+def q_normalise(spark, sf):
+    return silver(spark, sf).select("company_label", "company_normalised", "company_key").distinct()
+
+
+@query("parse_date")
+def q_parse_date(spark, sf):
+    return bronze(spark, sf).select(
+        F.col("connected_on").alias("raw"), parse_export_date("connected_on").alias("parsed")
+    ).distinct()
+
+
+@query("surrogate_key")
+def q_surrogate(spark, sf):
+    return fact_ops.build_fact(silver(spark, sf)).select(
+        "connection_id", "snapshot_ts", "connection_snapshot_key")
