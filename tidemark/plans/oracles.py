@@ -695,3 +695,187 @@ oracle("parse_date", """
     "raw_snap")
 oracle("surrogate_key", """
     SELECT connection_id, snapshot_ts, connection_snapshot_key FROM fact""", "fact")
+
+# --- data quality --------------------------------------------------------------------
+from tidemark.operators.quality import EXPORT_DATE_REGEX as DATE_REGEX  # noqa: E402
+from tidemark.sources.adapters import ADAPTER_URL_REGEX as URL_REGEX  # noqa: E402
+
+_SUITE = [
+    ("row_count_at_least_1", "error", "CASE WHEN count(*) < 1 THEN 1 ELSE 0 END",
+     "count(*) >= 1"),
+] + [
+    (f"not_null:{c}", "error", f"count(*) FILTER (WHERE {c} IS NULL)",
+     f"count(*) FILTER (WHERE {c} IS NULL) = 0")
+    for c in ("file_hash", "snapshot_ts", "source_object", "ingested_at")
+] + [
+    ("length_eq_32:file_hash", "error", "count(*) FILTER (WHERE length(file_hash) <> 32)",
+     "count(*) FILTER (WHERE length(file_hash) <> 32) = 0"),
+] + [
+    (f"matches:{c}", "error",
+     f"count(*) FILTER (WHERE {c} IS NOT NULL AND NOT regexp_matches({c}, {_q(rx)}))",
+     f"(count({c}) = 0 OR (count({c}) - count(*) FILTER (WHERE {c} IS NOT NULL AND NOT "
+     f"regexp_matches({c}, {_q(rx)}))) / count({c}) >= {mostly})")
+    for c, rx, mostly in (("url", URL_REGEX, 0.9), ("connected_on", DATE_REGEX, 1.0))
+]
+cte("dq_suite", " UNION ALL ".join(
+    f"SELECT snapshot_ts, {_q(n)} AS \"check\", {_q(sev)} AS severity, "
+    f"CAST({failed} AS BIGINT) AS failed_rows, coalesce({passed}, false) AS passed "
+    f"FROM raw_snap GROUP BY snapshot_ts" for n, sev, failed, passed in _SUITE), "raw_snap")
+oracle("dq_suite", "SELECT * FROM dq_suite", "dq_suite")
+oracle("dq_report", """
+    SELECT snapshot_ts, count(*) AS evaluated,
+      CAST(count(*) FILTER (WHERE passed) AS BIGINT) AS successful,
+      coalesce(list_sort(list("check") FILTER (WHERE NOT passed)), []) AS failed_checks,
+      bool_and(passed) AS success
+    FROM dq_suite GROUP BY snapshot_ts""", "dq_suite")
+oracle("restricted_rows", """
+    SELECT snapshot_ts, CAST(count(*) FILTER (WHERE coalesce(trim(url), '') = ''
+      AND coalesce(trim(first_name), '') = '' AND coalesce(trim(last_name), '') = ''
+      AND coalesce(trim(company), '') = '' AND coalesce(trim(position), '') = '') AS BIGINT)
+      AS restricted_profile_rows
+    FROM raw_snap GROUP BY snapshot_ts""", "raw_snap")
+
+
+def _dq_row(table: str, check: str, failed_sql: str, severity: str = "error") -> str:
+    return (f"SELECT {_q(table)} AS \"table\", {_q(check)} AS \"check\", {_q(severity)} AS severity, "
+            f"CAST(({failed_sql}) AS BIGINT) AS failed_rows, ({failed_sql}) = 0 AS passed")
+
+
+def _dup(table: str, cols: str, where: str = "") -> str:
+    w = f"WHERE {where}" if where else ""
+    return f"SELECT count(*) FROM (SELECT {cols} FROM {table} {w} GROUP BY {cols} HAVING count(*) > 1) d"
+
+
+cte("dim_date", """
+    SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_key, d AS date_day
+    FROM (SELECT CAST(unnest(generate_series(s, e, INTERVAL 1 DAY)) AS DATE) AS d
+          FROM (SELECT min(connected_on) AS s,
+                  greatest(max(connected_on), max(snapshot_date)) AS e FROM silver) b) x""",
+    "silver")
+oracle("dq_unique", " UNION ALL ".join([
+    _dq_row("dim_company", "unique:company_key",
+            _dup("dim_company", "company_key", "company_key IS NOT NULL")),
+    _dq_row("dim_date", "unique:date_key", _dup("dim_date", "date_key", "date_key IS NOT NULL")),
+    _dq_row("dim_date", "unique:date_day", _dup("dim_date", "date_day", "date_day IS NOT NULL")),
+    _dq_row("fct_snapshot", "unique:connection_id,snapshot_ts",
+            _dup("fact", "connection_id, snapshot_ts")),
+    _dq_row("fct_snapshot", "unique:connection_snapshot_key",
+            _dup("fact", "connection_snapshot_key", "connection_snapshot_key IS NOT NULL")),
+    _dq_row("network_stats", "unique:snapshot_ts", _dup("stats", "snapshot_ts", "snapshot_ts IS NOT NULL")),
+    _dq_row("breakdown", "unique:snapshot_ts,dimension_type,dimension_value",
+            _dup("breakdown", "snapshot_ts, dimension_type, dimension_value")),
+    _dq_row("silver", "unique:connection_id,snapshot_ts",
+            _dup("silver", "connection_id, snapshot_ts", "connection_id IS NOT NULL")),
+    _dq_row("dim_connection", "unique:scd_id", _dup("scd2", "scd_id", "scd_id IS NOT NULL")),
+]), "dim_company", "dim_date", "fact", "stats", "breakdown", "silver", "scd2")
+
+
+def _nn(table: str, col: str, where: str = "true") -> str:
+    return f"SELECT count(*) FROM {table} WHERE {col} IS NULL AND {where}"
+
+
+oracle("dq_not_null", " UNION ALL ".join(
+    [_dq_row("fct_snapshot", f"not_null:{c}", _nn("fact", c))
+     for c in ("connection_snapshot_key", "connection_id", "company_key")]
+    + [_dq_row("dim_company", f"not_null:{c}", _nn("dim_company", c))
+       for c in ("company_key", "company_name")]
+    + [_dq_row("silver", "not_null:connection_id", _nn("silver", "connection_id", "is_identifiable"))]
+    + [_dq_row("silver", f"not_null:{c}", _nn("silver", c))
+       for c in ("company_key", "connected_on", "snapshot_ts", "file_hash", "is_identifiable")]),
+    "fact", "dim_company", "silver")
+oracle("dq_accepted_values", " UNION ALL ".join([
+    _dq_row("breakdown", "accepted_values:dimension_type",
+            "SELECT count(*) FROM breakdown WHERE dimension_type NOT IN "
+            "('company', 'position', 'connected_year_month')"),
+    _dq_row("silver", "accepted_values:is_identifiable",
+            "SELECT count(*) FROM silver WHERE is_identifiable NOT IN (true, false)"),
+]), "breakdown", "silver")
+oracle("dq_range", " UNION ALL ".join([
+    _dq_row("dim_company", "in_range:current_connection_count",
+            "SELECT count(*) FROM dim_company WHERE NOT (current_connection_count >= 0)"),
+    _dq_row("network_stats", "in_range:total_connections",
+            "SELECT count(*) FROM stats WHERE NOT (total_connections >= 0)"),
+    _dq_row("silver", "in_range:connected_on",
+            f"SELECT count(*) FROM silver WHERE NOT (connected_on >= DATE '2003-05-05' "
+            f"AND connected_on <= DATE '{TODAY}')", "warn"),
+]), "dim_company", "stats", "silver")
+
+
+def _orphans(col: str, parent: str, pcol: str) -> str:
+    return (f"SELECT count(*) FROM fact f WHERE f.{col} IS NOT NULL AND NOT EXISTS "
+            f"(SELECT 1 FROM {parent} p WHERE p.{pcol} = f.{col})")
+
+
+oracle("dq_relationships", " UNION ALL ".join([
+    _dq_row("fct_snapshot", "relationship:company_key", _orphans("company_key", "dim_company", "company_key")),
+    _dq_row("fct_snapshot", "relationship:snapshot_date_key",
+            _orphans("snapshot_date_key", "dim_date", "date_key")),
+    _dq_row("fct_snapshot", "relationship:connected_on_date_key",
+            _orphans("connected_on_date_key", "dim_date", "date_key")),
+]), "fact", "dim_company", "dim_date")
+oracle("dq_freshness", " UNION ALL ".join(
+    f"SELECT {_q(f'freshness_{sev}:ingested_at')} AS \"check\", {_q(sev)} AS severity, "
+    f"CAST(CASE WHEN age > {days} THEN 1 ELSE 0 END AS BIGINT) AS failed_rows, "
+    f"coalesce(age <= {days}, false) AS passed "
+    f"FROM (SELECT date_diff('day', CAST(max(ingested_at) AS DATE), DATE '{TODAY}') AS age "
+    f"FROM raw_snap) a" for sev, days in (("warn", 30), ("error", 90))), "raw_snap")
+oracle("dq_identifiable_share", """
+    SELECT snapshot_ts, total_rows, identifiable_rows,
+      CAST(identifiable_rows AS DOUBLE) / nullif(total_rows, 0) AS identifiable_share,
+      coalesce(CAST(identifiable_rows AS DOUBLE) / nullif(total_rows, 0) < 0.9, false)
+        AS below_threshold
+    FROM (SELECT snapshot_ts, count(*) AS total_rows,
+            CAST(sum(CASE WHEN is_identifiable THEN 1 ELSE 0 END) AS BIGINT) AS identifiable_rows
+          FROM silver GROUP BY snapshot_ts) p""", "silver")
+oracle("dq_volume_anomaly", """
+    SELECT snapshot_ts, connection_count, previous_count,
+      abs(connection_count - previous_count) / nullif(CAST(previous_count AS DOUBLE), 0)
+        AS relative_change,
+      coalesce(abs(connection_count - previous_count)
+               / nullif(CAST(previous_count AS DOUBLE), 0) > 0.5, false) AS is_anomalous
+    FROM (SELECT snapshot_ts, connection_count,
+            lag(connection_count) OVER (ORDER BY snapshot_ts) AS previous_count
+          FROM (SELECT snapshot_ts, count(*) AS connection_count FROM fact GROUP BY 1) a) b""",
+    "fact")
+oracle("dq_one_current", """
+    SELECT 'one_open_version' AS "check", 'error' AS severity, count(*) AS failed_rows,
+      count(*) = 0 AS passed
+    FROM (SELECT connection_id FROM scd2 WHERE valid_to IS NULL GROUP BY 1
+          HAVING count(*) > 1) x""", "scd2")
+oracle("dq_one_batch", """
+    SELECT 'one_batch_per_snapshot' AS "check", 'error' AS severity, count(*) AS failed_rows,
+      count(*) = 0 AS passed
+    FROM (SELECT snapshot_ts FROM raw_snap GROUP BY 1 HAVING count(DISTINCT file_hash) > 1) x""",
+    "raw_snap")
+oracle("dq_fact_orphans", """
+    SELECT 'current_fact_rows_in_dim' AS "check", 'error' AS severity, count(*) AS failed_rows,
+      count(*) = 0 AS passed
+    FROM fact f LEFT JOIN (SELECT DISTINCT connection_id FROM scd2) d
+      ON d.connection_id = f.connection_id
+    WHERE f.snapshot_ts = (SELECT max(snapshot_ts) FROM fact) AND d.connection_id IS NULL""",
+    "fact", "scd2")
+oracle("dq_counts_agree", """
+    SELECT s.snapshot_ts, s.distinct_companies,
+      coalesce(b.n, 0) AS breakdown_company_count, s.distinct_companies = coalesce(b.n, 0) AS agrees
+    FROM stats s LEFT JOIN (SELECT snapshot_ts, count(*) AS n FROM breakdown
+                            WHERE dimension_type = 'company' AND dimension_value <> '(unknown)'
+                            GROUP BY 1) b ON b.snapshot_ts = s.snapshot_ts""", "stats", "breakdown")
+oracle("latest_snapshot", """
+    SELECT * FROM raw_snap WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM raw_snap)""",
+    "raw_snap")
+oracle("ingestion_log", """
+    SELECT snapshot_ts, file_hash, source_object, count(*) AS row_count,
+      max(ingested_at) AS ingested_at
+    FROM raw_snap GROUP BY 1, 2, 3 ORDER BY snapshot_ts DESC""", "raw_snap")
+oracle("silver_clean", """
+    SELECT nullif(trim(url), '') AS connection_id, nullif(trim(first_name), '') AS first_name,
+      nullif(trim(last_name), '') AS last_name, nullif(trim(email_address), '') AS email_address,
+      nullif(trim(company), '') AS company, nullif(trim(position), '') AS position,
+      CAST(try_strptime(trim(connected_on), '%d %b %Y') AS DATE) AS connected_on,
+      nullif(trim(connected_on), '') AS connected_on_raw, snapshot_ts, file_hash, source_object,
+      source_row_number, ingested_at
+    FROM raw_snap""", "raw_snap")
+oracle("silver_dedup", """
+    SELECT connection_id, first_name, last_name, email_address, company, position, connected_on,
+      connected_on_raw, snapshot_ts, file_hash, source_object, source_row_number, ingested_at
+    FROM silver""", "silver")

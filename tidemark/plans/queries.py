@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt_
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -462,3 +463,199 @@ def q_parse_date(spark, sf):
 def q_surrogate(spark, sf):
     return fact_ops.build_fact(silver(spark, sf)).select(
         "connection_id", "snapshot_ts", "connection_snapshot_key")
+
+
+# --- data quality ---------------------------------------------------------------------
+from tidemark.operators import quality as dq  # noqa: E402
+from tidemark.plans.oracles import DATE_REGEX, URL_REGEX  # noqa: E402
+
+BRONZE_COLUMNS = ("first_name", "last_name", "url", "email_address", "company", "position",
+                  "connected_on", "snapshot_ts", "file_hash", "source_object",
+                  "source_row_number", "ingested_at")
+
+
+def bronze_suite() -> list:
+    return [
+        dq.row_count_at_least(1),
+        dq.not_null("file_hash"), dq.not_null("snapshot_ts"), dq.not_null("source_object"),
+        dq.not_null("ingested_at"), dq.length_eq("file_hash", 32),
+        dq.matches("url", URL_REGEX, mostly=0.90),
+        dq.matches("connected_on", DATE_REGEX, mostly=1.0),
+    ]
+
+
+def _tagged(df, table):
+    return df.select(F.lit(table).alias("table"), *df.columns)
+
+
+@query("dq_suite")
+def q_dq_suite(spark, sf):
+    return dq.run_checks(bronze(spark, sf), bronze_suite(), by=["snapshot_ts"])
+
+
+@query("dq_report")
+def q_dq_report(spark, sf):
+    res = dq.run_checks(bronze(spark, sf), bronze_suite(), by=["snapshot_ts"])
+    return dq.suite_report(res, by=["snapshot_ts"])
+
+
+@query("dq_columns")
+def q_dq_columns(spark, sf):
+    return dq.run_checks(bronze(spark, sf), [dq.columns_exact(BRONZE_COLUMNS)])
+
+
+@query("restricted_rows")
+def q_restricted(spark, sf):
+    return dq.restricted_rows(bronze(spark, sf), by=["snapshot_ts"])
+
+
+def _marts(spark, sf):
+    s = silver(spark, sf)
+    d = scd2.replay(s)
+    f = fact_ops.build_fact(s)
+    return s, d, f
+
+
+@query("dq_unique")
+def q_dq_unique(spark, sf):
+    s, d, f = _marts(spark, sf)
+    comp = dims.dim_company(s, d)
+    cal = dims.dim_date(s, TODAY)
+    st = marts.network_stats(fact_ops.fact_with_flow(s), s)
+    b = marts.breakdown(f)
+    parts = [
+        _tagged(dq.run_checks(comp, [dq.unique("company_key")]), "dim_company"),
+        _tagged(dq.run_checks(cal, [dq.unique("date_key"), dq.unique("date_day")]), "dim_date"),
+        _tagged(dq.run_checks(f, [dq.unique("connection_id", "snapshot_ts"),
+                                  dq.unique("connection_snapshot_key")]), "fct_snapshot"),
+        _tagged(dq.run_checks(st, [dq.unique("snapshot_ts")]), "network_stats"),
+        _tagged(dq.run_checks(b, [dq.unique("snapshot_ts", "dimension_type", "dimension_value")]),
+                "breakdown"),
+        _tagged(dq.run_checks(s, [dq.unique("connection_id", "snapshot_ts",
+                                            where=F.col("connection_id").isNotNull())]), "silver"),
+        _tagged(dq.run_checks(d, [dq.unique("scd_id")]), "dim_connection"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("dq_not_null")
+def q_dq_not_null(spark, sf):
+    s, d, f = _marts(spark, sf)
+    comp = dims.dim_company(s, d)
+    return (
+        _tagged(dq.run_checks(f, [dq.not_null("connection_snapshot_key"),
+                                  dq.not_null("connection_id"), dq.not_null("company_key")]),
+                "fct_snapshot")
+        .unionByName(_tagged(dq.run_checks(comp, [dq.not_null("company_key"),
+                                                  dq.not_null("company_name")]), "dim_company"))
+        .unionByName(_tagged(dq.run_checks(s, [
+            dq.not_null("connection_id", where=F.col("is_identifiable")),
+            dq.not_null("company_key"), dq.not_null("connected_on"), dq.not_null("snapshot_ts"),
+            dq.not_null("file_hash"), dq.not_null("is_identifiable")]), "silver"))
+    )
+
+
+@query("dq_accepted_values")
+def q_dq_accepted(spark, sf):
+    s, _, f = _marts(spark, sf)
+    return _tagged(dq.run_checks(marts.breakdown(f), [dq.accepted_values(
+        "dimension_type", [marts.COMPANY, marts.POSITION, marts.YEAR_MONTH])]), "breakdown"
+    ).unionByName(_tagged(dq.run_checks(s, [dq.accepted_values("is_identifiable", [True, False])]),
+                          "silver"))
+
+
+@query("dq_range")
+def q_dq_range(spark, sf):
+    s, d, _ = _marts(spark, sf)
+    st = marts.network_stats(fact_ops.fact_with_flow(s), s)
+    return (
+        _tagged(dq.run_checks(dims.dim_company(s, d), [dq.in_range("current_connection_count", 0)]),
+                "dim_company")
+        .unionByName(_tagged(dq.run_checks(st, [dq.in_range("total_connections", 0)]),
+                             "network_stats"))
+        .unionByName(_tagged(dq.run_checks(s, [dq.in_range(
+            "connected_on", dt_.date(2003, 5, 5), dt_.date.fromisoformat(TODAY), severity=dq.WARN)]),
+            "silver"))
+    )
+
+
+@query("dq_relationships")
+def q_dq_rel(spark, sf):
+    s, d, f = _marts(spark, sf)
+    comp, cal = dims.dim_company(s, d), dims.dim_date(s, TODAY)
+    return _tagged(dq.run_checks(f, [
+        dq.relationship("company_key", comp, "company_key"),
+        dq.relationship("snapshot_date_key", cal, "date_key"),
+        dq.relationship("connected_on_date_key", cal, "date_key"),
+    ]), "fct_snapshot")
+
+
+@query("dq_freshness")
+def q_dq_fresh(spark, sf):
+    return dq.run_checks(bronze(spark, sf), [
+        dq.freshness("ingested_at", TODAY, 30, dq.WARN),
+        dq.freshness("ingested_at", TODAY, 90, dq.ERROR),
+    ])
+
+
+@query("dq_identifiable_share")
+def q_dq_share(spark, sf):
+    return dq.identifiable_share(silver(spark, sf), 0.90)
+
+
+@query("dq_volume_anomaly")
+def q_dq_volume(spark, sf):
+    return dq.volume_anomaly(fact_ops.build_fact(silver(spark, sf)), 0.5)
+
+
+@query("dq_one_current")
+def q_dq_one_current(spark, sf):
+    check = dq.Check("one_open_version", failures=dq.one_open_version)
+    return dq.run_checks(dim(spark, sf), [check])
+
+
+@query("dq_one_batch")
+def q_dq_one_batch(spark, sf):
+    check = dq.Check("one_batch_per_snapshot", failures=dq.one_batch_per_snapshot)
+    return dq.run_checks(bronze(spark, sf), [check])
+
+
+@query("dq_fact_orphans")
+def q_dq_orphans(spark, sf):
+    s, d, f = _marts(spark, sf)
+    check = dq.Check("current_fact_rows_in_dim", failures=lambda x: dq.fact_orphans(x, d))
+    return dq.run_checks(f, [check])
+
+
+@query("dq_counts_agree")
+def q_dq_counts(spark, sf):
+    s = silver(spark, sf)
+    st = marts.network_stats(fact_ops.fact_with_flow(s), s)
+    return dq.counts_agree(st, marts.breakdown(fact_ops.build_fact(s)))
+
+
+# --- bronze readers ----------------------------------------------------------------------
+from tidemark.sources import bronze as bronze_src  # noqa: E402
+
+
+@query("latest_snapshot")
+def q_latest(spark, sf):
+    return bronze_src.latest_snapshot(bronze(spark, sf))
+
+
+@query("ingestion_log")
+def q_ingestion_log(spark, sf):
+    return bronze_src.ingestion_log(bronze(spark, sf))
+
+
+@query("silver_clean")
+def q_silver_clean(spark, sf):
+    return silver_ops.clean(bronze(spark, sf))
+
+
+@query("silver_dedup")
+def q_silver_dedup(spark, sf):
+    return silver_ops.dedup(silver_ops.clean(bronze(spark, sf)))

@@ -32,6 +32,8 @@ TITLES: tuple[str | None, ...] = (
     "Network Engineer", "Talent Acquisition Partner", "", None,
 )
 LANDING_PREFIX = "raw/connections"
+#: The adapter's profile URLs (the data-quality URL check takes the pattern).
+ADAPTER_URL_REGEX = r"^https://example\.com/in/[^\s]+$"
 DAY_ORIGIN = "2024-01-01"
 CONNECTED_ORIGIN = "2020-01-01"
 # --- end of fixed values -----------------------------------------------------
