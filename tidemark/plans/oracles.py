@@ -879,3 +879,65 @@ oracle("silver_dedup", """
     SELECT connection_id, first_name, last_name, email_address, company, position, connected_on,
       connected_on_raw, snapshot_ts, file_hash, source_object, source_row_number, ingested_at
     FROM silver""", "silver")
+
+# --- landing zone / ingest --------------------------------------------------------------
+_KEY_RX = r"^(.*/)?(\d{8}T\d{6}Z)_([0-9a-f]{8})\.csv$"
+oracle("parse_key", f"""
+    SELECT key, regexp_matches(key, {_q(_KEY_RX)}) AS is_valid,
+      CASE WHEN regexp_matches(key, {_q(_KEY_RX)})
+           THEN try_strptime(regexp_extract(key, {_q(_KEY_RX)}, 2), '%Y%m%dT%H%M%SZ') END
+        AS snapshot_ts,
+      CASE WHEN regexp_matches(key, {_q(_KEY_RX)}) THEN regexp_extract(key, {_q(_KEY_RX)}, 3) END
+        AS hash8,
+      CASE WHEN regexp_matches(key, {_q(_KEY_RX)}) THEN regexp_extract(key, {_q(_KEY_RX)}, 1) END
+        AS prefix
+    FROM (SELECT DISTINCT source_object AS key FROM raw_snap
+          UNION ALL SELECT DISTINCT upper(source_object) FROM raw_snap) k""", "raw_snap")
+oracle("build_key", f"""
+    SELECT DISTINCT snapshot_ts, file_hash,
+      '{LANDING_PREFIX}/' || strftime(snapshot_ts, '%Y%m%dT%H%M%SZ') || '_' || substr(file_hash, 1, 8)
+        || '.csv' AS key
+    FROM raw_snap""", "raw_snap")
+oracle("content_hash", """
+    SELECT snapshot_ts, source_row_number,
+      md5(concat_ws(chr(31), coalesce(first_name, ''), coalesce(last_name, ''), coalesce(url, ''),
+        coalesce(email_address, ''), coalesce(company, ''), coalesce(position, ''),
+        coalesce(connected_on, ''))) AS row_hash
+    FROM raw_snap""", "raw_snap")
+oracle("pending_objects", """
+    SELECT DISTINCT l.source_object AS key, l.snapshot_ts, substr(l.file_hash, 1, 8) AS hash8
+    FROM raw_snap l
+    WHERE substr(l.file_hash, 1, 8) NOT IN (
+      SELECT substr(file_hash, 1, 8) FROM raw_snap
+      WHERE snapshot_ts < (SELECT max(snapshot_ts) FROM raw_snap))""", "raw_snap")
+oracle("notification_keys", """
+    SELECT DISTINCT source_object, source_object AS key FROM raw_snap""", "raw_snap")
+oracle("landing_inventory", """
+    SELECT DISTINCT snapshot_ts, true AS is_valid, false AS in_bronze FROM raw_snap""", "raw_snap")
+oracle("parse_exports", """
+    SELECT snapshot_ts, source_row_number,
+      coalesce(first_name, '') AS first_name, coalesce(last_name, '') AS last_name,
+      coalesce(url, '') AS url, coalesce(email_address, '') AS email_address,
+      coalesce(company, '') AS company, coalesce(position, '') AS position,
+      coalesce(connected_on, '') AS connected_on
+    FROM raw_snap""", "raw_snap")
+oracle("header_check", """
+    SELECT DISTINCT snapshot_ts, CAST([] AS VARCHAR[]) AS missing_columns,
+      CAST([] AS VARCHAR[]) AS unexpected_columns, true AS is_valid FROM raw_snap""", "raw_snap")
+oracle("validate_exports", """
+    SELECT snapshot_ts, count(*) AS row_count, 3 AS header_line_index,
+      CAST(NULL AS VARCHAR) AS error, true AS is_duplicate
+    FROM raw_snap GROUP BY snapshot_ts""", "raw_snap")
+oracle("hash_mismatch", """
+    SELECT DISTINCT snapshot_ts, 'hash_mismatch' AS status FROM raw_snap""", "raw_snap")
+oracle("bronze_append", """
+    SELECT snapshot_ts, count(*) AS rows FROM raw_snap GROUP BY snapshot_ts""", "raw_snap")
+oracle("ingest_report", """
+    SELECT count(DISTINCT snapshot_ts) AS objects_scanned,
+      count(DISTINCT snapshot_ts) AS objects_ingested, CAST(0 AS BIGINT) AS objects_skipped_duplicate,
+      CAST(0 AS BIGINT) AS objects_rejected, count(*) AS rows_ingested FROM raw_snap""", "raw_snap")
+oracle("ingest_batch", """
+    SELECT snapshot_ts, 'ingested' AS status, count(*) AS rows_ingested
+    FROM raw_snap GROUP BY snapshot_ts""", "raw_snap")
+oracle("stream_ingest", ORACLES["ingest_batch"])
+oracle("late_snapshot", "SELECT * FROM stats", "stats")

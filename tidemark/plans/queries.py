@@ -659,3 +659,208 @@ def q_silver_clean(spark, sf):
 @query("silver_dedup")
 def q_silver_dedup(spark, sf):
     return silver_ops.dedup(silver_ops.clean(bronze(spark, sf)))
+
+
+# --- landing zone, ingest, streaming, pipeline ----------------------------------------------
+import uuid  # noqa: E402
+
+from tidemark.functions import keys as keyfn  # noqa: E402
+from tidemark.plans import pipeline  # noqa: E402
+from tidemark.session import table_path  # noqa: E402
+from tidemark.sources import exports as exp  # noqa: E402
+from tidemark.sources import landing  # noqa: E402
+from tidemark.sources.adapters import ADAPTER_URL_REGEX, LANDING_PREFIX  # noqa: E402
+from tidemark.streaming import ingest as stream_ingest  # noqa: E402
+from tidemark.streaming import notifications  # noqa: E402
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint dir (never machine-local on a cluster)."""
+    return table_path(spark, f"scratch/{name}-{uuid.uuid4().hex[:12]}")
+
+
+def landed(spark, sf, name: str, rows=None) -> str:
+    """Render the adapter's exports as files and land them under content-hash keys."""
+    root = scratch(spark, name)
+    landing.write_exports(bronze(spark, sf) if rows is None else rows, f"{root}/staging")
+    landing.land_exports(spark, f"{root}/staging", f"{root}/landing", LANDING_PREFIX)
+    return root
+
+
+def exports_listing(spark, sf):
+    """Landing-object metadata derived from the adapter's export keys."""
+    keys = bronze(spark, sf).select("source_object", "snapshot_ts", "file_hash").distinct()
+    k = F.col("source_object")
+    return keys.select(k.alias("key"), keyfn.key_snapshot_ts(k).alias("key_snapshot_ts"),
+                       keyfn.key_hash8(k).alias("hash8"), keyfn.key_is_valid(k).alias("is_valid"),
+                       "snapshot_ts", "file_hash")
+
+
+@query("parse_key")
+def q_parse_key(spark, sf):
+    keys = bronze(spark, sf).select(F.col("source_object").alias("key")).distinct()
+    keys = keys.unionByName(keys.select(F.upper("key").alias("key")))
+    k = F.col("key")
+    return keys.select("key", keyfn.key_is_valid(k).alias("is_valid"),
+                       keyfn.key_snapshot_ts(k).alias("snapshot_ts"),
+                       keyfn.key_hash8(k).alias("hash8"), keyfn.key_prefix(k).alias("prefix"))
+
+
+@query("build_key")
+def q_build_key(spark, sf):
+    pairs = bronze(spark, sf).select("snapshot_ts", "file_hash").distinct()
+    return pairs.withColumn("key", keyfn.build_object_key(LANDING_PREFIX, F.col("snapshot_ts"),
+                                                          F.col("file_hash")))
+
+
+@query("content_hash")
+def q_content_hash(spark, sf):
+    b = bronze(spark, sf)
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in exp.ROW_COLUMNS]
+    return b.select("snapshot_ts", "source_row_number",
+                    F.md5(F.concat_ws("\x1f", *parts)).alias("row_hash"))
+
+
+@query("pending_objects")
+def q_pending(spark, sf):
+    listing = exports_listing(spark, sf)
+    newest = listing.agg(F.max("snapshot_ts")).scalar()
+    ingested = listing.filter(F.col("snapshot_ts") < newest).select("file_hash")
+    return landing.pending_objects(listing, ingested).select("key", "snapshot_ts", "hash8")
+
+
+@query("notification_keys")
+def q_notifications(spark, sf):
+    exports = bronze(spark, sf).select("source_object").distinct()
+    payloads = notifications.payloads_for_exports(exports)
+    return notifications.notification_keys(payloads, LANDING_PREFIX, keep=("source_object",))
+
+
+@query("landing_inventory")
+def q_inventory(spark, sf):
+    root = landed(spark, sf, "inventory")
+    inv = landing.inventory(landing.list_landing(spark, f"{root}/landing"),
+                            bz_read(spark, f"{root}/bronze"))
+    return inv.select("snapshot_ts", "is_valid", "in_bronze")
+
+
+def bz_read(spark, path):
+    from tidemark.sources import bronze as bz
+    return bz.read_bronze(spark, path)
+
+
+@query("parse_exports")
+def q_parse_exports(spark, sf):
+    root = landed(spark, sf, "parse")
+    files = landing.read_contents(spark, landing.list_landing(spark, f"{root}/landing"))
+    parsed = exp.parse_exports(files).join(files.select("path", "snapshot_ts"), "path")
+    return parsed.select("snapshot_ts", "source_row_number", *exp.ROW_COLUMNS)
+
+
+@query("header_check")
+def q_header_check(spark, sf):
+    root = landed(spark, sf, "headers")
+    files = landing.read_contents(spark, landing.list_landing(spark, f"{root}/landing"))
+    lines = F.split(F.decode("content", "UTF-8"), "\r?\n")
+    norm = lambda x: F.regexp_replace(F.lower(x), r'\s*,\s*|"', ",")
+    header = F.filter(lines, lambda x: F.regexp_replace(norm(x), ",+", ",")
+                      .startswith(exp.HEADER_MARKER))[0]
+    cols = F.transform(F.split(header, ","), lambda x: F.trim(F.regexp_replace(x, '"', "")))
+    heads = files.select("snapshot_ts", cols.alias("header"))
+    return exp.header_check(heads).select("snapshot_ts", "missing_columns", "unexpected_columns",
+                                          "is_valid")
+
+
+@query("validate_exports")
+def q_validate(spark, sf):
+    root = landed(spark, sf, "validate")
+    landing.ingest(spark, f"{root}/landing", f"{root}/bronze", ingested_at=TODAY)
+    files = landing.read_contents(spark, landing.list_landing(spark, f"{root}/landing"))
+    parsed = exp.parse_exports(files)
+    per = parsed.groupBy("path").agg(F.count("source_row_number").alias("row_count"),
+                                     F.max("header_line_index").alias("header_line_index"),
+                                     F.max("error").alias("error"))
+    hashes = bz_read(spark, f"{root}/bronze").select("file_hash").distinct() \
+        .withColumn("is_duplicate", F.lit(True))
+    out = (files.select("path", "snapshot_ts", F.md5("content").alias("file_hash"))
+           .join(per, "path").join(hashes, "file_hash", "left"))
+    return out.select("snapshot_ts", "row_count", "header_line_index", "error",
+                      F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
+
+
+@query("hash_mismatch")
+def q_hash_mismatch(spark, sf):
+    root = landed(spark, sf, "tamper")
+    listing = landing.list_landing(spark, f"{root}/landing")
+    files = landing.read_contents(spark, listing).withColumn("hash8", F.reverse("hash8"))
+    empty = spark.createDataFrame([], "file_hash string")
+    return landing.classify_files(files, empty).select("snapshot_ts", "status")
+
+
+@query("bronze_append")
+def q_bronze_append(spark, sf):
+    root = landed(spark, sf, "append")
+    landing.ingest(spark, f"{root}/landing", f"{root}/bronze", ingested_at=TODAY)
+    return bz_read(spark, f"{root}/bronze").groupBy("snapshot_ts").agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+@query("ingest_report")
+def q_ingest_report(spark, sf):
+    root = landed(spark, sf, "report")
+    return landing.ingest_report(landing.ingest(spark, f"{root}/landing", f"{root}/bronze",
+                                                ingested_at=TODAY))
+
+
+@query("ingest_batch")
+def q_ingest_batch(spark, sf):
+    """Two runs over the same landing zone: the second adds nothing."""
+    root = landed(spark, sf, "batch")
+    first = landing.ingest(spark, f"{root}/landing", f"{root}/bronze", ingested_at=TODAY)
+    first = first.checkpoint(eager=True)
+    second = landing.ingest(spark, f"{root}/landing", f"{root}/bronze", ingested_at=TODAY)
+    return first.unionByName(second).select("snapshot_ts", "status", "rows_ingested")
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, sf):
+    """availableNow stream run twice: the redundant second trigger is a no-op."""
+    root = landed(spark, sf, "stream")
+    args = (spark, f"{root}/landing", f"{root}/bronze", f"{root}/_stream_ckpt", f"{root}/results")
+    stream_ingest.run_available_now(*args, ingested_at=TODAY)
+    res = stream_ingest.run_available_now(*args, ingested_at=TODAY)
+    return res.select("snapshot_ts", "status", "rows_ingested")
+
+
+@query("late_snapshot")
+def q_late(spark, sf):
+    """The oldest export arrives after the others; the marts are rebuilt from
+    all of Silver and equal an in-order build."""
+    rows = bronze(spark, sf)
+    oldest = rows.agg(F.min("snapshot_ts")).scalar()
+    root = scratch(spark, "late")
+    wh = f"{root}/warehouse"
+    landing.write_exports(rows.filter(F.col("snapshot_ts") != oldest), f"{root}/staging1")
+    landing.land_exports(spark, f"{root}/staging1", f"{root}/landing", LANDING_PREFIX)
+    pipeline.run(spark, f"{root}/landing", wh, today=TODAY, url_regex=ADAPTER_URL_REGEX,
+                 ingested_at=TODAY, fail_on_quality=False)
+    landing.write_exports(rows.filter(F.col("snapshot_ts") == oldest), f"{root}/staging2")
+    landing.land_exports(spark, f"{root}/staging2", f"{root}/landing", LANDING_PREFIX)
+    pipeline.run(spark, f"{root}/landing", wh, today=TODAY, url_regex=ADAPTER_URL_REGEX,
+                 ingested_at=TODAY, fail_on_quality=False)
+    from tidemark.sources import tables
+    return tables.read_table(spark, wh, "mart_network_stats")
+
+
+@query("pipeline_run")
+def q_pipeline(spark, sf):
+    root = landed(spark, sf, "pipeline")
+    return pipeline.run(spark, f"{root}/landing", f"{root}/warehouse", today=TODAY,
+                        url_regex=ADAPTER_URL_REGEX, ingested_at=TODAY, fail_on_quality=False)
+
+
+@query("export_shortlist")
+def q_export(spark, sf):
+    path = scratch(spark, "shortlist")
+    search.export_csv(search.shortlist(scoring.rank(scored(spark, sf))), path)
+    return spark.read.option("header", True).csv(path)
