@@ -178,3 +178,20 @@ def test_streaming_is_exactly_once_by_content(spark, tmp_path):
     statuses = sorted(r["status"] for r in res.collect())
     assert statuses == ["ingested", "ingested", "skipped_duplicate"]
     assert bz.read_bronze(spark, f"{tmp_path}/bronze").count() == 23
+
+
+def test_dedup_keeps_the_first_row_and_every_unidentified_row(spark):
+    from tidemark.operators import silver
+    rows = [
+        ("u1", "Zed", "A", 1), ("u1", "Amy", "B", 2), (None, "X", "C", 3), (None, "Y", "D", 4),
+        ("u2", "Bob", "E", 5),
+    ]
+    df = spark.createDataFrame(
+        [(u, f, None, None, c, None, "04 Feb 2025", dt.datetime(2026, 1, 1), "h", "k", n,
+          dt.datetime(2026, 1, 1)) for u, f, c, n in rows],
+        "url string, first_name string, last_name string, email_address string, company string, "
+        "position string, connected_on string, snapshot_ts timestamp, file_hash string, "
+        "source_object string, source_row_number int, ingested_at timestamp")
+    out = silver.build_silver(df).collect()
+    got = sorted((r["connection_id"] or "-", r["first_name"]) for r in out)
+    assert got == [("-", "X"), ("-", "Y"), ("u1", "Zed"), ("u2", "Bob")]

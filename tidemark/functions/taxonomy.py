@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import col_, trim_ws
+from tidemark.functions.text import col_
 
 # ---------------------------------------------------------------------------
 # Role tags (multi-label) in taxonomy order, each with its
@@ -112,24 +112,19 @@ def keyword_regex(keywords: tuple[str, ...] | list[str], *, unicode: bool = True
     return flags + r"\b(?:" + "|".join(re.escape(k) for k in keywords) + r")\b"
 
 
-def _text(c: str | Column) -> Column:
-    return trim_ws(col_(c))
-
-
-def has_text(c: str | Column) -> Column:
-    return F.coalesce(_text(c), F.lit("")) != ""
-
-
 def matches_any(c: str | Column, keywords) -> Column:
-    """Null-safe: false for a null or blank title."""
-    return has_text(c) & F.coalesce(_text(c).rlike(keyword_regex(tuple(keywords))), F.lit(False))
+    """Null-safe word match: false for a null title.
+
+    No trimming is needed: surrounding blanks never change a word-boundary
+    match, and an all-blank title matches no keyword.
+    """
+    return F.coalesce(col_(c).rlike(keyword_regex(tuple(keywords))), F.lit(False))
 
 
 def tag_predicates(c: str | Column) -> dict[str, Column]:
     preds = {tag: matches_any(c, kws) for tag, kws in TAG_KEYWORDS}
-    preds[EXECUTIVE] = preds[EXECUTIVE] | (
-        has_text(c) & F.coalesce(_text(c).rlike("(?iU)" + C_LEVEL_PATTERN), F.lit(False))
-    )
+    c_level = F.coalesce(col_(c).rlike("(?iU)" + C_LEVEL_PATTERN), F.lit(False))
+    preds[EXECUTIVE] = preds[EXECUTIVE] | c_level
     return preds
 
 
@@ -161,6 +156,4 @@ def leads(tags: str | Column) -> Column:
 def seniority(position: str | Column, tags: str | Column | None = None) -> Column:
     """Leadership/executive tag, or a senior/sr/staff/expert/principal/lead word."""
     t = role_tags(position) if tags is None else col_(tags)
-    raw = col_(position)
-    word = F.coalesce(raw.rlike(keyword_regex(SENIORITY_WORDS)), F.lit(False))
-    return F.coalesce(raw.isNotNull() & (raw != ""), F.lit(False)) & (leads(t) | word)
+    return leads(t) | matches_any(position, SENIORITY_WORDS)

@@ -40,7 +40,7 @@ def row_number_in_groups(
     local = Window.partitionBy(*group_cols, "_rn_bucket").orderBy(order_col)
     numbered = keyed.withColumn("_rn_local", F.row_number().over(local))
     return (
-        numbered.join(offsets, [*group_cols, "_rn_bucket"], "inner")
+        numbered.join(offsets, [*group_cols, "_rn_bucket"], "left")
         .withColumn(out_col, (F.col("_rn_off") + F.col("_rn_local")).cast("int"))
         .drop("_rn_bucket", "_rn_local", "_rn_off")
     )

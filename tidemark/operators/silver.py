@@ -49,21 +49,26 @@ def clean(bronze: DataFrame) -> DataFrame:
 def dedup(cleaned: DataFrame) -> DataFrame:
     """Keep the first row (by source row number) of each (export, entity).
 
-    Rows without an identity are all kept and never enter the shuffle: they
-    would otherwise share one null key and pile into a single task. The
-    identified rows go through a partial (map-side) aggregation, so an entity
-    repeated millions of times in one export is collapsed per map task before
-    anything crosses the network.
+    One partial (map-side) aggregation: an entity copied millions of times in
+    one export is collapsed per map task before anything crosses the network.
+    Rows without an identity must all be kept; instead of sharing one null
+    key (one hot task) each gets its own salted key — its file and row
+    position — so they spread over every reducer and pass through as groups
+    of one. No union, so the upstream scan runs once.
     """
-    rest = [c for c in _CLEAN_COLUMNS if c not in ("snapshot_ts", "connection_id")]
+    # the struct orders by its first fields: source row number, then object key
+    lead = ["source_row_number", "source_object"]
+    rest = lead + [c for c in _CLEAN_COLUMNS if c not in ("snapshot_ts", *lead)]
+    key = F.coalesce(
+        F.concat(F.lit("i:"), F.col("connection_id")),
+        F.concat(F.lit("n:"), F.coalesce(F.col("file_hash"), F.lit("")), F.lit(":"),
+                 F.col("source_row_number").cast("string")),
+    )
     firsts = (
-        cleaned.filter(F.col("connection_id").isNotNull())
-        .groupBy("snapshot_ts", "connection_id")
+        cleaned.groupBy("snapshot_ts", key.alias("_dedup_key"))
         .agg(F.min(F.struct(*rest)).alias("_first"))
-        .select("snapshot_ts", "connection_id", "_first.*")
     )
-    anonymous = cleaned.filter(F.col("connection_id").isNull())
-    return firsts.unionByName(anonymous.select(*firsts.columns))
+    return firsts.select("snapshot_ts", "_first.*").select(*_CLEAN_COLUMNS)
 
 
 def derive(deduped: DataFrame) -> DataFrame:
