@@ -53,20 +53,21 @@ FOLD_EXCEPTIONS_TO = "dDd"
 
 
 @lru_cache(maxsize=1)
-def _decomposition_map() -> tuple[str, str, str]:
-    """(from, to, mark-class) generated from the Unicode database.
-
-    Every BMP code point whose canonical decomposition is a single base
-    character followed only by combining marks maps to that base; the mark
-    class lists every code point with a non-zero canonical combining class.
-    Generated by rule at import time, so it follows the running Python's
-    Unicode version instead of a hand-written table.
+def _decomposition_map() -> tuple[str, str]:
+    """(from, to) for one ``translate`` pass, generated from the Unicode database.
+
+    Every code point whose canonical decomposition is a single base character
+    followed only by combining marks maps to that base; every code point with
+    a non-zero canonical combining class is listed in ``from`` after the
+    mapped ones with no counterpart in ``to``, which makes ``translate`` delete
+    it. Generated by rule at import time from the running Python's Unicode
+    version instead of a hand-written table.
     """
     src, dst, marks = [], [], []
-    for cp in range(0x80, 0x10000):
+    for cp in range(0x80, 0x30000):
         ch = chr(cp)
         if unicodedata.combining(ch):
-            marks.append(cp)
+            marks.append(ch)
             continue
         if ch in FOLD_EXCEPTIONS_FROM:
             continue
@@ -76,36 +77,21 @@ def _decomposition_map() -> tuple[str, str, str]:
             if len(base) == 1 and base != ch:
                 src.append(ch)
                 dst.append(base)
-    ranges, start, prev = [], None, None
-    for cp in marks:
-        if start is None:
-            start = prev = cp
-        elif cp == prev + 1:
-            prev = cp
-        else:
-            ranges.append((start, prev))
-            start = prev = cp
-    if start is not None:
-        ranges.append((start, prev))
-    cls = "".join(
-        f"\\x{{{a:04X}}}" if a == b else f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in ranges
-    )
-    return "".join(src), "".join(dst), f"[{cls}]"
+    return "".join(src) + "".join(marks), "".join(dst)
 
 
 def fold_accents(c: str | Column) -> Column:
     """Accent-blind, case-blind form of a string ('' for null).
 
-    đ/Đ/ð map to d, precomposed letters lose their marks, stray combining
-    marks are dropped, then the text is case-folded (lower-case plus the
+    đ/Đ/ð map to d; precomposed letters lose their marks and stray combining
+    marks are dropped (one ``translate`` pass: a character-to-character map
+    plus deletions); then the text is case-folded (lower-case plus the
     sharp-s expansion that case folding adds).
     """
-    src, dst, marks = _decomposition_map()
+    src, dst = _decomposition_map()
     x = F.translate(F.coalesce(col_(c), F.lit("")), FOLD_EXCEPTIONS_FROM, FOLD_EXCEPTIONS_TO)
-    x = F.translate(x, src, dst)
-    x = F.regexp_replace(x, marks, "")
-    x = F.lower(x)
-    return F.regexp_replace(x, "ß", "ss")
+    x = F.lower(F.translate(x, src, dst))
+    return F.replace(x, F.lit("ß"), F.lit("ss"))
 
 
 def contains_folded(haystack: str | Column, needle: str) -> Column:
