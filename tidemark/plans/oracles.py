@@ -941,3 +941,25 @@ oracle("ingest_batch", """
     FROM raw_snap GROUP BY snapshot_ts""", "raw_snap")
 oracle("stream_ingest", ORACLES["ingest_batch"])
 oracle("late_snapshot", "SELECT * FROM stats", "stats")
+
+# --- the orders adapter: the same chain over quarterly customer exports ----------------
+import re as _re  # noqa: E402
+
+_ORDERS_RENAME = {"raw_snap": "raw_snap_orders", "silver": "silver_orders", "ident": "ident_o",
+                  "seq": "seq_o", "fact": "fact_o", "stats": "stats_o", "scd_flags": "scd_flags_o",
+                  "scd_islands": "scd_islands_o", "scd2": "scd2_o", "breakdown": "breakdown_o"}
+
+
+def _renamed(sql: str) -> str:
+    return _re.sub(r"\b(" + "|".join(_ORDERS_RENAME) + r")\b",
+                   lambda m: _ORDERS_RENAME[m.group(1)], sql)
+
+
+for _name in ("ident", "seq", "fact", "stats", "scd_flags", "scd_islands", "scd2", "breakdown"):
+    _sql, _deps = CTES[_name]
+    cte(_ORDERS_RENAME[_name], _renamed(_sql), *[_ORDERS_RENAME.get(d, d) for d in _deps])
+
+oracle("orders_silver", "SELECT * FROM silver_orders", "silver_orders")
+oracle("orders_network_stats", "SELECT * FROM stats_o", "stats_o")
+oracle("orders_scd2_replay", "SELECT * FROM scd2_o", "scd2_o")
+oracle("orders_breakdown", "SELECT * FROM breakdown_o", "breakdown_o")

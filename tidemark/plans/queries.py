@@ -864,3 +864,29 @@ def q_export(spark, sf):
     path = scratch(spark, "shortlist")
     search.export_csv(search.shortlist(scoring.rank(scored(spark, sf))), path)
     return spark.read.option("header", True).csv(path)
+
+
+# --- the orders adapter: quarterly customer exports ---------------------------------------
+def orders_silver(spark, sf):
+    return silver_ops.build_silver(adapters.raw_snap_orders(spark, sf))
+
+
+@query("orders_silver")
+def q_orders_silver(spark, sf):
+    return orders_silver(spark, sf)
+
+
+@query("orders_network_stats")
+def q_orders_stats(spark, sf):
+    s = orders_silver(spark, sf)
+    return marts.network_stats(fact_ops.fact_with_flow(s), s)
+
+
+@query("orders_scd2_replay")
+def q_orders_replay(spark, sf):
+    return scd2.replay(orders_silver(spark, sf))
+
+
+@query("orders_breakdown")
+def q_orders_breakdown(spark, sf):
+    return marts.breakdown(fact_ops.build_fact(orders_silver(spark, sf)))
