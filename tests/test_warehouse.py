@@ -195,3 +195,13 @@ def test_dedup_keeps_the_first_row_and_every_unidentified_row(spark):
     out = silver.build_silver(df).collect()
     got = sorted((r["connection_id"] or "-", r["first_name"]) for r in out)
     assert got == [("-", "X"), ("-", "Y"), ("u1", "Zed"), ("u2", "Bob")]
+
+
+def test_two_files_with_the_same_time_both_survive(spark, tmp_path):
+    from conftest import EXPORT_V2
+    lz, bronze = f"{tmp_path}/landing", f"{tmp_path}/bronze"
+    put(lz, KEY_TS_V1, EXPORT_V1)
+    landing.ingest(spark, lz, bronze)
+    put(lz, KEY_TS_V1, EXPORT_V2)  # same stamp, different content, separate run
+    landing.ingest(spark, lz, bronze)
+    assert bz.read_bronze(spark, bronze).count() == 23

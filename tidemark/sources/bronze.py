@@ -1,7 +1,7 @@
 """Bronze table: append-only rows of every ingested export.
 
-Stored as Parquet partitioned by ``snapshot_ts``; readers that want one
-export filter on the partition column (partition pruning), and the newest
+Stored as Parquet partitioned by (``snapshot_ts``, ``file_hash``); readers
+that want one export filter on the partition column (partition pruning), and the newest
 export is selected through a scalar subquery on ``max(snapshot_ts)``.
 """
 
@@ -56,12 +56,14 @@ def ingested_hashes(bronze: DataFrame) -> DataFrame:
 
 
 def append_bronze(rows: DataFrame, path: str) -> None:
-    """Write a batch of parsed rows, replacing only the exports it contains.
+    """Write a batch of parsed rows, replacing only the files it contains.
 
-    Dynamic partition overwrite makes the write idempotent per export: a
-    replayed batch (a retried task, a re-run stream batch) rewrites the same
-    ``snapshot_ts`` partitions instead of duplicating them.
+    Partitions are (``snapshot_ts``, ``file_hash``) and the overwrite is
+    dynamic, so the write is idempotent per file: a replayed batch (a retried
+    task, a re-run stream batch) rewrites exactly its own partitions, and two
+    different files stamped with the same time never overwrite each other.
     """
     spark = rows.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    rows.select(*BRONZE_COLUMNS).write.mode("overwrite").partitionBy("snapshot_ts").parquet(path)
+    (rows.select(*BRONZE_COLUMNS).write.mode("overwrite")
+     .partitionBy("snapshot_ts", "file_hash").parquet(path))
