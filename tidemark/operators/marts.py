@@ -82,12 +82,8 @@ def company_labels(fact: DataFrame) -> DataFrame:
     )
 
 
-def breakdown(fact: DataFrame) -> DataFrame:
-    """Tidy (export, dimension, value) counts with rank and share of the export.
-
-    The rank/share window runs over already-aggregated distributions (one row
-    per distinct value per export), never over raw rows.
-    """
+def _by_union(fact: DataFrame) -> DataFrame:
+    """Three aggregations over the fact, one per dimension, unioned."""
     companies = company_labels(fact).select(
         "snapshot_ts", F.lit(COMPANY).alias("dimension_type"),
         F.col("company_label").alias("dimension_value"), "connection_count",
@@ -104,7 +100,49 @@ def breakdown(fact: DataFrame) -> DataFrame:
         "snapshot_ts", F.lit(YEAR_MONTH).alias("dimension_type"), "dimension_value",
         "connection_count",
     )
-    combined = companies.unionByName(positions).unionByName(months)
+    return companies.unionByName(positions).unionByName(months)
+
+
+def _by_grouping_sets(fact: DataFrame) -> DataFrame:
+    """All three dimensions in ONE aggregation pass (GROUPING SETS): the fact
+    is read and shuffled once; only the small company-label table gets a
+    second (label election) aggregation."""
+    base = fact.select(
+        "snapshot_ts", "company_key", "company_label",
+        F.coalesce("position", F.lit(UNKNOWN_LABEL)).alias("pos"),
+        F.date_format("connected_on", "yyyy-MM").alias("ym"),
+    )
+    keys = ["snapshot_ts", "company_key", "company_label", "pos", "ym"]
+    sets = [["snapshot_ts", "company_key", "company_label"], ["snapshot_ts", "pos"],
+            ["snapshot_ts", "ym"]]
+    g = base.groupingSets(sets, *keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_gid"))
+    # grouping_id bits follow ``keys``; a set bit means "not grouped by"
+    gid = {COMPANY: 0b00011, POSITION: 0b01101, YEAR_MONTH: 0b01110}
+    vote = F.struct((-F.col("_n")).alias("n"), F.col("company_label").alias("l"))
+    companies = g.filter(F.col("_gid") == gid[COMPANY]).groupBy("snapshot_ts", "company_key").agg(
+        F.min_by("company_label", vote).alias("dimension_value"),
+        F.sum("_n").alias("connection_count"),
+    ).select("snapshot_ts", F.lit(COMPANY).alias("dimension_type"), "dimension_value",
+             "connection_count")
+    positions = g.filter(F.col("_gid") == gid[POSITION]).select(
+        "snapshot_ts", F.lit(POSITION).alias("dimension_type"),
+        F.col("pos").alias("dimension_value"), F.col("_n").alias("connection_count"))
+    months = g.filter(F.col("_gid") == gid[YEAR_MONTH]).select(
+        "snapshot_ts", F.lit(YEAR_MONTH).alias("dimension_type"),
+        F.col("ym").alias("dimension_value"), F.col("_n").alias("connection_count"))
+    return companies.unionByName(positions).unionByName(months)
+
+
+def breakdown(fact: DataFrame, method: str = "grouping_sets") -> DataFrame:
+    """Tidy (export, dimension, value) counts with rank and share of the export.
+
+    ``method='union'`` aggregates each dimension separately; ``'grouping_sets'``
+    does all of them in one pass. The rank/share window runs over the
+    already-aggregated distributions (one row per distinct value per export),
+    never over raw rows.
+    """
+    combined = _by_union(fact) if method == "union" else _by_grouping_sets(fact)
     part = Window.partitionBy("snapshot_ts", "dimension_type")
     ranked = part.orderBy(F.desc("connection_count"), F.asc_nulls_last("dimension_value"))
     return combined.select(

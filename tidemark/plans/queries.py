@@ -890,3 +890,9 @@ def q_orders_replay(spark, sf):
 @query("orders_breakdown")
 def q_orders_breakdown(spark, sf):
     return marts.breakdown(fact_ops.build_fact(orders_silver(spark, sf)))
+
+
+@query("breakdown_union")
+def q_breakdown_union(spark, sf):
+    """The three-branch union shape (one aggregation per dimension)."""
+    return marts.breakdown(fact_ops.build_fact(silver(spark, sf)), method="union")
