@@ -22,46 +22,56 @@ def pct(part, whole, digits: int = 2) -> F.Column:
 
 def network_stats(fact_flow: DataFrame, silver: DataFrame) -> DataFrame:
     """One row per export: size, new, lost, net, employers, email coverage and
-    Silver-level coverage counts. Every piece is a partial aggregation keyed by
-    the export, so a huge export is pre-aggregated per map task."""
-    per = fact_flow.groupBy("snapshot_ts").agg(
+    Silver-level coverage counts.
+
+    ONE partial aggregation keyed by the export, over the union of the fact
+    rows and the Silver rows (each branch fills its own metrics). Losses are
+    counted where they are visible — on the previous export's rows, as "not
+    present at the next export" — and moved to the export they belong to with
+    a lag over the aggregated table (one row per export). Exports without
+    identified rows have no fact rows and no stats row, as in the reference.
+    """
+    null_ts = F.lit(None).cast("timestamp")
+    facts = fact_flow.select(
+        "snapshot_ts", F.lit(True).alias("_is_fact"), "snapshot_date_key", "snapshot_sequence",
+        "previous_snapshot_ts", "company_key", "company_label", "has_email",
+        "is_new_since_previous_snapshot", "is_lost_at_next",
+        F.lit(None).cast("boolean").alias("is_identifiable"),
+        F.lit(None).cast("string").alias("company"), F.lit(None).cast("string").alias("position"),
+    )
+    rows = silver.select(
+        "snapshot_ts", F.lit(False).alias("_is_fact"), F.lit(None).cast("int").alias("snapshot_date_key"),
+        F.lit(None).cast("int").alias("snapshot_sequence"), null_ts.alias("previous_snapshot_ts"),
+        F.lit(None).cast("string").alias("company_key"), F.lit(None).cast("string").alias("company_label"),
+        F.lit(None).cast("boolean").alias("has_email"),
+        F.lit(None).cast("boolean").alias("is_new_since_previous_snapshot"),
+        F.lit(None).cast("boolean").alias("is_lost_at_next"),
+        "is_identifiable", "company", "position",
+    )
+    f, s = F.col("_is_fact"), ~F.col("_is_fact")
+    per = facts.unionByName(rows).groupBy("snapshot_ts").agg(
         F.min("snapshot_date_key").alias("snapshot_date_key"),
         F.min("snapshot_sequence").alias("snapshot_sequence"),
         F.min("previous_snapshot_ts").alias("previous_snapshot_ts"),
-        F.count(F.lit(1)).cast("int").alias("total_connections"),
+        _count_if(f).alias("total_connections"),
         F.count_distinct(
-            F.when(F.col("company_label") != UNKNOWN_LABEL, F.col("company_key"))
+            F.when(f & (F.col("company_label") != UNKNOWN_LABEL), F.col("company_key"))
         ).cast("int").alias("distinct_companies"),
-        _count_if(F.col("has_email")).alias("connections_with_email"),
-        _count_if(F.col("is_new_since_previous_snapshot")).alias("new_connections"),
-    )
-    lost = (
-        fact_flow.filter("is_lost_at_next")
-        .groupBy(F.col("next_snapshot_ts").alias("snapshot_ts"))
-        .agg(F.count(F.lit(1)).cast("int").alias("lost_connections"))
-    )
-    restricted = silver.groupBy("snapshot_ts").agg(
-        _count_if(~F.col("is_identifiable")).alias("restricted_profile_rows"),
-        _count_if(F.col("company").isNull()).alias("connections_without_company"),
-        _count_if(F.col("position").isNull()).alias("connections_without_position"),
-    )
-    lost_n = F.coalesce(F.col("lost_connections"), F.lit(0)).cast("int")
-    return (
-        per.join(lost, "snapshot_ts", "left")
-        .join(restricted, "snapshot_ts", "left")
-        .select(
-            "snapshot_ts", "snapshot_date_key", "snapshot_sequence", "previous_snapshot_ts",
-            "total_connections", "new_connections",
-            lost_n.alias("lost_connections"),
-            (F.col("new_connections") - lost_n).cast("int").alias("net_change"),
-            "distinct_companies", "connections_with_email",
-            pct("connections_with_email", "total_connections").alias("email_coverage_pct"),
-            F.coalesce("restricted_profile_rows", F.lit(0)).cast("int").alias("restricted_profile_rows"),
-            F.coalesce("connections_without_company", F.lit(0)).cast("int")
-            .alias("connections_without_company"),
-            F.coalesce("connections_without_position", F.lit(0)).cast("int")
-            .alias("connections_without_position"),
-        )
+        _count_if(f & F.col("has_email")).alias("connections_with_email"),
+        _count_if(f & F.col("is_new_since_previous_snapshot")).alias("new_connections"),
+        _count_if(f & F.col("is_lost_at_next")).alias("_lost_at_next"),
+        _count_if(s & ~F.col("is_identifiable")).alias("restricted_profile_rows"),
+        _count_if(s & F.col("company").isNull()).alias("connections_without_company"),
+        _count_if(s & F.col("position").isNull()).alias("connections_without_position"),
+    ).filter(F.col("total_connections") > 0)
+    lost = F.coalesce(F.lag("_lost_at_next").over(Window.orderBy("snapshot_ts")), F.lit(0))
+    return per.withColumn("lost_connections", lost.cast("int")).select(
+        "snapshot_ts", "snapshot_date_key", "snapshot_sequence", "previous_snapshot_ts",
+        "total_connections", "new_connections", "lost_connections",
+        (F.col("new_connections") - F.col("lost_connections")).cast("int").alias("net_change"),
+        "distinct_companies", "connections_with_email",
+        pct("connections_with_email", "total_connections").alias("email_coverage_pct"),
+        "restricted_profile_rows", "connections_without_company", "connections_without_position",
     )
 
 
