@@ -45,3 +45,13 @@ def warmth(months: Column, points: int, tau_months: float) -> Column:
     """``round(points·e^(−m/τ))`` with half-even rounding; null for unknown or future."""
     value = F.bround(F.lit(float(points)) * F.exp(-months / F.lit(float(tau_months))), 0)
     return F.when(months.isNotNull() & (months >= 0), value.cast("int"))
+
+
+def as_naive_utc(c: str | Column, source_tz: str | None = None) -> Column:
+    """A timestamp as naive UTC wall time (the session runs in UTC).
+
+    ``source_tz`` names the zone of a naive input; aware inputs (TIMESTAMP)
+    are already instants and only need the UTC session zone.
+    """
+    x = col_(c).cast("timestamp")
+    return F.to_utc_timestamp(x, source_tz) if source_tz else x

@@ -52,3 +52,18 @@ def write_table(df: DataFrame, root: str, name: str, version: str) -> DataFrame:
     finally:
         out.close()
     return spark.read.parquet(path)
+
+
+def warehouse_status(spark: SparkSession, root: str,
+                     layers=("bronze", "silver", "dim_connection", "mart_network_stats")) -> DataFrame:
+    """Which layers exist (and their current version): metadata only."""
+    fs, _, jvm = _fs(spark, root)
+    rows = []
+    for name in layers:
+        if name == "bronze":
+            exists = fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/bronze"))
+            rows.append((name, bool(exists), None))
+        else:
+            v = current_version(spark, root, name)
+            rows.append((name, v is not None, v))
+    return spark.createDataFrame(rows, "layer string, present boolean, version string")
