@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 SIDE_EFFECT_KEYS = {
     "landing_inventory", "parse_exports", "header_check", "validate_exports", "hash_mismatch",
     "bronze_append", "ingest_report", "ingest_batch", "stream_ingest", "late_snapshot",
-    "pipeline_run", "export_shortlist",
+    "pipeline_run", "export_shortlist", "parse_exports_split",
 }
 ROWS_ONLY = {"dq_columns", "pipeline_run", "export_shortlist"}
 

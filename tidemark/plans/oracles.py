@@ -964,3 +964,4 @@ oracle("orders_network_stats", "SELECT * FROM stats_o", "stats_o")
 oracle("orders_scd2_replay", "SELECT * FROM scd2_o", "scd2_o")
 oracle("orders_breakdown", "SELECT * FROM breakdown_o", "breakdown_o")
 oracle("breakdown_union", "SELECT * FROM breakdown", "breakdown")
+oracle("parse_exports_split", ORACLES["parse_exports"])

@@ -896,3 +896,15 @@ def q_orders_breakdown(spark, sf):
 def q_breakdown_union(spark, sf):
     """The three-branch union shape (one aggregation per dimension)."""
     return marts.breakdown(fact_ops.build_fact(silver(spark, sf)), method="union")
+
+
+@query("parse_exports_split")
+def q_parse_exports_split(spark, sf):
+    """The same exports parsed split-parallel (the path for very large files)."""
+    from tidemark.sources.large_exports import parse_large_exports
+
+    root = landed(spark, sf, "parse-split")
+    listing = landing.list_landing(spark, f"{root}/landing").select("path", "snapshot_ts")
+    paths = [r["path"] for r in listing.select("path").collect()]
+    parsed = parse_large_exports(spark, paths).join(listing, "path")
+    return parsed.select("snapshot_ts", "source_row_number", *exp.ROW_COLUMNS)

@@ -144,7 +144,7 @@ def classify_files(files: DataFrame, ingested_hashes: DataFrame) -> DataFrame:
     In-batch duplicates: the earliest (snapshot_ts, key) wins; bytes that do
     not hash to the key's short hash are marked ``hash_mismatch``.
     """
-    h = files.withColumn("file_hash", F.md5("content"))
+    h = files if "file_hash" in files.columns else files.withColumn("file_hash", F.md5("content"))
     ok = F.substring("file_hash", 1, 8) == F.col("hash8")
     seen = ingested_hashes.select("file_hash").distinct().withColumn("_in_bronze", F.lit(True))
     first = Window.partitionBy("file_hash").orderBy("snapshot_ts", "key")
@@ -157,29 +157,88 @@ def classify_files(files: DataFrame, ingested_hashes: DataFrame) -> DataFrame:
     return out.select(*cols, status.alias("status"))
 
 
+#: Files larger than this are hashed by streaming and parsed split-parallel
+#: (``large_exports``) instead of being held whole by one task.
+LARGE_FILE_BYTES = 128 << 20
+
+
+def hash_files(spark: SparkSession, meta: list, large_file_bytes: int = LARGE_FILE_BYTES) -> DataFrame:
+    """(path, file_hash) for the given file metadata rows: small files from
+    their ``binaryFile`` bytes, large ones streamed through MD5 by executors."""
+    from tidemark.sources.large_exports import content_hashes
+
+    small = [r["path"] for r in meta if (r["size_bytes"] or 0) <= large_file_bytes]
+    large = [r["path"] for r in meta if (r["size_bytes"] or 0) > large_file_bytes]
+    parts = []
+    if small:
+        parts.append(spark.read.format("binaryFile").load(small)
+                     .select("path", F.md5("content").alias("file_hash")))
+    if large:
+        parts.append(content_hashes(spark.createDataFrame([(x,) for x in large], "path string")))
+    if not parts:
+        return spark.createDataFrame([], "path string, file_hash string")
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def parse_files(spark: SparkSession, meta: list, large_file_bytes: int = LARGE_FILE_BYTES) -> DataFrame:
+    """Parsed rows (``exports.PARSED_SCHEMA``) of the given files, routed by size."""
+    from tidemark.sources.exports import PARSED_SCHEMA
+    from tidemark.sources.large_exports import parse_large_exports
+
+    small = [r["path"] for r in meta if (r["size_bytes"] or 0) <= large_file_bytes]
+    large = [r["path"] for r in meta if (r["size_bytes"] or 0) > large_file_bytes]
+    parts = []
+    if small:
+        parts.append(parse_exports(spark.read.format("binaryFile").load(small)))
+    if large:
+        parts.append(parse_large_exports(spark, large))
+    if not parts:
+        return spark.createDataFrame([], PARSED_SCHEMA)
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def ingest_files(files: DataFrame, bronze_path: str, ingested_hashes: DataFrame, *,
-                 ingested_at=None, on_mismatch: str = "fail") -> DataFrame:
-    """Classify, parse and append a batch of files; return one result row per file.
-
-    Columns: key, snapshot_ts, file_hash, status, rows_ingested, header_line_index,
-    encoding, message. The per-file classification and the parsed rows are
-    cut from their lineage with ``checkpoint()`` (shared checkpoint dir)
-    before Bronze is written: re-evaluating them afterwards would see the new
-    hashes, and a lost executor must not force a re-parse of the batch.
+                 ingested_at=None, on_mismatch: str = "fail",
+                 large_file_bytes: int = LARGE_FILE_BYTES) -> DataFrame:
+    """Hash, classify, parse and append a batch of files; one result row per file.
+
+    ``files`` needs only metadata (path, key, snapshot_ts, hash8, size_bytes);
+    the bytes are read here — whole for small files, split-parallel for large
+    ones. Columns out: key, snapshot_ts, file_hash, status, rows_ingested,
+    header_line_index, encoding, message. The per-file classification and the
+    parsed rows are cut from their lineage with ``checkpoint()`` (shared
+    checkpoint dir) before Bronze is written: re-evaluating them afterwards
+    would see the new hashes, and a lost executor must not force a re-parse.
     """
     from tidemark.session import checkpoint_dir
 
     spark = files.sparkSession
     checkpoint_dir(spark)
-    meta = ["path", "key", "snapshot_ts", "file_hash"]
-    classified = classify_files(files, ingested_hashes).select(*meta, "status").checkpoint(eager=True)
+    meta_cols = ["path", "key", "snapshot_ts", "hash8", "size_bytes"]
+    if "size_bytes" not in files.columns:
+        files = files.withColumn("size_bytes", F.col("length") if "length" in files.columns
+                                 else F.lit(0).cast("long"))
+    meta_rows = files.select(*meta_cols).collect()
+    meta = spark.createDataFrame(
+        meta_rows, "path string, key string, snapshot_ts timestamp, hash8 string, size_bytes long")
+    hashed = meta.join(hash_files(spark, meta_rows, large_file_bytes), "path")
+    classified = classify_files(hashed, ingested_hashes).select(
+        "path", "key", "snapshot_ts", "file_hash", "size_bytes", "status").checkpoint(eager=True)
     if on_mismatch == "fail":
         bad = classified.filter(F.col("status") == STATUS_HASH_MISMATCH).select("key").limit(1).collect()
         if bad:
             raise ValueError(f"content hash does not match key: {bad[0]['key']}")
-    todo = classified.filter(F.col("status") == STATUS_INGESTED).select(*meta)
-    contents = files.select("path", "content").join(todo.select("path"), "path", "left_semi")
-    parsed = parse_exports(contents).join(todo, "path").checkpoint(eager=True)
+    todo_rows = classified.filter(F.col("status") == STATUS_INGESTED).select(
+        "path", "size_bytes").collect()
+    todo = classified.filter(F.col("status") == STATUS_INGESTED).select(
+        "path", "key", "snapshot_ts", "file_hash")
+    parsed = parse_files(spark, todo_rows, large_file_bytes).join(todo, "path").checkpoint(eager=True)
     stamp = F.current_timestamp() if ingested_at is None else F.lit(ingested_at).cast("timestamp")
     good = parsed.filter(F.col("error").isNull()).select(
         *ROW_COLUMNS, "snapshot_ts", "file_hash", F.col("key").alias("source_object"),
@@ -188,7 +247,7 @@ def ingest_files(files: DataFrame, bronze_path: str, ingested_hashes: DataFrame,
     per_file = parsed.groupBy("path").agg(
         F.max("error").alias("error"), F.max("header_line_index").alias("header_line_index"),
         F.max("encoding").alias("encoding"), F.count("source_row_number").alias("rows_parsed"))
-    res = classified.join(per_file, "path", "left")
+    res = classified.drop("size_bytes").join(per_file, "path", "left")
     status = F.when((F.col("status") == STATUS_INGESTED) & F.col("error").isNotNull(),
                     F.lit(STATUS_REJECTED)).otherwise(F.col("status"))
     rows = F.when(status == STATUS_INGESTED, F.coalesce("rows_parsed", F.lit(0))).otherwise(0)
@@ -219,12 +278,11 @@ def ingest_report(results: DataFrame) -> DataFrame:
 
 
 def ingest(spark: SparkSession, landing_dir: str, bronze_path: str, *, ingested_at=None,
-           on_mismatch: str = "fail") -> DataFrame:
+           on_mismatch: str = "fail", large_file_bytes: int = LARGE_FILE_BYTES) -> DataFrame:
     """One incremental batch run; returns the per-file results (materialised
     in Bronze already, so the returned frame is cheap to re-read)."""
     landing = list_landing(spark, landing_dir)
     hashes = bz.ingested_hashes(bz.read_bronze(spark, bronze_path))
     pend = pending_objects(landing, hashes)
-    files = read_contents(spark, pend)
-    return ingest_files(files, bronze_path, hashes, ingested_at=ingested_at,
-                        on_mismatch=on_mismatch)
+    return ingest_files(pend, bronze_path, hashes, ingested_at=ingested_at,
+                        on_mismatch=on_mismatch, large_file_bytes=large_file_bytes)

@@ -1,0 +1,227 @@
+"""Split-parallel parsing of export files too large for one task.
+
+The per-file parser (``exports.parse_exports``) holds a whole file in one
+task. A single export can be huge, so files above a size threshold are
+parsed here instead, with every byte range ("split") of a file read by a
+different task:
+
+1. ``spark.read.text`` splits each file by byte ranges; every split is read
+   by one task in file order, so a pass over each partition numbers its lines
+   without any shuffle and records, per line, the quote parity it adds and the
+   number of lines of the split before it.
+2. Per-split totals (a table with one row per split) give, through a small
+   window per file, each split's first line number and the quote parity
+   before it — the prefix sums that turn local positions into file positions.
+3. The header line of each file is the first line that looks like the export
+   header (a per-file ``min``). A data line starts a record when the quote
+   parity counted from the header is even before it and it is not blank;
+   other lines continue a record opened by a quoted field (quoted newlines).
+4. Record starts are numbered the same way (local count + per-split offset),
+   giving the 1-based row number in the file. Only records that span several
+   lines — rare — are shuffled to be glued back together.
+5. Fields are split with ``from_csv`` (RFC-4180 quoting), mapped to columns
+   through each file's own header, stripped, and validated like the per-file
+   parser; a file with a schema problem, an over-long row or an unterminated
+   quote gets one error row instead of data.
+
+Files are read as UTF-8 (a leading BOM is dropped); a file with undecodable
+bytes is reported as an error rather than guessed at.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.sources.exports import HEADER_MARKER, KNOWN_COLUMNS, PARSED_SCHEMA, REQUIRED_COLUMNS, ROW_COLUMNS
+
+try:  # ship this module's functions by value, so executors need no install
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
+
+MAX_FIELDS = 32
+_LOCAL_SCHEMA = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("blk", T.LongType()),
+    T.StructField("pos", T.LongType()),          # 0-based line position inside the split
+    T.StructField("qpar_before", T.IntegerType()),  # quote parity of the split's earlier lines
+    T.StructField("q", T.IntegerType()),          # quote parity of this line
+    T.StructField("value", T.StringType()),
+])
+
+
+def _number_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Position and running quote parity per split, in the order lines arrive."""
+    state: dict[tuple[str, int], tuple[int, int]] = {}
+    for b in batches:
+        key = list(zip(b["path"], b["blk"], strict=True))
+        q = b["value"].str.count('"').fillna(0).astype("int64") % 2
+        pos, before = [], []
+        for k, qi in zip(key, q, strict=True):
+            n, par = state.get(k, (0, 0))
+            pos.append(n)
+            before.append(par)
+            state[k] = (n + 1, par ^ int(qi))
+        yield pd.DataFrame({"path": b["path"], "blk": b["blk"], "pos": pos,
+                            "qpar_before": before, "q": q.astype("int32"), "value": b["value"]})
+
+
+def _count_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Running count of record starts per split (inclusive), in arrival order."""
+    state: dict[tuple[str, int], int] = {}
+    for b in batches:
+        out = []
+        for p, k, s in zip(b["path"], b["blk"], b["is_start"], strict=True):
+            n = state.get((p, k), 0) + (1 if s else 0)
+            state[(p, k)] = n
+            out.append(n)
+        yield b.assign(local_rec=pd.Series(out, index=b.index, dtype="int64"))
+
+
+def _md5_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stream each file through MD5 in constant memory (one pass, one task per file)."""
+    from pyarrow import fs as pafs
+
+    for b in batches:
+        hashes = []
+        for path in b["path"]:
+            filesystem, inner = pafs.FileSystem.from_uri(path)
+            h = hashlib.md5()
+            with filesystem.open_input_stream(inner) as stream:
+                while chunk := stream.read(8 << 20):
+                    h.update(chunk)
+            hashes.append(h.hexdigest())
+        yield pd.DataFrame({"path": b["path"], "file_hash": hashes})
+
+
+def content_hashes(paths: DataFrame) -> DataFrame:
+    """(path) → (path, file_hash): MD5 of the bytes, streamed by the executors."""
+    return paths.select("path").repartition(max(1, paths.sparkSession.sparkContext.defaultParallelism),
+                                            "path").mapInPandas(_md5_paths, "path string, file_hash string")
+
+
+def _strip(c):
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def _snake(c):
+    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(_strip(c), r"[^\p{L}\p{N}]+", " "))), " ", "_")
+
+
+def parse_large_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Parse the given export files split-parallel; output = ``PARSED_SCHEMA``."""
+    csv_opts = {"quote": '"', "escape": '"'}
+    field_schema = ", ".join(f"c{i} STRING" for i in range(MAX_FIELDS))
+    raw = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("blk"),
+        F.regexp_replace("value", r"^﻿", "").alias("value"),
+    )
+    local = raw.mapInPandas(_number_lines, _LOCAL_SCHEMA)
+    splits = local.groupBy("path", "blk").agg(
+        F.count(F.lit(1)).alias("n"), (F.sum("q") % 2).cast("int").alias("par"))
+    before = Window.partitionBy("path").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(
+        "path", "blk",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("line_off"),
+        (F.coalesce(F.sum("par").over(before), F.lit(0)) % 2).cast("int").alias("par_off"),
+    )
+    lines = local.join(F.broadcast(offsets), ["path", "blk"]).withColumns({
+        "line_no": F.col("line_off") + F.col("pos"),
+        "p_abs": (F.col("par_off") + F.col("qpar_before")) % 2,
+    })
+    norm = F.regexp_replace(F.lower(F.regexp_replace(F.trim(F.regexp_replace("value", '^"|"$', "")),
+                                                     r'\s*,\s*', ",")), '"', "")
+    headers = lines.filter(norm.startswith(HEADER_MARKER)).groupBy("path").agg(
+        F.min_by(F.struct("line_no", "p_abs", "value"), "line_no").alias("h"))
+    files = headers.select("path", F.col("h.line_no").alias("header_line"),
+                           F.col("h.p_abs").alias("header_par"), F.col("h.value").alias("header"))
+    data = lines.join(F.broadcast(files), "path").filter(F.col("line_no") > F.col("header_line"))
+    p_rel = (F.col("p_abs") + F.col("header_par")) % 2
+    data = data.withColumns({
+        "is_start": (p_rel == 0) & (F.col("value") != ""),
+        "is_cont": p_rel == 1,
+        "ends_open": ((F.col("p_abs") + F.col("header_par") + F.col("q")) % 2) == 1,
+    }).filter("is_start OR is_cont")
+    counted = data.select("path", "blk", "line_no", "value", "is_start", "is_cont", "ends_open") \
+        .mapInPandas(_count_starts, "path string, blk long, line_no long, value string, "
+                                    "is_start boolean, is_cont boolean, ends_open boolean, local_rec long")
+    rec_off = (counted.groupBy("path", "blk").agg(F.max("local_rec").alias("k"))
+               .select("path", "blk", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("rec_off")))
+    recs = counted.join(F.broadcast(rec_off), ["path", "blk"]).withColumn(
+        "row_no", F.col("rec_off") + F.col("local_rec"))
+    multi = recs.filter("is_cont").select("path", "row_no").distinct()
+    single = recs.filter("is_start").join(multi, ["path", "row_no"], "left_anti").select(
+        "path", "row_no", F.col("value").alias("record"), F.col("ends_open").alias("open"))
+    glued = recs.join(multi, ["path", "row_no"], "left_semi").groupBy("path", "row_no").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "value", "ends_open"))).alias("parts"))
+    glued = glued.select("path", "row_no",
+                         F.concat_ws("\n", F.transform("parts", lambda x: x["value"])).alias("record"),
+                         F.element_at("parts", -1)["ends_open"].alias("open"))
+    records = single.unionByName(glued)
+
+    head_names = F.transform(
+        F.filter(F.array(*[F.col(f"h.c{i}") for i in range(MAX_FIELDS)]), lambda x: x.isNotNull()),
+        lambda x: _strip(x))
+    files = files.withColumn("h", F.from_csv("header", field_schema, csv_opts)).select(
+        "path", "header_line", head_names.alias("names"))
+    known = F.array(*[F.lit(c.lower()) for c in KNOWN_COLUMNS])
+    required = F.array(*[F.lit(c.lower()) for c in REQUIRED_COLUMNS])
+    lower_names = F.transform("names", lambda x: F.lower(x))
+    present = F.filter("names", lambda x: x != "")
+    missing = F.filter(F.array(*[F.lit(c) for c in REQUIRED_COLUMNS]),
+                       lambda r: ~F.array_contains(lower_names, F.lower(r)))
+    unexpected = F.filter(present, lambda x: ~F.array_contains(known, F.lower(x)))
+    schema_err = F.when(
+        (F.size(missing) > 0) | (F.size(unexpected) > 0),
+        F.concat(F.lit("ExportError: export schema mismatch — "), F.concat_ws("; ",
+                 F.when(F.size(missing) > 0, F.concat(F.lit("missing required column(s): "),
+                                                      F.array_join(missing, ", "))),
+                 F.when(F.size(unexpected) > 0, F.concat(F.lit("unknown column(s): "),
+                                                         F.array_join(unexpected, ", "))))))
+    files = files.withColumns({"schema_error": schema_err,
+                               "snake": F.transform("names", lambda x: _snake(x))})
+    _ = required  # required columns are checked through ``missing``
+
+    parsed = records.join(F.broadcast(files), "path").withColumn(
+        "f", F.from_csv("record", field_schema, csv_opts))
+    # commas outside quotes separate fields: that count tells an empty field
+    # ('') from a field the row does not have (null), and finds over-long rows
+    n_fields = F.size(F.split("record", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'))
+    fields = F.array(*[F.when(F.lit(i) < n_fields, F.coalesce(F.col(f"f.c{i}"), F.lit("")))
+                       for i in range(MAX_FIELDS)])
+    width = F.size("names")
+    row_err = (F.when(F.col("open"), F.lit("ParserError: EOF inside string"))
+               .when(n_fields > width, F.lit("ParserError: a row has more fields than the header"))
+               .when(F.instr("record", "�") > 0, F.lit("ExportError: not valid UTF-8")))
+    cols = {c: _strip(F.element_at(fields, F.array_position("snake", c).cast("int")))
+            for c in ROW_COLUMNS}
+    rows = parsed.select(
+        "path", "row_no", "schema_error", row_err.alias("row_error"),
+        *[F.when(F.array_position("snake", c) > 0, e).alias(c) for c, e in cols.items()])
+    bad_files = rows.filter(F.col("schema_error").isNotNull() | F.col("row_error").isNotNull()) \
+        .groupBy("path").agg(F.coalesce(F.first("schema_error", ignorenulls=True),
+                                        F.first("row_error", ignorenulls=True)).alias("error"))
+    good = rows.join(bad_files, "path", "left_anti").join(files.select("path", "header_line"), "path")
+    out_good = good.select(
+        "path", F.col("header_line").cast("int").alias("header_line_index"),
+        F.lit("utf-8").alias("encoding"), F.lit(None).cast("string").alias("error"),
+        F.col("row_no").cast("int").alias("source_row_number"), *ROW_COLUMNS)
+    no_header = spark.createDataFrame([(p,) for p in paths], "path string").join(
+        files.select("path"), "path", "left_anti").withColumn(
+        "error", F.lit("ExportError: no header line starting with 'First Name,Last Name'"))
+    errs = bad_files.unionByName(no_header).select(
+        "path", F.lit(None).cast("int").alias("header_line_index"),
+        F.lit(None).cast("string").alias("encoding"), "error",
+        F.lit(None).cast("int").alias("source_row_number"),
+        *[F.lit(None).cast("string").alias(c) for c in ROW_COLUMNS])
+    return out_good.unionByName(errs).select(*[f.name for f in PARSED_SCHEMA.fields])

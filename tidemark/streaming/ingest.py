@@ -39,7 +39,8 @@ def landing_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger:
     key = landing._relative_key("path", landing_dir)
     return files.select(
         "path", key.alias("key"), key_snapshot_ts(key).alias("snapshot_ts"),
-        key_hash8(key).alias("hash8"), key_is_valid(key).alias("is_valid"), "content",
+        key_hash8(key).alias("hash8"), key_is_valid(key).alias("is_valid"),
+        F.col("length").alias("size_bytes"),
     ).filter("is_valid").drop("is_valid")
 
 
