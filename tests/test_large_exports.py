@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
 
 import pytest
 
-from conftest import EXPORT_MISSING, EXPORT_V1, EXPORT_V2, HEADER, NOTES_V1, export_bytes
+from conftest import EXPORT_MISSING, EXPORT_V1, EXPORT_V2, NOTES_V1, export_bytes
 from tidemark.sources import landing
 from tidemark.sources.exports import parse_exports
 from tidemark.sources.large_exports import content_hashes, parse_large_exports

@@ -8,7 +8,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import EXPORT_MISSING, EXPORT_V1, EXPORT_V2, KEY_TS_V1, KEY_TS_V2, md5, put
+from conftest import EXPORT_MISSING, EXPORT_V1, EXPORT_V2, KEY_TS_V1, KEY_TS_V2, put
 from tidemark.operators import scd2
 from tidemark.plans import pipeline
 from tidemark.sources import bronze as bz

@@ -175,7 +175,6 @@ def parse_large_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
     files = files.withColumn("h", F.from_csv("header", field_schema, csv_opts)).select(
         "path", "header_line", head_names.alias("names"))
     known = F.array(*[F.lit(c.lower()) for c in KNOWN_COLUMNS])
-    required = F.array(*[F.lit(c.lower()) for c in REQUIRED_COLUMNS])
     lower_names = F.transform("names", lambda x: F.lower(x))
     present = F.filter("names", lambda x: x != "")
     missing = F.filter(F.array(*[F.lit(c) for c in REQUIRED_COLUMNS]),
@@ -190,7 +189,6 @@ def parse_large_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
                                                          F.array_join(unexpected, ", "))))))
     files = files.withColumns({"schema_error": schema_err,
                                "snake": F.transform("names", lambda x: _snake(x))})
-    _ = required  # required columns are checked through ``missing``
 
     parsed = records.join(F.broadcast(files), "path").withColumn(
         "f", F.from_csv("record", field_schema, csv_opts))
