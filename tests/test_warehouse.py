@@ -205,3 +205,19 @@ def test_two_files_with_the_same_time_both_survive(spark, tmp_path):
     put(lz, KEY_TS_V1, EXPORT_V2)  # same stamp, different content, separate run
     landing.ingest(spark, lz, bronze)
     assert bz.read_bronze(spark, bronze).count() == 23
+
+
+def test_quality_gate_aborts_before_silver(spark, tmp_path):
+    from conftest import NOTES_V1, HEADER, export_bytes
+    bad = export_bytes(NOTES_V1, [
+        "Ann,Example,https://www.linkedin.com/in/a,,Acme,Data Analyst,2025-02-04"])
+    lz, wh = f"{tmp_path}/landing", f"{tmp_path}/warehouse"
+    put(lz, KEY_TS_V1, bad)
+    with pytest.raises(pipeline.QualityGateError, match="matches:connected_on"):
+        pipeline.run(spark, lz, wh, today=TODAY)
+    assert tables.read_table(spark, wh, "silver") is None
+    assert not tables.table_exists(spark, wh, "dim_connection")
+    status = {r["layer"]: r["present"] for r in tables.warehouse_status(spark, wh).collect()}
+    assert status == {"bronze": True, "silver": False, "dim_connection": False,
+                      "mart_network_stats": False}
+    assert HEADER.startswith("First Name")
