@@ -10,7 +10,7 @@ from tidemark.operators.silver import UNKNOWN_LABEL
 
 
 def _count_if(cond) -> F.Column:
-    return F.sum(F.when(cond, 1).otherwise(0)).cast("int")
+    return F.count(F.when(cond, F.lit(1))).cast("int")
 
 
 def pct(part, whole, digits: int = 2) -> F.Column:

@@ -27,7 +27,7 @@ RESULT_COLUMNS = ("check", "severity", "failed_rows", "passed")
 
 
 def _n_if(cond: Column) -> Column:
-    return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
+    return F.count(F.when(cond, F.lit(1))).cast("long")
 
 
 @dataclass(frozen=True)

@@ -27,7 +27,7 @@ REACH_COLUMNS = ("company", "reach", "core_peers", "data_people", "data_leaders"
 
 
 def _count_if(cond: Column) -> Column:
-    return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
+    return F.count(F.when(cond, F.lit(1))).cast("long")
 
 
 def classify(df: DataFrame, target=tx.TARGET_FAMILIES, adjacent=tx.ADJACENT_FAMILIES,
