@@ -96,3 +96,14 @@ def test_build_key_round_trips(spark):
 def test_short_hash_rejects_short_input(spark):
     with pytest.raises(Exception):
         spark.createDataFrame([("abc",)], "h string").select(keys.short_hash("h")).collect()
+
+
+def test_safe_sql(spark):
+    from tidemark.sources.tables import safe_sql
+    empty = safe_sql(spark, "SELECT * FROM nowhere_table", requires=("nowhere_table",),
+                     schema="a int")
+    assert empty.count() == 0 and empty.columns == ["a"]
+    spark.range(5).createOrReplaceTempView("five")
+    got = safe_sql(spark, "SELECT count(*) AS n FROM five WHERE id >= :lo", {"lo": 3},
+                   requires=("five",)).first()["n"]
+    assert got == 2

@@ -67,3 +67,16 @@ def warehouse_status(spark: SparkSession, root: str,
             v = current_version(spark, root, name)
             rows.append((name, v is not None, v))
     return spark.createDataFrame(rows, "layer string, present boolean, version string")
+
+
+def safe_sql(spark: SparkSession, sql: str, args: dict | None = None,
+             requires: tuple[str, ...] = (), schema: str | None = None) -> DataFrame:
+    """Parameterised read (named ``:param`` markers, never string formatting);
+    when a required relation does not exist yet, an empty frame with
+    ``schema`` instead of an error — the dashboard reads before the first run."""
+    missing = [t for t in requires if not spark.catalog.tableExists(t)]
+    if missing:
+        if schema is None:
+            raise ValueError(f"missing relation(s) {missing} and no empty schema given")
+        return spark.createDataFrame([], schema)
+    return spark.sql(sql, args=args or {})
