@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import col_, trim_ws
+from tidemark.functions import sqltext as sx
+from tidemark.functions.text import col_, trim_ws, trim_ws_sql
 
 #: Fixed value: the export's date format ("04 Feb 2025").
 EXPORT_DATE_PATTERN = "d MMM yyyy"
@@ -15,14 +16,26 @@ EXPORT_DATE_PATTERN = "d MMM yyyy"
 DAYS_PER_MONTH = 30.44
 
 
+def parse_export_date_sql(c: str) -> str:
+    return f"try_to_date({trim_ws_sql(c)}, {sx.lit(EXPORT_DATE_PATTERN)})"
+
+
 def parse_export_date(c: str | Column) -> Column:
     """'4 Feb 2025' / '04 feb 2025' → date; anything else → null (never raises)."""
+    if isinstance(c, str):
+        return F.expr(parse_export_date_sql(c))
     return F.try_to_date(trim_ws(c), EXPORT_DATE_PATTERN)
 
 
+def date_key_sql(c: str) -> str:
+    return f"CAST(date_format(CAST({sx.ref(c)} AS DATE), 'yyyyMMdd') AS INT)"
+
+
 def date_key(c: str | Column) -> Column:
     """Integer YYYYMMDD key of a date or timestamp (null stays null)."""
-    return F.date_format(col_(c).cast("date"), "yyyyMMdd").cast("int")
+    if isinstance(c, str):
+        return F.expr(date_key_sql(c))
+    return F.date_format(c.cast("date"), "yyyyMMdd").cast("int")
 
 
 def as_date_lit(day: dt.date | str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions import sqltext as sx
 from tidemark.functions.text import col_
 
 #: Fixed value: text standing in for null inside a surrogate key.
@@ -22,6 +23,27 @@ def surrogate_key(*cols: str | Column) -> Column:
     return F.md5(joined)
 
 
+def surrogate_key_sql(*cols: str) -> str:
+    """SQL text of :func:`surrogate_key` over column names (or SQL text)."""
+    parts = [f"coalesce(CAST({sx.ref(c)} AS STRING), {sx.lit(SURROGATE_NULL)})" for c in cols]
+    joined = parts[0] if len(parts) == 1 else f"concat_ws('-', {', '.join(parts)})"
+    return f"md5({joined})"
+
+
+def short_hash_sql(h: str) -> str:
+    h = sx.ref(h)
+    return (f"CASE WHEN length({h}) >= {SHORT_HASH_LENGTH} THEN substring({h}, 1, {SHORT_HASH_LENGTH}) "
+            f"ELSE raise_error(concat('hash shorter than 8 characters: ', {h})) END")
+
+
+def build_object_key_sql(prefix: str, snapshot_ts: str, file_hash: str) -> str:
+    """Key text for a literal ``prefix`` and timestamp / hash columns (or SQL text)."""
+    p = sx.lit(prefix)
+    return (f"concat(regexp_replace({p}, {sx.lit(r'^/+|/+$')}, ''), '/', "
+            f"date_format({sx.ref(snapshot_ts)}, {sx.lit(KEY_TS_FORMAT)}), '_', "
+            f"{short_hash_sql(file_hash)}, '.csv')")
+
+
 def short_hash(c: str | Column) -> Column:
     """First 8 characters of a full hash; a shorter value is an error."""
     h = col_(c)

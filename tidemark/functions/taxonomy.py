@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import col_
+from tidemark.functions import sqltext as sx
 
 # ---------------------------------------------------------------------------
 # Role tags (multi-label) in taxonomy order, each with its
@@ -112,32 +112,63 @@ def keyword_regex(keywords: tuple[str, ...] | list[str], *, unicode: bool = True
     return flags + r"\b(?:" + "|".join(re.escape(k) for k in keywords) + r")\b"
 
 
+def matches_any_sql(c: str, keywords) -> str:
+    """SQL text of :func:`matches_any` (``c`` is a column name or SQL text)."""
+    return f"coalesce({sx.ref(c)} RLIKE {sx.lit(keyword_regex(tuple(keywords)))}, FALSE)"
+
+
 def matches_any(c: str | Column, keywords) -> Column:
     """Null-safe word match: false for a null title.
 
     No trimming is needed: surrounding blanks never change a word-boundary
     match, and an all-blank title matches no keyword.
     """
-    return F.coalesce(col_(c).rlike(keyword_regex(tuple(keywords))), F.lit(False))
+    if isinstance(c, str):
+        return F.expr(matches_any_sql(c, keywords))
+    return F.coalesce(c.rlike(keyword_regex(tuple(keywords))), F.lit(False))
+
+
+def _tag_predicates_sql(c: str) -> dict[str, str]:
+    preds = {tag: matches_any_sql(c, kws) for tag, kws in TAG_KEYWORDS}
+    c_level = f"coalesce({sx.ref(c)} RLIKE {sx.lit('(?iU)' + C_LEVEL_PATTERN)}, FALSE)"
+    preds[EXECUTIVE] = f"({preds[EXECUTIVE]} OR {c_level})"
+    return preds
 
 
 def tag_predicates(c: str | Column) -> dict[str, Column]:
+    if isinstance(c, str):
+        return {t: F.expr(p) for t, p in _tag_predicates_sql(c).items()}
     preds = {tag: matches_any(c, kws) for tag, kws in TAG_KEYWORDS}
-    c_level = F.coalesce(col_(c).rlike("(?iU)" + C_LEVEL_PATTERN), F.lit(False))
+    c_level = F.coalesce(c.rlike("(?iU)" + C_LEVEL_PATTERN), F.lit(False))
     preds[EXECUTIVE] = preds[EXECUTIVE] | c_level
     return preds
 
 
+def role_tags_sql(c: str) -> str:
+    preds = _tag_predicates_sql(c)
+    items = ", ".join(f"CASE WHEN {preds[t]} THEN {sx.lit(t)} END" for t in ALL_TAGS)
+    return f"filter(array({items}), x -> x IS NOT NULL)"
+
+
 def role_tags(c: str | Column) -> Column:
     """array<string> of every matching tag, in taxonomy order ([] when none)."""
+    if isinstance(c, str):
+        return F.expr(role_tags_sql(c))
     preds = tag_predicates(c)
     return F.filter(
         F.array(*[F.when(preds[t], F.lit(t)) for t in ALL_TAGS]), lambda x: x.isNotNull()
     )
 
 
+def job_family_sql(c: str, rules=JOB_FAMILY_RULES) -> str:
+    return sx.case_when([(matches_any_sql(c, kws), sx.lit(family)) for family, kws in rules],
+                        sx.lit(OTHER_FAMILY))
+
+
 def job_family(c: str | Column, rules=JOB_FAMILY_RULES) -> Column:
     """The first family whose keywords match; 'Other' when none does."""
+    if isinstance(c, str):
+        return F.expr(job_family_sql(c, rules))
     expr = None
     for family, kws in rules:
         pred = matches_any(c, kws)
@@ -145,15 +176,38 @@ def job_family(c: str | Column, rules=JOB_FAMILY_RULES) -> Column:
     return expr.otherwise(F.lit(OTHER_FAMILY))
 
 
+def has_tag_sql(tags: str, tag: str) -> str:
+    return f"coalesce(array_contains({sx.ref(tags)}, {sx.lit(tag)}), FALSE)"
+
+
 def has_tag(tags: str | Column, tag: str) -> Column:
-    return F.coalesce(F.array_contains(col_(tags), tag), F.lit(False))
+    if isinstance(tags, str):
+        return F.expr(has_tag_sql(tags, tag))
+    return F.coalesce(F.array_contains(tags, tag), F.lit(False))
+
+
+def leads_sql(tags: str) -> str:
+    return f"({has_tag_sql(tags, LEADERSHIP)} OR {has_tag_sql(tags, EXECUTIVE)})"
 
 
 def leads(tags: str | Column) -> Column:
+    if isinstance(tags, str):
+        return F.expr(leads_sql(tags))
     return has_tag(tags, LEADERSHIP) | has_tag(tags, EXECUTIVE)
 
 
+def seniority_sql(position: str, tags: str | None = None) -> str:
+    t = role_tags_sql(position) if tags is None else tags
+    return f"({leads_sql(t)} OR {matches_any_sql(position, SENIORITY_WORDS)})"
+
+
 def seniority(position: str | Column, tags: str | Column | None = None) -> Column:
-    """Leadership/executive tag, or a senior/sr/staff/expert/principal/lead word."""
-    t = role_tags(position) if tags is None else col_(tags)
-    return leads(t) | matches_any(position, SENIORITY_WORDS)
+    """Leadership/executive tag, or a senior/sr/staff/expert/principal/lead word.
+
+    Names (or SQL text) build the expression in one parse; Columns are
+    combined through the Column API."""
+    if isinstance(position, str) and (tags is None or isinstance(tags, str)):
+        return F.expr(seniority_sql(position, tags))
+    pos = F.col(position) if isinstance(position, str) else position
+    t = role_tags(pos) if tags is None else (F.col(tags) if isinstance(tags, str) else tags)
+    return leads(t) | matches_any(pos, SENIORITY_WORDS)

@@ -9,6 +9,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions import sqltext as sx
+
 #: Unicode space separators at either end (U+00A0 included). Spark's ``trim``
 #: only strips ASCII space, while the export parser stripped every Unicode
 #: blank, so this is the trim the Silver layer uses.
@@ -19,23 +21,50 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Each helper has an SQL-text form (``*_sql``: column name or SQL text in,
+# SQL text out) used to build wide projections in one parse, and a Column
+# form; a name given to the Column form goes through the SQL text.
+def trim_ws_sql(c: str) -> str:
+    return f"regexp_replace({sx.ref(c)}, {sx.lit(_EDGE_SPACE)}, '')"
+
+
 def trim_ws(c: str | Column) -> Column:
-    return F.regexp_replace(col_(c), _EDGE_SPACE, "")
+    if isinstance(c, str):
+        return F.expr(trim_ws_sql(c))
+    return F.regexp_replace(c, _EDGE_SPACE, "")
+
+
+def nullif_blank_sql(c: str) -> str:
+    return f"nullif({trim_ws_sql(c)}, '')"
 
 
 def nullif_blank(c: str | Column) -> Column:
     """``nullif(trim(x), '')``: blank and null collapse to null."""
+    if isinstance(c, str):
+        return F.expr(nullif_blank_sql(c))
     trimmed = trim_ws(c)
     return F.when(trimmed == "", F.lit(None).cast("string")).otherwise(trimmed)
 
 
+def is_blank_sql(c: str) -> str:
+    return f"(coalesce({trim_ws_sql(c)}, '') = '')"
+
+
 def is_blank(c: str | Column) -> Column:
     """True for null, empty or all-space values."""
+    if isinstance(c, str):
+        return F.expr(is_blank_sql(c))
     return F.coalesce(trim_ws(c), F.lit("")) == ""
 
 
+def normalise_company_sql(c: str) -> str:
+    return f"regexp_replace(lower({trim_ws_sql(c)}), {sx.lit(r'\s+')}, ' ')"
+
+
 def normalise_company(c: str | Column) -> Column:
     """Lower-case, trim and squeeze inner whitespace so spelling variants merge."""
+    if isinstance(c, str):
+        return F.expr(normalise_company_sql(c))
     return F.regexp_replace(F.lower(trim_ws(c)), r"\s+", " ")
 
 

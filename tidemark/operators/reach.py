@@ -106,7 +106,7 @@ def family_depth(df: DataFrame, n: int = DEPTH_TOP, position: str = "position")
     top = (
         df.groupBy(tx.job_family(position).alias("family"))
         .agg(F.count(F.lit(1)).alias("connections"),
-             _count_if(tx.seniority(F.col(position))).alias("senior"))
+             _count_if(tx.seniority(position)).alias("senior"))
         .orderBy(F.desc("connections"), F.asc("family"))
         .limit(n)
     )
@@ -143,8 +143,8 @@ def concentration(df: DataFrame, n: int = CONCENTRATION_TOP, minimum: int = STRO
 def career_stage(df: DataFrame, position: str = "position") -> DataFrame:
     n = F.count(F.lit(1))
     counts = {
-        "senior": _count_if(tx.seniority(F.col(position))),
-        "early_career": _count_if(tx.has_tag(tx.role_tags(position), tx.EARLY_CAREER)),
+        "senior": _count_if(tx.seniority(position)),
+        "early_career": _count_if(tx.has_tag(tx.role_tags_sql(position), tx.EARLY_CAREER)),
         "with_email": _count_if(F.col("email_address").isNotNull()),
         "no_company": _count_if(F.col("company").isNull()),
     }

@@ -11,9 +11,11 @@ the plain window exactly (ties in ``o`` are broken arbitrarily in both).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import sqltext as sx
+
 
 def row_number_in_groups(
     df: DataFrame,
@@ -28,19 +30,16 @@ def row_number_in_groups(
     ``order_col`` must be an integral column; a dense key puts at most
     ``2**bucket_bits`` rows of a group in one task.
     """
-    bucket = F.shiftright(F.col(order_col).cast("long"), bucket_bits)
-    keyed = df.withColumn("_rn_bucket", bucket)
-    counts = keyed.groupBy(*group_cols, "_rn_bucket").agg(F.count(F.lit(1)).alias("_rn_n"))
-    before = Window.partitionBy(*group_cols).orderBy("_rn_bucket").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    offsets = counts.select(
-        *group_cols, "_rn_bucket", (F.sum("_rn_n").over(before) - F.col("_rn_n")).alias("_rn_off")
-    )
-    local = Window.partitionBy(*group_cols, "_rn_bucket").orderBy(order_col)
-    numbered = keyed.withColumn("_rn_local", F.row_number().over(local))
-    return (
-        numbered.join(offsets, [*group_cols, "_rn_bucket"], "left")
-        .withColumn(out_col, (F.col("_rn_off") + F.col("_rn_local")).cast("int"))
-        .drop("_rn_bucket", "_rn_local", "_rn_off")
+    g = ", ".join(sx.ref(c) for c in group_cols)
+    order = sx.ref(order_col)
+    keyed = df.selectExpr("*", f"shiftright(CAST({order} AS BIGINT), {bucket_bits}) AS _rn_bucket")
+    offsets = keyed.groupBy(*group_cols, "_rn_bucket").agg(F.expr("count(1) AS _rn_n")).selectExpr(
+        *[sx.ref(c) for c in group_cols], "_rn_bucket",
+        f"sum(_rn_n) OVER (PARTITION BY {g} ORDER BY _rn_bucket "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - _rn_n AS _rn_off",
     )
+    numbered = keyed.selectExpr(
+        "*", f"row_number() OVER (PARTITION BY {g}, _rn_bucket ORDER BY {order}) AS _rn_local")
+    keep = [sx.ref(c) for c in [*group_cols, *(c for c in df.columns if c not in group_cols)]]
+    return numbered.join(offsets, [*group_cols, "_rn_bucket"], "left").selectExpr(
+        *keep, f"CAST(_rn_off + _rn_local AS INT) AS {sx.ref(out_col)}")

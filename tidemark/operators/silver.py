@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import date_key, parse_export_date
-from tidemark.functions.keys import surrogate_key
-from tidemark.functions.text import nullif_blank, normalise_company, trim_ws
+from tidemark.functions import sqltext as sx
+from tidemark.functions.dates import date_key_sql, parse_export_date_sql
+from tidemark.functions.keys import surrogate_key_sql
+from tidemark.functions.text import nullif_blank_sql, normalise_company_sql, trim_ws_sql
 
 #: Fixed value: label given to a missing employer.
 UNKNOWN_LABEL = "(unknown)"
@@ -29,20 +30,17 @@ _CLEAN_COLUMNS = (
 
 def clean(bronze: DataFrame) -> DataFrame:
     """Trim every text column to null-if-blank and parse the export date."""
-    return bronze.select(
-        nullif_blank("url").alias("connection_id"),
-        nullif_blank("first_name").alias("first_name"),
-        nullif_blank("last_name").alias("last_name"),
-        nullif_blank("email_address").alias("email_address"),
-        nullif_blank("company").alias("company"),
-        nullif_blank("position").alias("position"),
-        parse_export_date("connected_on").alias("connected_on"),
-        nullif_blank("connected_on").alias("connected_on_raw"),
-        F.col("snapshot_ts").cast("timestamp").alias("snapshot_ts"),
+    return bronze.selectExpr(
+        f"{nullif_blank_sql('url')} AS connection_id",
+        *[f"{nullif_blank_sql(c)} AS `{c}`"
+          for c in ("first_name", "last_name", "email_address", "company", "position")],
+        f"{parse_export_date_sql('connected_on')} AS connected_on",
+        f"{nullif_blank_sql('connected_on')} AS connected_on_raw",
+        "CAST(snapshot_ts AS TIMESTAMP) AS snapshot_ts",
         "file_hash",
         "source_object",
-        F.col("source_row_number").cast("int").alias("source_row_number"),
-        F.col("ingested_at").cast("timestamp").alias("ingested_at"),
+        "CAST(source_row_number AS INT) AS source_row_number",
+        "CAST(ingested_at AS TIMESTAMP) AS ingested_at",
     )
 
 
@@ -59,40 +57,37 @@ def dedup(cleaned: DataFrame) -> DataFrame:
     # the struct orders by its first fields: source row number, then object key
     lead = ["source_row_number", "source_object"]
     rest = lead + [c for c in _CLEAN_COLUMNS if c not in ("snapshot_ts", *lead)]
-    key = F.coalesce(
-        F.concat(F.lit("i:"), F.col("connection_id")),
-        F.concat(F.lit("n:"), F.coalesce(F.col("file_hash"), F.lit("")), F.lit(":"),
-                 F.col("source_row_number").cast("string")),
-    )
+    key = ("coalesce(concat('i:', connection_id), concat('n:', coalesce(file_hash, ''), ':', "
+           "CAST(source_row_number AS STRING)))")
     firsts = (
-        cleaned.groupBy("snapshot_ts", key.alias("_dedup_key"))
-        .agg(F.min(F.struct(*rest)).alias("_first"))
+        cleaned.groupBy("snapshot_ts", F.expr(key).alias("_dedup_key"))
+        .agg(F.expr(f"min(struct({', '.join(f'`{c}`' for c in rest)})) AS _first"))
     )
-    return firsts.select("snapshot_ts", "_first.*").select(*_CLEAN_COLUMNS)
+    return firsts.selectExpr(*[c if c == "snapshot_ts" else f"_first.`{c}`" for c in _CLEAN_COLUMNS])
 
 
 def derive(deduped: DataFrame) -> DataFrame:
     """Names, employer label/key, date keys and flags."""
-    label = F.coalesce(F.col("company"), F.lit(UNKNOWN_LABEL))
-    full = trim_ws(F.concat_ws(" ", F.col("first_name"), F.col("last_name")))
-    normalised = normalise_company(label)
-    return deduped.select(
+    label = f"coalesce(company, {sx.lit(UNKNOWN_LABEL)})"
+    full = trim_ws_sql("concat_ws(' ', first_name, last_name)")
+    normalised = normalise_company_sql(label)
+    return deduped.selectExpr(
         "connection_id", "first_name", "last_name",
-        F.when(full != "", full).alias("full_name"),
+        f"CASE WHEN {full} != '' THEN {full} END AS full_name",
         "email_address", "company",
-        label.alias("company_label"),
-        normalised.alias("company_normalised"),
-        surrogate_key(normalised).alias("company_key"),
-        "position",
-        F.lower("position").alias("position_normalised"),
+        f"{label} AS company_label",
+        f"{normalised} AS company_normalised",
+        f"{surrogate_key_sql(normalised)} AS company_key",
+        "`position`",
+        "lower(`position`) AS position_normalised",
         "connected_on", "connected_on_raw",
-        date_key("connected_on").alias("connected_on_date_key"),
+        f"{date_key_sql('connected_on')} AS connected_on_date_key",
         "snapshot_ts",
-        F.col("snapshot_ts").cast("date").alias("snapshot_date"),
-        date_key("snapshot_ts").alias("snapshot_date_key"),
+        "CAST(snapshot_ts AS DATE) AS snapshot_date",
+        f"{date_key_sql('snapshot_ts')} AS snapshot_date_key",
         "file_hash", "source_object", "source_row_number", "ingested_at",
-        F.col("connection_id").isNotNull().alias("is_identifiable"),
-        F.col("email_address").isNotNull().alias("has_email"),
+        "connection_id IS NOT NULL AS is_identifiable",
+        "email_address IS NOT NULL AS has_email",
     )
 
 

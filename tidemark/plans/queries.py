@@ -263,7 +263,7 @@ def q_taxonomy_join(spark, sf):
 @query("seniority")
 def q_seniority(spark, sf):
     return identifiable(silver(spark, sf)).select(
-        "connection_id", "snapshot_ts", tx.seniority(F.col("position")).alias("is_senior"))
+        "connection_id", "snapshot_ts", tx.seniority("position").alias("is_senior"))
 
 
 @query("months_since")

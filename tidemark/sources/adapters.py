@@ -9,10 +9,10 @@ grows linearly with the source table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.functions.keys import build_object_key
+from tidemark.functions import sqltext as sx
+from tidemark.functions.keys import build_object_key_sql
 from tidemark.operators.rownum import row_number_in_groups
 
 # ---------------------------------------------------------------------------
@@ -43,8 +43,9 @@ BRONZE_TEXT_COLUMNS = (
 )
 
 
-def _pick(values: tuple[str | None, ...], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (index + 1).cast("int"))
+def _pick(values: tuple[str | None, ...], index: str) -> str:
+    """SQL text: the ``index``-th (0-based) entry of a fixed vocabulary."""
+    return f"element_at({sx.str_array(values)}, CAST(({index}) + 1 AS INT))"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,45 +53,36 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _bronze_meta(df: DataFrame) -> DataFrame:
-    file_hash = F.md5(F.col("snapshot_ts").cast("string"))
-    return df.withColumns(
-        {
-            "file_hash": file_hash,
-            "source_object": build_object_key(LANDING_PREFIX, F.col("snapshot_ts"), file_hash),
-            "ingested_at": F.col("snapshot_ts") + F.expr("INTERVAL 1 HOUR"),
-        }
+    file_hash = "md5(CAST(snapshot_ts AS STRING))"
+    return df.selectExpr(
+        *BRONZE_TEXT_COLUMNS, "snapshot_ts",
+        f"{file_hash} AS file_hash",
+        f"{build_object_key_sql(LANDING_PREFIX, 'snapshot_ts', file_hash)} AS source_object",
+        "source_row_number",
+        "snapshot_ts + INTERVAL 1 HOUR AS ingested_at",
     )
 
 
 def raw_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze-shaped daily exports from ``events``: entity = user, export = day."""
     ev = _read(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    ts = F.col("ts").cast("timestamp")
-    d = F.datediff(ts.cast("date"), F.lit(DAY_ORIGIN).cast("date"))
-    uid = F.col("user_id")
-    connected = F.date_format(
-        F.date_add(F.lit(CONNECTED_ORIGIN).cast("date"), (uid % 1000).cast("int")), "dd MMM yyyy"
-    )
-    rows = ev.select(
+    day = f"datediff(CAST(CAST(ts AS TIMESTAMP) AS DATE), DATE {sx.lit(DAY_ORIGIN)})"
+    uid = "CAST(user_id AS STRING)"
+    connected = (f"date_format(date_add(DATE {sx.lit(CONNECTED_ORIGIN)}, CAST(user_id % 1000 AS INT)), "
+                 "'dd MMM yyyy')")
+    rows = ev.selectExpr(
         "event_id",
-        F.date_trunc("day", ts).alias("snapshot_ts"),
-        F.concat(F.lit("U"), uid.cast("string")).alias("first_name"),
-        F.concat(F.lit("N"), (uid % 7).cast("string")).alias("last_name"),
-        F.when(F.col("event_id") % 20 == 0, F.lit(""))
-        .otherwise(F.concat(F.lit("https://example.com/in/u-"), uid.cast("string")))
-        .alias("url"),
-        F.when(uid % 4 == 0, F.concat(F.lit("u"), uid.cast("string"), F.lit("@example.com")))
-        .otherwise(F.lit(""))
-        .alias("email_address"),
-        _pick(COMPANIES, (uid * 7 + F.floor(d / 5)) % 11).alias("company"),
-        _pick(TITLES, (uid + F.floor(d / 10)) % 17).alias("position"),
-        F.when(uid % 50 == 7, F.lit("n/a")).otherwise(connected).alias("connected_on"),
+        "date_trunc('day', CAST(ts AS TIMESTAMP)) AS snapshot_ts",
+        f"concat('U', {uid}) AS first_name",
+        "concat('N', CAST(user_id % 7 AS STRING)) AS last_name",
+        f"CASE WHEN event_id % 20 = 0 THEN '' ELSE concat('https://example.com/in/u-', {uid}) END AS url",
+        f"CASE WHEN user_id % 4 = 0 THEN concat('u', {uid}, '@example.com') ELSE '' END AS email_address",
+        f"{_pick(COMPANIES, f'(user_id * 7 + floor({day} / 5)) % 11')} AS company",
+        f"{_pick(TITLES, f'(user_id + floor({day} / 10)) % 17')} AS position",
+        f"CASE WHEN user_id % 50 = 7 THEN 'n/a' ELSE {connected} END AS connected_on",
     )
     numbered = row_number_in_groups(rows, ["snapshot_ts"], "event_id", "source_row_number")
-    return _bronze_meta(numbered).select(
-        *BRONZE_TEXT_COLUMNS, "snapshot_ts", "file_hash", "source_object",
-        "source_row_number", "ingested_at",
-    )
+    return _bronze_meta(numbered)
 
 
 def raw_snap_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,20 +90,17 @@ def raw_snap_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"
     )
-    ck = F.col("o_custkey")
-    rows = o.select(
+    ck = "CAST(o_custkey AS STRING)"
+    rows = o.selectExpr(
         "o_orderkey",
-        F.date_trunc("quarter", F.col("o_orderdate").cast("timestamp")).alias("snapshot_ts"),
-        F.concat(F.lit("C"), ck.cast("string")).alias("first_name"),
-        F.lit("Customer").alias("last_name"),
-        F.concat(F.lit("https://example.com/c/"), ck.cast("string")).alias("url"),
-        F.lit("").alias("email_address"),
-        F.col("o_orderpriority").alias("company"),
-        F.col("o_orderstatus").alias("position"),
-        F.date_format(F.col("o_orderdate"), "dd MMM yyyy").alias("connected_on"),
+        "date_trunc('quarter', CAST(o_orderdate AS TIMESTAMP)) AS snapshot_ts",
+        f"concat('C', {ck}) AS first_name",
+        "'Customer' AS last_name",
+        f"concat('https://example.com/c/', {ck}) AS url",
+        "'' AS email_address",
+        "o_orderpriority AS company",
+        "o_orderstatus AS position",
+        "date_format(o_orderdate, 'dd MMM yyyy') AS connected_on",
     )
     numbered = row_number_in_groups(rows, ["snapshot_ts"], "o_orderkey", "source_row_number")
-    return _bronze_meta(numbered).select(
-        *BRONZE_TEXT_COLUMNS, "snapshot_ts", "file_hash", "source_object",
-        "source_row_number", "ingested_at",
-    )
+    return _bronze_meta(numbered)
