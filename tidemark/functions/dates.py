@@ -42,6 +42,17 @@ def as_date_lit(day: dt.date | str) -> Column:
     return F.lit(str(day)).cast("date")
 
 
+def months_since_sql(c: str, today: dt.date | str) -> str:
+    start = f"unix_micros(CAST({sx.ref(c)} AS TIMESTAMP))"
+    end = f"unix_micros(CAST(CAST({sx.lit(str(today))} AS DATE) AS TIMESTAMP))"
+    return f"(floor(({end} - {start}) / 86400000000) / {sx.lit(DAYS_PER_MONTH)})"
+
+
+def warmth_sql(months: str, points: int, tau_months: float) -> str:
+    value = f"bround({sx.lit(float(points))} * exp((-({months})) / {sx.lit(float(tau_months))}), 0)"
+    return f"CASE WHEN ({months}) IS NOT NULL AND ({months}) >= 0 THEN CAST({value} AS INT) END"
+
+
 def months_since(c: str | Column, today: dt.date | str) -> Column:
     """Whole days from a moment to midnight of ``today``, divided by 30.44.
 

@@ -8,10 +8,11 @@ one per export and the window groups are bounded by the number of exports.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import surrogate_key
+from tidemark.functions import sqltext as sx
+from tidemark.functions.keys import surrogate_key_sql
 
 FACT_COLUMNS = (
     "connection_snapshot_key", "connection_id", "snapshot_ts", "snapshot_date",
@@ -27,45 +28,37 @@ def snapshot_sequence(rows: DataFrame, ts_col: str = "snapshot_ts") -> DataFrame
 
     The global window is safe: its input is one row per export.
     """
-    w = Window.orderBy(ts_col)
-    return (
-        rows.select(ts_col).distinct()
-        .select(
-            ts_col,
-            F.row_number().over(w).cast("int").alias("snapshot_sequence"),
-            F.lag(ts_col).over(w).alias("previous_snapshot_ts"),
-            F.lead(ts_col).over(w).alias("next_snapshot_ts"),
-        )
+    ts = sx.ref(ts_col)
+    w = f"OVER (ORDER BY {ts})"
+    return rows.select(ts_col).distinct().selectExpr(
+        ts,
+        f"CAST(row_number() {w} AS INT) AS snapshot_sequence",
+        f"lag({ts}) {w} AS previous_snapshot_ts",
+        f"lead({ts}) {w} AS next_snapshot_ts",
     )
 
 
 def fact_with_flow(silver: DataFrame) -> DataFrame:
     """Fact rows plus ``next_snapshot_ts`` / ``is_lost_at_next`` for churn."""
-    s = silver.filter(F.col("is_identifiable")).select(
+    s = silver.where("is_identifiable").select(
         "connection_id", "company_key", "company_label", "position", "connected_on",
         "connected_on_date_key", "snapshot_ts", "snapshot_date", "snapshot_date_key",
         "has_email", "file_hash",
     )
     seq = snapshot_sequence(s)
-    w = Window.partitionBy("connection_id").orderBy("snapshot_ts")
-    j = (
-        s.join(seq, "snapshot_ts")
-        .withColumn("_prev_seen", F.lag("snapshot_ts").over(w))
-        .withColumn("_next_seen", F.lead("snapshot_ts").over(w))
-    )
-    prev_global, next_global = F.col("previous_snapshot_ts"), F.col("next_snapshot_ts")
-    return j.select(
-        surrogate_key("connection_id", "snapshot_ts").alias("connection_snapshot_key"),
+    w = "OVER (PARTITION BY connection_id ORDER BY snapshot_ts)"
+    return s.join(seq, "snapshot_ts").selectExpr(
+        f"{surrogate_key_sql('connection_id', 'snapshot_ts')} AS connection_snapshot_key",
         "connection_id", "snapshot_ts", "snapshot_date", "snapshot_date_key",
         "snapshot_sequence", "previous_snapshot_ts", "company_key", "company_label",
-        "position", "connected_on", "connected_on_date_key", "has_email", "file_hash",
-        F.col("_prev_seen").isNull().alias("is_first_appearance"),
-        (prev_global.isNotNull() & ~F.coalesce(F.col("_prev_seen") == prev_global, F.lit(False)))
-        .alias("is_new_since_previous_snapshot"),
-        F.datediff("snapshot_date", "connected_on").cast("int").alias("days_connected_at_snapshot"),
+        "`position`", "connected_on", "connected_on_date_key", "has_email", "file_hash",
+        f"lag(snapshot_ts) {w} IS NULL AS is_first_appearance",
+        "previous_snapshot_ts IS NOT NULL AND NOT coalesce("
+        f"lag(snapshot_ts) {w} = previous_snapshot_ts, FALSE) AS is_new_since_previous_snapshot",
+        "CAST(datediff(snapshot_date, connected_on) AS INT) AS days_connected_at_snapshot",
         "next_snapshot_ts",
-        (next_global.isNotNull() & ~F.coalesce(F.col("_next_seen") == next_global, F.lit(False)))
-        .alias("is_lost_at_next"),
+        "next_snapshot_ts IS NOT NULL AND NOT coalesce("
+        f"lead(snapshot_ts) {w} = next_snapshot_ts, FALSE) AS is_lost_at_next",
     )
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import sqltext as sx
 from tidemark.operators.fact import snapshot_sequence
 
 DIM_COLUMNS = (
@@ -27,15 +28,23 @@ DIM_COLUMNS = (
 SCD_COLUMNS = (*DIM_COLUMNS, "source_snapshot_ts", "scd_id", "valid_from", "valid_to")
 
 
+def scd_id_sql(entity: str, valid_from: str) -> str:
+    e, v = sx.ref(entity), sx.ref(valid_from)
+    return f"md5(concat(coalesce(CAST({e} AS STRING), ''), '|', coalesce(CAST({v} AS STRING), '')))"
+
+
 def scd_id(entity: str | Column, valid_from: str | Column) -> Column:
+    if isinstance(entity, str) and isinstance(valid_from, str):
+        return F.expr(scd_id_sql(entity, valid_from))
     e = F.col(entity) if isinstance(entity, str) else entity
     v = F.col(valid_from) if isinstance(valid_from, str) else valid_from
     return F.md5(F.concat(F.coalesce(e.cast("string"), F.lit("")), F.lit("|"),
                           F.coalesce(v.cast("string"), F.lit(""))))
 
 
-def _changed(a: Column, b: Column) -> Column:
-    return ~a.eqNullSafe(b)
+def _changed(a: str, b: str) -> str:
+    """Null-safe inequality (SQL text)."""
+    return f"NOT ({a} <=> {b})"
 
 
 def replay(
@@ -45,30 +54,29 @@ def replay(
     tracked: tuple[str, ...] = ("company", "position"),
     ts: str = "snapshot_ts",
 ) -> DataFrame:
-    rows = silver.filter(F.col("is_identifiable")).select(*DIM_COLUMNS, ts)
+    rows = silver.where("is_identifiable").select(*DIM_COLUMNS, ts)
     seq = snapshot_sequence(rows, ts).select(ts, "previous_snapshot_ts", "next_snapshot_ts")
-    w = Window.partitionBy(entity).orderBy(ts)
-    starts = F.lag(ts).over(w).isNull() | _changed(F.lag(ts).over(w), F.col("previous_snapshot_ts"))
-    for c in tracked:
-        starts = starts | _changed(F.lag(c).over(w), F.col(c))
-    flagged = rows.join(seq, ts).withColumn("_start", starts)
-    ends = F.coalesce(F.lead("_start").over(w), F.lit(True))
-    bounds = flagged.withColumn("_end", ends).filter("_start OR _end")
-    closes_at = F.when(F.col("_end"), F.col("next_snapshot_ts")).otherwise(
-        F.lead("next_snapshot_ts").over(w)
-    )
-    return bounds.withColumn("valid_to", closes_at).filter("_start").select(
-        *DIM_COLUMNS,
-        F.col(ts).alias("source_snapshot_ts"),
-        scd_id(entity, ts).alias("scd_id"),
-        F.col(ts).alias("valid_from"),
+    t = sx.ref(ts)
+    w = f"OVER (PARTITION BY {sx.ref(entity)} ORDER BY {t})"
+    starts = " OR ".join([
+        f"lag({t}) {w} IS NULL", _changed(f"lag({t}) {w}", "previous_snapshot_ts"),
+        *[_changed(f"lag({sx.ref(c)}) {w}", sx.ref(c)) for c in tracked],
+    ])
+    flagged = rows.join(seq, ts).selectExpr("*", f"{starts} AS _start")
+    bounds = flagged.selectExpr("*", f"coalesce(lead(_start) {w}, TRUE) AS _end").where("_start OR _end")
+    closes_at = f"CASE WHEN _end THEN next_snapshot_ts ELSE lead(next_snapshot_ts) {w} END"
+    return bounds.selectExpr("*", f"{closes_at} AS valid_to").where("_start").selectExpr(
+        *[sx.ref(c) for c in DIM_COLUMNS],
+        f"{t} AS source_snapshot_ts",
+        f"{scd_id_sql(entity, ts)} AS scd_id",
+        f"{t} AS valid_from",
         "valid_to",
     )
 
 
 def latest_export(silver: DataFrame, ts: str = "snapshot_ts") -> DataFrame:
     """Identified rows of the newest export (scalar subquery on max ts)."""
-    ident = silver.filter(F.col("is_identifiable"))
+    ident = silver.where("is_identifiable")
     return ident.filter(F.col(ts) == ident.agg(F.max(ts)).scalar())
 
 
@@ -81,36 +89,29 @@ def apply(
     ts: str = "snapshot_ts",
 ) -> DataFrame:
     """Fold the newest export into the history; effective time = its snapshot ts."""
-    open_v = dim.filter(F.col("valid_to").isNull())
-    closed_v = dim.filter(F.col("valid_to").isNotNull())
-    new = latest.select(*DIM_COLUMNS, F.col(ts).alias("_eff"))
-    o, n = open_v.alias("o"), new.alias("n")
-    j = o.join(n, F.col(f"o.{entity}") == F.col(f"n.{entity}"), "full_outer")
-    has_o, has_n = F.col(f"o.{entity}").isNotNull(), F.col(f"n.{entity}").isNotNull()
-    differs = F.lit(False)
-    for c in tracked:
-        differs = differs | _changed(F.col(f"o.{c}"), F.col(f"n.{c}"))
-    eff_ts = latest.agg(F.max(ts)).scalar()
-    old = F.struct(
-        *[F.col(f"o.{c}").alias(c) for c in DIM_COLUMNS],
-        F.col("o.source_snapshot_ts").alias("source_snapshot_ts"),
-        F.col("o.scd_id").alias("scd_id"),
-        F.col("o.valid_from").alias("valid_from"),
-        F.when(~has_n | differs, eff_ts).alias("valid_to"),
-    )
-    fresh = F.struct(
-        *[F.col(f"n.{c}").alias(c) for c in DIM_COLUMNS],
-        F.col("n._eff").alias("source_snapshot_ts"),
-        scd_id(F.col(f"n.{entity}"), F.col("n._eff")).alias("scd_id"),
-        F.col("n._eff").alias("valid_from"),
-        F.lit(None).cast("timestamp").alias("valid_to"),
-    )
-    out = (
-        j.select(F.explode(F.array(F.when(has_o, old), F.when(has_n & (~has_o | differs), fresh)))
-                .alias("v"))
-        .filter(F.col("v").isNotNull())
-        .select("v.*")
-    )
+    open_v = dim.where("valid_to IS NULL")
+    closed_v = dim.where("valid_to IS NOT NULL")
+    new = latest.selectExpr(*[sx.ref(c) for c in DIM_COLUMNS], f"{sx.ref(ts)} AS _eff")
+    e = sx.ref(entity)
+    j = open_v.alias("o").join(new.alias("n"), F.expr(f"o.{e} = n.{e}"), "full_outer") \
+        .withColumn("_eff_ts", latest.agg(F.max(ts)).scalar())
+    has_o, has_n = f"(o.{e} IS NOT NULL)", f"(n.{e} IS NOT NULL)"
+    differs = "(" + " OR ".join([_changed(f"o.{sx.ref(c)}", f"n.{sx.ref(c)}") for c in tracked] or ["FALSE"]) + ")"
+    old = "named_struct(" + ", ".join([
+        *[f"{sx.lit(c)}, o.{sx.ref(c)}" for c in DIM_COLUMNS],
+        "'source_snapshot_ts', o.source_snapshot_ts", "'scd_id', o.scd_id",
+        "'valid_from', o.valid_from",
+        f"'valid_to', CASE WHEN NOT {has_n} OR {differs} THEN _eff_ts END",
+    ]) + ")"
+    fresh = "named_struct(" + ", ".join([
+        *[f"{sx.lit(c)}, n.{sx.ref(c)}" for c in DIM_COLUMNS],
+        "'source_snapshot_ts', n._eff", f"'scd_id', {scd_id_sql(f'n.{e}', 'n._eff')}",
+        "'valid_from', n._eff", "'valid_to', CAST(NULL AS TIMESTAMP)",
+    ]) + ")"
+    out = j.selectExpr(
+        f"explode(array(CASE WHEN {has_o} THEN {old} END, "
+        f"CASE WHEN {has_n} AND (NOT {has_o} OR {differs}) THEN {fresh} END)) AS v"
+    ).where("v IS NOT NULL").selectExpr("v.*")
     return out.unionByName(closed_v.select(*SCD_COLUMNS))
 
 
