@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import as_date_lit, date_key
+from tidemark.functions import sqltext as sx
+from tidemark.functions.dates import date_key_sql
 from tidemark.operators.silver import UNKNOWN_LABEL
 
 
@@ -20,28 +21,28 @@ def dim_company(silver: DataFrame, dim: DataFrame) -> DataFrame:
     ``(unknown)`` bucket, typically the biggest key, is pre-aggregated per
     map task instead of landing whole in one window partition.
     """
-    s = silver.filter(F.col("is_identifiable"))
-    recency = F.struct((-F.unix_micros("snapshot_ts")).alias("t"), F.col("company_label").alias("l"))
-    agg = s.groupBy("company_key").agg(
-        F.min_by("company_label", recency).alias("company_name"),
-        F.min("company_normalised").alias("company_normalised"),
-        F.min("snapshot_ts").alias("first_seen_snapshot_ts"),
-        F.max("snapshot_ts").alias("last_seen_snapshot_ts"),
-        F.min("connected_on").alias("first_connected_on"),
-        F.max("connected_on").alias("last_connected_on"),
-        F.count_distinct("connection_id").alias("connections_ever"),
-    )
+    s = silver.where("is_identifiable")
+    agg = s.groupBy("company_key").agg(*[F.expr(e) for e in (
+        "min_by(company_label, named_struct('t', -unix_micros(snapshot_ts), 'l', company_label))"
+        " AS company_name",
+        "min(company_normalised) AS company_normalised",
+        "min(snapshot_ts) AS first_seen_snapshot_ts",
+        "max(snapshot_ts) AS last_seen_snapshot_ts",
+        "min(connected_on) AS first_connected_on",
+        "max(connected_on) AS last_connected_on",
+        "count(DISTINCT connection_id) AS connections_ever",
+    )])
     cur = (
-        dim.filter(F.col("valid_to").isNull())
+        dim.where("valid_to IS NULL")
         .groupBy("company_key")
-        .agg(F.count(F.lit(1)).alias("current_connection_count"))
+        .agg(F.expr("count(1) AS current_connection_count"))
     )
-    return agg.join(cur, "company_key", "left").select(
+    return agg.join(cur, "company_key", "left").selectExpr(
         "company_key", "company_name", "company_normalised",
-        (F.col("company_name") == UNKNOWN_LABEL).alias("is_unknown_company"),
+        f"company_name = {sx.lit(UNKNOWN_LABEL)} AS is_unknown_company",
         "first_seen_snapshot_ts", "last_seen_snapshot_ts", "first_connected_on",
         "last_connected_on", "connections_ever",
-        F.coalesce("current_connection_count", F.lit(0)).alias("current_connection_count"),
+        "coalesce(current_connection_count, 0) AS current_connection_count",
     )
 
 
@@ -51,33 +52,28 @@ def dim_date(silver: DataFrame, today: dt.date | str) -> DataFrame:
     The spine is at most one row per calendar day, so generating it from a
     single bounds row is bounded by the date range, not by the data.
     """
-    t = as_date_lit(today)
+    t = f"CAST({sx.lit(str(today))} AS DATE)"
     bounds = silver.agg(
-        F.coalesce(F.min("connected_on"), t).alias("start_date"),
-        F.greatest(
-            F.coalesce(F.max("connected_on"), t), F.coalesce(F.max("snapshot_date"), t)
-        ).alias("end_date"),
-    )
-    days = bounds.select(
-        F.explode(F.sequence("start_date", "end_date", F.expr("INTERVAL 1 DAY"))).alias("date_day")
+        F.expr(f"coalesce(min(connected_on), {t}) AS start_date"),
+        F.expr(f"greatest(coalesce(max(connected_on), {t}), coalesce(max(snapshot_date), {t})) AS end_date"),
     )
-    d = F.col("date_day")
-    iso_dow = (F.weekday(d) + 1).cast("int")
-    return days.select(
-        date_key(d).alias("date_key"),
-        d,
-        F.year(d).alias("calendar_year"),
-        F.quarter(d).alias("calendar_quarter"),
-        F.month(d).alias("calendar_month"),
-        F.date_format(d, "MMMM").alias("month_name"),
-        F.date_format(d, "yyyy-MM").alias("year_month"),
-        F.dayofmonth(d).alias("day_of_month"),
-        iso_dow.alias("iso_day_of_week"),
-        F.date_format(d, "EEEE").alias("day_name"),
-        F.weekofyear(d).alias("iso_week"),
-        F.trunc(d, "month").alias("month_start_date"),
-        F.last_day(d).alias("month_end_date"),
-        (iso_dow >= 6).alias("is_weekend"),
+    days = bounds.selectExpr("explode(sequence(start_date, end_date, INTERVAL 1 DAY)) AS date_day")
+    iso_dow = "CAST(weekday(date_day) + 1 AS INT)"
+    return days.selectExpr(
+        f"{date_key_sql('date_day')} AS date_key",
+        "date_day",
+        "year(date_day) AS calendar_year",
+        "quarter(date_day) AS calendar_quarter",
+        "month(date_day) AS calendar_month",
+        "date_format(date_day, 'MMMM') AS month_name",
+        "date_format(date_day, 'yyyy-MM') AS year_month",
+        "dayofmonth(date_day) AS day_of_month",
+        f"{iso_dow} AS iso_day_of_week",
+        "date_format(date_day, 'EEEE') AS day_name",
+        "weekofyear(date_day) AS iso_week",
+        "trunc(date_day, 'month') AS month_start_date",
+        "last_day(date_day) AS month_end_date",
+        f"{iso_dow} >= 6 AS is_weekend",
     )
 
 
@@ -87,16 +83,15 @@ def current_entities(dim: DataFrame, company: DataFrame, entity: str = "connecti
     The version count is a window over the entity (at most one row per
     export), so no separate aggregate + join is needed.
     """
-    versions = dim.withColumn("_versions", F.count(F.lit(1)).over(Window.partitionBy(entity)))
-    cur = versions.filter(F.col("valid_to").isNull())
-    comp = company.select(
-        "company_key", "company_name",
-        F.col("current_connection_count").alias("company_connection_count"),
-    )
-    return cur.join(comp, "company_key", "left").select(
-        entity, "full_name", "first_name", "last_name", "email_address", "company",
-        "company_key", "company_name", "company_connection_count", "position",
+    e = sx.ref(entity)
+    versions = dim.withColumn("_versions", F.expr(f"count(1) OVER (PARTITION BY {e})"))
+    cur = versions.where("valid_to IS NULL")
+    comp = company.selectExpr(
+        "company_key", "company_name", "current_connection_count AS company_connection_count")
+    return cur.join(comp, "company_key", "left").selectExpr(
+        e, "full_name", "first_name", "last_name", "email_address", "company",
+        "company_key", "company_name", "company_connection_count", "`position`",
         "connected_on", "valid_from",
-        (F.col("_versions") > 1).alias("has_previous_version"),
-        F.col("valid_to").isNull().alias("is_current"),
+        "_versions > 1 AS has_previous_version",
+        "valid_to IS NULL AS is_current",
     )

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import sqltext as sx
 from tidemark.operators.silver import UNKNOWN_LABEL
 
 
@@ -13,6 +14,16 @@ def _count_if(cond) -> F.Column:
     return F.count(F.when(cond, F.lit(1))).cast("int")
 
 
+def _count_if_sql(cond: str) -> str:
+    return f"CAST(count(CASE WHEN {cond} THEN 1 END) AS INT)"
+
+
+def pct_sql(part: str, whole: str, digits: int = 2) -> str:
+    """SQL text of :func:`pct` over column names (or SQL text)."""
+    p, w = sx.ref(part), sx.ref(whole)
+    return f"round(100.0D * {p} / CASE WHEN {w} != 0 THEN {w} END, {digits})"
+
+
 def pct(part, whole, digits: int = 2) -> F.Column:
     """round(100·part/whole, digits) in double arithmetic; null when whole is 0."""
     whole = F.col(whole) if isinstance(whole, str) else whole
@@ -31,46 +42,43 @@ def network_stats(fact_flow: DataFrame, silver: DataFrame) -> DataFrame:
     a lag over the aggregated table (one row per export). Exports without
     identified rows have no fact rows and no stats row, as in the reference.
     """
-    null_ts = F.lit(None).cast("timestamp")
-    facts = fact_flow.select(
-        "snapshot_ts", F.lit(True).alias("_is_fact"), "snapshot_date_key", "snapshot_sequence",
+    facts = fact_flow.selectExpr(
+        "snapshot_ts", "TRUE AS _is_fact", "snapshot_date_key", "snapshot_sequence",
         "previous_snapshot_ts", "company_key", "company_label", "has_email",
         "is_new_since_previous_snapshot", "is_lost_at_next",
-        F.lit(None).cast("boolean").alias("is_identifiable"),
-        F.lit(None).cast("string").alias("company"), F.lit(None).cast("string").alias("position"),
-    )
-    rows = silver.select(
-        "snapshot_ts", F.lit(False).alias("_is_fact"), F.lit(None).cast("int").alias("snapshot_date_key"),
-        F.lit(None).cast("int").alias("snapshot_sequence"), null_ts.alias("previous_snapshot_ts"),
-        F.lit(None).cast("string").alias("company_key"), F.lit(None).cast("string").alias("company_label"),
-        F.lit(None).cast("boolean").alias("has_email"),
-        F.lit(None).cast("boolean").alias("is_new_since_previous_snapshot"),
-        F.lit(None).cast("boolean").alias("is_lost_at_next"),
-        "is_identifiable", "company", "position",
-    )
-    f, s = F.col("_is_fact"), ~F.col("_is_fact")
-    per = facts.unionByName(rows).groupBy("snapshot_ts").agg(
-        F.min("snapshot_date_key").alias("snapshot_date_key"),
-        F.min("snapshot_sequence").alias("snapshot_sequence"),
-        F.min("previous_snapshot_ts").alias("previous_snapshot_ts"),
-        _count_if(f).alias("total_connections"),
-        F.count_distinct(
-            F.when(f & (F.col("company_label") != UNKNOWN_LABEL), F.col("company_key"))
-        ).cast("int").alias("distinct_companies"),
-        _count_if(f & F.col("has_email")).alias("connections_with_email"),
-        _count_if(f & F.col("is_new_since_previous_snapshot")).alias("new_connections"),
-        _count_if(f & F.col("is_lost_at_next")).alias("_lost_at_next"),
-        _count_if(s & ~F.col("is_identifiable")).alias("restricted_profile_rows"),
-        _count_if(s & F.col("company").isNull()).alias("connections_without_company"),
-        _count_if(s & F.col("position").isNull()).alias("connections_without_position"),
-    ).filter(F.col("total_connections") > 0)
-    lost = F.coalesce(F.lag("_lost_at_next").over(Window.orderBy("snapshot_ts")), F.lit(0))
-    return per.withColumn("lost_connections", lost.cast("int")).select(
+        "CAST(NULL AS BOOLEAN) AS is_identifiable",
+        "CAST(NULL AS STRING) AS company", "CAST(NULL AS STRING) AS `position`",
+    )
+    rows = silver.selectExpr(
+        "snapshot_ts", "FALSE AS _is_fact", "CAST(NULL AS INT) AS snapshot_date_key",
+        "CAST(NULL AS INT) AS snapshot_sequence", "CAST(NULL AS TIMESTAMP) AS previous_snapshot_ts",
+        "CAST(NULL AS STRING) AS company_key", "CAST(NULL AS STRING) AS company_label",
+        "CAST(NULL AS BOOLEAN) AS has_email",
+        "CAST(NULL AS BOOLEAN) AS is_new_since_previous_snapshot",
+        "CAST(NULL AS BOOLEAN) AS is_lost_at_next",
+        "is_identifiable", "company", "`position`",
+    )
+    per = facts.unionByName(rows).groupBy("snapshot_ts").agg(*[F.expr(e) for e in (
+        "min(snapshot_date_key) AS snapshot_date_key",
+        "min(snapshot_sequence) AS snapshot_sequence",
+        "min(previous_snapshot_ts) AS previous_snapshot_ts",
+        f"{_count_if_sql('_is_fact')} AS total_connections",
+        f"CAST(count(DISTINCT CASE WHEN _is_fact AND company_label != {sx.lit(UNKNOWN_LABEL)} "
+        "THEN company_key END) AS INT) AS distinct_companies",
+        f"{_count_if_sql('_is_fact AND has_email')} AS connections_with_email",
+        f"{_count_if_sql('_is_fact AND is_new_since_previous_snapshot')} AS new_connections",
+        f"{_count_if_sql('_is_fact AND is_lost_at_next')} AS _lost_at_next",
+        f"{_count_if_sql('NOT _is_fact AND NOT is_identifiable')} AS restricted_profile_rows",
+        f"{_count_if_sql('NOT _is_fact AND company IS NULL')} AS connections_without_company",
+        f"{_count_if_sql('NOT _is_fact AND `position` IS NULL')} AS connections_without_position",
+    )]).where("total_connections > 0")
+    lost = "CAST(coalesce(lag(_lost_at_next) OVER (ORDER BY snapshot_ts), 0) AS INT)"
+    return per.selectExpr("*", f"{lost} AS lost_connections").selectExpr(
         "snapshot_ts", "snapshot_date_key", "snapshot_sequence", "previous_snapshot_ts",
         "total_connections", "new_connections", "lost_connections",
-        (F.col("new_connections") - F.col("lost_connections")).cast("int").alias("net_change"),
+        "CAST(new_connections - lost_connections AS INT) AS net_change",
         "distinct_companies", "connections_with_email",
-        pct("connections_with_email", "total_connections").alias("email_coverage_pct"),
+        f"{pct_sql('connections_with_email', 'total_connections')} AS email_coverage_pct",
         "restricted_profile_rows", "connections_without_company", "connections_without_position",
     )
 
@@ -117,30 +125,28 @@ def _by_grouping_sets(fact: DataFrame) -> DataFrame:
     """All three dimensions in ONE aggregation pass (GROUPING SETS): the fact
     is read and shuffled once; only the small company-label table gets a
     second (label election) aggregation."""
-    base = fact.select(
+    base = fact.selectExpr(
         "snapshot_ts", "company_key", "company_label",
-        F.coalesce("position", F.lit(UNKNOWN_LABEL)).alias("pos"),
-        F.date_format("connected_on", "yyyy-MM").alias("ym"),
+        f"coalesce(`position`, {sx.lit(UNKNOWN_LABEL)}) AS pos",
+        "date_format(connected_on, 'yyyy-MM') AS ym",
     )
     keys = ["snapshot_ts", "company_key", "company_label", "pos", "ym"]
     sets = [["snapshot_ts", "company_key", "company_label"], ["snapshot_ts", "pos"],
             ["snapshot_ts", "ym"]]
-    g = base.groupingSets(sets, *keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_gid"))
+    g = base.groupingSets(sets, *keys).agg(F.expr("count(1) AS _n"), F.expr("grouping_id() AS _gid"))
     # grouping_id bits follow ``keys``; a set bit means "not grouped by"
     gid = {COMPANY: 0b00011, POSITION: 0b01101, YEAR_MONTH: 0b01110}
-    vote = F.struct((-F.col("_n")).alias("n"), F.col("company_label").alias("l"))
-    companies = g.filter(F.col("_gid") == gid[COMPANY]).groupBy("snapshot_ts", "company_key").agg(
-        F.min_by("company_label", vote).alias("dimension_value"),
-        F.sum("_n").alias("connection_count"),
-    ).select("snapshot_ts", F.lit(COMPANY).alias("dimension_type"), "dimension_value",
-             "connection_count")
-    positions = g.filter(F.col("_gid") == gid[POSITION]).select(
-        "snapshot_ts", F.lit(POSITION).alias("dimension_type"),
-        F.col("pos").alias("dimension_value"), F.col("_n").alias("connection_count"))
-    months = g.filter(F.col("_gid") == gid[YEAR_MONTH]).select(
-        "snapshot_ts", F.lit(YEAR_MONTH).alias("dimension_type"),
-        F.col("ym").alias("dimension_value"), F.col("_n").alias("connection_count"))
+    companies = g.where(f"_gid = {gid[COMPANY]}").groupBy("snapshot_ts", "company_key").agg(
+        F.expr("min_by(company_label, named_struct('n', -_n, 'l', company_label)) AS dimension_value"),
+        F.expr("sum(_n) AS connection_count"),
+    ).selectExpr("snapshot_ts", f"{sx.lit(COMPANY)} AS dimension_type", "dimension_value",
+                 "connection_count")
+    positions = g.where(f"_gid = {gid[POSITION]}").selectExpr(
+        "snapshot_ts", f"{sx.lit(POSITION)} AS dimension_type", "pos AS dimension_value",
+        "_n AS connection_count")
+    months = g.where(f"_gid = {gid[YEAR_MONTH]}").selectExpr(
+        "snapshot_ts", f"{sx.lit(YEAR_MONTH)} AS dimension_type", "ym AS dimension_value",
+        "_n AS connection_count")
     return companies.unionByName(positions).unionByName(months)
 
 
@@ -153,12 +159,12 @@ def breakdown(fact: DataFrame, method: str = "grouping_sets") -> DataFrame:
     never over raw rows.
     """
     combined = _by_union(fact) if method == "union" else _by_grouping_sets(fact)
-    part = Window.partitionBy("snapshot_ts", "dimension_type")
-    ranked = part.orderBy(F.desc("connection_count"), F.asc_nulls_last("dimension_value"))
-    return combined.select(
+    part = "PARTITION BY snapshot_ts, dimension_type"
+    return combined.selectExpr(
         "snapshot_ts", "dimension_type", "dimension_value", "connection_count",
-        F.row_number().over(ranked).alias("rank_within_dimension"),
-        pct("connection_count", F.sum("connection_count").over(part)).alias("share_pct"),
+        f"row_number() OVER ({part} ORDER BY connection_count DESC, dimension_value ASC NULLS LAST)"
+        " AS rank_within_dimension",
+        f"{pct_sql('connection_count', f'sum(connection_count) OVER ({part})')} AS share_pct",
     )
 
 
