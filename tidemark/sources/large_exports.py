@@ -118,7 +118,14 @@ def _snake(c):
 
 
 def parse_large_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Parse the given export files split-parallel; output = ``PARSED_SCHEMA``."""
+    """Parse the given export files split-parallel; output = ``PARSED_SCHEMA``.
+
+    The per-split offset tables and the per-file header table grow with the
+    input (one row per split / per file), so no join here carries a broadcast
+    hint: adaptive execution broadcasts them only after measuring them, and
+    otherwise plans a sort-merge join whose skewed partitions (one huge file
+    on the ``path`` key) it splits.
+    """
     csv_opts = {"quote": '"', "escape": '"'}
     field_schema = ", ".join(f"c{i} STRING" for i in range(MAX_FIELDS))
     raw = spark.read.text(paths).select(
@@ -135,7 +142,7 @@ def parse_large_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("line_off"),
         (F.coalesce(F.sum("par").over(before), F.lit(0)) % 2).cast("int").alias("par_off"),
     )
-    lines = local.join(F.broadcast(offsets), ["path", "blk"]).withColumns({
+    lines = local.join(offsets, ["path", "blk"]).withColumns({
         "line_no": F.col("line_off") + F.col("pos"),
         "p_abs": (F.col("par_off") + F.col("qpar_before")) % 2,
     })
@@ -145,7 +152,7 @@ def parse_large_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.min_by(F.struct("line_no", "p_abs", "value"), "line_no").alias("h"))
     files = headers.select("path", F.col("h.line_no").alias("header_line"),
                            F.col("h.p_abs").alias("header_par"), F.col("h.value").alias("header"))
-    data = lines.join(F.broadcast(files), "path").filter(F.col("line_no") > F.col("header_line"))
+    data = lines.join(files, "path").filter(F.col("line_no") > F.col("header_line"))
     p_rel = (F.col("p_abs") + F.col("header_par")) % 2
     data = data.withColumns({
         "is_start": (p_rel == 0) & (F.col("value") != ""),
@@ -157,7 +164,7 @@ def parse_large_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
                                     "is_start boolean, is_cont boolean, ends_open boolean, local_rec long")
     rec_off = (counted.groupBy("path", "blk").agg(F.max("local_rec").alias("k"))
                .select("path", "blk", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("rec_off")))
-    recs = counted.join(F.broadcast(rec_off), ["path", "blk"]).withColumn(
+    recs = counted.join(rec_off, ["path", "blk"]).withColumn(
         "row_no", F.col("rec_off") + F.col("local_rec"))
     multi = recs.filter("is_cont").select("path", "row_no").distinct()
     single = recs.filter("is_start").join(multi, ["path", "row_no"], "left_anti").select(
@@ -190,7 +197,7 @@ def parse_large_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
     files = files.withColumns({"schema_error": schema_err,
                                "snake": F.transform("names", lambda x: _snake(x))})
 
-    parsed = records.join(F.broadcast(files), "path").withColumn(
+    parsed = records.join(files, "path").withColumn(
         "f", F.from_csv("record", field_schema, csv_opts))
     # commas outside quotes separate fields: that count tells an empty field
     # ('') from a field the row does not have (null), and finds over-long rows
