@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import sqltext as sx
+
 ERROR, WARN = "error", "warn"
 
 # The export's profile-URL and date-format contracts.
@@ -109,8 +111,8 @@ def unique(*cols: str, where: Column | None = None, severity: str = ERROR) -> Ch
     def failing(df: DataFrame) -> DataFrame:
         d = df.filter(where) if where is not None else df
         if len(cols) == 1:
-            d = d.filter(F.col(cols[0]).isNotNull())
-        return d.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+            d = d.where(f"`{cols[0]}` IS NOT NULL")
+        return d.groupBy(*cols).agg(F.expr("count(1) AS _n")).where("_n > 1")
 
     return Check(name=f"unique:{','.join(cols)}", severity=severity, failures=failing)
 
@@ -154,9 +156,9 @@ def run_checks(df: DataFrame, checks: list[Check], by: list[str] | None = None)
             continue
         if by:
             raise ValueError(f"check {c.name} cannot be grouped")
-        n = c.failures(df).agg(F.count(F.lit(1)).alias("failed_rows"))
-        parts.append(n.select(F.lit(c.name).alias("check"), F.lit(c.severity).alias("severity"),
-                              "failed_rows", (F.col("failed_rows") == 0).alias("passed")))
+        n = c.failures(df).agg(F.expr("count(1) AS failed_rows"))
+        parts.append(n.selectExpr(f"{sx.lit(c.name)} AS check", f"{sx.lit(c.severity)} AS severity",
+                                  "failed_rows", "failed_rows = 0 AS passed"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import sqltext as sx
 from tidemark.operators import fact as fact_ops
 from tidemark.operators import marts
 from tidemark.operators import silver as silver_ops
@@ -485,7 +486,7 @@ def bronze_suite() -> list:
 
 
 def _tagged(df, table):
-    return df.select(F.lit(table).alias("table"), *df.columns)
+    return df.selectExpr(f"{sx.lit(table)} AS `table`", *[f"`{c}`" for c in df.columns])
 
 
 @query("dq_suite")
