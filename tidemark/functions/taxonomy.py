@@ -128,7 +128,7 @@ def matches_any(c: str | Column, keywords) -> Column:
     return F.coalesce(c.rlike(keyword_regex(tuple(keywords))), F.lit(False))
 
 
-def _tag_predicates_sql(c: str) -> dict[str, str]:
+def tag_predicates_sql(c: str) -> dict[str, str]:
     preds = {tag: matches_any_sql(c, kws) for tag, kws in TAG_KEYWORDS}
     c_level = f"coalesce({sx.ref(c)} RLIKE {sx.lit('(?iU)' + C_LEVEL_PATTERN)}, FALSE)"
     preds[EXECUTIVE] = f"({preds[EXECUTIVE]} OR {c_level})"
@@ -137,7 +137,7 @@ def _tag_predicates_sql(c: str) -> dict[str, str]:
 
 def tag_predicates(c: str | Column) -> dict[str, Column]:
     if isinstance(c, str):
-        return {t: F.expr(p) for t, p in _tag_predicates_sql(c).items()}
+        return {t: F.expr(p) for t, p in tag_predicates_sql(c).items()}
     preds = {tag: matches_any(c, kws) for tag, kws in TAG_KEYWORDS}
     c_level = F.coalesce(c.rlike("(?iU)" + C_LEVEL_PATTERN), F.lit(False))
     preds[EXECUTIVE] = preds[EXECUTIVE] | c_level
@@ -145,7 +145,7 @@ def tag_predicates(c: str | Column) -> dict[str, Column]:
 
 
 def role_tags_sql(c: str) -> str:
-    preds = _tag_predicates_sql(c)
+    preds = tag_predicates_sql(c)
     items = ", ".join(f"CASE WHEN {preds[t]} THEN {sx.lit(t)} END" for t in ALL_TAGS)
     return f"filter(array({items}), x -> x IS NOT NULL)"
 

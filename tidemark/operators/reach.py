@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import sqltext as sx
 from tidemark.functions import taxonomy as tx
-from tidemark.functions.text import is_blank
+from tidemark.functions.text import is_blank_sql
 from tidemark.operators.silver import UNKNOWN_LABEL
 
 # Reach weights and report sizes.
@@ -30,18 +31,22 @@ def _count_if(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1))).cast("long")
 
 
+def _count_if_sql(cond: str) -> str:
+    return f"CAST(count(CASE WHEN {cond} THEN 1 END) AS BIGINT)"
+
+
 def classify(df: DataFrame, target=tx.TARGET_FAMILIES, adjacent=tx.ADJACENT_FAMILIES,
              position: str = "position") -> DataFrame:
     """family, is_core, is_data, is_recruiter, is_data_leader per row."""
     with_tf = df.withColumns({"family": tx.job_family(position), "_tags": tx.role_tags(position)})
-    fam, tags = F.col("family"), F.col("_tags")
-    is_data = fam.isin(*target, *adjacent)
+    is_data = sx.in_list("family", (*target, *adjacent))
     return with_tf.withColumns(
         {
-            "is_core": fam.isin(*target),
-            "is_data": is_data,
-            "is_recruiter": tx.has_tag(tags, tx.RECRUITER_TALENT),
-            "is_data_leader": tx.leads(tags) & (is_data | tx.has_tag(tags, tx.TARGET_PEER)),
+            "is_core": F.expr(sx.in_list("family", target)),
+            "is_data": F.expr(is_data),
+            "is_recruiter": F.expr(tx.has_tag_sql("_tags", tx.RECRUITER_TALENT)),
+            "is_data_leader": F.expr(f"{tx.leads_sql('_tags')} AND "
+                                     f"({is_data} OR {tx.has_tag_sql('_tags', tx.TARGET_PEER)})"),
         }
     ).drop("_tags")
 
@@ -49,21 +54,22 @@ def classify(df: DataFrame, target=tx.TARGET_FAMILIES, adjacent=tx.ADJACENT_FAMI
 def company_reach(df: DataFrame, target=tx.TARGET_FAMILIES, adjacent=tx.ADJACENT_FAMILIES,
                   company: str = "company_name") -> DataFrame:
     """One row per named employer with the ways in; ordered reach desc, name asc."""
-    named = classify(df, target, adjacent).filter(
-        ~is_blank(company) & (F.col(company) != UNKNOWN_LABEL)
-    )
-    agg = named.groupBy(F.col(company).alias("company")).agg(
-        F.count(F.lit(1)).alias("connections"),
-        _count_if(F.col("is_core")).alias("core_peers"),
-        _count_if(F.col("is_data")).alias("data_people"),
-        _count_if(F.col("is_data_leader")).alias("data_leaders"),
-        _count_if(F.col("is_recruiter")).alias("recruiters"),
-    )
-    reach = (F.col("core_peers") * WEIGHT_CORE + F.col("data_leaders") * WEIGHT_DATA_LEADER
-             + F.col("recruiters") * WEIGHT_RECRUITER + F.col("data_people") * WEIGHT_DATA_PERSON)
-    return agg.withColumns(
-        {"reach": reach, "has_front_door": F.col("recruiters") > 0}
-    ).select(*REACH_COLUMNS).orderBy(F.desc("reach"), F.asc("company"))
+    c = sx.ref(company)
+    named = classify(df, target, adjacent).where(
+        f"NOT {is_blank_sql(company)} AND {c} != {sx.lit(UNKNOWN_LABEL)}")
+    agg = named.groupBy(F.expr(f"{c} AS company")).agg(*[F.expr(e) for e in (
+        "count(1) AS connections",
+        f"{_count_if_sql('is_core')} AS core_peers",
+        f"{_count_if_sql('is_data')} AS data_people",
+        f"{_count_if_sql('is_data_leader')} AS data_leaders",
+        f"{_count_if_sql('is_recruiter')} AS recruiters",
+    )])
+    reach = (f"core_peers * {WEIGHT_CORE} + data_leaders * {WEIGHT_DATA_LEADER} + "
+             f"recruiters * {WEIGHT_RECRUITER} + data_people * {WEIGHT_DATA_PERSON}")
+    return agg.selectExpr(
+        "company", f"{reach} AS reach", "core_peers", "data_people", "data_leaders", "recruiters",
+        "recruiters > 0 AS has_front_door", "connections",
+    ).orderBy(F.desc("reach"), F.asc("company"))
 
 
 def top_reach(reach: DataFrame, n: int = REACH_TOP) -> DataFrame:
@@ -95,8 +101,8 @@ def reach_filter(reach: DataFrame, door: str = "any", in_field: bool = True) ->
 
 def family_counts(df: DataFrame, n: int = FAMILY_TOP, position: str = "position") -> DataFrame:
     return (
-        df.groupBy(tx.job_family(position).alias("family"))
-        .agg(F.count(F.lit(1)).alias("connections"))
+        df.groupBy(F.expr(f"{tx.job_family_sql(position)} AS family"))
+        .agg(F.expr("count(1) AS connections"))
         .orderBy(F.desc("connections"), F.asc("family"))
         .limit(n)
     )
@@ -104,23 +110,21 @@ def family_counts(df: DataFrame, n: int = FAMILY_TOP, position: str = "position"
 
 def family_depth(df: DataFrame, n: int = DEPTH_TOP, position: str = "position") -> DataFrame:
     top = (
-        df.groupBy(tx.job_family(position).alias("family"))
-        .agg(F.count(F.lit(1)).alias("connections"),
-             _count_if(tx.seniority(position)).alias("senior"))
+        df.groupBy(F.expr(f"{tx.job_family_sql(position)} AS family"))
+        .agg(F.expr("count(1) AS connections"),
+             F.expr(f"{_count_if_sql(tx.seniority_sql(position))} AS senior"))
         .orderBy(F.desc("connections"), F.asc("family"))
         .limit(n)
     )
-    return top.withColumn("senior_share", F.lit(100.0) * F.col("senior") / F.col("connections"))
+    return top.withColumn("senior_share", F.expr("100.0D * senior / connections"))
 
 
 def tag_counts(df: DataFrame, position: str = "position") -> DataFrame:
     """Connections per role tag (multi-label) plus the untagged bucket."""
-    preds = tx.tag_predicates(position)
-    any_tag = F.lit(False)
-    for p in preds.values():
-        any_tag = any_tag | p
-    wide = df.agg(*[_count_if(preds[t]).alias(t) for t in tx.ALL_TAGS],
-                  _count_if(~any_tag).alias(tx.UNTAGGED))
+    preds = tx.tag_predicates_sql(position)
+    any_tag = "(" + " OR ".join(preds.values()) + ")"
+    wide = df.agg(*[F.expr(f"{_count_if_sql(preds[t])} AS `{t}`") for t in tx.ALL_TAGS],
+                  F.expr(f"{_count_if_sql(f'NOT {any_tag}')} AS `{tx.UNTAGGED}`"))
     names = (*tx.ALL_TAGS, tx.UNTAGGED)
     stack = ", ".join(f"'{t}', `{t}`" for t in names)
     return wide.select(F.expr(f"stack({len(names)}, {stack}) AS (tag, connections)"))
@@ -141,16 +145,15 @@ def concentration(df: DataFrame, n: int = CONCENTRATION_TOP, minimum: int = STRO
 
 
 def career_stage(df: DataFrame, position: str = "position") -> DataFrame:
-    n = F.count(F.lit(1))
     counts = {
-        "senior": _count_if(tx.seniority(position)),
-        "early_career": _count_if(tx.has_tag(tx.role_tags_sql(position), tx.EARLY_CAREER)),
-        "with_email": _count_if(F.col("email_address").isNotNull()),
-        "no_company": _count_if(F.col("company").isNull()),
+        "senior": tx.seniority_sql(position),
+        "early_career": tx.has_tag_sql(tx.role_tags_sql(position), tx.EARLY_CAREER),
+        "with_email": "email_address IS NOT NULL",
+        "no_company": "company IS NULL",
     }
-    wide = df.agg(n.alias("connections"), *[v.alias(k) for k, v in counts.items()])
-    return wide.select(
+    wide = df.agg(F.expr("count(1) AS connections"),
+                  *[F.expr(f"{_count_if_sql(v)} AS {k}") for k, v in counts.items()])
+    return wide.selectExpr(
         "connections",
-        *[x for k in counts for x in (F.col(k), (F.lit(100.0) * F.col(k) / F.col("connections"))
-                                      .alias(f"{k}_pct"))],
+        *[x for k in counts for x in (k, f"100.0D * {k} / connections AS {k}_pct")],
     )
