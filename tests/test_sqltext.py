@@ -87,3 +87,18 @@ def test_month_arithmetic_sql_equals_column(spark):
     ).collect()
     for r in rows:
         assert r["ms"] == r["mc"] and r["ws"] == r["wc"], r
+
+
+def test_entry_pins_standard_literal_escaping(spark):
+    """A session that reads literals raw would corrupt escaped regexes; the
+    driver entry points reset it before building any query."""
+    import __spark_entry__ as entry
+
+    spark.conf.set("spark.sql.parser.escapedStringLiterals", "true")
+    try:
+        df = entry.queries()["role_tags"](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get("spark.sql.parser.escapedStringLiterals") == "false"
+        assert spark.range(1).select(F.expr(sx.lit(r"\b(?:a)\b")).alias("p")).first()["p"] == r"\b(?:a)\b"
+        assert df.count() >= 0
+    finally:
+        spark.conf.set("spark.sql.parser.escapedStringLiterals", "false")

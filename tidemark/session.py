@@ -14,6 +14,8 @@ from pyspark.sql import SparkSession
 BASE_CONF: dict[str, str] = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # SQL-text expressions escape their string literals for the standard parser
+    "spark.sql.parser.escapedStringLiterals": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
