@@ -37,6 +37,15 @@ def test_typed_literals(spark):
     assert r["d"] == 30.44 and r["n"] is None and r["arr"] == ["a", None, "b"]
 
 
+def test_float_literals(spark):
+    import math
+
+    vals = [30.44, 1e-05, 1e20, -2.5, float("inf"), float("-inf"), float("nan")]
+    r = spark.range(1).select(*[F.expr(sx.lit(v)).alias(f"f{i}") for i, v in enumerate(vals)]).first()
+    for i, v in enumerate(vals):
+        assert (math.isnan(r[f"f{i}"]) if math.isnan(v) else r[f"f{i}"] == v), (v, r[f"f{i}"])
+
+
 def test_ref_quotes_names_only():
     assert sx.ref("position") == "`position`"
     assert sx.ref("lower(position)") == "lower(position)"

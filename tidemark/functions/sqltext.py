@@ -9,6 +9,7 @@ the same Catalyst expression, so plans and results do not change.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column
@@ -26,6 +27,8 @@ def lit(value) -> str:
     if isinstance(value, int):
         return str(value)
     if isinstance(value, float):
+        if math.isnan(value) or math.isinf(value):
+            return f"CAST('{value!r}' AS DOUBLE)"
         return f"{value!r}D"
     s = str(value).replace("\\", "\\\\").replace("'", "\\'")
     return f"'{s}'"
