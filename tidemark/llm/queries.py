@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import op1_quality, op4_mixing, op7_urls, op8_tokens, op9_licenses, op10_language
+from tidemark.llm import op1_quality, op4_mixing, op6_topk, op7_urls, op8_tokens, op9_licenses, op10_language
 from tidemark.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op4_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_mixing.raked_mixture(read(spark, sf_dir, "documents"))
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_topk.exact_top_k(read(spark, sf_dir, "embeddings"), every=20)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_urls.url_verdicts(read(spark, sf_dir, "pages"))
 
@@ -39,11 +43,12 @@ def op10_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_repetition_quality, op4_raked_mixture, op7_url_filter, op8_token_counts, op9_license_scan, op10_language_mix,
+    op1_repetition_quality, op4_raked_mixture, op6_exact_topk, op7_url_filter, op8_token_counts, op9_license_scan, op10_language_mix,
 )}
 
 ORACLES = {
     "op4_raked_mixture": op4_mixing.raked_mixture_sql(),
+    "op6_exact_topk": op6_topk.exact_top_k_sql(every=20),
     "op7_url_filter": op7_urls.url_verdicts_sql(),
     "op9_license_scan": op9_licenses.license_scan_sql(),
 }
