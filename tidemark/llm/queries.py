@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import op1_quality, op2_html, op4_mixing, op6_topk, op7_urls, op8_tokens, op9_licenses, op10_language
+from tidemark.llm import op1_quality, op2_html, op4_mixing, op5_pieces, op6_topk, op7_urls, op8_tokens, op9_licenses, op10_language
 from tidemark.llm.common import read
 
 
@@ -26,6 +26,12 @@ def op4_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_mixing.raked_mixture(read(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the encodings: counts, a hash of the ids in order, round trip."""
+    return (op5_pieces.encode_documents(read(spark, sf_dir, "documents"), tokenizer_path(op5_pieces.MODEL))
+            .selectExpr("doc_id", "n_tokens", "n_chunks", "xxhash64(ids) as ids_hash", "round_trip"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_topk.exact_top_k(read(spark, sf_dir, "embeddings"), every=20)
 
@@ -47,7 +53,7 @@ def op10_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_repetition_quality, op2_host_consensus_text, op4_raked_mixture, op6_exact_topk, op7_url_filter, op8_token_counts, op9_license_scan, op10_language_mix,
+    op1_repetition_quality, op2_host_consensus_text, op4_raked_mixture, op5_sentencepiece, op6_exact_topk, op7_url_filter, op8_token_counts, op9_license_scan, op10_language_mix,
 )}
 
 ORACLES = {
