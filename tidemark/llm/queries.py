@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import op1_quality, op2_html, op4_mixing, op5_pieces, op6_topk, op7_urls, op8_tokens, op9_licenses, op10_language
+from tidemark.llm import op1_quality, op2_html, op3_minhash, op4_mixing, op5_pieces, op6_topk, op7_urls, op8_tokens, op9_licenses, op10_language
 from tidemark.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op2_host_consensus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_html.extract_main_text(read(spark, sf_dir, "pages"))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_mixing.raked_mixture(read(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_repetition_quality, op2_host_consensus_text, op4_raked_mixture, op5_sentencepiece, op6_exact_topk, op7_url_filter, op8_token_counts, op9_license_scan, op10_language_mix,
+    op1_repetition_quality, op2_host_consensus_text, op3_minhash_dedup, op4_raked_mixture, op5_sentencepiece, op6_exact_topk, op7_url_filter, op8_token_counts, op9_license_scan, op10_language_mix,
 )}
 
 ORACLES = {
