@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lut, row_slices, utf8_view
+from tidemark.llm.common import packed, row_slices, utf8_view
 
 BUCKETS = 1 << 12
 MAX_LANGUAGES = 256
@@ -186,15 +186,8 @@ def language(text: Column, model: Model) -> Column:
     return F.arrow_udf(run, kind)(text)
 
 
-def _predicted(docs: DataFrame, model: Model, text: str) -> tuple[DataFrame, str]:
-    name = "_language"
-    while name in docs.columns:
-        name += "_"
-    return docs.withColumn(name, language(F.col(f"`{text}`"), model)), name
-
-
 def _no_letter(text: str) -> str:
-    return f"(`{text}` is null or not `{text}` rlike '\\\\p{{L}}')"
+    return f"({text} is null or not {text} rlike '\\\\p{{L}}')"
 
 
 def language_mix(docs: DataFrame, model: Model | None = None, doc_id: str = "doc_id", text: str = "text",
@@ -202,18 +195,20 @@ def language_mix(docs: DataFrame, model: Model | None = None, doc_id: str = "doc
     """doc_id, held_out, lang_pred, score, languages, shares of every document;
     without a model, one is learned from ``docs``."""
     model = model or learn(docs, doc_id, text, lang)
-    rows, name = _predicted(docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text"), model, "text")
     none = _no_letter("text")
-    return rows.selectExpr(
-        "doc_id", f"{held_out()} as held_out",
-        f"case when {none} then '{UND}' else {name}.lang end as lang_pred",
-        f"case when {none} then 0D else {name}.score end as score",
-        f"case when {none} then array() else {name}.languages end as languages",
-        f"case when {none} then array() else {name}.shares end as shares")
+    return (docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text")
+            .withColumn("p", language(F.col("text"), model))
+            .selectExpr("doc_id", f"{held_out()} as held_out",
+                        f"case when {none} then '{UND}' else p.lang end as lang_pred",
+                        f"case when {none} then 0D else p.score end as score",
+                        f"case when {none} then array() else p.languages end as languages",
+                        f"case when {none} then array() else p.shares end as shares"))
 
 
 def keep_known(docs: DataFrame, min_share: float = 0.4, text: str = "text", **columns) -> DataFrame:
     """The documents whose main language is known and holds ``min_share`` of
     the text, with their own columns only."""
-    rows, name = _predicted(docs, learn(docs, text=text, **columns), text)
-    return rows.where(f"not {_no_letter(text)} and {name}.lang <> '{UND}' and {name}.score >= {min_share!r}D").drop(name)
+    model = learn(docs, text=text, **columns)
+    return (packed(docs).withColumn("p", language(F.col(f"row.`{text}`"), model))
+            .where(f"not {_no_letter(f'row.`{text}`')} and p.lang <> '{UND}' and p.score >= {min_share!r}D")
+            .select("row.*"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, RollingHash, lut, mix64, per_row, row_slices, utf8_view, words_of
+from tidemark.llm.common import SPACE, RollingHash, lut, mix64, packed, per_row, row_slices, utf8_view, words_of
 
 #: Production limits: share of word characters inside n-grams found twice or
 #: more, by n-gram length, and share of line characters in repeated lines.
@@ -116,8 +116,10 @@ def measure(buf: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...], hash
 
 def quality(text: Column, max_coverage: dict[int, float] | None = None,
             max_line_coverage: float = MAX_LINE_COVERAGE,
-            max_symbols_per_word: float = MAX_SYMBOLS_PER_WORD, min_words: int = MIN_WORDS) -> Column:
-    """Struct of the counts, coverages and verdicts of a text column."""
+            max_symbols_per_word: float = MAX_SYMBOLS_PER_WORD,
+            min_words: int = MIN_WORDS) -> tuple[Column, str, str]:
+    """Struct of the counts and coverages of a text column, and, over that
+    struct as ``s``, the SQL of the base rule's failure and of the method's."""
     limits = dict(MAX_COVERAGE if max_coverage is None else max_coverage)
     lengths = tuple(sorted(limits))
     kind = ", ".join([*(f"{f}: bigint" for f in FIELDS), *(f"coverage_{k}: double" for k in lengths),
@@ -143,25 +145,15 @@ def quality(text: Column, max_coverage: dict[int, float] | None = None,
     return stats, f"s.n_words < {min_words} or 100 * s.n_repeat_words > 50 * s.n_words", over
 
 
-def with_quality(docs: DataFrame, text: str = "text", **limits) -> tuple[DataFrame, str, str, str]:
-    """``docs`` with a struct column of statistics, its name, and the SQL
-    expressions of ``base_failed`` and of ``kept`` over it."""
-    name = "_quality"
-    while name in docs.columns:
-        name += "_"
-    stats, base, over = quality(F.col(f"`{text}`"), **limits)
-    base, over = (x.replace("s.", f"{name}.") for x in (base, over))
-    return docs.withColumn(name, stats), name, f"({base})", f"not ({base}) and not ({over})"
-
-
 def repetition_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """doc_id, counts, coverages, base_failed and kept of every document."""
-    rows, name, base, kept = with_quality(docs.select(F.col(f"`{doc_id}`").alias("doc_id"),
-                                                      F.col(f"`{text}`").alias("text")), **limits)
-    return rows.selectExpr("doc_id", f"{name}.*", f"{base} as base_failed", f"({kept}) as kept")
+    stats, base, over = quality(F.col("text"), **limits)
+    return (docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+            .select("doc_id", stats.alias("s"))
+            .selectExpr("doc_id", "s.*", f"({base}) as base_failed", f"not ({base}) and not ({over}) as kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The documents that pass, with their own columns only."""
-    rows, name, _, kept = with_quality(docs, text, **limits)
-    return rows.where(kept).drop(name)
+    stats, base, over = quality(F.col(f"row.`{text}`"), **limits)
+    return packed(docs).withColumn("s", stats).where(f"not ({base}) and not ({over})").select("row.*")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import RollingHash, cut, mix64, row_slices, utf8_view, words_of
+from tidemark.llm.common import RollingHash, cut, mix64, packed, row_slices, utf8_view, words_of
 from tidemark.llm.components import components
 
 #: Words of a shingle, percent of the union that a link needs.
@@ -271,7 +271,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     doc_id, one row)."""
     found = near_duplicates(docs, doc_id, text, words, percent, **params).where("kept")
     once = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).selectExpr("doc_id as _kept_id", "n as _kept_n"))
-    rows = docs.join(_small(once), F.expr(f"cast(`{doc_id}` as bigint) = _kept_id"))
+    rows = packed(docs).join(_small(once), F.expr(f"cast(row.`{doc_id}` as bigint) = _kept_id"))
     if once.where("_kept_n > 1").take(1):
-        rows = rows.where("_kept_n = 1").unionByName(rows.where("_kept_n > 1").dropDuplicates([doc_id]))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+        again = rows.where("_kept_n > 1").dropDuplicates(["_kept_id"])
+        rows = rows.where("_kept_n = 1").unionByName(again)
+    return rows.select("row.*")

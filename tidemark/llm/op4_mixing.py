@@ -98,12 +98,13 @@ def raked_mixture(docs: DataFrame, doc_id: str = "doc_id", powers: dict[str, flo
                                                      "kept")
 
 
-def keep_mixture(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = ROUNDS, **columns) -> DataFrame:
+def keep_mixture(docs: DataFrame, doc_id: str = "doc_id", powers: dict[str, float] | None = None,
+                 rounds: int = ROUNDS, **columns) -> DataFrame:
     """The sampled documents with their own columns only."""
-    cell = cell_expressions(**columns)
-    names = {k: f"_mix_{k}" for k in (*cell, "fraction")}
-    rows = docs.withColumns({names[k]: F.expr(v) for k, v in cell.items()} | {names["fraction"]: F.expr(_FRACTION)})
-    return mixed(rows, names, powers, rounds).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    cell = {**cell_expressions(**columns), "fraction": _FRACTION.replace("doc_id", f"`{doc_id}`")}
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+                      *(F.expr(v).alias(k) for k, v in cell.items()))
+    return mixed(own, {k: k for k in cell}, powers, rounds).where("kept").select("row.*")
 
 
 def raked_mixture_sql(powers: dict[str, float] | None = None, rounds: int = ROUNDS) -> str:
