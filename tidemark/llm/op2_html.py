@@ -67,6 +67,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 FENCE = {"ul", "ol", "table", "dl", "select", "div", "article", "section", "body", "main", "aside", "nav"}
 
 
+#: Path of the page itself, the container of blocks outside any other.
+ROOT = "/html"
+
+
 class Block:
     __slots__ = ("path", "text", "links")
 
@@ -102,7 +106,7 @@ def blocks_of(page: str) -> list[Block]:
     """The kept text blocks of a page, in order."""
     out: list[Block] = []
     # open elements: tag, path, state (0 kept, 1 headings only, 2 dropped)
-    stack: list[tuple[str, str, int]] = [("", "", 0)]
+    stack: list[tuple[str, str, int]] = [("", ROOT, 0)]
     text: list[str] = []
     links = 0
     at, end = 0, len(page)
