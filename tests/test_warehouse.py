@@ -8,7 +8,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import EXPORT_MISSING, EXPORT_V1, EXPORT_V2, KEY_TS_V1, KEY_TS_V2, put
+from conftest import EXPORT_MISSING, EXPORT_V1, EXPORT_V2, KEY_TS_V1, KEY_TS_V2, md5, put
 from tidemark.operators import scd2
 from tidemark.plans import pipeline
 from tidemark.sources import bronze as bz
@@ -118,8 +118,10 @@ def test_reingest_and_renamed_duplicate_are_noops(spark, tmp_path):
     first = landing.ingest(spark, lz, bronze)
     assert landing.ingest_report(first).first()["rows_ingested"] == 11
     assert landing.ingest_report(landing.ingest(spark, lz, bronze)).first()["objects_scanned"] == 0
-    put(lz, "20260301T000000Z", EXPORT_V1)  # same bytes, new key: the short-hash prefilter skips it
-    assert landing.ingest_report(landing.ingest(spark, lz, bronze)).first()["rows_ingested"] == 0
+    put(lz, "20260301T000000Z", EXPORT_V1)  # same bytes under a new key
+    again = landing.ingest(spark, lz, bronze).collect()
+    assert [(r["status"], r["rows_ingested"]) for r in again] == [("skipped_duplicate", 0)]
+    assert landing.ingest(spark, lz, bronze).count() == 0
     assert bz.read_bronze(spark, bronze).count() == 11
 
 
@@ -154,21 +156,63 @@ def test_unparsable_keys_are_listed_as_invalid(spark, tmp_path):
     assert got["raw/connections/not-a-key.csv"] is False and sum(got.values()) == 1
 
 
-def test_header_detection_survives_bom_and_notes():
-    from tidemark.sources import exports
-    text = "﻿Notes:\n\n" + EXPORT_V1.decode().split("\n", 3)[3]
-    assert exports.header_index(text) == 2
-    frame, idx, enc = exports.parse_one(EXPORT_V2)
-    assert (idx, enc, len(frame)) == (4, "utf-8", 12)
-    assert frame.loc[2, "first_name"] == "Cole, MSc"
-    with pytest.raises(exports.ExportError):
-        exports.parse_one(b"a,b\n1,2\n")
+def test_equal_short_hashes_do_not_hide_a_file(spark, tmp_path):
+    """Two files whose keys carry one short hash: both are looked at, and only
+    the one whose bytes do not fit its key is refused."""
+    lz, bronze = f"{tmp_path}/landing", f"{tmp_path}/bronze"
+    put(lz, KEY_TS_V1, EXPORT_V1)
+    landing.ingest(spark, lz, bronze)
+    put(lz, KEY_TS_V2, EXPORT_V2, hash8=md5(EXPORT_V1)[:8])
+    got = landing.ingest(spark, lz, bronze, on_mismatch="quarantine").collect()
+    assert [r["status"] for r in got] == ["hash_mismatch"]
+    files = landing.list_landing(spark, lz)
+    ledger = bz.read_ledger(spark, bronze)
+    assert landing.pending_objects(files, ledger.where("status = 'ingested'")).count() == 1
+    shown = {r["key"][16:32]: (r["in_bronze"], r["status"]) for r in landing.inventory(files, ledger).collect()}
+    assert shown == {KEY_TS_V1: (True, "ingested"), KEY_TS_V2: (False, "hash_mismatch")}
+
+
+def test_a_batch_that_died_is_neither_lost_nor_repeated(spark, tmp_path):
+    lz, bronze = f"{tmp_path}/landing", f"{tmp_path}/bronze"
+    put(lz, KEY_TS_V1, EXPORT_V1)
+    files = landing.list_landing(spark, lz)
+    landing.ingest_files(files, bronze, "b-1")
+    import shutil
+    shutil.move(f"{bronze}_ledger/batch_id=b-1", f"{tmp_path}/lost")  # died before the ledger was written
+    assert bz.read_bronze(spark, bronze).count() == 0
+    landing.ingest_files(files, bronze, "b-1")  # the batch again
+    assert bz.read_bronze(spark, bronze).count() == 11
+    landing.ingest_files(files, bronze, "b-1")  # a replay after all was written
+    assert bz.read_bronze(spark, bronze).count() == 11
+    assert [r["status"] for r in landing.ingest_files(files, bronze, "b-2").collect()] == ["skipped_duplicate"]
+
+
+def test_dry_run_stores_nothing(spark, tmp_path):
+    lz, bronze = f"{tmp_path}/landing", f"{tmp_path}/bronze"
+    put(lz, KEY_TS_V1, EXPORT_V1)
+    put(lz, KEY_TS_V2, EXPORT_MISSING)
+    got = {r["key"][16:32]: r for r in landing.dry_run(spark, lz, bronze).collect()}
+    assert got[KEY_TS_V1]["row_count"] == 11 and not got[KEY_TS_V1]["is_duplicate"]
+    assert "Position" in got[KEY_TS_V2]["error"] and got[KEY_TS_V2]["row_count"] is None
+    assert bz.read_bronze(spark, bronze).count() == 0
+    landing.ingest(spark, lz, bronze)
+    assert {r["key"][16:32]: r["is_duplicate"] for r in landing.dry_run(spark, lz, bronze).collect()} == {
+        KEY_TS_V1: True, KEY_TS_V2: False}
+
+
+def test_unparsable_keys_are_rejected_with_a_row(spark, tmp_path):
+    lz, bronze = f"{tmp_path}/landing", f"{tmp_path}/bronze"
+    put(lz, KEY_TS_V1, EXPORT_V1)
+    with open(f"{lz}/raw/connections/odd name.csv", "wb") as fh:
+        fh.write(EXPORT_V2)
+    got = {r["status"]: r["message"] for r in landing.ingest(spark, lz, bronze).collect()}
+    assert set(got) == {"ingested", "rejected"} and "does not parse" in got["rejected"]
 
 
 def test_streaming_is_exactly_once_by_content(spark, tmp_path):
     from tidemark.streaming import ingest as st
     lz = f"{tmp_path}/landing"
-    args = (spark, lz, f"{tmp_path}/bronze", f"{tmp_path}/ckpt", f"{tmp_path}/results")
+    args = (spark, lz, f"{tmp_path}/bronze", f"{tmp_path}/ckpt")
     put(lz, KEY_TS_V1, EXPORT_V1)
     st.run_available_now(*args)
     st.run_available_now(*args)
@@ -221,3 +265,47 @@ def test_quality_gate_aborts_before_silver(spark, tmp_path):
     assert status == {"bronze": True, "silver": False, "dim_connection": False,
                       "mart_network_stats": False}
     assert HEADER.startswith("First Name")
+
+
+def _snapshot(ts, names):
+    from conftest import export_bytes
+    return export_bytes([f"Notes of {ts}:", ""], [
+        f"{n},Example,https://www.linkedin.com/in/{n.lower()},,{c},Analyst,04 Feb 2025" for n, c in names])
+
+
+def test_history_under_late_and_several_exports(spark, tmp_path):
+    """A newest export that changed nothing, two exports in one run, then a late
+    one: the history always equals a replay of all exports."""
+    lz, wh = f"{tmp_path}/landing", f"{tmp_path}/warehouse"
+    steps = [
+        [("20260101T000000Z", [("Ann", "A")])],
+        [("20260301T000000Z", [("Ann", "A")])],
+        [("20260401T000000Z", [("Ann", "B")]), ("20260501T000000Z", [("Ann", "C"), ("Cy", "A")])],
+        [("20260201T000000Z", [("Ann", "A"), ("Bea", "A")])],
+    ]
+    how = []
+    for step in steps:
+        for ts, names in step:
+            put(lz, ts, _snapshot(ts, names))
+        rep = pipeline.run(spark, lz, wh, today=TODAY, ingested_at="2026-08-01 00:00:00").collect()
+        how.append({r["stage"]: r["detail"] for r in rep}["scd2"])
+        dim = tables.read_table(spark, wh, "dim_connection")
+        want = scd2.replay(tables.read_table(spark, wh, "silver"))
+        assert want.exceptAll(dim).count() == 0 and dim.exceptAll(want).count() == 0
+    assert how == ["replayed (first run)", "applied 1 export(s)", "applied 2 export(s)", "replayed"]
+    bea = dim.where("first_name = 'Bea'").collect()
+    assert [(r["valid_from"].month, r["valid_to"].month) for r in bea] == [(2, 3)]
+
+
+def test_a_refused_batch_stays_out_of_silver(spark, tmp_path):
+    from conftest import NOTES_V1, export_bytes
+    lz, wh = f"{tmp_path}/landing", f"{tmp_path}/warehouse"
+    put(lz, KEY_TS_V1, export_bytes(NOTES_V1, [
+        "Ann,Example,https://www.linkedin.com/in/a,,Acme,Data Analyst,2025-02-04"]))
+    with pytest.raises(pipeline.QualityGateError):
+        pipeline.run(spark, lz, wh, today=TODAY)
+    put(lz, KEY_TS_V2, EXPORT_V2)
+    with pytest.raises(pipeline.QualityGateError):
+        pipeline.run(spark, lz, wh, today=TODAY)
+    rows, failed = pipeline.gate(spark, f"{wh}/bronze", r".*")
+    assert {r["snapshot_ts"].day for r in rows.collect()} == {8} and failed

@@ -905,15 +905,15 @@ oracle("content_hash", """
         coalesce(connected_on, ''))) AS row_hash
     FROM raw_snap""", "raw_snap")
 oracle("pending_objects", """
-    SELECT DISTINCT l.source_object AS key, l.snapshot_ts, substr(l.file_hash, 1, 8) AS hash8
-    FROM raw_snap l
-    WHERE substr(l.file_hash, 1, 8) NOT IN (
-      SELECT substr(file_hash, 1, 8) FROM raw_snap
-      WHERE snapshot_ts < (SELECT max(snapshot_ts) FROM raw_snap))""", "raw_snap")
+    SELECT DISTINCT source_object AS key, snapshot_ts, substr(file_hash, 1, 8) AS hash8 FROM raw_snap
+    WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM raw_snap)
+    UNION ALL SELECT DISTINCT 'twin/' || source_object, snapshot_ts, substr(file_hash, 1, 8) FROM raw_snap""", "raw_snap")
 oracle("notification_keys", """
     SELECT DISTINCT source_object, source_object AS key FROM raw_snap""", "raw_snap")
 oracle("landing_inventory", """
-    SELECT DISTINCT snapshot_ts, true AS is_valid, false AS in_bronze FROM raw_snap""", "raw_snap")
+    SELECT snapshot_ts, true AS is_valid, snapshot_ts < max(snapshot_ts) OVER () AS in_bronze
+    FROM (SELECT DISTINCT snapshot_ts FROM raw_snap)
+    UNION ALL SELECT CAST(NULL AS TIMESTAMP), false, false""", "raw_snap")
 oracle("parse_exports", """
     SELECT snapshot_ts, source_row_number,
       coalesce(first_name, '') AS first_name, coalesce(last_name, '') AS last_name,
@@ -922,14 +922,19 @@ oracle("parse_exports", """
       coalesce(connected_on, '') AS connected_on
     FROM raw_snap""", "raw_snap")
 oracle("header_check", """
-    SELECT DISTINCT snapshot_ts, CAST([] AS VARCHAR[]) AS missing_columns,
-      CAST([] AS VARCHAR[]) AS unexpected_columns, true AS is_valid FROM raw_snap""", "raw_snap")
+    SELECT snapshot_ts, CASE WHEN k = 1 THEN ['position'] ELSE CAST([] AS VARCHAR[]) END AS missing_columns,
+      CASE WHEN k = 2 THEN ['notes'] ELSE CAST([] AS VARCHAR[]) END AS unexpected_columns, k = 0 AS is_valid
+    FROM (SELECT DISTINCT snapshot_ts, date_diff('day', DATE '2024-01-01', CAST(snapshot_ts AS DATE)) % 3 AS k
+          FROM raw_snap)""", "raw_snap")
 oracle("validate_exports", """
-    SELECT snapshot_ts, count(*) AS row_count, 3 AS header_line_index,
-      CAST(NULL AS VARCHAR) AS error, true AS is_duplicate
+    SELECT snapshot_ts, count(*) AS row_count, 3 AS header_line_index, CAST(NULL AS VARCHAR) AS error,
+      snapshot_ts < (SELECT max(snapshot_ts) FROM raw_snap) AS is_duplicate
     FROM raw_snap GROUP BY snapshot_ts""", "raw_snap")
 oracle("hash_mismatch", """
-    SELECT DISTINCT snapshot_ts, 'hash_mismatch' AS status FROM raw_snap""", "raw_snap")
+    SELECT snapshot_ts, unnest(CASE WHEN k = 1 THEN ['hash_mismatch', 'hash_mismatch']
+                                    ELSE ['ingested', 'skipped_duplicate'] END) AS status
+    FROM (SELECT DISTINCT snapshot_ts, date_diff('day', DATE '2024-01-01', CAST(snapshot_ts AS DATE)) % 2 AS k
+          FROM raw_snap)""", "raw_snap")
 oracle("bronze_append", """
     SELECT snapshot_ts, count(*) AS rows FROM raw_snap GROUP BY snapshot_ts""", "raw_snap")
 oracle("ingest_report", """

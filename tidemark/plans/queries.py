@@ -724,10 +724,13 @@ def q_content_hash(spark, sf):
 
 @query("pending_objects")
 def q_pending(spark, sf):
-    listing = exports_listing(spark, sf)
+    """Two files of one short hash: the ledger knows one of them, the other stays pending."""
+    listing = exports_listing(spark, sf).selectExpr(
+        "key", "snapshot_ts", "hash8", "cast(1 as long) as size_bytes", "snapshot_ts as last_modified")
+    twin = listing.selectExpr("concat('twin/', key) as key", "snapshot_ts", "hash8", "size_bytes", "last_modified")
     newest = listing.agg(F.max("snapshot_ts")).scalar()
-    ingested = listing.filter(F.col("snapshot_ts") < newest).select("file_hash")
-    return landing.pending_objects(listing, ingested).select("key", "snapshot_ts", "hash8")
+    ledger = listing.where(F.col("snapshot_ts") < newest).withColumn("file_hash", F.md5("hash8"))
+    return landing.pending_objects(listing.unionByName(twin), ledger).select("key", "snapshot_ts", "hash8")
 
 
 @query("notification_keys")
@@ -739,63 +742,70 @@ def q_notifications(spark, sf):
 
 @query("landing_inventory")
 def q_inventory(spark, sf):
-    root = landed(spark, sf, "inventory")
-    inv = landing.inventory(landing.list_landing(spark, f"{root}/landing"),
-                            bz_read(spark, f"{root}/bronze"))
-    return inv.select("snapshot_ts", "is_valid", "in_bronze")
+    """The older half of the exports is ingested; one key does not parse."""
+    rows = bronze(spark, sf)
+    root = scratch(spark, "inventory")
+    last = rows.agg(F.max("snapshot_ts")).scalar()
+    landing.write_exports(rows.where(F.col("snapshot_ts") < last), f"{root}/old")
+    landing.land_exports(spark, f"{root}/old", f"{root}/landing", LANDING_PREFIX)
+    landing.ingest(spark, f"{root}/landing", f"{root}/bronze", ingested_at=TODAY)
+    landing.write_exports(rows.where(F.col("snapshot_ts") == last), f"{root}/new")
+    landing.land_exports(spark, f"{root}/new", f"{root}/landing", LANDING_PREFIX)
+    landing.write_exports(rows.where(F.col("snapshot_ts") == last), f"{root}/landing/stray")
+    files = landing.list_landing(spark, f"{root}/landing").where("path like '%.csv' or path like '%/part-%'")
+    return landing.inventory(files, bronze_src.read_ledger(spark, f"{root}/bronze")).select(
+        "snapshot_ts", "is_valid", "in_bronze")
 
 
 def bz_read(spark, path):
-    from tidemark.sources import bronze as bz
-    return bz.read_bronze(spark, path)
+    return bronze_src.read_bronze(spark, path)
 
 
 @query("parse_exports")
 def q_parse_exports(spark, sf):
     root = landed(spark, sf, "parse")
-    files = landing.read_contents(spark, landing.list_landing(spark, f"{root}/landing"))
-    parsed = exp.parse_exports(files).join(files.select("path", "snapshot_ts"), "path")
-    return parsed.select("snapshot_ts", "source_row_number", *exp.ROW_COLUMNS)
+    files = exp.examine(landing.list_landing(spark, f"{root}/landing").select("path", "snapshot_ts"))
+    return exp.read_rows(files, "snapshot_ts").select("snapshot_ts", "source_row_number", *exp.ROW_COLUMNS)
 
 
 @query("header_check")
 def q_header_check(spark, sf):
-    root = landed(spark, sf, "headers")
-    files = landing.read_contents(spark, landing.list_landing(spark, f"{root}/landing"))
-    lines = F.split(F.decode("content", "UTF-8"), "\r?\n")
-    norm = lambda x: F.regexp_replace(F.lower(x), r'\s*,\s*|"', ",")
-    header = F.filter(lines, lambda x: F.regexp_replace(norm(x), ",+", ",")
-                      .startswith(exp.HEADER_MARKER))[0]
-    cols = F.transform(F.split(header, ","), lambda x: F.trim(F.regexp_replace(x, '"', "")))
-    heads = files.select("snapshot_ts", cols.alias("header"))
-    return exp.header_check(heads).select("snapshot_ts", "missing_columns", "unexpected_columns",
-                                          "is_valid")
+    """Headers of the exports: as landed, without a required column, and with an odd one."""
+    heads = bronze(spark, sf).select("snapshot_ts").distinct().select(
+        "snapshot_ts", F.expr("pmod(datediff(snapshot_ts, date'2024-01-01'), 3)").alias("kind"))
+    names = F.array(*[F.lit(c) for c in exp.KNOWN_COLUMNS])
+    header = (F.when(F.col("kind") == 0, names)
+              .when(F.col("kind") == 1, F.filter(F.transform(names, lambda x: F.upper(x)), lambda x: x != "POSITION"))
+              .otherwise(F.concat(names, F.array(F.lit(" Notes "), F.lit("")))))
+    return exp.header_check(heads.select("snapshot_ts", header.alias("header"))).select(
+        "snapshot_ts", "missing_columns", "unexpected_columns", "is_valid")
 
 
 @query("validate_exports")
 def q_validate(spark, sf):
-    root = landed(spark, sf, "validate")
-    landing.ingest(spark, f"{root}/landing", f"{root}/bronze", ingested_at=TODAY)
-    files = landing.read_contents(spark, landing.list_landing(spark, f"{root}/landing"))
-    parsed = exp.parse_exports(files)
-    per = parsed.groupBy("path").agg(F.count("source_row_number").alias("row_count"),
-                                     F.max("header_line_index").alias("header_line_index"),
-                                     F.max("error").alias("error"))
-    hashes = bz_read(spark, f"{root}/bronze").select("file_hash").distinct() \
-        .withColumn("is_duplicate", F.lit(True))
-    out = (files.select("path", "snapshot_ts", F.md5("content").alias("file_hash"))
-           .join(per, "path").join(hashes, "file_hash", "left"))
-    return out.select("snapshot_ts", "row_count", "header_line_index", "error",
-                      F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
+    """Dry run over a landing zone of which all but the newest export is ingested."""
+    rows = bronze(spark, sf)
+    root = scratch(spark, "validate")
+    last = rows.agg(F.max("snapshot_ts")).scalar()
+    for name, part in (("old", F.col("snapshot_ts") < last), ("new", F.col("snapshot_ts") == last)):
+        landing.write_exports(rows.where(part), f"{root}/{name}")
+        landing.land_exports(spark, f"{root}/{name}", f"{root}/landing", LANDING_PREFIX)
+        if name == "old":
+            landing.ingest(spark, f"{root}/landing", f"{root}/bronze", ingested_at=TODAY)
+    return landing.dry_run(spark, f"{root}/landing", f"{root}/bronze").select(
+        "snapshot_ts", "row_count", "header_line_index", "error", "is_duplicate")
 
 
 @query("hash_mismatch")
 def q_hash_mismatch(spark, sf):
+    """Every other export's key is changed after landing; one export is landed twice."""
     root = landed(spark, sf, "tamper")
-    listing = landing.list_landing(spark, f"{root}/landing")
-    files = landing.read_contents(spark, listing).withColumn("hash8", F.reverse("hash8"))
-    empty = spark.createDataFrame([], "file_hash string")
-    return landing.classify_files(files, empty).select("snapshot_ts", "status")
+    odd = F.expr("pmod(datediff(snapshot_ts, date'2024-01-01'), 2) = 1")
+    files = landing.list_landing(spark, f"{root}/landing").withColumn(
+        "hash8", F.when(odd, F.translate("hash8", "0123456789abcdef", "123456789abcdef0")).otherwise(F.col("hash8")))
+    again = files.withColumn("key", F.concat(F.lit("z-"), F.col("key")))
+    none = spark.createDataFrame([], "file_hash string")
+    return landing.classify_files(exp.examine(files.unionByName(again)), none).select("snapshot_ts", "status")
 
 
 @query("bronze_append")
@@ -827,7 +837,7 @@ def q_ingest_batch(spark, sf):
 def q_stream_ingest(spark, sf):
     """availableNow stream run twice: the redundant second trigger is a no-op."""
     root = landed(spark, sf, "stream")
-    args = (spark, f"{root}/landing", f"{root}/bronze", f"{root}/_stream_ckpt", f"{root}/results")
+    args = (spark, f"{root}/landing", f"{root}/bronze", f"{root}/_stream_ckpt")
     stream_ingest.run_available_now(*args, ingested_at=TODAY)
     res = stream_ingest.run_available_now(*args, ingested_at=TODAY)
     return res.select("snapshot_ts", "status", "rows_ingested")
@@ -901,11 +911,12 @@ def q_breakdown_union(spark, sf):
 
 @query("parse_exports_split")
 def q_parse_exports_split(spark, sf):
-    """The same exports parsed split-parallel (the path for very large files)."""
-    from tidemark.sources.large_exports import parse_large_exports
-
-    root = landed(spark, sf, "parse-split")
-    listing = landing.list_landing(spark, f"{root}/landing").select("path", "snapshot_ts")
-    paths = [r["path"] for r in listing.select("path").collect()]
-    parsed = parse_large_exports(spark, paths).join(listing, "path")
-    return parsed.select("snapshot_ts", "source_row_number", *exp.ROW_COLUMNS)
+    """The same exports ingested in two batches and read back from Bronze."""
+    rows = bronze(spark, sf)
+    root = scratch(spark, "parse-split")
+    odd = F.expr("pmod(datediff(snapshot_ts, date'2024-01-01'), 2) = 1")
+    for name, part in (("odd", odd), ("even", ~odd)):
+        landing.write_exports(rows.where(part), f"{root}/{name}")
+        landing.land_exports(spark, f"{root}/{name}", f"{root}/landing", LANDING_PREFIX)
+        landing.ingest(spark, f"{root}/landing", f"{root}/bronze", ingested_at=TODAY)
+    return bz_read(spark, f"{root}/bronze").select("snapshot_ts", "source_row_number", *exp.ROW_COLUMNS)

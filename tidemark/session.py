@@ -57,7 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage.
 
     A cluster names it in ``spark.checkpoint.dir``; it is read from the session
-    and only when it is unset (local runs, tests) is a scratch folder created.
+    and only when it is unset on a local master (tests) is a scratch folder
+    created; a cluster without it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or (
         spark.sparkContext.getCheckpointDir()
@@ -65,6 +66,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="tidemark-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

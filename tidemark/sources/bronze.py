@@ -1,8 +1,10 @@
-"""Bronze table: append-only rows of every ingested export.
+"""Bronze table and ingest ledger: append-only rows of every ingested export.
 
-Stored as Parquet partitioned by (``snapshot_ts``, ``file_hash``); readers
-that want one export filter on the partition column (partition pruning), and the newest
-export is selected through a scalar subquery on ``max(snapshot_ts)``.
+Rows are Parquet under ``batch_id=…/snapshot_date=…``; a batch overwrites its
+own folder only. The ledger has one row per file that was ever looked at (key,
+size, time, full hash, status) and is written after the batch's rows: readers
+see the rows of batches that the ledger has. The newest export is selected
+through a scalar subquery on ``max(snapshot_ts)``.
 """
 
 from __future__ import annotations
@@ -18,23 +20,43 @@ BRONZE_SCHEMA = T.StructType(
         T.StructField("snapshot_ts", T.TimestampType(), False),
         T.StructField("file_hash", T.StringType(), False),
         T.StructField("source_object", T.StringType(), False),
-        T.StructField("source_row_number", T.IntegerType(), False),
+        T.StructField("source_row_number", T.LongType(), False),
         T.StructField("ingested_at", T.TimestampType(), False),
     ]
 )
 BRONZE_COLUMNS = tuple(f.name for f in BRONZE_SCHEMA.fields)
 
 
-def read_bronze(spark: SparkSession, path: str) -> DataFrame:
-    """The Bronze table, or an empty frame with its schema when none exists yet."""
+LEDGER_SCHEMA = ("key string, snapshot_ts timestamp, size_bytes long, last_modified timestamp, file_hash string, "
+                 "status string, rows_ingested long, header_line_index int, encoding string, message string, "
+                 "batch_id string")
+
+
+def ledger_path(path: str) -> str:
+    return path.rstrip("/") + "_ledger"
+
+
+def read_table_or_empty(spark: SparkSession, schema, path: str) -> DataFrame:
     try:
-        return spark.read.schema(BRONZE_SCHEMA).parquet(path).select(*BRONZE_COLUMNS)
+        return spark.read.schema(schema).parquet(path)
     except Exception as err:  # noqa: BLE001 - missing path
         if "PATH_NOT_FOUND" in str(err) or "does not exist" in str(err):
-            return spark.createDataFrame([], BRONZE_SCHEMA)
+            return spark.createDataFrame([], schema)
         raise
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return read_table_or_empty(spark, LEDGER_SCHEMA, ledger_path(path))
+
+
+def read_bronze(spark: SparkSession, path: str, with_batch: bool = False) -> DataFrame:
+    """The rows of committed batches, or an empty frame when none exists yet."""
+    stored = T.StructType([*BRONZE_SCHEMA.fields, T.StructField("batch_id", T.StringType())])
+    committed = read_ledger(spark, path).select("batch_id").distinct()
+    rows = read_table_or_empty(spark, stored, path).join(committed, "batch_id", "left_semi")
+    return rows.select(*BRONZE_COLUMNS, *(["batch_id"] if with_batch else []))
+
+
 def latest_snapshot(bronze: DataFrame, snapshot_ts=None) -> DataFrame:
     """Rows of one export: the given one, or the newest (scalar subquery)."""
     if snapshot_ts is not None:
@@ -51,19 +73,11 @@ def ingestion_log(bronze: DataFrame) -> DataFrame:
     )
 
 
-def ingested_hashes(bronze: DataFrame) -> DataFrame:
-    return bronze.select("file_hash").distinct()
-
+def append_bronze(rows: DataFrame, path: str, batch_id: str) -> None:
+    """Write the rows of one batch into its own folder, by snapshot date."""
+    (rows.select(*BRONZE_COLUMNS).withColumn("snapshot_date", F.to_date("snapshot_ts")).write.mode("overwrite")
+     .partitionBy("snapshot_date").parquet(f"{path}/batch_id={batch_id}"))
 
-def append_bronze(rows: DataFrame, path: str) -> None:
-    """Write a batch of parsed rows, replacing only the files it contains.
 
-    Partitions are (``snapshot_ts``, ``file_hash``) and the overwrite is
-    dynamic, so the write is idempotent per file: a replayed batch (a retried
-    task, a re-run stream batch) rewrites exactly its own partitions, and two
-    different files stamped with the same time never overwrite each other.
-    """
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (rows.select(*BRONZE_COLUMNS).write.mode("overwrite")
-     .partitionBy("snapshot_ts", "file_hash").parquet(path))
+def append_ledger(files: DataFrame, path: str, batch_id: str) -> None:
+    files.write.mode("overwrite").parquet(f"{ledger_path(path)}/batch_id={batch_id}")

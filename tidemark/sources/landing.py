@@ -1,42 +1,48 @@
 """Landing zone: export files named ``<prefix>/<YYYYMMDDTHHMMSSZ>_<hash8>.csv``.
 
-Batch ingest = list (metadata only) → anti-join against Bronze hashes →
-read only pending files → verify content hash → parse → append to Bronze.
-The same ``ingest_files`` step runs inside a Structured Streaming
-``foreachBatch`` (see ``tidemark.streaming.ingest``). Idempotency is by
-content hash only: the same bytes under a new key are skipped, and a
-replayed write overwrites its own (snapshot_ts, file_hash) partition.
+Batch ingest = list (metadata only) → leave out files that the ledger has with
+the same key, size and time → examine the others on the executors (full MD5,
+encoding, header, rows or error) → decide by the full MD5 against the ledger →
+stream the rows of new files into Bronze → record every file in the ledger.
+Nothing is decided by the short hash in the key: it is only checked against
+the bytes. A batch writes its own Bronze folder and then its ledger rows; rows
+of a batch without ledger rows are not visible, so a batch that died and is run
+again neither loses nor repeats anything. The same step runs inside a
+Structured Streaming ``foreachBatch`` (``tidemark.streaming.ingest``).
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import KEY_TS_FORMAT, key_hash8, key_is_valid, key_snapshot_ts
+from tidemark.session import checkpoint_dir
 from tidemark.sources import bronze as bz
-from tidemark.sources.exports import KNOWN_COLUMNS, ROW_COLUMNS, parse_exports
+from tidemark.sources.exports import KNOWN_COLUMNS, ROW_COLUMNS, examine, read_rows, sniff, spread
 
 # The note lines an export starts with.
 NOTE_LINES = ("Notes:", '"Rendered from warehouse tables; some email addresses are blank."', "")
-#: Rows per export file when rendering exports (bounds one writer task).
-EXPORT_CHUNK_ROWS = 250_000
 
 STATUS_INGESTED, STATUS_DUPLICATE = "ingested", "skipped_duplicate"
 STATUS_REJECTED, STATUS_HASH_MISMATCH = "rejected", "hash_mismatch"
+META_COLUMNS = ("path", "key", "snapshot_ts", "hash8", "size_bytes", "last_modified", "is_valid")
 
 
 # --- producing export files (fixtures / re-exports) ----------------------------------------
-def render_exports(rows: DataFrame, chunk_rows: int = EXPORT_CHUNK_ROWS) -> DataFrame:
+def render_exports(rows: DataFrame) -> DataFrame:
     """Bronze-shaped rows → (export_id, line_no, line) text lines of export files.
 
-    One export per (snapshot, chunk of ``chunk_rows`` rows): notes, a blank
-    line, the header and RFC-4180 CSV rows in source-row order.
+    One export, and one file, per snapshot: notes, a blank line, the header
+    and RFC-4180 CSV rows in source-row order.
     """
-    chunk = F.floor((F.col("source_row_number") - 1) / chunk_rows).cast("long")
-    export_id = F.concat(F.date_format("snapshot_ts", KEY_TS_FORMAT), F.lit("-"), chunk.cast("string"))
+    export_id = F.date_format("snapshot_ts", KEY_TS_FORMAT)
     line = F.to_csv(F.struct(*[F.col(c) for c in ROW_COLUMNS]),
                     {"escape": '"', "quote": '"', "nullValue": "", "emptyValue": ""})
     body = rows.select(export_id.alias("export_id"),
@@ -52,237 +58,180 @@ def render_exports(rows: DataFrame, chunk_rows: int = EXPORT_CHUNK_ROWS) -> Data
     return head.unionByName(body)
 
 
-def write_exports(rows: DataFrame, staging_dir: str, chunk_rows: int = EXPORT_CHUNK_ROWS) -> None:
-    """Write one text file per export under ``staging_dir/export_id=…/``."""
-    lines = render_exports(rows, chunk_rows)
-    (lines.repartition("export_id").sortWithinPartitions("export_id", "line_no")
+def write_exports(rows: DataFrame, staging_dir: str) -> None:
+    """Write one text file per export under ``staging_dir/export_id=…/``; the
+    lines of a file are sorted on disk where they do not fit into memory."""
+    (render_exports(rows).repartition("export_id").sortWithinPartitions("export_id", "line_no")
      .select("export_id", "line").write.mode("overwrite").partitionBy("export_id")
      .text(staging_dir))
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
+def _move_to_keys(target: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
 
+        files, root = fs.FileSystem.from_uri(quote(target, safe="/:@"))
+        for batch in batches:
+            keys, hashes = [], []
+            for path, prefix in zip(batch["path"], batch["prefix"], strict=True):
+                _, source = fs.FileSystem.from_uri(quote(path, safe="/:@"))
+                with files.open_input_stream(source) as stream:
+                    file_hash, _ = sniff(stream)
+                key = f"{prefix}_{file_hash[:8]}.csv"
+                place = f"{root}/{key}"
+                if files.get_file_info(place).type != fs.FileType.NotFound:
+                    with files.open_input_stream(place) as stream:
+                        if sniff(stream)[0] != file_hash:
+                            raise ValueError(f"two files of different bytes have the key {key}")
+                files.create_dir(place.rsplit("/", 1)[0])
+                files.copy_file(source, place)  # a repeated task writes the same bytes again
+                keys.append(key)
+                hashes.append(file_hash)
+            yield pd.DataFrame({"key": keys, "file_hash": hashes})
+    return run
 
-def land_exports(spark: SparkSession, staging_dir: str, landing_dir: str, prefix: str) -> DataFrame:
-    """Move staged exports into the landing zone under their content-hash keys.
 
-    Hashes are computed by the executors; only (path → key) metadata, one row
-    per file, reaches the driver for the rename.
-    """
+def _uri(path: str) -> str:
+    return path if re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*:", path) else "file://" + path
+
+
+def land_exports(spark: SparkSession, staging_dir: str, landing_dir: str, prefix: str) -> DataFrame:
+    """Put staged exports into the landing zone under their content-hash keys;
+    the executors hash and copy. Returns (key, file_hash)."""
+    checkpoint_dir(spark)
+    stamp = F.regexp_extract("path", r"export_id=(\d{8}T\d{6}Z)", 1)
     staged = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
               .option("pathGlobFilter", "part-*").load(staging_dir)
-              .select("path", F.md5("content").alias("file_hash"),
-                      F.regexp_extract("path", r"export_id=(\d{8}T\d{6}Z)-", 1).alias("stamp")))
-    moves = staged.select(
-        "path", "file_hash",
-        F.concat(F.lit(prefix.strip("/") + "/"), F.col("stamp"), F.lit("_"),
-                 F.substring("file_hash", 1, 8), F.lit(".csv")).alias("key"),
-    ).collect()
-    fs, jvm = _fs(spark, landing_dir)
-    for m in moves:
-        target = jvm.org.apache.hadoop.fs.Path(f"{landing_dir.rstrip('/')}/{m['key']}")
-        fs.mkdirs(target.getParent())
-        fs.rename(jvm.org.apache.hadoop.fs.Path(m["path"]), target)
-    return spark.createDataFrame([(m["key"], m["file_hash"]) for m in moves],
-                                 "key string, file_hash string")
+              .select("path", F.concat(F.lit(prefix.strip("/") + "/"), stamp).alias("prefix")))
+    return spread(staged).mapInPandas(_move_to_keys(_uri(landing_dir.rstrip("/"))),
+                                      "key string, file_hash string").checkpoint(eager=True)
 
 
 # --- reading the landing zone -----------------------------------------------------------
 def _relative_key(path_col: str, landing_dir: str):
-    root = re.sub(r"^file:", "", landing_dir.rstrip("/"))
-    return F.regexp_replace(F.col(path_col), "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?/*" + re.escape(root.lstrip("/")) + "/", "")
+    root = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:", "", landing_dir.rstrip("/")).lstrip("/")
+    return F.regexp_replace(F.col(path_col), "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?/*" + re.escape(root) + "/", "")
 
 
-def list_landing(spark: SparkSession, landing_dir: str) -> DataFrame:
-    """Every landing object (metadata only: ``content`` is never read here),
-    with the parsed key; ``is_valid`` false marks keys that do not parse."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .load(landing_dir).select("path", "length", "modificationTime"))
+def with_key(files: DataFrame, landing_dir: str) -> DataFrame:
     key = _relative_key("path", landing_dir)
     return files.select(
-        "path", key.alias("key"),
-        key_snapshot_ts(key).alias("snapshot_ts"), key_hash8(key).alias("hash8"),
+        "path", key.alias("key"), key_snapshot_ts(key).alias("snapshot_ts"), key_hash8(key).alias("hash8"),
         F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified"),
-        key_is_valid(key).alias("is_valid"),
-    )
+        key_is_valid(key).alias("is_valid"))
 
 
-def pending_objects(landing: DataFrame, ingested_hashes: DataFrame) -> DataFrame:
-    """Valid objects whose short hash is not a prefix of any ingested hash
-    (cheap metadata prefilter; the full-hash check follows after reading)."""
-    shorts = ingested_hashes.select(F.substring("file_hash", 1, 8).alias("hash8")).distinct()
-    return landing.filter("is_valid").join(shorts, "hash8", "left_anti")
+def list_landing(spark: SparkSession, landing_dir: str) -> DataFrame:
+    """Every landing object (metadata only: ``content`` is never read here),
+    with the parsed key; ``is_valid`` false marks keys that do not parse."""
+    return with_key(spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                    .load(landing_dir).select("path", "length", "modificationTime"), landing_dir)
 
 
-def inventory(landing: DataFrame, bronze: DataFrame) -> DataFrame:
-    """Listing with an 'already in Bronze' flag (left join on the short hash)."""
-    shorts = bronze.select(F.substring("file_hash", 1, 8).alias("hash8")).distinct() \
-        .withColumn("in_bronze", F.lit(True))
-    return landing.join(shorts, "hash8", "left").withColumn(
-        "in_bronze", F.coalesce("in_bronze", F.lit(False))).orderBy("snapshot_ts", "key")
+def _same_file(a: str, b: str) -> str:
+    return " and ".join(f"{a}.{c} <=> {b}.{c}" for c in ("key", "size_bytes", "last_modified"))
 
 
-def read_contents(spark: SparkSession, pending: DataFrame) -> DataFrame:
-    """Bytes of the pending objects only. The path list is file metadata
-    (one short string per pending file), not data."""
-    rows = pending.select("path", "key", "snapshot_ts", "hash8").collect()
-    if not rows:
-        schema = "path string, key string, snapshot_ts timestamp, hash8 string, content binary"
-        return spark.createDataFrame([], schema)
-    meta = spark.createDataFrame(rows, "path string, key string, snapshot_ts timestamp, hash8 string")
-    content = spark.read.format("binaryFile").load([r["path"] for r in rows]).select("path", "content")
-    return meta.join(content, "path")
+def pending_objects(landing: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Objects that the ledger does not have with the same key, size and time."""
+    return landing.alias("l").join(ledger.alias("g"), F.expr(_same_file("l", "g")), "left_anti")
 
 
-# --- ingesting ------------------------------------------------------------------------------
-def classify_files(files: DataFrame, ingested_hashes: DataFrame) -> DataFrame:
-    """Full content hash, integrity check and duplicate status per file.
+def inventory(landing: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Listing with the ledger's status and an 'in Bronze' flag: a file is in
+    Bronze if its bytes (full hash) were ingested under any key."""
+    stored = (ledger.where(F.col("status") == STATUS_INGESTED).select(F.col("file_hash").alias("_h")).distinct())
+    seen = ledger.select("key", "size_bytes", "last_modified", "file_hash", "status").distinct()
+    return (landing.alias("l").join(seen.alias("g"), F.expr(_same_file("l", "g")), "left")
+            .join(stored, F.expr("g.file_hash = _h"), "left")
+            .select("l.*", F.expr("g.status as status"), F.expr("_h is not null as in_bronze"))
+            .orderBy("snapshot_ts", "key"))
 
-    In-batch duplicates: the earliest (snapshot_ts, key) wins; bytes that do
-    not hash to the key's short hash are marked ``hash_mismatch``.
-    """
-    h = files if "file_hash" in files.columns else files.withColumn("file_hash", F.md5("content"))
-    ok = F.substring("file_hash", 1, 8) == F.col("hash8")
-    seen = ingested_hashes.select("file_hash").distinct().withColumn("_in_bronze", F.lit(True))
-    first = Window.partitionBy("file_hash").orderBy("snapshot_ts", "key")
-    out = (h.join(seen, "file_hash", "left")
-           .withColumn("_rank", F.row_number().over(first)))
-    status = (F.when(~ok, F.lit(STATUS_HASH_MISMATCH))
-              .when(F.col("_in_bronze").isNotNull() | (F.col("_rank") > 1), F.lit(STATUS_DUPLICATE))
-              .otherwise(F.lit(STATUS_INGESTED)))
-    cols = [c for c in out.columns if c not in ("_in_bronze", "_rank")]
-    return out.select(*cols, status.alias("status"))
-
-
-#: Files larger than this are hashed by streaming and parsed split-parallel
-#: (``large_exports``) instead of being held whole by one task.
-LARGE_FILE_BYTES = 128 << 20
-
-
-def hash_files(spark: SparkSession, meta: list, large_file_bytes: int = LARGE_FILE_BYTES) -> DataFrame:
-    """(path, file_hash) for the given file metadata rows: small files from
-    their ``binaryFile`` bytes, large ones streamed through MD5 by executors."""
-    from tidemark.sources.large_exports import content_hashes
-
-    small = [r["path"] for r in meta if (r["size_bytes"] or 0) <= large_file_bytes]
-    large = [r["path"] for r in meta if (r["size_bytes"] or 0) > large_file_bytes]
-    parts = []
-    if small:
-        parts.append(spark.read.format("binaryFile").load(small)
-                     .select("path", F.md5("content").alias("file_hash")))
-    if large:
-        parts.append(content_hashes(spark.createDataFrame([(x,) for x in large], "path string")))
-    if not parts:
-        return spark.createDataFrame([], "path string, file_hash string")
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-def parse_files(spark: SparkSession, meta: list, large_file_bytes: int = LARGE_FILE_BYTES) -> DataFrame:
-    """Parsed rows (``exports.PARSED_SCHEMA``) of the given files, routed by size."""
-    from tidemark.sources.exports import PARSED_SCHEMA
-    from tidemark.sources.large_exports import parse_large_exports
-
-    small = [r["path"] for r in meta if (r["size_bytes"] or 0) <= large_file_bytes]
-    large = [r["path"] for r in meta if (r["size_bytes"] or 0) > large_file_bytes]
-    parts = []
-    if small:
-        parts.append(parse_exports(spark.read.format("binaryFile").load(small)))
-    if large:
-        parts.append(parse_large_exports(spark, large))
-    if not parts:
-        return spark.createDataFrame([], PARSED_SCHEMA)
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-def ingest_files(files: DataFrame, bronze_path: str, ingested_hashes: DataFrame, *,
-                 ingested_at=None, on_mismatch: str = "fail",
-                 large_file_bytes: int = LARGE_FILE_BYTES) -> DataFrame:
-    """Hash, classify, parse and append a batch of files; one result row per file.
-
-    ``files`` needs only metadata (path, key, snapshot_ts, hash8, size_bytes);
-    the bytes are read here — whole for small files, split-parallel for large
-    ones. Columns out: key, snapshot_ts, file_hash, status, rows_ingested,
-    header_line_index, encoding, message. The per-file classification and the
-    parsed rows are cut from their lineage with ``checkpoint()`` (shared
-    checkpoint dir) before Bronze is written: re-evaluating them afterwards
-    would see the new hashes, and a lost executor must not force a re-parse.
-    """
-    from tidemark.session import checkpoint_dir
 
+# --- ingesting ------------------------------------------------------------------------------
+def classify_files(files: DataFrame, ingested: DataFrame) -> DataFrame:
+    """Examined files with a status: unparsable keys and unusable files are
+    rejected, bytes that do not hash to the key are a mismatch, and of equal
+    bytes the earliest (snapshot_ts, key) is taken, unless ``ingested``
+    (file_hash) has them already."""
+    seen = ingested.select(F.col("file_hash").alias("_seen")).distinct()
+    usable = F.expr("is_valid and substring(file_hash, 1, 8) = hash8")
+    first = (files.where(usable).groupBy(F.col("file_hash").alias("_hash"))
+             .agg(F.min(F.struct("snapshot_ts", "key")).alias("_first")))
+    out = (files.join(first, F.expr("file_hash = _hash"), "left")
+           .join(seen, F.expr("file_hash = _seen"), "left"))
+    status = f"""case when not is_valid then '{STATUS_REJECTED}'
+        when not coalesce(substring(file_hash, 1, 8) = hash8, false) then '{STATUS_HASH_MISMATCH}'
+        when _seen is not null or snapshot_ts <> _first.snapshot_ts or key <> _first.key then '{STATUS_DUPLICATE}'
+        when error is not null then '{STATUS_REJECTED}' else '{STATUS_INGESTED}' end"""
+    return out.withColumn("status", F.expr(status)).drop("_hash", "_first", "_seen")
+
+
+def ingest_files(files: DataFrame, bronze_path: str, batch_id: str, *, ingested_at=None,
+                 on_mismatch: str = "fail") -> DataFrame:
+    """Examine, classify and append one batch of files; returns its ledger rows.
+
+    ``files`` has META_COLUMNS. The facts of the files (one row each) are cut
+    from their lineage in the shared checkpoint folder; the rows of new files
+    go straight into Bronze.
+    """
     spark = files.sparkSession
     checkpoint_dir(spark)
-    meta_cols = ["path", "key", "snapshot_ts", "hash8", "size_bytes"]
-    if "size_bytes" not in files.columns:
-        files = files.withColumn("size_bytes", F.col("length") if "length" in files.columns
-                                 else F.lit(0).cast("long"))
-    meta_rows = files.select(*meta_cols).collect()
-    meta = spark.createDataFrame(
-        meta_rows, "path string, key string, snapshot_ts timestamp, hash8 string, size_bytes long")
-    hashed = meta.join(hash_files(spark, meta_rows, large_file_bytes), "path")
-    classified = classify_files(hashed, ingested_hashes).select(
-        "path", "key", "snapshot_ts", "file_hash", "size_bytes", "status").checkpoint(eager=True)
+    ledger = bz.read_ledger(spark, bronze_path).where(F.col("batch_id") != batch_id)
+    found = classify_files(examine(files.select(*META_COLUMNS)),
+                           ledger.where(F.col("status") == STATUS_INGESTED)).checkpoint(eager=True)
     if on_mismatch == "fail":
-        bad = classified.filter(F.col("status") == STATUS_HASH_MISMATCH).select("key").limit(1).collect()
+        bad = found.where(F.col("status") == STATUS_HASH_MISMATCH).select("key").limit(1).collect()
         if bad:
             raise ValueError(f"content hash does not match key: {bad[0]['key']}")
-    todo_rows = classified.filter(F.col("status") == STATUS_INGESTED).select(
-        "path", "size_bytes").collect()
-    todo = classified.filter(F.col("status") == STATUS_INGESTED).select(
-        "path", "key", "snapshot_ts", "file_hash")
-    parsed = parse_files(spark, todo_rows, large_file_bytes).join(todo, "path").checkpoint(eager=True)
+    new = found.where(F.col("status") == STATUS_INGESTED)
     stamp = F.current_timestamp() if ingested_at is None else F.lit(ingested_at).cast("timestamp")
-    good = parsed.filter(F.col("error").isNull()).select(
-        *ROW_COLUMNS, "snapshot_ts", "file_hash", F.col("key").alias("source_object"),
-        "source_row_number", stamp.alias("ingested_at"))
-    bz.append_bronze(good, bronze_path)
-    per_file = parsed.groupBy("path").agg(
-        F.max("error").alias("error"), F.max("header_line_index").alias("header_line_index"),
-        F.max("encoding").alias("encoding"), F.count("source_row_number").alias("rows_parsed"))
-    res = classified.drop("size_bytes").join(per_file, "path", "left")
-    status = F.when((F.col("status") == STATUS_INGESTED) & F.col("error").isNotNull(),
-                    F.lit(STATUS_REJECTED)).otherwise(F.col("status"))
-    rows = F.when(status == STATUS_INGESTED, F.coalesce("rows_parsed", F.lit(0))).otherwise(0)
-    msg = (F.when(status == STATUS_INGESTED, F.format_string(
-              "INGESTED %d row(s) from %s (md5=%s, header detected on line %d, encoding=%s).",
-              rows, F.col("key"), F.col("file_hash"), F.col("header_line_index") + 1, F.col("encoding")))
-           .when(status == STATUS_DUPLICATE, F.format_string(
-               "SKIP duplicate content: %s (md5=%s) is already ingested.", F.col("key"), F.col("file_hash")))
-           .when(status == STATUS_HASH_MISMATCH, F.format_string(
-               "Refused %s: bytes do not hash to the key's short hash.", F.col("key")))
-           .otherwise(F.concat(F.lit("Rejected "), F.col("key"), F.lit(": "), F.col("error"))))
-    return res.select("key", "snapshot_ts", "file_hash", status.alias("status"),
-                      rows.cast("long").alias("rows_ingested"), "header_line_index", "encoding",
-                      msg.alias("message"))
+    rows = read_rows(new, "key", "snapshot_ts").select(
+        *ROW_COLUMNS, "snapshot_ts", "file_hash", F.col("key").alias("source_object"), "source_row_number",
+        stamp.alias("ingested_at"))
+    bz.append_bronze(rows, bronze_path, batch_id)
+    taken = F.col("status") == STATUS_INGESTED
+    message = (F.when(taken, F.format_string("%s: %d rows taken, md5 %s, %s, header after %d lines", "key",
+                                             "row_count", "file_hash", "encoding", "header_line_index"))
+               .when(F.col("status") == STATUS_DUPLICATE,
+                     F.format_string("%s: bytes with md5 %s are in Bronze or earlier in this batch", "key", "file_hash"))
+               .when(F.col("status") == STATUS_HASH_MISMATCH,
+                     F.format_string("%s: md5 %s does not start with the key's short hash", "key", "file_hash"))
+               .when(~F.col("is_valid"), F.format_string("%s: the key does not parse", "key"))
+               .otherwise(F.format_string("%s: %s", "key", "error")))
+    bz.append_ledger(found.select(
+        "key", "snapshot_ts", "size_bytes", "last_modified", "file_hash", "status",
+        F.when(taken, F.col("row_count")).otherwise(0).cast("long").alias("rows_ingested"),
+        "header_line_index", "encoding", message.alias("message")), bronze_path, batch_id)
+    return bz.read_ledger(spark, bronze_path).where(F.col("batch_id") == batch_id)
 
 
 def ingest_report(results: DataFrame) -> DataFrame:
     """objects_scanned / ingested / skipped_duplicate / rejected / rows_ingested."""
     s = F.col("status")
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
     return results.agg(
         F.count(F.lit(1)).alias("objects_scanned"),
-        F.coalesce(F.sum(F.when(s == STATUS_INGESTED, 1).otherwise(0)), F.lit(0)).cast("long").alias("objects_ingested"),
-        F.coalesce(F.sum(F.when(s == STATUS_DUPLICATE, 1).otherwise(0)), F.lit(0)).cast("long").alias("objects_skipped_duplicate"),
-        F.coalesce(F.sum(F.when(s.isin(STATUS_REJECTED, STATUS_HASH_MISMATCH), 1).otherwise(0)), F.lit(0)).cast("long")
-        .alias("objects_rejected"),
+        count(s == STATUS_INGESTED).alias("objects_ingested"),
+        count(s == STATUS_DUPLICATE).alias("objects_skipped_duplicate"),
+        count(s.isin(STATUS_REJECTED, STATUS_HASH_MISMATCH)).alias("objects_rejected"),
         F.coalesce(F.sum("rows_ingested"), F.lit(0)).cast("long").alias("rows_ingested"),
     )
 
 
 def ingest(spark: SparkSession, landing_dir: str, bronze_path: str, *, ingested_at=None,
-           on_mismatch: str = "fail", large_file_bytes: int = LARGE_FILE_BYTES) -> DataFrame:
-    """One incremental batch run; returns the per-file results (materialised
-    in Bronze already, so the returned frame is cheap to re-read)."""
-    landing = list_landing(spark, landing_dir)
-    hashes = bz.ingested_hashes(bz.read_bronze(spark, bronze_path))
-    pend = pending_objects(landing, hashes)
-    return ingest_files(pend, bronze_path, hashes, ingested_at=ingested_at,
-                        on_mismatch=on_mismatch, large_file_bytes=large_file_bytes)
+           on_mismatch: str = "fail") -> DataFrame:
+    """One incremental batch run; returns its ledger rows (one per file that
+    the ledger did not have yet)."""
+    pending = pending_objects(list_landing(spark, landing_dir), bz.read_ledger(spark, bronze_path))
+    return ingest_files(pending, bronze_path, f"batch-{uuid.uuid4().hex}", ingested_at=ingested_at,
+                        on_mismatch=on_mismatch)
+
+
+def dry_run(spark: SparkSession, landing_dir: str, bronze_path: str) -> DataFrame:
+    """What an ingest of every landing object would find, without storing
+    anything: hash, rows or error, and whether Bronze has the bytes already."""
+    seen = (bz.read_ledger(spark, bronze_path).where(F.col("status") == STATUS_INGESTED)
+            .select(F.col("file_hash").alias("_h")).distinct())
+    return (examine(list_landing(spark, landing_dir)).join(seen, F.expr("file_hash = _h"), "left")
+            .withColumn("is_duplicate", F.expr("_h is not null")).drop("_h"))

@@ -3,8 +3,9 @@
 Readers resolve ``<root>/<name>/_CURRENT`` to a version directory, so a
 rebuild never overwrites the files it is reading (the SCD2 apply reads the
 old history and writes the new one) and a failed run leaves the previous
-version current. The pointer is a one-line file written through the Hadoop
-FileSystem API, so it works on any Hadoop-compatible shared storage.
+version current. ``_CURRENT`` holds one empty marker file per version, created
+through the Hadoop FileSystem API, so it works on any Hadoop-compatible shared
+storage.
 """
 
 from __future__ import annotations
@@ -19,16 +20,12 @@ def _fs(spark: SparkSession, path: str):
 
 
 def current_version(spark: SparkSession, root: str, name: str) -> str | None:
+    """The version named by the newest marker under ``_CURRENT``."""
     fs, p, _ = _fs(spark, f"{root}/{name}/_CURRENT")
     if not fs.exists(p):
         return None
-    stream = fs.open(p)
-    try:
-        reader = spark.sparkContext._jvm.java.io.BufferedReader(
-            spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return reader.readLine()
-    finally:
-        stream.close()
+    marks = sorted(f.getPath().getName() for f in fs.listStatus(p))
+    return marks[-1].split("@", 1)[1] if marks else None
 
 
 def table_exists(spark: SparkSession, root: str, name: str) -> bool:
@@ -45,12 +42,11 @@ def write_table(df: DataFrame, root: str, name: str, version: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{root}/{name}/{version}"
     df.write.mode("overwrite").parquet(path)
-    fs, p, _ = _fs(spark, f"{root}/{name}/_CURRENT")
-    out = fs.create(p, True)
-    try:
-        out.write(bytearray(version.encode("utf-8")))
-    finally:
-        out.close()
+    # one empty marker per version, created whole: a reader sees the old newest
+    # marker or the new one, never half a pointer
+    fs, p, jvm = _fs(spark, f"{root}/{name}/_CURRENT")
+    n = len(fs.listStatus(p)) if fs.exists(p) else 0
+    fs.create(jvm.org.apache.hadoop.fs.Path(p, f"{n:09d}@{version}"), False).close()
     return spark.read.parquet(path)
 
 

@@ -1,21 +1,23 @@
 """Continuous / triggered ingest of new export files with Structured Streaming.
 
-``readStream.format("binaryFile")`` discovers new files; every micro-batch
-runs the same ``ingest_files`` step as the batch job. The stream checkpoint
-remembers which paths were seen, and the content-hash anti-join against
-Bronze inside the batch makes it exactly-once by *content*: the same bytes
-under a new name are skipped, and a replayed micro-batch overwrites its own
-(snapshot_ts, file_hash) partitions. ``availableNow`` processes whatever is
-there and stops, so a redundant trigger is a no-op.
+``readStream.format("binaryFile")`` discovers new files; every micro-batch runs
+the same ``ingest_files`` step as the batch job, under a batch id made of the
+stream's checkpoint and the batch number. The stream checkpoint remembers which
+paths were seen, and the ledger's full hashes make it exactly-once by
+*content*: the same bytes under a new name are skipped. A replayed micro-batch
+overwrites its own Bronze folder and ledger rows and is compared with the other
+batches only. ``availableNow`` processes whatever is there and stops, so a
+redundant trigger is a no-op.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.keys import key_hash8, key_is_valid, key_snapshot_ts
 from tidemark.sources import bronze as bz
 from tidemark.sources import landing
 
@@ -25,43 +27,29 @@ BINARY_FILE_SCHEMA = T.StructType([
     T.StructField("length", T.LongType()),
     T.StructField("content", T.BinaryType()),
 ])
-RESULT_SCHEMA = ("key string, snapshot_ts timestamp, file_hash string, status string, "
-                 "rows_ingested long, header_line_index int, encoding string, message string, "
-                 "batch_id long")
+#: Files per micro-batch, so that one batch's metadata stays bounded.
+FILES_PER_TRIGGER = 10_000
 
 
-def landing_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-              .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv"))
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    files = reader.load(landing_dir)
-    key = landing._relative_key("path", landing_dir)
-    return files.select(
-        "path", key.alias("key"), key_snapshot_ts(key).alias("snapshot_ts"),
-        key_hash8(key).alias("hash8"), key_is_valid(key).alias("is_valid"),
-        F.col("length").alias("size_bytes"),
-    ).filter("is_valid").drop("is_valid")
+def landing_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+             .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+             .option("maxFilesPerTrigger", max_files_per_trigger).load(landing_dir))
+    return landing.with_key(files, landing_dir)
 
 
-def run_available_now(spark: SparkSession, landing_dir: str, bronze_path: str,
-                      checkpoint_location: str, results_path: str, *, ingested_at=None,
-                      on_mismatch: str = "quarantine") -> DataFrame:
-    """Ingest everything new under ``landing_dir`` and stop; returns the
-    per-file results of all runs so far (a Parquet log keyed by batch id)."""
+def run_available_now(spark: SparkSession, landing_dir: str, bronze_path: str, checkpoint_location: str, *,
+                      ingested_at=None, on_mismatch: str = "quarantine") -> DataFrame:
+    """Ingest everything new under ``landing_dir`` and stop; returns the ledger
+    rows of all runs of this stream so far."""
+    name = "stream-" + hashlib.md5(checkpoint_location.encode()).hexdigest()[:12]
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        hashes = bz.ingested_hashes(bz.read_bronze(batch.sparkSession, bronze_path))
-        res = landing.ingest_files(batch, bronze_path, hashes, ingested_at=ingested_at,
-                                   on_mismatch=on_mismatch)
-        (res.withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}"))
+        landing.ingest_files(batch, bronze_path, f"{name}-{batch_id}", ingested_at=ingested_at,
+                             on_mismatch=on_mismatch)
 
     query = (landing_stream(spark, landing_dir).writeStream.foreachBatch(on_batch)
              .option("checkpointLocation", checkpoint_location)
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    try:
-        return spark.read.parquet(results_path)
-    except Exception:  # noqa: BLE001 - no batch has run yet
-        return spark.createDataFrame([], RESULT_SCHEMA)
+    return bz.read_ledger(spark, bronze_path).where(F.col("batch_id").startswith(name + "-"))
