@@ -6,8 +6,8 @@ their joined bytes. So the encodings of all prefixes of a pre-token follow from
 one left-to-right pass: the last token of prefix p is the only vocabulary token
 that ends at p and agrees with the last token of the prefix before it, and
 ``count[p] = count[p - len(token)] + 1``. A document stores the running count
-at every pre-token boundary; together with the prefix counts inside the
-pre-token that a position falls into, any truncation or budget question is
+at the end of every unit (blank-separated); with the prefix counts inside the
+pre-tokens of the unit that a position falls into, any truncation or budget question is
 answered by a look-up, without encoding again.
 
 Defined cases: null text is empty and has 0 tokens; repeated rows are counted
@@ -19,9 +19,11 @@ A pre-token of any length takes one pass over its bytes.
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
+import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 #: The published splitting pattern of byte-level tokenizers (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A blank before white space or the end.
+LOOSE_BLANK = re.compile(r" (?:\s|\Z)").search
 #: Pre-tokens remembered per worker, and the longest that is remembered.
 CACHE, CACHE_LENGTH = 400_000, 64
 
@@ -75,7 +79,8 @@ class PrefixCounter:
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
                                  + ")").split if self.special else (lambda t: [t])
         self.agree: dict[int, bool] = {}
-        self.known: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        self.later = Later(self)
 
     def merge(self, data: str) -> list[str]:
         """Merges of a short byte string, lowest rank first, leftmost first."""
@@ -118,14 +123,15 @@ class PrefixCounter:
                 done[p], last[p], counts[p] = True, token, counts[p - size] + 1
         return counts
 
-    def __call__(self, word: str) -> int:
-        got = self.known.get(word)
+    def word(self, word: str) -> int:
+        """Tokens of one pre-token or special string."""
+        got = self.words.get(word)
         if got is None:
-            got = int(self.prefixes(word.encode())[-1])
+            got = 1 if word in self.special else self.prefixes(word.encode())[-1]
             if len(word) <= CACHE_LENGTH:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[word] = got
+                if len(self.words) >= CACHE:
+                    self.words.clear()
+                self.words[word] = got
         return got
 
     def pieces(self, text: str) -> list[str]:
@@ -137,60 +143,103 @@ class PrefixCounter:
             out.extend([part] if part in self.special else self.split(part))
         return out
 
-    def boundaries(self, text: str) -> np.ndarray:
-        """Running token counts after each pre-token of a text."""
-        words = self.pieces(text)
-        known = self.known
-        special = self.special
-        return np.cumsum(np.fromiter(
-            (known[w] if w in known else 1 if w in special else self(w) for w in words), np.int64, len(words)))
+    def units(self, text: str) -> list[str]:
+        """A text cut before every single blank that ink follows (always the
+        start of a pre-token), the blanks left out; one unit where a blank is
+        followed by white space, or where a special string stands."""
+        if LOOSE_BLANK(text) or any(s in text for s in self.special):
+            return [text]
+        return text.split(" ")
+
+    def boundaries(self, text: str) -> tuple[list[str], np.ndarray]:
+        """Units of a text, and its running token counts at their ends."""
+        units = self.units(text)
+        later = self.later
+        if len(later) >= CACHE:
+            later.clear()
+        counts = np.fromiter(map(later.__getitem__, units), np.int64, len(units))
+        counts[0] = sum(map(self.word, self.pieces(units[0])))
+        return units, np.cumsum(counts)
+
+
+class Later(dict):
+    """Tokens of units that follow a blank, filled on first sight."""
+
+    def __init__(self, counter: "PrefixCounter"):
+        super().__init__()
+        self.counter = counter
+
+    def __missing__(self, unit: str) -> int:
+        got = sum(map(self.counter.word, self.counter.pieces(" " + unit))) if unit else 0
+        if len(unit) <= CACHE_LENGTH:
+            self[unit] = got
+        return got
 
 
-@dataclass
 class PrefixIndex:
-    """Answers for one text, from its running counts and one pre-token."""
-
-    counter: PrefixCounter
-    text: str
-
-    def __post_init__(self):
-        self.words = self.counter.pieces(self.text)
-        self.bytes_at = np.cumsum([0] + [len(w.encode()) for w in self.words])
-        self.tokens_at = np.concatenate(([0], self.counter.boundaries(self.text)))
+    """Answers for one text from its running counts and one unit of it."""
+
+    def __init__(self, counter: PrefixCounter, text: str):
+        self.counter = counter
+        self.units, self.tokens_at = counter.boundaries(text)
+
+    def _unit(self, k: int) -> str:
+        return " " * (k > 0) + self.units[k]
+
+    def _before(self, k: int) -> tuple[int, int]:
+        """Bytes and tokens of the units before unit k."""
+        lead = " ".join(self.units[:k])
+        return len(lead.encode()), int(self.tokens_at[k - 1]) if k else 0
+
+    def _inside(self, k: int) -> list[tuple[int, int]]:
+        """(bytes, tokens) of every prefix that ends in unit k."""
+        at, n = self._before(k)
+        out = [(at, n)]
+        for word in self.counter.pieces(self._unit(k)):
+            data = word.encode()
+            counts = [0, *[1] * len(data)] if word in self.counter.special else self.counter.prefixes(data)
+            out += [(at + i, n + c) for i, c in enumerate(counts) if i]
+            at, n = out[-1]
+        return out
 
     def tokens(self, n_bytes: int) -> int:
         """Tokens of the first ``n_bytes`` bytes, cut inside the pre-token of
         the whole text that they end in."""
-        k = bisect_right(self.bytes_at, n_bytes) - 1
-        inside = n_bytes - int(self.bytes_at[k])
-        if not inside or k >= len(self.words) or self.words[k] in self.counter.special:
-            return int(self.tokens_at[k])
-        return int(self.tokens_at[k] + self.counter.prefixes(self.words[k].encode()[:inside])[-1])
+        sizes = np.cumsum([len(self._unit(k).encode()) for k in range(len(self.units))])
+        k = min(int(np.searchsorted(sizes, n_bytes)), len(self.units) - 1)
+        return dict(self._inside(k))[n_bytes]
 
     def longest(self, budget: int) -> int:
         """The most bytes from the start whose tokens keep within ``budget``
-        (prefix counts inside a pre-token need not grow with the prefix)."""
-        k = bisect_right(self.tokens_at, budget) - 1
-        best = int(self.bytes_at[k])
-        if k < len(self.words) and self.words[k] not in self.counter.special:
-            counts = np.array(self.counter.prefixes(self.words[k].encode())) + self.tokens_at[k]
-            best += int(np.flatnonzero(counts <= budget)[-1])
-        return best
+        (counts inside a pre-token need not grow with the prefix)."""
+        k = min(int(np.searchsorted(self.tokens_at, budget, "right")), len(self.units) - 1)
+        return max(at for at, n in self._inside(k) if n <= budget)
 
 
-def token_stats(text: Column, path: str, budget: int = LIMIT) -> Column:
-    """Struct of a text's tokens, its running counts (as int32 bytes, one per
-    pre-token) and the bytes that fit into ``budget`` tokens."""
+def worker_counter(path: str) -> PrefixCounter:
+    """One counter per Python worker process and file: workers outlive tasks,
+    so what one task has learned about words serves the next."""
+    held = sys.modules.setdefault("_prefix_counters", ModuleType("_prefix_counters")).__dict__
+    if path not in held:
+        held[path] = PrefixCounter(path)
+    return held[path]
+
 
+def token_stats(text: Column, path: str, budget: int = LIMIT) -> Column:
+    """Struct of a text's tokens and of the bytes that fit into ``budget``."""
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = PrefixCounter(path)
+        counter = worker_counter(path)
         for batch in batches:
-            total, fit, runs = [], [], []
-            for text in batch.to_pylist() if len(batch) else []:
-                at = counter.boundaries(text) if text else np.zeros(0, np.int64)
-                total.append(int(at[-1]) if len(at) else 0)
-                fit.append(None if text is None else len(text.encode()) if total[-1] <= budget
-                           else PrefixIndex.longest(_view(counter, text, at), budget))
+            total, fit = [], []
+            for item in batch:
+                text = item.as_py()
+                if not text:
+                    total.append(0)
+                    fit.append(0)
+                    continue
+                index = PrefixIndex(counter, text)
+                total.append(int(index.tokens_at[-1]))
+                fit.append(len(text.encode()) if total[-1] <= budget else index.longest(budget))
             yield pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(fit, pa.int64())],
                                              names=["n_tokens", "fit_bytes"])
 
@@ -198,22 +247,13 @@ def token_stats(text: Column, path: str, budget: int = LIMIT) -> Column:
     return F.arrow_udf(run, "struct<n_tokens: bigint, fit_bytes: bigint>")(text)
 
 
-def _view(counter: PrefixCounter, text: str, at: np.ndarray) -> PrefixIndex:
-    """An index of a text whose running counts are at hand."""
-    view = object.__new__(PrefixIndex)
-    view.counter, view.text, view.words = counter, text, counter.pieces(text)
-    view.bytes_at = np.cumsum([0] + [len(w.encode()) for w in view.words])
-    view.tokens_at = np.concatenate(([0], at))
-    return view
-
-
 def prefix_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the running token counts (array<int>) at the pre-token ends."""
+    """doc_id and the running token counts (array<int>) at the ends of units."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = PrefixCounter(path)
+        counter = worker_counter(path)
         for batch in batches:
-            yield pa.array([None if t is None else counter.boundaries(t).tolist() for t in batch.to_pylist()],
+            yield pa.array([None if t is None else counter.boundaries(t)[1].tolist() for t in batch.to_pylist()],
                            pa.list_(pa.int32()))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
