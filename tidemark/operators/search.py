@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.render import DASH, display_url, format_day, format_tags
-from tidemark.functions.text import contains_folded, fold_accents
+from tidemark.functions.text import contains_folded
 
 
 def filter_tags(df: DataFrame, tags: list[str], include_untagged: bool = True,
@@ -26,8 +26,7 @@ def search_people(df: DataFrame, needle: str) -> DataFrame:
     """Literal accent-blind substring over 'full name + space + position'."""
     if not needle.strip():
         return df
-    hay = F.concat(fold_accents("full_name"), F.lit(" "), fold_accents("position"))
-    return df.filter(contains_folded(hay, needle))
+    return df.filter(contains_folded("concat(coalesce(full_name, ''), ' ', coalesce(position, ''))", needle))
 
 
 def search_company(df: DataFrame, needle: str, col: str = "company") -> DataFrame:

@@ -460,7 +460,7 @@ cte("net_path", f"""
       {sql_months('valid_from')} AS m_moved,
       {sql_seniority('position')} AS is_senior
     FROM net_tf""", "net_tf")
-_BASE = " ".join(f"WHEN {_q(k)} THEN {v}" for k, v in _W.base().items())
+_BASE = " ".join(f"WHEN {_q(k)} THEN {v}" for k, v in ((p, _W.points(p)) for p, _ in _sc.PATH_REASONS))
 _REASON = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in _sc.PATH_REASONS)
 cte("net_pts", f"""
     SELECT *,
@@ -970,3 +970,34 @@ oracle("orders_scd2_replay", "SELECT * FROM scd2_o", "scd2_o")
 oracle("orders_breakdown", "SELECT * FROM breakdown_o", "breakdown_o")
 oracle("breakdown_union", "SELECT * FROM breakdown", "breakdown")
 oracle("parse_exports_split", ORACLES["parse_exports"])
+
+# --- column checks, shortlist files, pipeline report, scripts -----------------------------
+oracle("dq_columns", """
+    SELECT 'columns_exact' AS "check", 'error' AS severity, 2 AS failed_rows, false AS passed, 'odd' AS frame
+    UNION ALL SELECT 'row_count_at_least_1', 'error', 0, count(*) >= 1, 'odd' FROM raw_snap
+    UNION ALL SELECT 'not_null:notes', 'error', count(*), count(*) = 0, 'odd' FROM raw_snap
+    UNION ALL SELECT 'columns_exact', 'error', 0, true, 'exports'
+    UNION ALL SELECT 'row_count_at_least_1', 'error', 0, count(*) >= 1, 'exports' FROM raw_snap
+    UNION ALL SELECT 'not_null:url', 'error', count(*) FILTER (url IS NULL), count(*) FILTER (url IS NULL) = 0, 'exports'
+    FROM raw_snap""", "raw_snap")
+oracle("export_shortlist", f"""
+    SELECT full_name AS name, coalesce(company, '—') AS company, coalesce(position, '—') AS position,
+      CASE WHEN len(tags) > 0 THEN array_to_string(tags, ', ') ELSE '—' END AS tags,
+      coalesce(strftime(connected_on, '%Y-%m-%d'), '—') AS connected, CAST(score AS VARCHAR) AS score,
+      score_reason AS why, {_DISPLAY_URL} AS profile
+    FROM scored""", "scored")
+from tidemark.functions.text import SCRIPT_NAMES as _SCRIPTS  # noqa: E402
+
+oracle("search_scripts", "SELECT c_custkey, CASE CAST(c_custkey % " + str(len(_SCRIPTS)) + " AS INT) " + " ".join(
+    f"WHEN {i} THEN {_q(needle)}" for i, (_, needle) in enumerate(_SCRIPTS)) + " END AS hits FROM customer")
+oracle("pipeline_run", """
+    SELECT 'ingest' AS stage, 'ok' AS status, count(*) AS rows FROM raw_snap
+    UNION ALL SELECT 'gate', 'ok', NULL
+    UNION ALL SELECT 'quality', CASE WHEN count(*) FILTER (NOT regexp_matches(connected_on,
+      '^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$')) > 0 THEN 'failed' ELSE 'ok' END, NULL FROM raw_snap
+    UNION ALL SELECT 'silver', 'ok', count(*) FROM silver
+    UNION ALL SELECT 'scd2', 'ok', count(*) FROM scd2
+    UNION ALL SELECT 'gold', 'ok', count(*) FROM fact
+    UNION ALL SELECT 'tests', 'warn', NULL
+    UNION ALL SELECT 'counts_agree', 'ok', NULL
+    UNION ALL SELECT 'freshness', 'ok', NULL""", "raw_snap", "silver", "scd2", "fact")

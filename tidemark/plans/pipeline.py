@@ -18,7 +18,7 @@ from tidemark.sources import bronze as bz
 from tidemark.sources import landing
 from tidemark.sources import tables
 
-REPORT_SCHEMA = "stage string, status string, detail string"
+REPORT_SCHEMA = "stage string, status string, detail string, rows long"
 GATE_SCHEMA = "batch_id string, passed boolean"
 #: More new exports than this are folded in by one replay instead of one apply each.
 MAX_APPLIES = 8
@@ -121,33 +121,36 @@ def run(spark: SparkSession, landing_dir: str, warehouse: str, *, force: bool =
     today = str(today or dt.date.today())
     run_id = "run=" + dt.datetime.now(dt.UTC).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
     bronze_path = f"{warehouse}/bronze"
-    report: list[tuple[str, str, str]] = []
+    report: list[tuple[str, str, str, int | None]] = []
+
+    def note(stage: str, status: str, detail: str, rows: int | None = None) -> None:
+        report.append((stage, status, detail, rows))
 
     results = landing.ingest(spark, landing_dir, bronze_path, ingested_at=ingested_at,
                              on_mismatch="quarantine")
     summary = landing.ingest_report(results).first()
-    report.append(("ingest", "ok", str(summary.asDict())))
+    note("ingest", "ok", str(summary.asDict()), summary["rows_ingested"])
     if not (summary["objects_ingested"] or force):
-        report.append(("gate", "skipped", "no new data and force is off"))
+        note("gate", "skipped", "no new data and force is off")
         return spark.createDataFrame(report, REPORT_SCHEMA)
-    report.append(("gate", "ok", "new data" if summary["objects_ingested"] else "forced"))
+    note("gate", "ok", "new data" if summary["objects_ingested"] else "forced")
 
     bronze, failed = gate(spark, bronze_path, url_regex)
-    report.append(("quality", "failed" if failed else "ok", ", ".join(failed) or "all checks passed"))
+    note("quality", "failed" if failed else "ok", ", ".join(failed) or "all checks passed")
     if failed:
         if fail_on_quality:
             raise QualityGateError("bronze checks failed: " + report[-1][2])
         bronze = bz.read_bronze(spark, bronze_path)  # the caller takes refused batches too
 
     silver = tables.write_table(silver_ops.build_silver(bronze), warehouse, "silver", run_id)
-    report.append(("silver", "ok", run_id))
+    note("silver", "ok", run_id, silver.count())
 
     new_dim, how = next_history(silver, tables.read_table(spark, warehouse, "dim_connection"),
                                 tables.read_table(spark, warehouse, "dim_connection_applied"))
     dim = tables.write_table(new_dim, warehouse, "dim_connection", run_id)
     tables.write_table(silver.where("is_identifiable").select("snapshot_ts").distinct(), warehouse,
                        "dim_connection_applied", run_id)
-    report.append(("scd2", "ok", how))
+    note("scd2", "ok", how, dim.count())
 
     fact = tables.write_table(fact_ops.fact_with_flow(silver), warehouse, "fct_connection_snapshot", run_id)
     company = tables.write_table(dims.dim_company(silver, dim), warehouse, "dim_company", run_id)
@@ -156,19 +159,19 @@ def run(spark: SparkSession, landing_dir: str, warehouse: str, *, force: bool =
                                run_id)
     breakdown = tables.write_table(marts.breakdown(fact), warehouse, "mart_network_breakdown",
                                    run_id)
-    report.append(("gold", "ok", "fact, dims and marts rebuilt"))
+    note("gold", "ok", "fact, dims and marts rebuilt", fact.count())
 
     tests = table_tests(bronze, silver, fact, company, calendar, dim, stats, breakdown, today)
     bad = tests.where("not passed").select("check", "severity").collect()
     level = "failed" if any(r["severity"] == dq.ERROR for r in bad) else "warn" if bad else "ok"
-    report.append(("tests", level, ", ".join(sorted(r["check"] for r in bad)) or "all tests passed"))
+    note("tests", level, ", ".join(sorted(r["check"] for r in bad)) or "all tests passed")
     agree = any(r["check"] == "counts_agree" for r in bad)
-    report.append(("counts_agree", "failed" if agree else "ok", "stats and breakdown marts"))
+    note("counts_agree", "failed" if agree else "ok", "stats and breakdown marts")
 
     fresh = dq.run_checks(bronze, [dq.freshness("ingested_at", today, 30, dq.WARN),
                                    dq.freshness("ingested_at", today, 90, dq.ERROR)])
     stale = fresh.filter(~F.col("passed")).select("severity").collect()
     level = "error" if any(r["severity"] == dq.ERROR for r in stale) else (
         "warn" if stale else "ok")
-    report.append(("freshness", level, f"newest ingested_at vs {today}"))
+    note("freshness", level, f"newest ingested_at vs {today}")
     return spark.createDataFrame(report, REPORT_SCHEMA)

@@ -416,6 +416,18 @@ def q_fold(spark, sf):
                        F.length(folded).alias("folded_chars"))
 
 
+@query("search_scripts")
+def q_search_scripts(spark, sf):
+    """Every customer under a name in one of several scripts, and the needles
+    (other spellings of the same letters) that find it."""
+    names = F.array(*[F.lit(n) for n, _ in text.SCRIPT_NAMES])
+    people = spark.read.parquet(f"{sf}/customer.parquet").select(
+        "c_custkey", F.concat(F.get(names, F.expr(f"cast(c_custkey % {len(text.SCRIPT_NAMES)} as int)")), F.lit(" "),
+                              F.col("c_custkey").cast("string")).alias("name"))
+    hits = [F.when(text.contains_folded("name", needle), F.lit(needle)) for _, needle in text.SCRIPT_NAMES]
+    return people.select("c_custkey", F.array_join(F.filter(F.array(*hits), lambda x: x.isNotNull()), ",").alias("hits"))
+
+
 @query("search_documents")
 def q_search_docs(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
@@ -502,7 +514,13 @@ def q_dq_report(spark, sf):
 
 @query("dq_columns")
 def q_dq_columns(spark, sf):
-    return dq.run_checks(bronze(spark, sf), [dq.columns_exact(BRONZE_COLUMNS)])
+    """Column set of exports that lack a column and carry an odd one, next to
+    row checks of the same rows; and of the exports as they are."""
+    rows = bronze(spark, sf)
+    odd = rows.drop("position").withColumn("notes", F.lit(None).cast("string"))
+    parts = [dq.run_checks(frame, [dq.columns_exact(BRONZE_COLUMNS), dq.row_count_at_least(1), dq.not_null(c)])
+             .withColumn("frame", F.lit(name)) for name, frame, c in (("odd", odd, "notes"), ("exports", rows, "url"))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("restricted_rows")
@@ -867,7 +885,7 @@ def q_late(spark, sf):
 def q_pipeline(spark, sf):
     root = landed(spark, sf, "pipeline")
     return pipeline.run(spark, f"{root}/landing", f"{root}/warehouse", today=TODAY,
-                        url_regex=ADAPTER_URL_REGEX, ingested_at=TODAY, fail_on_quality=False)
+                        url_regex=ADAPTER_URL_REGEX, ingested_at=TODAY, fail_on_quality=False).drop("detail")
 
 
 @query("export_shortlist")
