@@ -17,8 +17,9 @@ without a forbidden neighbour pair, and splits like a Viterbi lattice:
 4. Each chunk is then traced on its own between its two known states.
 
 A document of one chunk has no cut, so only step 4 remains. Text between cuts is
-encoded by segments (a run of blanks and what follows): no piece holds a blank
-after another character, which is checked when the model is loaded.
+encoded by segments (a run of blanks and what follows, or a line end): no piece
+holds a blank after another character, or a line end, which is checked when the
+model is loaded.
 
 Defined cases: null or empty text has no pieces; ids may repeat or be null;
 equal rows each get a result; U+2581 in a text counts as a blank, as the
@@ -29,8 +30,10 @@ empty result. Memory per task is bounded by one document and one Arrow batch.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +41,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
-CHUNK = 16_384
-#: Segments remembered per task, and the longest that is remembered.
+CHUNK = 65_536
+#: Segments remembered per worker, and the longest that is remembered.
 CACHE, CACHE_LENGTH = 300_000, 48
 BLANK = "▁"
-SEGMENT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+SEGMENT = re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
+#: Characters of new segments that are encoded in one call.
+CALL = 256
 LOW = float("-inf")
 
 
@@ -64,31 +69,57 @@ class Pieces:
         self.longest = max(map(len, self.vocab))
         if any(BLANK in p.lstrip(BLANK) for p in self.vocab) or "\n" in self.letters:
             raise ValueError("a piece holds a blank after another character, or a line end")
-        # a line end is no part of any piece: what follows it is encoded as it stands
+        # a line end is no part of any piece: what stands between two of them is
+        # encoded as it stands
         self.guard = sp.encode("\n")
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.line_end = self.guard[-1]
+        self.known: dict[str, list[int]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def raw(self, part: str) -> list[int]:
         return self.model.encode("\n" + part.replace(BLANK, " "))[len(self.guard):]
 
-    def segment(self, part: str) -> tuple[int, ...]:
-        got = self.known.get(part)
-        if got is None:
-            got = tuple(self.raw(part))
-            if len(part) <= CACHE_LENGTH:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[part] = got
-        return got
+    def learn(self, segments: list[str]) -> None:
+        """Encode new segments, many in one call with line ends between them."""
+        at = 0
+        while at < len(segments):
+            size, first = 0, at
+            while at < len(segments) and (at == first or size < CALL):
+                size += len(segments[at])
+                at += 1
+            got: list[int] = []
+            ids = iter(self.raw("\n".join(segments[first:at])) + [self.line_end])
+            place = first
+            for i in ids:
+                if i == self.line_end:
+                    self.known[segments[place]] = got
+                    got, place = [], place + 1
+                else:
+                    got.append(i)
+
+    def parts(self, stretch: str) -> list[list[int]]:
+        """Ids of the segments of a stretch of normalised text that starts and
+        ends at piece ends."""
+        segments, known = SEGMENT.findall(stretch), self.known
+        if len(known) >= CACHE:
+            known.clear()
+        known["\n"] = [self.line_end]
+        out = list(map(known.get, segments))
+        if None in out:
+            new = list(dict.fromkeys(x for x, ids in zip(segments, out) if ids is None))
+            self.learn(new)
+            out = list(map(known.get, segments))
+            for x in new:
+                if len(x) > CACHE_LENGTH:
+                    del known[x]
+        return out
 
-    def ids(self, part: str) -> np.ndarray:
-        """Ids of a stretch of normalised text that starts and ends at piece ends."""
-        return np.fromiter(chain.from_iterable(map(self.segment, SEGMENT.findall(part))), np.int32)
+    def ids(self, stretch: str) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(self.parts(stretch)), np.int32)
 
     def text(self, ids) -> str:
         """Normalised text of ids, with blanks as spaces."""
-        return self.model.decode(self.guard + list(map(int, ids)))[1:]
+        return self.model.decode(self.guard + ids.tolist())[1:]
 
     def apart(self, a: str, b: str) -> bool:
         """Whether two pieces stay neighbours when their joined text is encoded."""
@@ -117,8 +148,7 @@ class Pieces:
         which become several bytes, stand as themselves."""
         if not part:
             return 0, "", ""
-        segments = SEGMENT.findall(part)
-        ids = [self.segment(s) for s in segments]
+        ids = self.parts(part)
         name = self.model.id_to_piece
         first, last = name(ids[0][0]), name(ids[-1][-1])
         return (sum(map(len, ids)), first if first in self.vocab else part[0],
@@ -156,6 +186,15 @@ class Pieces:
         return out
 
 
+def worker_pieces(path: str) -> Pieces:
+    """One model per Python worker process and file: workers outlive tasks, so
+    segments that one task has encoded serve the next."""
+    held = sys.modules.setdefault("_piece_models", ModuleType("_piece_models")).__dict__
+    if path not in held:
+        held[path] = Pieces(path)
+    return held[path]
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus matrix product."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
@@ -201,7 +240,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def encode(text: Column, path: str) -> Column:
     """Struct of ids and round_trip of a text column, each text as one chunk."""
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = Pieces(path)
+        pieces = worker_pieces(path)
         for batch in batches:
             ids, same = [], []
             for x in batch:
@@ -217,9 +256,9 @@ def encode(text: Column, path: str) -> Column:
 def decode(ids: Column, path: str) -> Column:
     """Texts of id arrays; null is null."""
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = Pieces(path)
+        pieces = worker_pieces(path)
         for batch in batches:
-            yield pa.array([None if x is None else pieces.text(x)[1:] for x in batch.to_pylist()], pa.string())
+            yield pa.array([None if x is None else pieces.text(np.array(x, np.int32))[1:] for x in batch.to_pylist()], pa.string())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "string")(ids)
@@ -243,7 +282,7 @@ def _cut_chunks(chunk: int, margin: int):
 
 def _matrices(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = worker_pieces(path)
         for batch in batches:
             keep = batch.select(["doc_id", "digest", "k"])
             found = [pieces.transfer(r["part"], r["lo"], r["hi"], r["k"] == 0, r["k"] == r["n"] - 1)
@@ -269,7 +308,7 @@ def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _trace(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = worker_pieces(path)
         for batch in batches:
             ids, same = [], []
             for r in batch.select(["k", "n", "lo", "hi", "part", "enter", "leave"]).to_pylist():
