@@ -6,7 +6,3 @@ per-entity analytics. Every operator takes and returns a lazy DataFrame, so
 Catalyst plans the whole chain and nothing on a data path goes through the
 driver.
 """
-
-from tidemark.spec import SnapshotSpec, DEFAULT_SPEC
-
-__all__ = ["SnapshotSpec", "DEFAULT_SPEC"]

@@ -38,14 +38,17 @@ def snapshot_sequence(rows: DataFrame, ts_col: str = "snapshot_ts") -> DataFrame
     )
 
 
-def fact_with_flow(silver: DataFrame) -> DataFrame:
-    """Fact rows plus ``next_snapshot_ts`` / ``is_lost_at_next`` for churn."""
+def fact_with_flow(silver: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """Fact rows plus ``next_snapshot_ts`` / ``is_lost_at_next`` for churn.
+
+    ``times`` may give the exports' timestamps from a cheaper source than
+    Silver (``silver.export_times``)."""
     s = silver.where("is_identifiable").select(
         "connection_id", "company_key", "company_label", "position", "connected_on",
         "connected_on_date_key", "snapshot_ts", "snapshot_date", "snapshot_date_key",
         "has_email", "file_hash",
     )
-    seq = snapshot_sequence(s)
+    seq = snapshot_sequence(s if times is None else times)
     w = "OVER (PARTITION BY connection_id ORDER BY snapshot_ts)"
     return s.join(seq, "snapshot_ts").selectExpr(
         f"{surrogate_key_sql('connection_id', 'snapshot_ts')} AS connection_snapshot_key",
@@ -62,8 +65,8 @@ def fact_with_flow(silver: DataFrame) -> DataFrame:
     )
 
 
-def build_fact(silver: DataFrame) -> DataFrame:
-    return fact_with_flow(silver).select(*FACT_COLUMNS)
+def build_fact(silver: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    return fact_with_flow(silver, times).select(*FACT_COLUMNS)
 
 
 def first_appearance(silver: DataFrame) -> DataFrame:

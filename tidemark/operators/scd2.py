@@ -53,9 +53,10 @@ def replay(
     entity: str = "connection_id",
     tracked: tuple[str, ...] = ("company", "position"),
     ts: str = "snapshot_ts",
+    times: DataFrame | None = None,
 ) -> DataFrame:
     rows = silver.where("is_identifiable").select(*DIM_COLUMNS, ts)
-    seq = snapshot_sequence(rows, ts).select(ts, "previous_snapshot_ts", "next_snapshot_ts")
+    seq = snapshot_sequence(rows if times is None else times, ts).select(ts, "previous_snapshot_ts", "next_snapshot_ts")
     t = sx.ref(ts)
     w = f"OVER (PARTITION BY {sx.ref(entity)} ORDER BY {t})"
     starts = " OR ".join([
@@ -87,14 +88,16 @@ def apply(
     entity: str = "connection_id",
     tracked: tuple[str, ...] = ("company", "position"),
     ts: str = "snapshot_ts",
+    at: Column | None = None,
 ) -> DataFrame:
-    """Fold the newest export into the history; effective time = its snapshot ts."""
+    """Fold the newest export into the history; effective time = its snapshot ts
+    (``at``, or found from the rows). ``dim`` is read twice, so give a table."""
     open_v = dim.where("valid_to IS NULL")
     closed_v = dim.where("valid_to IS NOT NULL")
     new = latest.selectExpr(*[sx.ref(c) for c in DIM_COLUMNS], f"{sx.ref(ts)} AS _eff")
     e = sx.ref(entity)
     j = open_v.alias("o").join(new.alias("n"), F.expr(f"o.{e} = n.{e}"), "full_outer") \
-        .withColumn("_eff_ts", latest.agg(F.max(ts)).scalar())
+        .withColumn("_eff_ts", latest.agg(F.max(ts)).scalar() if at is None else at)
     has_o, has_n = f"(o.{e} IS NOT NULL)", f"(n.{e} IS NOT NULL)"
     differs = "(" + " OR ".join([_changed(f"o.{sx.ref(c)}", f"n.{sx.ref(c)}") for c in tracked] or ["FALSE"]) + ")"
     old = "named_struct(" + ", ".join([
@@ -119,10 +122,6 @@ def current(dim: DataFrame) -> DataFrame:
     return dim.filter(F.col("valid_to").isNull())
 
 
-def with_version_counts(dim: DataFrame, entity: str = "connection_id") -> DataFrame:
-    return dim.withColumn("version_count", F.count(F.lit(1)).over(Window.partitionBy(entity)))
-
-
 def recent_changes(dim: DataFrame, n: int | None = 25, entity: str = "connection_id") -> DataFrame:
     """Open versions next to the version immediately before them, newest first."""
     w = Window.partitionBy(entity).orderBy("valid_from")

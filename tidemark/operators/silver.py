@@ -47,23 +47,23 @@ def clean(bronze: DataFrame) -> DataFrame:
 def dedup(cleaned: DataFrame) -> DataFrame:
     """Keep the first row (by source row number) of each (export, entity).
 
-    One partial (map-side) aggregation: an entity copied millions of times in
-    one export is collapsed per map task before anything crosses the network.
+    ``row_number() = 1`` plans as a group limit on both sides of the shuffle:
+    an entity copied millions of times in one export leaves each map task once.
     Rows without an identity must all be kept; instead of sharing one null
     key (one hot task) each gets its own salted key — its file and row
     position — so they spread over every reducer and pass through as groups
     of one. No union, so the upstream scan runs once.
     """
-    # the struct orders by its first fields: source row number, then object key
-    lead = ["source_row_number", "source_object"]
-    rest = lead + [c for c in _CLEAN_COLUMNS if c not in ("snapshot_ts", *lead)]
     key = ("coalesce(concat('i:', connection_id), concat('n:', coalesce(file_hash, ''), ':', "
            "CAST(source_row_number AS STRING)))")
-    firsts = (
-        cleaned.groupBy("snapshot_ts", F.expr(key).alias("_dedup_key"))
-        .agg(F.expr(f"min(struct({', '.join(f'`{c}`' for c in rest)})) AS _first"))
-    )
-    return firsts.selectExpr(*[c if c == "snapshot_ts" else f"_first.`{c}`" for c in _CLEAN_COLUMNS])
+    place = f"row_number() OVER (PARTITION BY snapshot_ts, {key} ORDER BY source_row_number, source_object)"
+    return cleaned.selectExpr("*", f"{place} AS _place").where("_place = 1").select(*_CLEAN_COLUMNS)
+
+
+def export_times(cleaned: DataFrame) -> DataFrame:
+    """(snapshot_ts) of the exports with an identified row: the same list as
+    from deduplicated rows, without the dedup."""
+    return cleaned.where("connection_id IS NOT NULL").select("snapshot_ts")
 
 
 def derive(deduped: DataFrame) -> DataFrame:

@@ -34,8 +34,13 @@ def silver(spark: SparkSession, sf: str) -> DataFrame:
     return silver_ops.build_silver(bronze(spark, sf))
 
 
+def times(spark: SparkSession, sf: str) -> DataFrame:
+    """Timestamps of the exports, straight from the cleaned rows."""
+    return silver_ops.export_times(silver_ops.clean(bronze(spark, sf)))
+
+
 def fact_flow(spark: SparkSession, sf: str) -> DataFrame:
-    return fact_ops.fact_with_flow(silver(spark, sf))
+    return fact_ops.fact_with_flow(silver(spark, sf), times(spark, sf))
 
 
 # --- registered queries ---------------------------------------------------------
@@ -51,13 +56,13 @@ def q_silver(spark, sf):
 
 @query("fct_snapshot")
 def q_fact(spark, sf):
-    return fact_ops.build_fact(silver(spark, sf))
+    return fact_ops.build_fact(silver(spark, sf), times(spark, sf))
 
 
 @query("network_stats")
 def q_network_stats(spark, sf):
     s = silver(spark, sf)
-    return marts.network_stats(fact_ops.fact_with_flow(s), s)
+    return marts.network_stats(fact_ops.fact_with_flow(s, times(spark, sf)), s)
 
 
 # --- flow, SCD2 and dimensions -------------------------------------------------------
@@ -68,26 +73,26 @@ TODAY = "2026-08-27"
 
 
 def dim(spark, sf):
-    return scd2.replay(silver(spark, sf))
+    return scd2.replay(silver(spark, sf), times=times(spark, sf))
 
 
 def company_dim(spark, sf):
     s = silver(spark, sf)
-    return dims.dim_company(s, scd2.replay(s))
+    return dims.dim_company(s, scd2.replay(s, times=times(spark, sf)))
 
 
 def bd(spark, sf):
-    return marts.breakdown(fact_ops.build_fact(silver(spark, sf)))
+    return marts.breakdown(fact_ops.build_fact(silver(spark, sf), times(spark, sf)))
 
 
 def stats(spark, sf):
     s = silver(spark, sf)
-    return marts.network_stats(fact_ops.fact_with_flow(s), s)
+    return marts.network_stats(fact_ops.fact_with_flow(s, times(spark, sf)), s)
 
 
 @query("snapshot_sequence")
 def q_seq(spark, sf):
-    return fact_ops.snapshot_sequence(identifiable(silver(spark, sf)))
+    return fact_ops.snapshot_sequence(times(spark, sf))
 
 
 @query("first_appearance")
@@ -107,7 +112,7 @@ def q_lost(spark, sf):
 
 @query("new_since_previous")
 def q_new(spark, sf):
-    return fact_ops.build_fact(silver(spark, sf)).filter("is_new_since_previous_snapshot").select(
+    return fact_ops.build_fact(silver(spark, sf), times(spark, sf)).filter("is_new_since_previous_snapshot").select(
         "snapshot_ts", "connection_id"
     )
 
@@ -121,9 +126,12 @@ def q_replay(spark, sf):
 def q_apply(spark, sf):
     """History of every export but the newest, then the newest folded in."""
     s = silver(spark, sf)
-    newest = s.agg(F.max("snapshot_ts")).scalar()
-    before = scd2.replay(s.filter(F.col("snapshot_ts") < newest))
-    return scd2.apply(before, scd2.latest_export(s))
+    checkpoint_dir(spark)
+    exports = times(spark, sf)
+    newest = exports.agg(F.max("snapshot_ts")).scalar()
+    before = scd2.replay(s.filter(F.col("snapshot_ts") < newest),
+                         times=exports.filter(F.col("snapshot_ts") < newest)).checkpoint(eager=True)
+    return scd2.apply(before, identifiable(s).filter(F.col("snapshot_ts") == newest), at=newest)
 
 
 @query("scd2_current")
@@ -154,7 +162,7 @@ def q_dim_company(spark, sf):
 @query("current_connections")
 def q_current_connections(spark, sf):
     s = silver(spark, sf)
-    d = scd2.replay(s)
+    d = scd2.replay(s, times=times(spark, sf))
     return dims.current_entities(d, dims.dim_company(s, d))
 
 
@@ -170,7 +178,7 @@ def q_breakdown(spark, sf):
 
 @query("company_labels")
 def q_labels(spark, sf):
-    return marts.company_labels(fact_ops.build_fact(silver(spark, sf)))
+    return marts.company_labels(fact_ops.build_fact(silver(spark, sf), times(spark, sf)))
 
 
 @query("top_breakdown")
@@ -223,7 +231,7 @@ SCORE_COLUMNS = ("connection_id", "tags", "family", "company_has_data_team", "re
 def network(spark, sf):
     """Current entities enriched with employer and version facts."""
     s = silver(spark, sf)
-    d = scd2.replay(s)
+    d = scd2.replay(s, times=times(spark, sf))
     return dims.current_entities(d, dims.dim_company(s, d))
 
 
@@ -474,7 +482,7 @@ def q_parse_date(spark, sf):
 
 @query("surrogate_key")
 def q_surrogate(spark, sf):
-    return fact_ops.build_fact(silver(spark, sf)).select(
+    return fact_ops.build_fact(silver(spark, sf), times(spark, sf)).select(
         "connection_id", "snapshot_ts", "connection_snapshot_key")
 
 
@@ -530,8 +538,8 @@ def q_restricted(spark, sf):
 
 def _marts(spark, sf):
     s = silver(spark, sf)
-    d = scd2.replay(s)
-    f = fact_ops.build_fact(s)
+    d = scd2.replay(s, times=times(spark, sf))
+    f = fact_ops.build_fact(s, times(spark, sf))
     return s, d, f
 
 
@@ -540,7 +548,7 @@ def q_dq_unique(spark, sf):
     s, d, f = _marts(spark, sf)
     comp = dims.dim_company(s, d)
     cal = dims.dim_date(s, TODAY)
-    st = marts.network_stats(fact_ops.fact_with_flow(s), s)
+    st = marts.network_stats(fact_ops.fact_with_flow(s, times(spark, sf)), s)
     b = marts.breakdown(f)
     parts = [
         _tagged(dq.run_checks(comp, [dq.unique("company_key")]), "dim_company"),
@@ -589,7 +597,7 @@ def q_dq_accepted(spark, sf):
 @query("dq_range")
 def q_dq_range(spark, sf):
     s, d, _ = _marts(spark, sf)
-    st = marts.network_stats(fact_ops.fact_with_flow(s), s)
+    st = marts.network_stats(fact_ops.fact_with_flow(s, times(spark, sf)), s)
     return (
         _tagged(dq.run_checks(dims.dim_company(s, d), [dq.in_range("current_connection_count", 0)]),
                 "dim_company")
@@ -627,7 +635,7 @@ def q_dq_share(spark, sf):
 
 @query("dq_volume_anomaly")
 def q_dq_volume(spark, sf):
-    return dq.volume_anomaly(fact_ops.build_fact(silver(spark, sf)), 0.5)
+    return dq.volume_anomaly(fact_ops.build_fact(silver(spark, sf), times(spark, sf)), 0.5)
 
 
 @query("dq_one_current")
@@ -652,8 +660,8 @@ def q_dq_orphans(spark, sf):
 @query("dq_counts_agree")
 def q_dq_counts(spark, sf):
     s = silver(spark, sf)
-    st = marts.network_stats(fact_ops.fact_with_flow(s), s)
-    return dq.counts_agree(st, marts.breakdown(fact_ops.build_fact(s)))
+    st = marts.network_stats(fact_ops.fact_with_flow(s, times(spark, sf)), s)
+    return dq.counts_agree(st, marts.breakdown(fact_ops.build_fact(s, times(spark, sf))))
 
 
 # --- bronze readers ----------------------------------------------------------------------
@@ -685,7 +693,7 @@ import uuid  # noqa: E402
 
 from tidemark.functions import keys as keyfn  # noqa: E402
 from tidemark.plans import pipeline  # noqa: E402
-from tidemark.session import table_path  # noqa: E402
+from tidemark.session import checkpoint_dir, table_path  # noqa: E402
 from tidemark.sources import exports as exp  # noqa: E402
 from tidemark.sources import landing  # noqa: E402
 from tidemark.sources.adapters import ADAPTER_URL_REGEX, LANDING_PREFIX  # noqa: E402
@@ -924,7 +932,7 @@ def q_orders_breakdown(spark, sf):
 @query("breakdown_union")
 def q_breakdown_union(spark, sf):
     """The three-branch union shape (one aggregation per dimension)."""
-    return marts.breakdown(fact_ops.build_fact(silver(spark, sf)), method="union")
+    return marts.breakdown(fact_ops.build_fact(silver(spark, sf), times(spark, sf)), method="union")
 
 
 @query("parse_exports_split")
