@@ -227,10 +227,11 @@ def undisclosed(bd: DataFrame) -> DataFrame:
 
 
 def connected_over_time(bd: DataFrame) -> DataFrame:
+    """Connections by month, numbered in time order (one row per month)."""
     latest = _at_latest(bd).filter(F.col("dimension_type") == YEAR_MONTH)
-    return latest.select(F.col("dimension_value").alias("year_month"), "connection_count").orderBy(
-        F.asc_nulls_last("year_month")
-    )
+    return latest.select(F.col("dimension_value").alias("year_month"), "connection_count").withColumn(
+        "month_number", F.expr("row_number() over (order by year_month asc nulls last)")
+    ).orderBy("month_number")
 
 
 def cumulative(monthly: DataFrame) -> DataFrame:

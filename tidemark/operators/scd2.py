@@ -159,4 +159,5 @@ def history(dim: DataFrame, entity_id: str | None = None, entity: str = "connect
     return d.select(
         entity, "company", "position", "valid_from", "valid_to",
         F.col("valid_to").isNull().alias("is_current"),
+        F.row_number().over(Window.partitionBy(entity).orderBy("valid_from")).alias("version"),
     ).orderBy(entity, "valid_from")

@@ -304,7 +304,10 @@ oracle("scd2_apply", "SELECT * FROM scd2", "scd2")
 oracle("scd2_current", "SELECT * FROM scd2 WHERE valid_to IS NULL", "scd2")
 oracle("entity_history", """
     SELECT connection_id, company, position, valid_from, valid_to,
-           valid_to IS NULL AS is_current FROM scd2""", "scd2")
+           valid_to IS NULL AS is_current,
+           (SELECT count(*) FROM scd2 e WHERE e.connection_id = d.connection_id AND e.valid_from <= d.valid_from)
+             AS version
+    FROM scd2 d""", "scd2")
 oracle("recent_changes", """
     SELECT c.full_name, p.company AS previous_company, p.position AS previous_position,
            c.company, c.position, c.valid_from AS changed_at, c.connection_id
@@ -355,7 +358,8 @@ oracle("breakdown_value_count", """
 oracle("undisclosed_count", """
     SELECT dimension_type, connection_count FROM bd_latest
     WHERE dimension_value = '(unknown)'""", "bd_latest")
-oracle("connected_over_time", "SELECT * FROM monthly", "monthly")
+oracle("connected_over_time", """
+    SELECT *, row_number() OVER (ORDER BY year_month ASC NULLS LAST) AS month_number FROM monthly""", "monthly")
 oracle("cumulative_growth", """
     SELECT year_month, connection_count,
       CAST(sum(connection_count) OVER (ORDER BY year_month ASC NULLS LAST
@@ -555,9 +559,14 @@ oracle("strongholds", f"""
     ORDER BY in_field DESC, best_score DESC, connections DESC, company ASC
     LIMIT {_sc.STRONGHOLD_TOP}""", "scored")
 oracle("rank_referrals", f"""
-    SELECT {_SCORE_COLS}, full_name, connected_on, company FROM scored
-    ORDER BY score DESC NULLS LAST, connected_on DESC NULLS LAST, full_name ASC NULLS LAST""",
-    "scored")
+    SELECT {_SCORE_COLS}, full_name, connected_on, company, rank() OVER (ORDER BY score DESC NULLS LAST) AS score_rank
+    FROM scored""", "scored")
+for _key, _order, _cols in (
+        ("first_by_company", "company ASC NULLS LAST", "company, connection_id"),
+        ("first_by_name", "full_name ASC NULLS LAST", "full_name, connection_id"),
+        ("best_referrals", "score DESC NULLS LAST, connected_on DESC NULLS LAST, full_name ASC NULLS LAST",
+         "score, connected_on, full_name, connection_id")):
+    oracle(_key, f"SELECT {_cols} FROM scored ORDER BY {_order}, connection_id ASC NULLS LAST LIMIT 25", "scored")
 
 _ALL_FAM = _in(_tx.TARGET_FAMILIES + _tx.ADJACENT_FAMILIES)
 cte("classified", f"""
@@ -865,8 +874,8 @@ oracle("latest_snapshot", """
     "raw_snap")
 oracle("ingestion_log", """
     SELECT snapshot_ts, file_hash, source_object, count(*) AS row_count,
-      max(ingested_at) AS ingested_at
-    FROM raw_snap GROUP BY 1, 2, 3 ORDER BY snapshot_ts DESC""", "raw_snap")
+      max(ingested_at) AS ingested_at, row_number() OVER (ORDER BY snapshot_ts DESC, source_object) AS log_order
+    FROM raw_snap GROUP BY 1, 2, 3""", "raw_snap")
 oracle("silver_clean", """
     SELECT nullif(trim(url), '') AS connection_id, nullif(trim(first_name), '') AS first_name,
       nullif(trim(last_name), '') AS last_name, nullif(trim(email_address), '') AS email_address,

@@ -203,7 +203,7 @@ def q_monthly(spark, sf):
 
 @query("cumulative_growth")
 def q_cumulative(spark, sf):
-    return marts.cumulative(marts.connected_over_time(bd(spark, sf)))
+    return marts.cumulative(marts.connected_over_time(bd(spark, sf)).drop("month_number"))
 
 
 @query("headline")
@@ -330,8 +330,23 @@ def q_strongholds(spark, sf):
 
 @query("rank_referrals")
 def q_rank(spark, sf):
-    return scoring.rank(scored(spark, sf)).select(*SCORE_COLUMNS, "full_name", "connected_on",
-                                                  "company")
+    return scoring.rank(scoring.with_score_rank(scored(spark, sf))).select(
+        *SCORE_COLUMNS, "full_name", "connected_on", "company", "score_rank")
+
+
+@query("first_by_company")
+def q_first_by_company(spark, sf):
+    return scoring.rank(scored(spark, sf), "company", 25).select("company", "connection_id")
+
+
+@query("first_by_name")
+def q_first_by_name(spark, sf):
+    return scoring.rank(scored(spark, sf), "full_name", 25).select("full_name", "connection_id")
+
+
+@query("best_referrals")
+def q_best(spark, sf):
+    return scoring.rank(scored(spark, sf), "score", 25).select("score", "connected_on", "full_name", "connection_id")
 
 
 @query("company_reach")

@@ -65,10 +65,12 @@ def latest_snapshot(bronze: DataFrame, snapshot_ts=None) -> DataFrame:
 
 
 def ingestion_log(bronze: DataFrame) -> DataFrame:
-    """One row per ingested export: rows and load time, newest first."""
+    """One row per ingested export: rows and load time, numbered newest first
+    (the window runs over one row per export)."""
     return (
         bronze.groupBy("snapshot_ts", "file_hash", "source_object")
         .agg(F.count(F.lit(1)).alias("row_count"), F.max("ingested_at").alias("ingested_at"))
+        .withColumn("log_order", F.expr("row_number() over (order by snapshot_ts desc, source_object)"))
         .orderBy(F.desc("snapshot_ts"))
     )
 
