@@ -1010,3 +1010,31 @@ oracle("pipeline_run", """
     UNION ALL SELECT 'tests', 'warn', NULL
     UNION ALL SELECT 'counts_agree', 'ok', NULL
     UNION ALL SELECT 'freshness', 'ok', NULL""", "raw_snap", "silver", "scd2", "fact")
+
+_ZERO = "connection_id LIKE '%0'"
+oracle("dq_negatives", " UNION ALL ".join([
+    _dq_row("fct_snapshot", "unique:connection_snapshot_key", f"SELECT count(*) FROM fact WHERE {_ZERO}"),
+    _dq_row("fct_snapshot", "relationship:company_key",
+            f"SELECT count(*) + count(*) FILTER ({_ZERO}) FROM fact WHERE company_key >= '8'"),
+    _dq_row("breakdown", "accepted_values:dimension_type",
+            "SELECT count(*) FROM breakdown WHERE dimension_type = 'position'"),
+    _dq_row("breakdown", "in_range:connection_count",
+            "SELECT count(*) FROM breakdown WHERE connection_count NOT BETWEEN 2 AND 20"),
+    _dq_row("dim_connection", "one_open_version",
+            f"SELECT count(DISTINCT connection_id) FROM scd2 WHERE valid_to IS NULL AND {_ZERO}"),
+    _dq_row("raw_snap", "one_batch_per_snapshot",
+            "SELECT count(*) FROM (SELECT snapshot_ts FROM raw_snap WHERE day(snapshot_ts) % 3 = 0 GROUP BY 1 "
+            "HAVING count(DISTINCT source_row_number % 2) = 2) a"),
+    _dq_row("fct_snapshot", "current_fact_rows_in_dim",
+            f"SELECT count(*) FROM fact WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM fact) AND {_ZERO}"),
+    _dq_row("network_stats", "counts_agree",
+            "SELECT count(*) FROM stats s WHERE s.distinct_companies <> (SELECT count(*) FROM breakdown b "
+            "WHERE b.snapshot_ts = s.snapshot_ts AND b.dimension_type = 'company' AND b.rank_within_dimension <> 1 "
+            "AND b.dimension_value <> '(unknown)')"),
+    _dq_row("fct_snapshot", "volume_anomaly",
+            "SELECT count(*) FROM (SELECT n, lag(n) OVER (ORDER BY snapshot_ts) AS p FROM (SELECT snapshot_ts, "
+            f"count(*) AS n FROM fact WHERE day(snapshot_ts) % 2 = 1 OR {_ZERO} GROUP BY 1) a) b "
+            "WHERE abs(n - p) > 0.5 * p"),
+    _dq_row("restricted", "in_range:restricted_profile_rows",
+            "SELECT count(*) FROM (SELECT snapshot_ts FROM raw_snap WHERE source_row_number % 13 = 0 GROUP BY 1) a"),
+]), "fact", "breakdown", "scd2", "raw_snap", "stats")

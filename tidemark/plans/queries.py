@@ -679,6 +679,47 @@ def q_dq_counts(spark, sf):
     return dq.counts_agree(st, marts.breakdown(fact_ops.build_fact(s, times(spark, sf))))
 
 
+@query("dq_negatives")
+def q_dq_negatives(spark, sf):
+    """The checks over tables with faults put in on purpose: repeated and orphan
+    keys, unlisted and out-of-range values, second open versions, second files,
+    missing rows, blanked identities. Every check fails, by a known count."""
+    s, d, f = _marts(spark, sf)
+    raw, b = bronze(spark, sf), marts.breakdown(f)
+    st = marts.network_stats(fact_ops.fact_with_flow(s, times(spark, sf)), s)
+    zero = "connection_id LIKE '%0'"
+    twice = f.unionByName(f.where(zero))
+    two_open = d.unionByName(d.where(f"valid_to IS NULL AND {zero}"))
+    two_files = raw.withColumn("file_hash", F.expr("CASE WHEN day(snapshot_ts) % 3 = 0 AND source_row_number % 2 = 0 "
+                                                   "THEN reverse(file_hash) ELSE file_hash END"))
+    blanked = raw.selectExpr(*[
+        f"CASE WHEN source_row_number % 13 = 0 THEN ' ' ELSE `{c}` END AS `{c}`"
+        if c in ("url", "first_name", "last_name", "company", "position") else f"`{c}`" for c in raw.columns])
+    thinned = f.where(f"NOT (day(snapshot_ts) % 2 = 0 AND NOT {zero})")
+    short = b.where("NOT (dimension_type = 'company' AND rank_within_dimension = 1)")
+    named = lambda name, fails: dq.Check(name, failures=fails)
+    parts = [
+        _tagged(dq.run_checks(twice, [dq.unique("connection_snapshot_key"), dq.relationship(
+            "company_key", dims.dim_company(s, d).where("company_key < '8'"), "company_key")]), "fct_snapshot"),
+        _tagged(dq.run_checks(b, [dq.accepted_values("dimension_type", [marts.COMPANY, marts.YEAR_MONTH]),
+                                  dq.in_range("connection_count", 2, 20)]), "breakdown"),
+        _tagged(dq.run_checks(two_open, [named("one_open_version", dq.one_open_version)]), "dim_connection"),
+        _tagged(dq.run_checks(two_files, [named("one_batch_per_snapshot", dq.one_batch_per_snapshot)]), "raw_snap"),
+        _tagged(dq.run_checks(f, [named("current_fact_rows_in_dim", lambda x: dq.fact_orphans(
+            x, d.where(f"NOT {zero}")))]), "fct_snapshot"),
+        _tagged(dq.run_checks(st, [named("counts_agree", lambda x: dq.counts_agree(x, short).where(
+            "NOT agrees"))]), "network_stats"),
+        _tagged(dq.run_checks(thinned, [named("volume_anomaly", lambda x: dq.volume_anomaly(x, 0.5).where(
+            "is_anomalous"))]), "fct_snapshot"),
+        _tagged(dq.run_checks(dq.restricted_rows(blanked, by=["snapshot_ts"]), [dq.in_range(
+            "restricted_profile_rows", 0, 0)]), "restricted"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # --- bronze readers ----------------------------------------------------------------------
 from tidemark.sources import bronze as bronze_src  # noqa: E402
 
