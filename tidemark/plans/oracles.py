@@ -1029,7 +1029,7 @@ oracle("dq_negatives", " UNION ALL ".join([
             f"SELECT count(*) FROM fact WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM fact) AND {_ZERO}"),
     _dq_row("network_stats", "counts_agree",
             "SELECT count(*) FROM stats s WHERE s.distinct_companies <> (SELECT count(*) FROM breakdown b "
-            "WHERE b.snapshot_ts = s.snapshot_ts AND b.dimension_type = 'company' AND b.rank_within_dimension <> 1 "
+            "WHERE b.snapshot_ts = s.snapshot_ts AND b.dimension_type = 'company' AND b.rank_within_dimension > 2 "
             "AND b.dimension_value <> '(unknown)')"),
     _dq_row("fct_snapshot", "volume_anomaly",
             "SELECT count(*) FROM (SELECT n, lag(n) OVER (ORDER BY snapshot_ts) AS p FROM (SELECT snapshot_ts, "

@@ -696,7 +696,7 @@ def q_dq_negatives(spark, sf):
         f"CASE WHEN source_row_number % 13 = 0 THEN ' ' ELSE `{c}` END AS `{c}`"
         if c in ("url", "first_name", "last_name", "company", "position") else f"`{c}`" for c in raw.columns])
     thinned = f.where(f"NOT (day(snapshot_ts) % 2 = 0 AND NOT {zero})")
-    short = b.where("NOT (dimension_type = 'company' AND rank_within_dimension = 1)")
+    short = b.where("NOT (dimension_type = 'company' AND rank_within_dimension <= 2)")
     named = lambda name, fails: dq.Check(name, failures=fails)
     parts = [
         _tagged(dq.run_checks(twice, [dq.unique("connection_snapshot_key"), dq.relationship(
