@@ -37,7 +37,10 @@ def test_dedup_spreads_unidentified_rows_and_collapses_copies(spark):
     assert max(sizes) <= 2 * (sum(sizes) / len(sizes)) + 1
 
 
-def test_dedup_uses_partial_aggregation(spark):
+def test_dedup_prunes_copies_before_the_shuffle(spark):
+    """The group limit stands below the exchange: a copied entity leaves each
+    map task once."""
     plan = silver.build_silver(_bronze(spark, 100))._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min" in plan
+    below = plan[plan.index("Exchange hashpartitioning"):]
+    assert "WindowGroupLimit" in below and "Partial" in below
     assert "Union" not in plan

@@ -42,4 +42,4 @@ def row_number_in_groups(
         "*", f"row_number() OVER (PARTITION BY {g}, _rn_bucket ORDER BY {order}) AS _rn_local")
     keep = [sx.ref(c) for c in [*group_cols, *(c for c in df.columns if c not in group_cols)]]
     return numbered.join(offsets, [*group_cols, "_rn_bucket"], "left").selectExpr(
-        *keep, f"CAST(_rn_off + _rn_local AS INT) AS {sx.ref(out_col)}")
+        *keep, f"CAST(_rn_off + _rn_local AS BIGINT) AS {sx.ref(out_col)}")

@@ -39,7 +39,7 @@ def clean(bronze: DataFrame) -> DataFrame:
         "CAST(snapshot_ts AS TIMESTAMP) AS snapshot_ts",
         "file_hash",
         "source_object",
-        "CAST(source_row_number AS INT) AS source_row_number",
+        "CAST(source_row_number AS BIGINT) AS source_row_number",
         "CAST(ingested_at AS TIMESTAMP) AS ingested_at",
     )
 
