@@ -26,6 +26,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows and bytes of the Arrow batches between the JVM and Python workers.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+         "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bound the Arrow batches of the session: both sides hold a batch in
+    memory outside the heap, for every task at once."""
+    for key, value in BATCH.items():
+        df.sparkSession.conf.set(key, value)
+    return df
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Whole rows as one struct column ``row``, so that no column of theirs can
     clash with an operator's own."""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import packed, row_slices, utf8_view
+from tidemark.llm.common import packed, row_slices, small_batches, utf8_view
 
 BUCKETS = 1 << 12
 MAX_LANGUAGES = 256
@@ -145,7 +145,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                 [pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(got[at])],
                 names=["lang", "bucket", "n"])
 
-    rows = docs.selectExpr(f"`{text}` as text", f"`{lang}` as lang", f"not {held_out(doc_id)} and `{doc_id}` is not "
+    rows = small_batches(docs).selectExpr(f"`{text}` as text", f"`{lang}` as lang", f"not {held_out(doc_id)} and `{doc_id}` is not "
                            "null as learn").where("learn and lang is not null and text is not null")
     counts = (rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n bigint")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
@@ -196,7 +196,7 @@ def language_mix(docs: DataFrame, model: Model | None = None, doc_id: str = "doc
     without a model, one is learned from ``docs``."""
     model = model or learn(docs, doc_id, text, lang)
     none = _no_letter("text")
-    return (docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text")
+    return (small_batches(docs).selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text")
             .withColumn("p", language(F.col("text"), model))
             .selectExpr("doc_id", f"{held_out()} as held_out",
                         f"case when {none} then '{UND}' else p.lang end as lang_pred",

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, RollingHash, lut, mix64, packed, per_row, row_slices, utf8_view, words_of
+from tidemark.llm.common import (SPACE, RollingHash, lut, mix64, packed, per_row, row_slices, small_batches, utf8_view,
+                                 words_of)
 
 #: Production limits: share of word characters inside n-grams found twice or
 #: more, by n-gram length, and share of line characters in repeated lines.
@@ -148,7 +149,7 @@ def quality(text: Column, max_coverage: dict[int, float] | None = None,
 def repetition_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """doc_id, counts, coverages, base_failed and kept of every document."""
     stats, base, over = quality(F.col("text"), **limits)
-    return (docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return (small_batches(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
             .select("doc_id", stats.alias("s"))
             .selectExpr("doc_id", "s.*", f"({base}) as base_failed", f"not ({base}) and not ({over}) as kept"))
 
@@ -156,4 +157,4 @@ def repetition_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def keep_good(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The documents that pass, with their own columns only."""
     stats, base, over = quality(F.col(f"row.`{text}`"), **limits)
-    return packed(docs).withColumn("s", stats).where(f"not ({base}) and not ({over})").select("row.*")
+    return packed(small_batches(docs)).withColumn("s", stats).where(f"not ({base}) and not ({over})").select("row.*")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, small_batches
 
 #: Winning paths are broadcast up to this many hosts (counted), else joined.
 BROADCAST_HOSTS = 200_000
@@ -255,7 +255,7 @@ HOST = ("lower(regexp_extract(coalesce(case when instr(url, '://') > 0 then subs
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """host, path, votes, score: the winning container path of every host."""
-    votes = (pages.selectExpr(f"`{url}` as url", f"`{html}` as html").selectExpr(f"{HOST} as host", "html")
+    votes = (small_batches(pages).selectExpr(f"`{url}` as url", f"`{html}` as html").selectExpr(f"{HOST} as host", "html")
              .select("host", _vote(F.col("html")).alias("v")).where("v.path <> ''")
              .groupBy("host", "v.path").agg(F.count("*").alias("votes"), F.round(F.sum("v.score"), 3).alias("score")))
     best = votes.groupBy("host").agg(F.max(F.struct("votes", "score")).alias("b"))

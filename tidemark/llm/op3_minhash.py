@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import RollingHash, cut, mix64, packed, row_slices, utf8_view, words_of
+from tidemark.llm.common import RollingHash, cut, mix64, packed, row_slices, small_batches, utf8_view, words_of
 from tidemark.llm.components import components
 
 #: Words of a shingle, percent of the union that a link needs.
@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     percent: int = PERCENT, banding: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     bands, rows = banding or BANDING[percent]
-    own = docs.selectExpr(f"cast(`{doc_id}` as bigint) as doc_id", f"`{text}` as text")
+    own = small_batches(docs).selectExpr(f"cast(`{doc_id}` as bigint) as doc_id", f"`{text}` as text")
     table = cut(own.select("doc_id", sets_and_bands(F.col("text"), words, bands, rows).alias("s"))
                 .selectExpr("doc_id", "s.n", "s.d1", "s.d2", "s.bands"))
     known = table.where("n > 0 and doc_id is not null")

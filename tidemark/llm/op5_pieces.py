@@ -40,10 +40,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small_batches
+
 MODEL = "piece_bpe_32k.model"
 CHUNK = 65_536
 #: Segments remembered per worker, and the longest that is remembered.
-CACHE, CACHE_LENGTH = 300_000, 48
+CACHE, CACHE_LENGTH = 150_000, 48
 BLANK = "▁"
 SEGMENT = re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
 #: Characters of new segments that are encoded in one call.
@@ -73,6 +75,7 @@ class Pieces:
         # encoded as it stands
         self.guard = sp.encode("\n")
         self.line_end = self.guard[-1]
+        self.numbers = list(range(sp.vocab_size()))  # one object per id in all that is remembered
         self.known: dict[str, list[int]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
@@ -95,7 +98,7 @@ class Pieces:
                     self.known[segments[place]] = got
                     got, place = [], place + 1
                 else:
-                    got.append(i)
+                    got.append(self.numbers[i])
 
     def parts(self, stretch: str) -> list[list[int]]:
         """Ids of the segments of a stretch of normalised text that starts and
@@ -330,7 +333,7 @@ def _trace(path: str):
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK,
                      margin: int = 64) -> DataFrame:
     """doc_id, ids, n_tokens, n_chunks, round_trip of every document."""
-    rows = docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text")
+    rows = small_batches(docs).selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     is_long = f"coalesce(length(text), 0) >= {chunk}"
     short = (rows.where(f"not {is_long}").select("doc_id", encode(F.col("text"), path).alias("e"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, small_batches
 
 TILE, QUERY_TILE, LISTS, TOP = 2048, 1024, 2, 20
 #: Candidate tiles that one join key holds, about.
@@ -243,7 +243,7 @@ def exact_top_k(vectors: DataFrame, every: int, k: int = TOP, vec_id: str = "vec
                 embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of every query:
     the rows whose id is divisible by ``every``."""
-    tiles = cut(vectors.selectExpr(f"cast(`{vec_id}` as bigint) as id", f"`{embedding}` as vec")
+    tiles = cut(small_batches(vectors).selectExpr(f"cast(`{vec_id}` as bigint) as id", f"`{embedding}` as vec")
                 .mapInArrow(_pack, _TILE).withColumn("part", F.monotonically_increasing_id()))
     salts = max(1, -(-tiles.count() // TILES_PER_SALT))
     queries = tiles.mapInArrow(_queries_of(lambda ids: ids % every == 0),

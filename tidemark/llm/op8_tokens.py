@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small_batches
+
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 #: The published splitting pattern of byte-level tokenizers (fixed value).
@@ -257,7 +259,7 @@ def prefix_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
                            pa.list_(pa.int32()))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"),
+    return small_batches(docs).select(F.col(f"`{doc_id}`").alias("doc_id"),
                        F.arrow_udf(run, "array<int>")(F.col(f"`{text}`")).alias("running_tokens"))
 
 
@@ -265,7 +267,7 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                  limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, fit_bytes of every document."""
     return (
-        docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+        small_batches(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
         .select("doc_id", F.expr("coalesce(cast(octet_length(text) as bigint), 0L)").alias("n_bytes"),
                 token_stats(F.col("text"), path, limit).alias("s"))
         .selectExpr("doc_id", "n_bytes", "s.n_tokens", f"s.n_tokens > {limit} as over_limit", "s.fit_bytes")
