@@ -552,7 +552,9 @@ def q_restricted(spark, sf):
 
 
 def _marts(spark, sf):
-    s = silver(spark, sf)
+    """Silver (written once, as a run does, and read by every chain), history, fact."""
+    checkpoint_dir(spark)
+    s = silver(spark, sf).checkpoint(eager=True)
     d = scd2.replay(s, times=times(spark, sf))
     f = fact_ops.build_fact(s, times(spark, sf))
     return s, d, f
