@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 SIDE_EFFECT_KEYS = {
     "landing_inventory", "parse_exports", "header_check", "validate_exports", "hash_mismatch",
     "bronze_append", "ingest_report", "ingest_batch", "stream_ingest", "late_snapshot",
-    "pipeline_run", "export_shortlist", "parse_exports_split",
+    "pipeline_run", "export_shortlist", "parse_exports_split", "versioned_table", "layer_status", "seeded_exports",
 }
 ROWS_ONLY: set[str] = set()
 

@@ -1038,3 +1038,18 @@ oracle("dq_negatives", " UNION ALL ".join([
     _dq_row("restricted", "in_range:restricted_profile_rows",
             "SELECT count(*) FROM (SELECT snapshot_ts FROM raw_snap WHERE source_row_number % 13 = 0 GROUP BY 1) a"),
 ]), "fact", "breakdown", "scd2", "raw_snap", "stats")
+oracle("parameterised_read", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 7 = 3")
+oracle("versioned_table", "SELECT snapshot_ts, count(*) AS rows FROM silver GROUP BY 1", "silver")
+oracle("layer_status", """
+    SELECT 'bronze' AS layer, count(*) > 0 AS present, CAST(NULL AS VARCHAR) AS version FROM raw_snap
+    UNION ALL SELECT 'silver', count(*) > 0, 'v1' FROM silver
+    UNION ALL SELECT unnest(['dim_connection', 'mart_network_stats']), false, NULL""", "raw_snap", "silver")
+oracle("seeded_exports", """
+    SELECT snapshot_ts + to_days(7 * CAST(step AS INT)) AS snapshot_ts, count(*) AS rows,
+      count(*) FILTER (step > 0 AND source_row_number % 5 = 0) AS moved
+    FROM raw_snap, (SELECT unnest([0, 1, 2, 3]) AS step) s
+    WHERE snapshot_ts = (SELECT min(snapshot_ts) FROM raw_snap) AND (step = 0 OR source_row_number % 10 <> step)
+    GROUP BY 1""", "raw_snap")
+oracle("naive_utc", """
+    SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS same,
+      strftime(ts - INTERVAL 7 HOUR, '%Y-%m-%d %H:%M:%S') AS from_zone FROM events""")

@@ -1004,3 +1004,67 @@ def q_parse_exports_split(spark, sf):
         landing.land_exports(spark, f"{root}/{name}", f"{root}/landing", LANDING_PREFIX)
         landing.ingest(spark, f"{root}/landing", f"{root}/bronze", ingested_at=TODAY)
     return bz_read(spark, f"{root}/bronze").select("snapshot_ts", "source_row_number", *exp.ROW_COLUMNS)
+
+
+# --- helpers of a warehouse: parameterised reads, versions, layer status, times -------------
+from tidemark.functions import dates as datefn  # noqa: E402
+from tidemark.sources import tables as table_store  # noqa: E402
+
+
+@query("parameterised_read")
+def q_parameterised_read(spark, sf):
+    """A read with bound parameters, and one of a relation that does not exist yet."""
+    spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("tm_orders")
+    found = table_store.safe_sql(
+        spark, "SELECT o_orderkey, o_custkey FROM tm_orders WHERE o_custkey % :n = :r AND o_orderpriority <> :p",
+        {"n": 7, "r": 3, "p": "' OR 1 = 1 --"}, requires=("tm_orders",))
+    none = table_store.safe_sql(spark, "SELECT * FROM tm_absent", requires=("tm_absent",),
+                                schema="o_orderkey long, o_custkey long")
+    return found.unionByName(none)
+
+
+@query("versioned_table")
+def q_versioned_table(spark, sf):
+    """Two versions of Silver written one after the other; readers see the newer."""
+    root = scratch(spark, "versions")
+    s = silver(spark, sf)
+    last = times(spark, sf).agg(F.max("snapshot_ts")).scalar()
+    table_store.write_table(s.where(F.col("snapshot_ts") < last), root, "silver", "v1")
+    table_store.write_table(s, root, "silver", "v2")
+    return table_store.read_table(spark, root, "silver").groupBy("snapshot_ts").agg(F.count("*").alias("rows"))
+
+
+@query("layer_status")
+def q_layer_status(spark, sf):
+    """Which layers a warehouse has after ingest and Silver, before the marts."""
+    root = landed(spark, sf, "status")
+    landing.ingest(spark, f"{root}/landing", f"{root}/bronze", ingested_at=TODAY)
+    table_store.write_table(silver_ops.build_silver(bz_read(spark, f"{root}/bronze")), root, "silver", "v1")
+    return table_store.warehouse_status(spark, root)
+
+
+@query("seeded_exports")
+def q_seeded_exports(spark, sf):
+    """The first export's rows seeded as four exports 7 days apart, each later
+    one without every 10th and with a changed title on every 5th row."""
+    rows = bronze(spark, sf)
+    first = rows.where(F.col("snapshot_ts") == rows.agg(F.min("snapshot_ts")).scalar())
+    steps = first.select("*", F.expr("explode(sequence(0, 3)) AS step")).where(
+        "step = 0 OR source_row_number % 10 <> step")
+    seeded = (steps.withColumn("snapshot_ts", F.expr("snapshot_ts + make_interval(0, 0, step)"))
+              .withColumn("position", F.expr("CASE WHEN step > 0 AND source_row_number % 5 = 0 "
+                                             "THEN concat('Moved ', CAST(step AS STRING)) ELSE `position` END"))
+              .drop("step"))
+    root = landed(spark, sf, "seed", seeded)
+    landing.ingest(spark, f"{root}/landing", f"{root}/bronze", ingested_at=TODAY)
+    return bz_read(spark, f"{root}/bronze").groupBy("snapshot_ts").agg(
+        F.count("*").alias("rows"), F.expr("count_if(`position` LIKE 'Moved %')").alias("moved"))
+
+
+@query("naive_utc")
+def q_naive_utc(spark, sf):
+    """Event times read as wall time of a zone, as naive UTC."""
+    ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    shown = lambda c, name: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(name)
+    return ev.select("event_id", shown(datefn.as_naive_utc("ts"), "same"),
+                     shown(datefn.as_naive_utc("ts", "Asia/Ho_Chi_Minh"), "from_zone"))
