@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import packed, row_slices, small_batches, utf8_view
+from tidemark.llm.common import packed, row_slices, small_batches, tidy, utf8_view
 
 BUCKETS = 1 << 12
 MAX_LANGUAGES = 256
@@ -147,7 +147,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     rows = small_batches(docs).selectExpr(f"`{text}` as text", f"`{lang}` as lang", f"not {held_out(doc_id)} and `{doc_id}` is not "
                            "null as learn").where("learn and lang is not null and text is not null")
-    counts = (rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n bigint")
+    counts = (rows.select("lang", "text").mapInArrow(tidy(count), "lang string, bucket int, n bigint")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     by_lang = (counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))
                .orderBy("lang").limit(MAX_LANGUAGES + 1).collect())
@@ -183,7 +183,7 @@ def language(text: Column, model: Model) -> Column:
                  pa.array(shares, pa.list_(pa.float64()))], names=["lang", "score", "languages", "shares"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, kind)(text)
+    return F.arrow_udf(tidy(run), kind)(text)
 
 
 def _no_letter(text: str) -> str:

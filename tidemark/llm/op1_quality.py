@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import (SPACE, RollingHash, lut, mix64, packed, per_row, row_slices, small_batches, utf8_view,
-                                 words_of)
+from tidemark.llm.common import (SPACE, RollingHash, lut, mix64, packed, per_row,
+                                 row_slices, small_batches, tidy, utf8_view, words_of)
 
 #: Production limits: share of word characters inside n-grams found twice or
 #: more, by n-gram length, and share of line characters in repeated lines.
@@ -139,7 +139,7 @@ def quality(text: Column, max_coverage: dict[int, float] | None = None,
                 names=[*FIELDS, *(f"coverage_{k}" for k in lengths), "line_coverage"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    stats = F.arrow_udf(run, "struct<" + kind + ">")(text)
+    stats = F.arrow_udf(tidy(run), "struct<" + kind + ">")(text)
     over = " or ".join([f"s.coverage_{k} > {limits[k]!r}D" for k in lengths]
                        + [f"s.line_coverage > {max_line_coverage!r}D",
                           f"s.n_symbols > {max_symbols_per_word!r}D * s.n_words"])

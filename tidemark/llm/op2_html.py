@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, small_batches
+from tidemark.llm.common import cut, small_batches, tidy
 
 #: Winning paths are broadcast up to this many hosts (counted), else joined.
 BROADCAST_HOSTS = 200_000
@@ -236,7 +236,7 @@ def _vote(page: Column) -> Column:
                                               pa.array([s for _, s in got], pa.float64())], names=["path", "score"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "struct<path: string, score: double>")(page)
+    return F.arrow_udf(tidy(run), "struct<path: string, score: double>")(page)
 
 
 def _extract(page: Column, path: Column) -> Column:
@@ -245,7 +245,7 @@ def _extract(page: Column, path: Column) -> Column:
             yield pa.array([main_text(x.as_py() or "", p.as_py()) for x, p in zip(pages, paths)], pa.string())
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "string")(page, path)
+    return F.arrow_udf(tidy(run), "string")(page, path)
 
 
 #: Host of a url: after the first ``://`` up to ``/``, ``?``, ``#`` or the end.

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import RollingHash, cut, mix64, packed, row_slices, small_batches, utf8_view, words_of
+from tidemark.llm.common import RollingHash, cut, mix64, packed, row_slices, small_batches, tidy, utf8_view, words_of
 from tidemark.llm.components import components
 
 #: Words of a shingle, percent of the union that a link needs.
@@ -133,7 +133,7 @@ def sets_and_bands(text: Column, words: int, bands: int, rows: int) -> Column:
                  pa.ListArray.from_arrays(pa.array(size, pa.int32()), flat)], names=["n", "d1", "d2", "bands"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "struct<n: bigint, d1: bigint, d2: bigint, bands: array<bigint>>")(text)
+    return F.arrow_udf(tidy(run), "struct<n: bigint, d1: bigint, d2: bigint, bands: array<bigint>>")(text)
 
 
 def full_sets(text: Column, words: int) -> Column:
@@ -143,7 +143,7 @@ def full_sets(text: Column, words: int) -> Column:
             yield pa.array([s.tobytes() for s in shingle_sets(batch, words, hasher)], pa.binary())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "binary")(text)
+    return F.arrow_udf(tidy(run), "binary")(text)
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, percent: int, crossing: bool) -> np.ndarray:

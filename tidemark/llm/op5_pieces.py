@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import small_batches, tidy
 
 MODEL = "piece_bpe_32k.model"
 CHUNK = 65_536
@@ -253,7 +253,7 @@ def encode(text: Column, path: str) -> Column:
             yield pa.StructArray.from_arrays([_lists(ids), pa.array(same, pa.bool_())], names=["ids", "round_trip"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "struct<ids: array<int>, round_trip: boolean>")(text)
+    return F.arrow_udf(tidy(run), "struct<ids: array<int>, round_trip: boolean>")(text)
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -264,7 +264,7 @@ def decode(ids: Column, path: str) -> Column:
             yield pa.array([None if x is None else pieces.text(np.array(x, np.int32))[1:] for x in batch.to_pylist()], pa.string())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "string")(ids)
+    return F.arrow_udf(tidy(run), "string")(ids)
 
 
 def _cut_chunks(chunk: int, margin: int):
@@ -340,19 +340,19 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
              .selectExpr("doc_id", "e.ids", "1 as n_chunks", "e.round_trip"))
 
     parts = (rows.where(is_long).selectExpr("doc_id", "md5(cast(text as binary)) as digest", "text")
-             .mapInArrow(_cut_chunks(chunk, margin),
+             .mapInArrow(tidy(_cut_chunks(chunk, margin)),
                          f"doc_id {kind}, digest string, k int, n int, lo int, hi int, part string"))
     # equal rows have equal chunks: one matrix of each is enough
-    matrices = parts.mapInArrow(_matrices(path),
+    matrices = parts.mapInArrow(tidy(_matrices(path)),
                                 f"doc_id {kind}, digest string, k int, rows int, scores array<double>")
     states = (matrices.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("k", "rows", "scores")).alias("parts"))
-              .mapInArrow(_states, f"doc_id {kind}, digest string, states array<int>")
+              .mapInArrow(tidy(_states), f"doc_id {kind}, digest string, states array<int>")
               .selectExpr("doc_id", "digest", "states", "explode(sequence(0, size(states))) as k")
               .selectExpr("doc_id as s_id", "digest as s_digest", "k as s_k", "get(states, k - 1) as enter",
                           "get(states, k) as leave"))
     traced = (parts.join(states, F.expr("doc_id <=> s_id and digest = s_digest and k = s_k"))
               .select("doc_id", "digest", "k", "n", "lo", "hi", "part", "enter", "leave")
-              .mapInArrow(_trace(path),
+              .mapInArrow(tidy(_trace(path)),
                           f"doc_id {kind}, digest string, k int, ids array<int>, round_trip boolean"))
     # the traces of equal rows are equal: one is kept, and repeated
     whole = (traced.groupBy("doc_id", "digest", "k")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, small_batches
+from tidemark.llm.common import cut, small_batches, tidy
 
 TILE, QUERY_TILE, LISTS, TOP = 2048, 1024, 2, 20
 #: Candidate tiles that one join key holds, about.
@@ -244,7 +244,7 @@ def exact_top_k(vectors: DataFrame, every: int, k: int = TOP, vec_id: str = "vec
     """query_id, rank, vec_id, score of the k best candidates of every query:
     the rows whose id is divisible by ``every``."""
     tiles = cut(small_batches(vectors).selectExpr(f"cast(`{vec_id}` as bigint) as id", f"`{embedding}` as vec")
-                .mapInArrow(_pack, _TILE).withColumn("part", F.monotonically_increasing_id()))
+                .mapInArrow(tidy(_pack), _TILE).withColumn("part", F.monotonically_increasing_id()))
     salts = max(1, -(-tiles.count() // TILES_PER_SALT))
     queries = tiles.mapInArrow(_queries_of(lambda ids: ids % every == 0),
                                "q_dim int, q_part long, q_at binary, q_ids binary, q_data binary")
@@ -253,7 +253,7 @@ def exact_top_k(vectors: DataFrame, every: int, k: int = TOP, vec_id: str = "vec
     same = F.expr("q_dim = dim and q_salt = salt")
 
     lists = (spread.join(salted, same).select("q_dim", "q_part", "q_at", "q_data", "dim", "part", "n", "data")
-             .mapInArrow(_gather(k), "q_part long, q_at long, scores array<long>"))
+             .mapInArrow(tidy(_gather(k)), "q_part long, q_at long, scores array<long>"))
     # the k-th best gathered score of a query: none if fewer were gathered
     cutoff = (lists.groupBy("q_part", "q_at").agg(F.flatten(F.collect_list("scores")).alias("s"))
               .selectExpr("q_part", "q_at as at", f"try_element_at(sort_array(s, false), {k}) as cut"))
@@ -264,7 +264,7 @@ def exact_top_k(vectors: DataFrame, every: int, k: int = TOP, vec_id: str = "vec
                .select("*", F.expr(f"explode(sequence(0, {salts - 1})) as q_salt")))
     found = (bounded.join(salted, same)
              .select("q_dim", "q_part", "q_at", "q_ids", "q_data", "cut_at", "cut", "dim", "part", "n", "ids", "data")
-             .mapInArrow(_resolve(k), "q_part long, q_at long, query_id long, vec_id long, score long"))
+             .mapInArrow(tidy(_resolve(k)), "q_part long, q_at long, query_id long, vec_id long, score long"))
     return (found.withColumn("rank", F.expr(
         "row_number() over (partition by q_part, q_at order by score desc, vec_id)")).where(f"rank <= {k}")
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import small_batches, tidy
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -246,7 +246,7 @@ def token_stats(text: Column, path: str, budget: int = LIMIT) -> Column:
                                              names=["n_tokens", "fit_bytes"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "struct<n_tokens: bigint, fit_bytes: bigint>")(text)
+    return F.arrow_udf(tidy(run), "struct<n_tokens: bigint, fit_bytes: bigint>")(text)
 
 
 def prefix_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -260,7 +260,7 @@ def prefix_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return small_batches(docs).select(F.col(f"`{doc_id}`").alias("doc_id"),
-                       F.arrow_udf(run, "array<int>")(F.col(f"`{text}`")).alias("running_tokens"))
+                       F.arrow_udf(tidy(run), "array<int>")(F.col(f"`{text}`")).alias("running_tokens"))
 
 
 def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
