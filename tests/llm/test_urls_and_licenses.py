@@ -96,3 +96,39 @@ def test_licences_equal_oracle(spark):
     assert got[11].licenses is None and got[12].licenses == "BSD-2-Clause+BSD-3-Clause+Proprietary"
     assert license_scan(df.limit(0)).count() == 0
     assert op9_licenses.MAX_SENTENCES >= len(SENTENCES)
+
+
+HEAD = "Copyright (c) 2024 Jane Doe"
+BSD = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that "
+       "the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice,\n"
+       "   this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the "
+       "above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or "
+       "other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of "
+       "its\n   contributors may be used to endorse or promote products derived from\n   this software without specific "
+       "prior written permission.\n")
+GPL = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public "
+       "License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any "
+       "later version.\n\nThis program is distributed in the hope that it will be useful.\n\nYou should have received a "
+       "copy of the GNU General Public License\nalong with this program.  If not, see <https://www.gnu.org/licenses/>.\n")
+
+
+def unwrapped(text):
+    return "\n\n".join(" ".join(p.split()) for p in text.split("\n\n"))
+
+
+def test_full_heads_wrapped_and_unwrapped(spark):
+    bsd = "bsd_use,bsd_source,bsd_binary,bsd_names"
+    want = {"MIT": (MIT, "mit_grant,as_is", "MIT"), "BSD": (BSD, bsd, "BSD-2-Clause+BSD-3-Clause"),
+            "GPL": (GPL, "gpl3_head,gpl_copy", "GPL-3.0")}
+    rows, hope = [], []
+    for text, ids, name in want.values():
+        for body in (text, unwrapped(text), "\n".join(unwrapped(text).split("\n\n"))):
+            for full in (body, f"Head\n\n{HEAD}\n\n{body}", f"{HEAD}\n{body}",
+                         "".join(f" * {x}\n" for x in f"{HEAD}\n\n{body}".split("\n"))):
+                rows.append((len(rows), full))
+                hope.append((ids, name))
+    rows.append((len(rows), "Released under the\nMIT License.\n\n" + HEAD + "\n\nAll rights reserved.\nReleased under "
+                 "the MIT license\n\nand more"))
+    hope.append(("mit_short,reserved,mit_short", "MIT+Proprietary"))
+    got = by_id(license_scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [(got[i].sentence_ids, got[i].licenses) for i in range(len(rows))] == hope

@@ -1,12 +1,15 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences (at line ends, and at ``.``, ``!``, ``?`` before
-white space; once with line ends as cuts and once with line ends as blanks, for
-wrapped licence texts). Each sentence is normalised (A-Z lower-cased, runs of
-other characters than ``[a-z0-9]`` to one blank) and mapped to the identifier
-of the known licence sentence that it equals. A licence rule is an ordered list
-of identifiers; it matches when they occur in this order in the document's
-identifier sequence, other sentences between them allowed.
+A text is cut into sentences at ``.``, ``!``, ``?`` before white space or a line
+end, and a sentence into its lines. Lines are normalised (A-Z lower-cased, runs
+of other characters than ``[a-z0-9]`` to one blank; lines without any are left
+out). A known licence sentence is found where it equals one line or several
+consecutive lines of one sentence, so it may be wrapped, span blank lines, and
+stand beside other paragraphs without a full stop, such as a copyright line.
+Identifiers are listed in the order of their first line, the longer one first
+at the same line. A licence rule is an ordered list of identifiers; it matches
+when they occur in this order in the document's identifier sequence, other
+sentences between them allowed.
 
 Everything is one expression in the scan stage. Every known sentence holds an
 anchor word, so texts without any anchor are not cut at all.
@@ -87,8 +90,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Proprietary", ("reserved",)),
 )
 ANCHORS = ("license", "rights reserved", "permission", "licensed", "redistribution", "without warranty")
-#: The same lists as names that a regular expression can hold.
-_CUT = "([.!?])[ \\t\\r\\f]+"
+#: A sentence's end.
+_END = "[.!?][ \\t\\r\\f\\n]+"
 
 
 def _order(ids: tuple[str, ...]) -> str:
@@ -111,15 +114,17 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # an anchor of several words may be wrapped or punctuated in a text, so only its longest word is looked for
     words = sorted({max(a.split(), key=len) for a in anchors})
     held = " or ".join(f"contains(low, {lit(w)})" for w in words)
-    table = f"map_from_arrays({str_array(known.values())}, {str_array(known)})"
-
-    def ids(t: str) -> str:
-        parts = f"split(regexp_replace({t}, {lit(_CUT)}, '$1\n'), '\n')"
-        return (f"filter(transform({parts}, s -> {table}[trim(regexp_replace(s, '[^a-z0-9]+', ' '))]), "
-                "x -> x is not null)")
-
-    seq = (f"case when {held} then concat({ids('low')}, filter({ids(_blank('low'))}, "
-           f"x -> not array_contains({ids('low')}, x))) else cast(array() as array<string>) end")
+    longest = sorted(known, key=lambda k: -len(known[k]))
+    table = "array(" + ", ".join(f"named_struct('s', {lit(known[k])}, 'n', {len(known[k].split())}, 'id', {lit(k)})"
+                                 for k in longest) + ")"
+    lines = "filter(transform(split(p, '\n'), x -> trim(regexp_replace(x, '[^a-z0-9]+', ' '))), x -> x <> '')"
+    # a run of lines that equals a sentence has at most as many lines as the sentence has words
+    equal = ("startswith(k.s, x) and (x = k.s or startswith(concat(array_join(slice(ls, i + 1, k.n), ' '), ' '), "
+             "concat(k.s, ' ')) and exists(sequence(1, least(k.n, size(ls) - i)), "
+             "m -> array_join(slice(ls, i + 1, m), ' ') = k.s))")
+    hits = f"flatten(transform(ls, (x, i) -> transform(filter({table}, k -> {equal}), k -> k.id)))"
+    seq = (f"case when {held} then flatten(transform(transform(split(low, {lit(_END)}), p -> {lines}), ls -> {hits})) "
+           "else cast(array() as array<string>) end")
     found = ", ".join(f"case when seq rlike {lit(_order(r))} then {lit(name)} end" for name, r in rules)
     return (
         docs.selectExpr(f"`{doc_id}` as doc_id", f"coalesce(translate(`{text}`, '{UPPER}', '{LOWER}'), '') as low")
@@ -132,12 +137,9 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def _blank(t: str) -> str:
-    return f"translate({t}, '\n\r\t', '   ')"
-
-
 def license_scan_sql() -> str:
-    """The same rows in DuckDB SQL: every sentence of every text looked up."""
+    """DuckDB SQL of the rows of texts whose known sentences are each one line, or stand alone between sentence
+    ends: every sentence looked up, those found only with line ends as blanks after the others."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     keys = "[" + ", ".join(q(s) for s in SENTENCES.values()) + "]"
     names = "[" + ", ".join(q(s) for s in SENTENCES) + "]"
