@@ -14,7 +14,7 @@ from tests.llm.conftest import by_id, document_rows, prose
 from tidemark.llm import op3_minhash
 from tidemark.llm.components import components
 from tidemark.llm.op3_minhash import keep_first, linked, near_duplicates, sketch
-from tidemark.llm.op4_mixing import NONE, keep_mixture, rake, raked_mixture, raked_mixture_sql
+from tidemark.llm.op4_mixing import NONE, POWERS, keep_mixture, rake, raked_mixture, raked_mixture_sql
 from tidemark.llm.op6_topk import exact_top_k, exact_top_k_sql
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -156,6 +156,33 @@ def test_raking_meets_the_targets(spark):
             assert raked[v] == pytest.approx(scaled[v] / sum(scaled.values()), rel=1e-3)
 
 
+def margin_errors(cells, factors):
+    total, off = sum(factors[c[:3]] * c[3] for c in cells), 0.0
+    for k, power in enumerate(POWERS.values()):
+        natural, raked = collections.Counter(), collections.Counter()
+        for c in cells:
+            natural[c[k]] += c[3]
+            raked[c[k]] += factors[c[:3]] * c[3] / total
+        scaled = {v: n ** power for v, n in natural.items()}
+        off = max(off, *(abs(raked[v] * sum(scaled.values()) / scaled[v] - 1) for v in scaled))
+    return off
+
+
+def test_raking_by_default_meets_the_targets_of_correlated_cells(spark, recwarn):
+    # one source holds a third; 98% of each source is in one language and one topic
+    cells = [(f"s{s}", lang, topic, (33.0 if s == 0 else 67 / 19) * (0.98 if i == s % 4 else 0.02 / 3)
+              * (0.98 if j == s % 5 else 0.005))
+             for s in range(20) for i, lang in enumerate("abcd") for j, topic in enumerate("vwxyz")]
+    schema = "source string, lang string, topic string, w0 double"
+    found = {(r.source, r.lang, r.topic): r.factor for r in rake(spark.createDataFrame(cells, schema)).collect()}
+    assert margin_errors(cells, found) <= 1.01e-4
+    assert not [w for w in recwarn if "targets" in str(w.message)]
+    # each source is all of a language, so the two margins contradict
+    alone = [("a", "en", "p", 9.0), ("b", "de", "p", 1.0), ("c", "de", "q", 3.0)]
+    with pytest.warns(UserWarning, match="targets not met"):
+        assert rake(spark.createDataFrame(alone, schema)).count() == 3
+
+
 def test_mixture_equals_oracle_and_keeps_rows_whole(spark, edge_docs, no_docs):
     pdf = edge_docs.select("doc_id", "text", "lang", "source").toPandas().astype(object)
     pdf = pdf.where(pdf.notna(), None)

@@ -8,6 +8,12 @@ ratio of raked to natural weight, divided by its maximum, is the probability
 with which the documents of a cell are kept; a document is kept if the fraction
 that its id's MD5 gives is below it, so the choice is repeatable.
 
+Raking goes on in blocks of ``ROUNDS`` rounds until no margin is off its target
+by more than ``TOLERANCE`` of it. Targets that the observed cells cannot meet
+(a block brings the error down by less than ``STALL``, or ``MAX_ROUNDS`` are
+over) keep the weights of the first block, with a warning that gives the error:
+the rounds would go on between contradicting margins and starve cells.
+
 Only the table of cells (one row per observed combination) is raked, by window
 sums; texts are read, never shuffled. The cells are broadcast to the documents
 below ``BROADCAST_CELLS`` rows (counted), else joined.
@@ -20,14 +26,19 @@ DataFrame expressions: no Python runs on the executors.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
-#: Production parameters: power of the natural share per margin, and rounds.
+#: Production parameters: power of the natural share per margin, and rounds of
+#: a block.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 ROUNDS = 8
+#: Largest relative error of a margin, least progress of a block, most rounds.
+TOLERANCE, STALL, MAX_ROUNDS = 1e-4, 0.01, 800
 BROADCAST_CELLS = 50_000
 NONE = "(none)"
 #: Topic of a text by its form: SQL over ``text``, the same in both dialects.
@@ -59,10 +70,28 @@ def rake(cells: DataFrame, powers: dict[str, float] | None = None, rounds: int =
         total = share.agg(F.sum("p")).scalar()
         df = df.join(share.select(m, (F.col("p") / total).alias(f"t_{m}")), m)
     df = df.withColumn("w", F.col("w0").cast("double"))
-    for _ in range(rounds):
-        for m in powers:
-            df = df.withColumn("w", F.expr(f"w * t_{m} / sum(w) over (partition by {m})"))
-    return cut(df.select(*powers, (F.col("w") / F.col("w0")).alias("factor")))
+
+    def block(df: DataFrame) -> tuple[DataFrame, float]:
+        for _ in range(rounds):
+            for m in powers:
+                df = df.withColumn("w", F.expr(f"w * t_{m} / sum(w) over (partition by {m})"))
+        df = cut(df)
+        off = [f"abs(sum(w) over (partition by {m}) / t_{m} - 1)" for m in powers]
+        worst = df.selectExpr(f"greatest({', '.join([*off, '0D'])}) as e").agg(F.max("e")).first()[0]
+        return df, worst or 0.0
+
+    first, error = block(df)
+    df, done = first, rounds
+    while error > TOLERANCE:
+        before = error
+        df, error = block(df)
+        done += rounds
+        if error > TOLERANCE and (error > (1 - STALL) * before or done >= MAX_ROUNDS):
+            warnings.warn(f"mixture targets not met: a margin is off by {error:.2g} of its target after {done} rounds; "
+                          f"weights of the first {rounds} rounds are used", stacklevel=2)
+            df = first
+            break
+    return df.select(*powers, (F.col("w") / F.col("w0")).alias("factor"))
 
 
 def mixed(docs: DataFrame, names: dict[str, str], powers: dict[str, float] | None = None,
@@ -108,7 +137,8 @@ def keep_mixture(docs: DataFrame, doc_id: str = "doc_id", powers: dict[str, floa
 
 
 def raked_mixture_sql(powers: dict[str, float] | None = None, rounds: int = ROUNDS) -> str:
-    """The same rows in DuckDB SQL, the rounds written out."""
+    """The same rows in DuckDB SQL, the rounds of the first block written out: equal where these are enough, or the
+    targets cannot be met."""
     powers = dict(POWERS if powers is None else powers)
     margins = list(powers)
     steps, last = [], "r0"
