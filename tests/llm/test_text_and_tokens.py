@@ -62,6 +62,27 @@ def test_majority_path_beats_a_page_of_its_own(spark):
     assert blocks_of("") == [] and blocks_of("<" * 1000 + "a" * 10)
 
 
+@pytest.mark.parametrize("around", [
+    "<article class='post category-social'>{}</article>", "<article class='post tag-ads'>{}</article>",
+    "<div id='content-sidebar-wrap'><article>{}</article></div>", "<div class='layout right-sidebar'><main>{}</main></div>",
+    "<main><div class='layout right-sidebar'><article>{}</article></div></main>",
+    "<div class='layout right-sidebar'><div class='story'>{}</div></div>", "<div class='form-page'>{}</div>"])
+def test_a_word_in_the_class_does_not_drop_the_story(spark, around):
+    rest = ("<nav>Home</nav><div class='ad'>Buy</div>{}<section class='related'><article>teaser of another</article>"
+            "</section><div id='comments'><article class='comment'><p>" + LONG * 30 + "</p></article></div>")
+    rows = [(i, "http://h/", "<body>" + rest.format(around.format(f"<h1>T</h1><p>{LONG * 3}{i}</p>"
+             "<div class='share'>share</div>")) + "</body>") for i in range(3)]
+    got = by_id(extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert [got[i].text for i in range(3)] == [f"T\n{LONG * 3}{i}" for i in range(3)]
+
+
+def test_adverts_do_not_stand_for_a_short_story():
+    advert = f"<div class='ad'>{LONG}</div>"
+    assert main_text(f"<body>{advert}<article><h1>Short.</h1></article></body>", None) == "Short."
+    assert main_text(f"<body>{advert}<div>Short.</div></body>", None) == "Short."
+    assert main_text(f"<main><h1>T</h1><div class='layout right-sidebar'>{LONG * 2}</div></main>", None).startswith("T\nA par")
+
+
 def odd_texts(n, size=40, seed=3):
     gen = random.Random(seed)
     some = [*"abc  \n\t'sdlveré日本   \x85\x1c　①½٣🎉́▁", "<|endoftext|>", "'ll", "123", "\r\n", "the", " of", "ing"]

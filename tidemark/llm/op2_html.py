@@ -10,7 +10,15 @@ path falls back to its own best container.
 
 Dropped inside a container: menus, headers (headings of an article's own header
 stay), footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments, told by tag, by class, id or role words, and by hidden markup. White
+comments, told by tag, by class, id or role words, and by hidden markup. An
+``article`` is dropped by a word only if a whole class, id or role is the word
+(``ad``, not ``tag-ads``). An element dropped by words stands again (nested
+ones stay dropped) if it is the outermost around an ``article`` or ``main`` and
+the page keeps no other one, save for reader comments; and if it holds
+``LEAST`` characters or more, less link text, and the page keeps next to
+nothing: fewer than ``FEW`` characters, or, save for comments, less than a
+tenth of them, and no other article or main. Elements whose whole class, id or
+role is a word for adverts or consent never stand. White
 space inside a block becomes one space, blocks are trimmed and joined by ``\\n``.
 
 Defined cases: null html is empty and gives empty text; null or odd urls share
@@ -59,6 +67,9 @@ DROPPED_WORDS = {
     "promotion", "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "discussion", "share",
     "sharing", "social", "related", "recommended", "recommendations", "newsletter", "subscribe", "subscription",
     "signup", "login", "search", "searchbox", "form", "skip", "contentinfo", "complementary"}
+COMMENT_WORDS = {"comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "discussion"}
+ADVERT_WORDS = {"ad", "ads", "adbox", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored",
+                "sponsors", "promo", "promotion", "cookie", "cookies", "consent", "gdpr"}
 KEPT_TAGS = {"html", "body", "main"}
 #: Elements that a start tag of the key closes when one is open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -71,16 +82,25 @@ FENCE = {"ul", "ol", "table", "dl", "select", "div", "article", "section", "body
 ROOT = "/html"
 
 
+#: Characters of kept text that are next to nothing, and of a dropped element
+#: that may stand instead.
+FEW, LEAST = 25, 50
+
+
 class Block:
-    __slots__ = ("path", "text", "links")
+    __slots__ = ("path", "text", "links", "drops", "story")
 
-    def __init__(self, path: str, text: str, links: int):
+    def __init__(self, path: str, text: str, links: int, drops: tuple = (), story: tuple | None = None):
         self.path, self.text, self.links = path, text, links
+        #: open elements dropped by words, from outside, as (number, 0 or 1 comments or 2 adverts)
+        self.drops = drops
+        #: of the innermost article or main: its drops, whether it is in an article, number of its main
+        self.story = story
 
 
-def _labels(raw: str) -> tuple[str, list[str], bool]:
-    """(generalised classes, words of class, id and role, hidden)."""
-    classes, words, hidden = "", [], False
+def _labels(raw: str) -> tuple[str, list[str], bool, set[str]]:
+    """(generalised classes, words of class, id and role, hidden, whole values)."""
+    classes, words, hidden, whole = "", [], False, set()
     if raw and not raw.isspace():
         for m in ATTR.finditer(raw):
             name, value = m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "")
@@ -88,25 +108,64 @@ def _labels(raw: str) -> tuple[str, list[str], bool]:
                 classes = ".".join(sorted({re.sub(r"\d+", "#", c) for c in value.lower().split()}))
             if name in ("class", "id", "role"):
                 words += WORD.findall(value.lower())
+                whole.update(value.lower().split())
             elif name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
                 hidden = True
-    return classes, words, hidden
+    return classes, words, hidden, whole
 
 
-def _dropped(tag: str, words: list[str], hidden: bool) -> bool:
-    if hidden or tag in DROPPED_TAGS:
-        return True
+def _dropped(tag: str, words: list[str], whole: set[str]) -> bool:
+    """Dropped by words."""
     if tag in KEPT_TAGS:
         return False
+    if tag == "article":
+        return not whole.isdisjoint(DROPPED_WORDS)
     return any(w in DROPPED_WORDS and not (i and words[i - 1] in ("with", "has", "no", "without"))
                for i, w in enumerate(words))
 
 
+def _standing(blocks: list[Block]) -> list[Block]:
+    """The blocks kept once dropped elements that stand again are kept."""
+    again: set[int] = set()
+
+    def still(b: Block) -> tuple:
+        return tuple(d for d in b.drops if d[0] not in again)
+
+    def worth(some: list[Block]) -> int:
+        return sum(max(0, len(b.text) - 2 * b.links) for b in some)
+
+    while True:
+        kept = [b for b in blocks if not still(b)]
+        rest = [b for b in blocks if still(b)]
+        if not rest:
+            return kept
+        stories = {b.story for b in kept if b.story and not b.drops}
+        mains = {b.story[2] for b in kept if b.story and b.story[2]}
+        new = set()
+        if not any(b.story and b.story[1] for b in kept):
+            for b in rest:
+                if b.story and mains <= {b.story[2]} and not any(c for _, c in still(b)):
+                    new |= {d[0] for d in b.story[0] if d[0] not in again and d == still(b)[0]}
+        if not new:
+            size, groups = worth(kept), {}
+            for b in rest:
+                if still(b)[0][1] < 2 and (not stories or b.story in stories):
+                    groups.setdefault(still(b)[0], []).append(b)
+            big = sorted((-worth(g), d) for d, g in groups.items()
+                         if worth(g) >= LEAST and (size < FEW or not d[1] and 10 * size < worth(g)))
+            # comments stand only if nothing else does
+            new = {d[0] for _, d in sorted(big, key=lambda x: x[1][1])[:1]}
+        if not new:
+            return kept
+        again |= new
+
+
 def blocks_of(page: str) -> list[Block]:
     """The kept text blocks of a page, in order."""
     out: list[Block] = []
-    # open elements: tag, path, state (0 kept, 1 headings only, 2 dropped)
-    stack: list[tuple[str, str, int]] = [("", ROOT, 0)]
+    # open elements: tag, path, state (0 kept, 1 headings only, 2 dropped), and a block's drops and story
+    stack: list[tuple[str, str, int, tuple, tuple | None]] = [("", ROOT, 0, (), None)]
+    opened = 0
     text: list[str] = []
     links = 0
     at, end = 0, len(page)
@@ -114,16 +173,16 @@ def blocks_of(page: str) -> list[Block]:
     def emit() -> None:
         nonlocal links
         if text:
-            tag, path, state = stack[-1]
-            if state == 0 or state == 1 and any(t in HEADINGS for t, _, _ in stack[-4:]):
+            _, path, state, drops, story = stack[-1]
+            if state == 0 or state == 1 and any(x[0] in HEADINGS for x in stack[-4:]):
                 line = " ".join(entities.unescape("".join(text)).split())
                 if line:
-                    out.append(Block(path, line, links))
+                    out.append(Block(path, line, links, drops, story))
             text.clear()
         links = 0
 
     def shut(k: int) -> None:
-        if any(t in BLOCK for t, _, _ in stack[k:]):
+        if any(x[0] in BLOCK for x in stack[k:]):
             emit()
         del stack[k:]
 
@@ -135,7 +194,7 @@ def blocks_of(page: str) -> list[Block]:
         if m.start() > at:
             piece = page[at:m.start()]
             text.append(piece)
-            if any(t == "a" for t, _, _ in stack[-4:]):
+            if any(x[0] == "a" for x in stack[-4:]):
                 links += len(piece)
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
@@ -177,19 +236,28 @@ def blocks_of(page: str) -> list[Block]:
                 break
         if tag in BLOCK:
             emit()
-        classes, words, hidden = _labels(m[3] or m[6] or "")
-        _, path, state = stack[-1]
+        classes, words, hidden, whole = _labels(m[3] or m[6] or "")
+        _, path, state, drops, story = stack[-1]
         if state < 2:
+            opened += 1
+            comments = not COMMENT_WORDS.isdisjoint(whole if tag == "article" else words)
+            kind = 2 if not ADVERT_WORDS.isdisjoint(whole) else int(comments)
             head = tag == "header" or "header" in words and tag in ("div", "section", "hgroup")
-            if _dropped(tag, words, hidden):
+            if hidden or tag in DROPPED_TAGS:
                 state = 2
+            elif _dropped(tag, words, whole):
+                drops = (*drops, (opened, kind))
             elif head:
-                state = 1 if any(t in ("article", "main") for t, _, _ in stack) else 2
+                state = 1 if any(x[0] in ("article", "main") for x in stack) else 2
+            if tag == "article" and not comments:
+                story = (drops, True, story[2] if story else 0)
+            elif tag == "main":
+                story = (drops, story is not None and story[1], opened)
         if tag in CONTAINERS:
             path = f"{path}/{tag}{'.' + classes if classes else ''}"
-        stack.append((tag, path, state))
+        stack.append((tag, path, state, drops, story))
     emit()
-    return out
+    return _standing(out)
 
 
 def _prefixes(path: str) -> list[str]:
