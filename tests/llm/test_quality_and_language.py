@@ -68,6 +68,15 @@ def test_filter_keeps_rows_whole(edge_docs, no_docs):
     assert keep_good(no_docs).count() == 0 and repetition_quality(no_docs).count() == 0
 
 
+def test_passages_pasted_twice_are_rejected(spark):
+    words = prose(31, 400).split(" ")
+    pasted = " ".join(words + words[40:80] + prose(32, 60).split(" ") + words[200:240])
+    df = spark.createDataFrame([(1, pasted), (2, " ".join(words) + " " + prose(32, 140))], "doc_id long, text string")
+    got = by_id(repetition_quality(df))
+    assert 0.25 < got[1].coverage_10 < 0.35 and not got[1].base_failed and not got[1].kept
+    assert got[2].kept and [r.doc_id for r in keep_good(df).collect()] == [2]
+
+
 TONGUES = {"en": "the of and tion ing ent er ly with this that ", "de": "der die und sch ung ich ein keit für über ",
            "es": "el la que ción mente ado ñ los por está "}
 
