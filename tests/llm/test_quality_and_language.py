@@ -108,6 +108,25 @@ def test_language_of_held_out_and_mixed(spark):
     assert {900, 901, 902}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
+def test_documents_of_four_and_five_languages(spark):
+    parts = ["bcd", "fgh", "jkl", "mnp", "qrs", "tvw"]
+    names = "abcdef"
+
+    def said(k, seed, n):
+        gen = random.Random(seed)
+        return " ".join("".join(gen.choice(parts[k]) + gen.choice("aeiou") for _ in range(3)) for _ in range(n))
+
+    rows = [(i, said(i % 6, i, 60), names[i % 6]) for i in range(240)]
+    mixes = {900: (35, 25, 20, 20), 901: (30, 25, 20, 15, 10), 902: (20, 20, 20, 20, 20), 903: (50, 30, 20)}
+    rows += [(i, " ".join(said(k, i + k, 20 * n) for k, n in enumerate(mix)), None) for i, mix in mixes.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = by_id(language_mix(df))
+    for i, mix in mixes.items():
+        found = dict(zip(got[i].languages, got[i].shares))
+        assert found == pytest.approx({names[k]: n / 100 for k, n in enumerate(mix)}, abs=0.03), i
+    assert {900, 901, 902}.isdisjoint(kept := {r.doc_id for r in keep_known(df).collect()}) and 903 in kept
+
+
 def test_language_without_anything_to_learn(edge_docs, no_docs, spark):
     assert language_mix(no_docs).count() == 0 and keep_known(no_docs).count() == 0
     nothing = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")

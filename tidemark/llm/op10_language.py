@@ -4,7 +4,9 @@ A model holds, for each learned language, the likelihood of byte n-grams
 (hashed to ``BUCKETS``). A document is a bag of n-grams drawn from a mixture of
 languages: expectation-maximisation estimates the proportions, and the language
 set is the nested set (languages by proportion) of highest likelihood less a
-penalty for each language beyond the first. The prediction is the language of
+penalty for each language beyond the first, of any size up to all learned
+languages (sets beyond ``ALL_ROWS`` languages are tried for the rows whose full
+mixture is likely enough to pay the penalty). The prediction is the language of
 the largest proportion in the chosen set, the score that proportion.
 
 Learning counts n-grams over all learnable rows (each task adds up its own
@@ -35,7 +37,7 @@ MAX_LANGUAGES = 256
 ORDER = 3
 #: Cost of one more language, in units of log(number of n-grams).
 PENALTY = 8.0
-ROUNDS, MAX_SET = 10, 3
+ROUNDS, ALL_ROWS = 10, 3
 SMOOTH = 0.5
 UND = "und"
 
@@ -88,30 +90,42 @@ class Model:
         likely = np.exp(logs - logs.max(axis=0))
         lift = np.add.reduceat(c * logs.max(axis=0), at)
 
-        def em(theta: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        def em(theta: np.ndarray, rounds: int, cells=slice(None), rows=slice(None)) -> tuple[np.ndarray, np.ndarray]:
+            """Shares and fit of the rows, ``cells`` being theirs in order."""
+            like, n_of = likely[:, cells], c[cells]
+            sizes = count[rows]
+            first, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
             for _ in range(rounds):
-                mix = np.einsum("lc,cl->c", likely, theta[where])
-                theta = theta * np.add.reduceat(likely * (c / mix), at, axis=1).T / total[:, None]
+                mix = np.einsum("lc,cl->c", like, theta[of])
+                theta = theta * np.add.reduceat(like * (n_of / mix), first, axis=1).T / total[rows][:, None]
                 theta = np.maximum(theta, 1e-12)
                 theta /= theta.sum(axis=1, keepdims=True)
-            mix = np.einsum("lc,cl->c", likely, theta[where])
-            return theta, np.add.reduceat(c * np.log(mix), at) + lift
+            mix = np.einsum("lc,cl->c", like, theta[of])
+            return theta, np.add.reduceat(n_of * np.log(mix), first) + lift[rows]
 
-        start, _ = em(np.full((len(live), kinds), 1.0 / kinds), ROUNDS)
+        start, whole = em(np.full((len(live), kinds), 1.0 / kinds), ROUNDS)
         order = np.argsort(-start, axis=1, kind="stable")
         best = single.argmax(axis=1)
         chosen = np.zeros((len(live), kinds))
         chosen[np.arange(len(live)), best] = 1.0
         value = single[np.arange(len(live)), best]
         cost = PENALTY * np.log(np.maximum(total, 2.0))
-        for size in range(2, min(kinds, MAX_SET) + 1):
-            member = np.zeros((len(live), kinds), bool)
-            np.put_along_axis(member, order[:, :size], True, axis=1)
-            theta = np.where(member, np.maximum(start, 1e-3), 0.0)
-            theta, fit = em(theta / theta.sum(axis=1, keepdims=True), ROUNDS // 2)
-            better = fit - cost * (size - 1) > value
-            chosen[better] = np.where(member, theta, 0.0)[better]
-            value = np.where(better, fit - cost * (size - 1), value)
+        rows = np.arange(len(live))
+        for size in range(2, kinds + 1):
+            if size > ALL_ROWS:
+                # no set fits better than the whole mixture, save for what its rounds left: one more cost is ample
+                rows = rows[whole[rows] - cost[rows] * (size - 2) > value[rows]]
+                if not len(rows):
+                    break
+            cells = slice(None) if len(rows) == len(live) else np.flatnonzero(np.isin(where, rows))
+            member = np.zeros((len(rows), kinds), bool)
+            np.put_along_axis(member, order[rows, :size], True, axis=1)
+            theta = np.where(member, np.maximum(start[rows], 1e-3), 0.0)
+            theta, fit = em(theta / theta.sum(axis=1, keepdims=True), ROUNDS // 2, cells, rows)
+            gain = fit - cost[rows] * (size - 1)
+            better = gain > value[rows]
+            chosen[rows[better]] = np.where(member, theta, 0.0)[better]
+            value[rows[better]] = gain[better]
         theta_out[live] = chosen
         top, share = np.full(n, -1), np.zeros(n)
         top[live] = chosen.argmax(axis=1)
