@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet in the shared folder and read again: as
+    ``cut``, with the true size known to the planner (a loop needs that: sizes
+    estimated through joins multiply from round to round)."""
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Keyed tables are broadcast up to this many (counted) rows.
+BROADCAST_ROWS = 500_000
+
+
+def counted(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A cut table, with a broadcast hint if its counted rows are few."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
 #: Rows and bytes of the Arrow batches between the JVM and Python workers.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
          "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}

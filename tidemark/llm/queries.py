@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import op1_quality, op2_html, op3_minhash, op4_mixing, op5_pieces, op6_topk, op7_urls, op8_tokens, op9_licenses, op10_language
+from tidemark.llm import op1_quality, op2_html, op3_minhash, op4_mixing, op5_pieces, op6_topk, op7_urls, op8_tokens, op9_licenses, op10_language, op11_decontamination, op12_whitening, op13_trie
 from tidemark.llm.common import read
 
 
@@ -56,8 +56,23 @@ def op10_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_language.language_mix(read(spark, sf_dir, "documents"))
 
 
+def op11_decontamination_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_decontamination.contamination_digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (op12_whitening.whiten(read(spark, sf_dir, "embeddings"))
+            .selectExpr("vec_id", "component", "n", "try_cast(deviation as bigint) as deviation", "whitened",
+                        "explained", "identity_error"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_repetition_quality, op2_host_consensus_text, op3_minhash_dedup, op4_raked_mixture, op5_sentencepiece, op6_exact_topk, op7_url_filter, op8_token_counts, op9_license_scan, op10_language_mix,
+    op11_decontamination_hits, op12_cholesky_whitening, op13_prefix_trie,
 )}
 
 ORACLES = {
@@ -65,4 +80,5 @@ ORACLES = {
     "op6_exact_topk": op6_topk.exact_top_k_sql(every=20),
     "op7_url_filter": op7_urls.url_verdicts_sql(),
     "op9_license_scan": op9_licenses.license_scan_sql(),
+    "op11_decontamination_hits": op11_decontamination.contamination_sql(),
 }
