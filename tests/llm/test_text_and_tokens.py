@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 
 from tests.llm.conftest import by_id, document_rows, prose
-from tidemark.llm.op2_html import blocks_of, extract_main_text, host_paths, main_text
+from tidemark.llm.op2_html import extract_main_text, host_paths, main_text, page_blocks
 from tidemark.llm.op5_pieces import (Pieces, chunks_of, decode, encode_documents, normal, path_states, prefix_products,
                                      product)
 from tidemark.llm.op8_tokens import PrefixCounter, PrefixIndex, prefix_counts, token_counts
@@ -59,7 +59,7 @@ def test_majority_path_beats_a_page_of_its_own(spark):
     got = by_id(extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
     assert got[9].text == "ok"
     assert main_text(page.format("ok", LONG), None) == LONG.strip()
-    assert blocks_of("") == [] and blocks_of("<" * 1000 + "a" * 10)
+    assert page_blocks("")[0] == [] and page_blocks("<" * 1000 + "a" * 10)[0]
 
 
 @pytest.mark.parametrize("around", [
