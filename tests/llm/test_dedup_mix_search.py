@@ -92,12 +92,30 @@ def test_filter_keeps_one_row_of_each_group(edge_docs, no_docs):
     kept = keep_first(edge_docs)
     assert kept.columns == edge_docs.columns
     rows = kept.collect()
-    ids = [r.doc_id for r in rows]
+    assert sum(r.doc_id is None for r in rows) == 1  # its text is like no other
+    ids = [r.doc_id for r in rows if r.doc_id is not None]
     assert sorted(ids) == [i for i in (0, 3, 4, 5, 6, 8, 9, 10, 11, 12, 13, 14, 15) if i in ids] and 14 in ids
     assert 1 not in ids and {0, 3, 4, 9}.issubset(ids) and len(ids) == len(set(ids))
     assert keep_first(no_docs).count() == 0 and near_duplicates(no_docs).count() == 0
 
 
+def test_filter_keeps_clean_rows_of_null_and_clashing_ids(spark):
+    near = " ".join(w if i != 50 else "changed" for i, w in enumerate(prose(30, 200).split(" ")))
+    rows = [(None, prose(20, 80), "a"), (None, prose(21, 80), "b"), (7, prose(22, 80), "c"), (7, prose(23, 80), "d"),
+            (7, prose(23, 80), "e"), (8, prose(30, 200), "f"), (None, near, "g"), (5, near, "h"), (None, None, "i"),
+            (None, None, "i"), (9, "", "j"), (9, "", "j"), (None, prose(20, 80), "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, uid string")
+    kept = keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted(r.uid for r in kept.collect())
+    # one of a and k, of d and e; of f, g and h the smallest id; rows without words all stay
+    assert [x for x in got if x not in "akde"] == ["b", "c", "h", "i", "i", "j", "j"]
+    assert sum(x in "ak" for x in got) == 1 and sum(x in "de" for x in got) == 1
+    assert sorted(r.uid for r in keep_first(docs.repartition(5)).collect()) == got
+    four = spark.createDataFrame([(3, prose(40 + i, 90), str(i)) for i in range(4)], docs.schema)
+    assert keep_first(four).count() == 4
+
+
 def test_sketch_fills_every_coordinate_and_estimates_similarity():
     gen = np.random.default_rng(3)
     for n in (1, 2, 7, 100, 5000):

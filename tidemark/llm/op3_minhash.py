@@ -267,12 +267,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,
                **params) -> DataFrame:
-    """One document of each group, with its own columns only (of rows with one
-    doc_id, one row)."""
-    found = near_duplicates(docs, doc_id, text, words, percent, **params).where("kept")
-    once = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).selectExpr("doc_id as _kept_id", "n as _kept_n"))
-    rows = packed(docs).join(_small(once), F.expr(f"cast(row.`{doc_id}` as bigint) = _kept_id"))
-    if once.where("_kept_n > 1").take(1):
-        again = rows.where("_kept_n > 1").dropDuplicates(["_kept_id"])
-        rows = rows.where("_kept_n = 1").unionByName(again)
+    """One document of each group, with its own columns only; only near copies go.
+
+    A row is told by a hash of its id and text, so rows with a null id and rows
+    of different texts under one id are documents of their own. Of a group the
+    row with the smallest id stays (null last), of rows equal in id and text the
+    one whose content hashes lowest; rows without words all stay.
+    """
+    uid = f"xxhash64(cast(`{doc_id}` as bigint), `{text}`)"
+    found = near_duplicates(docs.selectExpr(f"{uid} as doc_id", f"`{text}` as text"), "doc_id", "text", words, percent,
+                            **params)
+    once = cut(found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("uid"))
+               .agg(F.count("*").alias("n"), F.min("component_id").alias("group_id")))
+    groups = once.where("uid <> group_id").select("group_id").distinct()
+    member = cut(once.join(groups, "group_id").select("uid", "group_id"))
+    first = (docs.selectExpr(f"{uid} as uid", f"cast(`{doc_id}` as bigint) as id").join(_small(member), "uid")
+             .groupBy("group_id").agg(F.expr("min(struct(id is null as no_id, id, uid)).uid as uid")))
+    gone = cut(member.select("uid").join(first.select("uid"), "uid", "left_anti"))
+    rows = packed(docs).selectExpr("row", f"xxhash64(cast(row.`{doc_id}` as bigint), row.`{text}`) as uid")
+    rows = rows.join(_small(gone), "uid", "left_anti")
+    again = cut(once.where("n > 1").select("uid"))
+    if again.take(1):
+        again = _small(again)
+        one = (rows.join(again, "uid", "left_semi")
+               .withColumn("other", F.expr(f"xxhash64(1, reverse(row.`{text}`))"))
+               .groupBy("uid", "other").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")))
+        rows = rows.join(again, "uid", "left_anti").select("row").unionByName(one.select("row"))
     return rows.select("row.*")
