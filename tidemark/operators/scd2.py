@@ -7,8 +7,12 @@
 * ``apply`` folds ONE new export into an existing history (check strategy,
   hard deletes close the open version) with a single full outer join.
 
-``apply(replay(exports[:-1]), exports[-1]) == replay(exports)``; the tests
-check that invariant. A version keeps the non-tracked values it was first
+* ``splice`` puts ONE late export into a history that already has later ones:
+  only versions that cover the export before or the export after it can change
+  (they end earlier, begin earlier, or are split), all others pass through.
+
+``apply(replay(exports[:-1]), exports[-1]) == replay(exports)``, and ``splice``
+in any order of arrival equals it too; the tests check both invariants. A version keeps the non-tracked values it was first
 captured with. All windows are partitioned by entity and hold at most one row
 per export, so no window group grows with the data volume.
 """
@@ -118,6 +122,64 @@ def apply(
     return out.unionByName(closed_v.select(*SCD_COLUMNS))
 
 
+def splice(
+    dim: DataFrame,
+    late: DataFrame,
+    following: DataFrame,
+    *,
+    at,
+    previous_ts=None,
+    following_ts=None,
+    entity: str = "connection_id",
+    tracked: tuple[str, ...] = ("company", "position"),
+    ts: str = "snapshot_ts",
+) -> DataFrame:
+    """Put the identified rows of a late export (``late``, taken ``at``) into a
+    history of other exports. ``previous_ts`` and ``following_ts`` are the
+    exports next to it in time (None: there is none), ``following`` holds the
+    identified rows of the latter: a version that the late export splits begins
+    again there. ``dim`` is read three times, so give a table."""
+    if following_ts is None:
+        return apply(dim, late, entity=entity, tracked=tracked, ts=ts, at=F.lit(at))
+    covers = lambda x: (F.col("valid_from") <= F.lit(x)) & (
+        F.col("valid_to").isNull() | (F.col("valid_to") > F.lit(x)))
+    before = F.lit(False) if previous_ts is None else covers(previous_ts)
+    e = sx.ref(entity)
+    whole = "named_struct(" + ", ".join(f"{sx.lit(c)}, {sx.ref(c)}" for c in SCD_COLUMNS) + ")"
+    taken = "named_struct(" + ", ".join(f"{sx.lit(c)}, {sx.ref(c)}" for c in DIM_COLUMNS) + ")"
+    p = dim.where(before).selectExpr(f"{e} AS pe", f"{whole} AS p")
+    n = dim.where(covers(following_ts)).selectExpr(f"{e} AS ne", f"{whole} AS n")
+    new = late.selectExpr(f"{e} AS le", f"{taken} AS l")
+    again = following.selectExpr(f"{e} AS ae", f"{taken} AS a")
+    j = (p.join(new, F.expr("pe = le"), "full_outer").selectExpr("coalesce(pe, le) AS e1", "p", "l")
+         .join(n, F.expr("e1 = ne"), "full_outer").selectExpr("coalesce(e1, ne) AS e2", "p", "l", "n")
+         .join(again, F.expr("e2 = ae"), "left")
+         .withColumn("_t", F.lit(at)).withColumn("_f", F.lit(following_ts)))
+    equal = lambda a, b: " AND ".join([f"{a}.{sx.ref(c)} <=> {b}.{sx.ref(c)}" for c in tracked] or ["TRUE"])
+    span = "(p IS NOT NULL AND n IS NOT NULL AND p.scd_id <=> n.scd_id)"
+    goes_on = f"(l IS NOT NULL AND p IS NOT NULL AND {equal('p', 'l')})"
+    begins = f"(l IS NOT NULL AND NOT {goes_on})"
+    joins_next = f"({begins} AND n IS NOT NULL AND NOT {span} AND {equal('n', 'l')})"
+
+    def version(row: str, begin: str, end: str) -> str:
+        return "named_struct(" + ", ".join([
+            *(f"{sx.lit(c)}, {row}.{sx.ref(c)}" for c in DIM_COLUMNS),
+            f"'source_snapshot_ts', {begin}, 'scd_id', {scd_id_sql(f'{row}.{entity}', begin)}",
+            f"'valid_from', {begin}, 'valid_to', {end}"]) + ")"
+
+    ended = "named_struct(" + ", ".join([
+        *(f"{sx.lit(c)}, p.{sx.ref(c)}" for c in SCD_COLUMNS[:-1]),
+        f"'valid_to', CASE WHEN {goes_on} THEN p.valid_to ELSE _t END"]) + ")"
+    out = j.selectExpr("explode(array(" + ", ".join([
+        f"CASE WHEN p IS NOT NULL THEN {ended} END",
+        f"CASE WHEN {begins} THEN {version('l', '_t', f'CASE WHEN {joins_next} THEN n.valid_to ELSE _f END')} END",
+        f"CASE WHEN n IS NOT NULL AND NOT {span} AND NOT {joins_next} THEN n END",
+        f"CASE WHEN {span} AND NOT {goes_on} THEN {version('a', '_f', 'p.valid_to')} END",
+    ]) + ")) AS v").where("v IS NOT NULL").selectExpr("v.*")
+    untouched = dim.where(~(before | covers(following_ts))).select(*SCD_COLUMNS)
+    return out.select(*SCD_COLUMNS).unionByName(untouched)
+
+
 def current(dim: DataFrame) -> DataFrame:
     return dim.filter(F.col("valid_to").isNull())
 

@@ -300,6 +300,7 @@ oracle("lost_entities", """
 oracle("new_since_previous", """
     SELECT snapshot_ts, connection_id FROM fact WHERE is_new_since_previous_snapshot""", "fact")
 oracle("scd2_replay", "SELECT * FROM scd2", "scd2")
+oracle("scd2_late_exports", "SELECT * FROM scd2", "scd2")
 oracle("scd2_apply", "SELECT * FROM scd2", "scd2")
 oracle("scd2_current", "SELECT * FROM scd2 WHERE valid_to IS NULL", "scd2")
 oracle("entity_history", """

@@ -58,23 +58,29 @@ def gate(spark: SparkSession, bronze_path: str, url_regex: str) -> tuple[DataFra
 
 
 def next_history(silver: DataFrame, old_dim: DataFrame | None, applied: DataFrame | None) -> tuple[DataFrame, str]:
-    """The SCD2 history of all exports in Silver: new exports that are all later
-    than every applied one are applied in their order, else all are replayed."""
+    """The SCD2 history of all exports in Silver. New exports are folded in one
+    by one: the newest of all by ``apply``, one that arrives late by ``splice``
+    between its neighbours in time, which reads that export, the next one and
+    the versions that cover them. All are replayed if there is no history, an
+    applied export is gone, or more than ``MAX_APPLIES`` are new."""
     if old_dim is None or applied is None:
         return scd2.replay(silver), "replayed (first run)"
-    exports = silver.where("is_identifiable").select("snapshot_ts").distinct()
+    rows = silver.where("is_identifiable")
+    exports = rows.select("snapshot_ts").distinct()
     pending = exports.join(applied, "snapshot_ts", "left_anti").checkpoint(eager=True)
-    newest = applied.agg(F.max("snapshot_ts")).first()[0]
-    late = newest is not None and pending.where(F.col("snapshot_ts") < F.lit(newest)).limit(1).count() > 0
     gone = applied.join(exports, "snapshot_ts", "left_anti").limit(1).count() > 0
     new = [r[0] for r in pending.orderBy("snapshot_ts").limit(MAX_APPLIES + 1).collect()]
-    if late or gone or len(new) > MAX_APPLIES:
+    if gone or len(new) > MAX_APPLIES:
         return scd2.replay(silver), "replayed"
-    dim = old_dim
-    for ts in new:  # at most MAX_APPLIES
-        dim = scd2.apply(dim, silver.where("is_identifiable").where(F.col("snapshot_ts") == F.lit(ts)))
-        dim = dim.checkpoint(eager=True)
-    return dim, f"applied {len(new)} export(s)"
+    dim, late, export = old_dim, 0, lambda ts: rows.where(F.col("snapshot_ts") == F.lit(ts))
+    for k, ts in enumerate(new):  # at most MAX_APPLIES, in the order of time
+        known = applied.agg(F.max(F.when(F.col("snapshot_ts") < F.lit(ts), F.col("snapshot_ts"))).alias("previous"),
+                            F.min(F.when(F.col("snapshot_ts") > F.lit(ts), F.col("snapshot_ts"))).alias("following")).first()
+        before = max((x for x in (known.previous, new[k - 1] if k else None) if x is not None), default=None)
+        late += known.following is not None
+        dim = scd2.splice(dim, export(ts), export(known.following), at=ts, previous_ts=before,
+                          following_ts=known.following).checkpoint(eager=True)
+    return dim, f"applied {len(new)} export(s), {late} of them late"
 
 
 def table_tests(bronze: DataFrame, silver: DataFrame, fact: DataFrame, company: DataFrame, calendar: DataFrame,

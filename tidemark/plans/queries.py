@@ -134,6 +134,27 @@ def q_apply(spark, sf):
     return scd2.apply(before, identifiable(s).filter(F.col("snapshot_ts") == newest), at=newest)
 
 
+@query("scd2_late_exports")
+def q_splice(spark, sf):
+    """History of the exports but four; the oldest, two neighbours and the one
+    before the newest arrive later, in no order of time."""
+    s, exports = silver(spark, sf).where("is_identifiable"), times(spark, sf)
+    checkpoint_dir(spark)
+    order = [r[0] for r in exports.select("snapshot_ts").distinct().orderBy("snapshot_ts").collect()]  # one per export
+    late = [order[i] for i in dict.fromkeys((len(order) // 2, 0, len(order) - 2, len(order) // 2 - 1)) if 0 <= i < len(order)]
+    known = sorted(set(order) - set(late))
+    there = F.col("snapshot_ts").isin(known) if known else F.lit(False)
+    s = s.checkpoint(eager=True)
+    history = scd2.replay(s.filter(there), times=exports.filter(there)).checkpoint(eager=True)
+    for at in late:
+        before, after = max((x for x in known if x < at), default=None), min((x for x in known if x > at), default=None)
+        history = scd2.splice(history, s.filter(F.col("snapshot_ts") == F.lit(at)),
+                              s.filter(F.col("snapshot_ts") == F.lit(after)), at=at, previous_ts=before,
+                              following_ts=after).checkpoint(eager=True)
+        known.append(at)
+    return history
+
+
 @query("scd2_current")
 def q_current(spark, sf):
     return scd2.current(dim(spark, sf))
