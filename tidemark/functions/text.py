@@ -131,21 +131,44 @@ def _hangul_sql(x: str) -> str:
     return f"array_join(transform(split({x}, ''), c -> {each}), '')"
 
 
+def _ranges(letters: str, gap: int = 8) -> str:
+    """A regex class of a few ranges that holds the letters (and others that
+    lie between them: the class only says which texts take the longer way)."""
+    points, out = sorted(map(ord, letters)), []
+    for cp in points:
+        if out and cp - out[-1][1] <= gap:
+            out[-1][1] = cp
+        else:
+            out.append([cp, cp])
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out) + "]"
+
+
+#: The one letter that folds to several and is frequent: its own replacement
+#: costs less than to look for it first.
+SHARP_S = "ß"
+
+
 def fold_accents_sql(c: str) -> str:
-    """SQL text of :func:`fold_text` over a column ('' for null): one
-    ``translate`` pass, and only for texts that hold such letters, the Hangul
-    arithmetic and the letters that fold to several."""
+    """SQL text of :func:`fold_text` over a column ('' for null): lower case for
+    ASCII texts, else one ``translate`` pass; only texts that hold a Hangul
+    syllable or another letter that folds to several take one more step. Every
+    branch is a built-in function of generated code but the Hangul arithmetic."""
     src, dst, longer = _fold_tables()
     source = f"coalesce({sx.ref(c)}, '')"
-    once = f"translate(y, {sx.lit(src)}, {sx.lit(dst)})"
-    many = once
-    for ch, to in longer:
-        many = f"replace({many}, {sx.lit(ch)}, {sx.lit(to)})"
-    held = sx.lit("[" + "".join(ch for ch, _ in longer) + "]")
+    once = lambda x: f"translate({x}, {sx.lit(src)}, {sx.lit(dst)})"
+
+    def many(x: str) -> str:
+        out = once(x)
+        for ch, to in longer:
+            out = f"replace({out}, {sx.lit(ch)}, {sx.lit(to)})"
+        return out
+
+    rare = sx.lit(_ranges("".join(ch for ch, _ in longer if ch != SHARP_S)))
     syllables = sx.lit(f"[{chr(HANGUL_FIRST)}-{chr(HANGUL_LAST)}]")
-    # a one-element transform names an intermediate value
-    return (f"transform(array(CASE WHEN {source} rlike {syllables} THEN {_hangul_sql(source)} ELSE {source} END), "
-            f"y -> CASE WHEN y rlike {held} THEN {many} ELSE {once} END)[0]")
+    return (f"CASE WHEN octet_length({source}) = length({source}) THEN lower({source}) "
+            f"WHEN {source} rlike {syllables} THEN {many(_hangul_sql(source))} "
+            f"WHEN {source} rlike {rare} THEN {many(source)} "
+            f"ELSE replace({once(source)}, {sx.lit(SHARP_S)}, {sx.lit(fold_text(SHARP_S))}) END")
 
 
 def fold_accents(c: str) -> Column:

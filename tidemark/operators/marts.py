@@ -3,7 +3,7 @@ helpers over them (top-N, counts, headline, long form, running totals)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import sqltext as sx
@@ -199,37 +199,37 @@ def with_rank_and_share(counts: DataFrame) -> DataFrame:
     )
 
 
-def _at_latest(bd: DataFrame) -> DataFrame:
-    return bd.filter(F.col("snapshot_ts") == bd.agg(F.max("snapshot_ts")).scalar())
+def breakdown_at(silver: DataFrame, at: Column) -> DataFrame:
+    """The breakdown of one export: its identified rows are selected before
+    anything is counted, so nothing of the other exports is read or ranked."""
+    return breakdown(silver.where("is_identifiable").where(F.col("snapshot_ts") == at))
 
 
-def top_values(bd: DataFrame, dimension: str, n: int = 15) -> DataFrame:
-    """Top-N values of one dimension at the newest export, unknown excluded."""
-    latest = _at_latest(bd).filter(
-        (F.col("dimension_type") == dimension) & (F.col("dimension_value") != UNKNOWN_LABEL)
-    )
-    return latest.orderBy("rank_within_dimension").limit(n).select(
+def top_values(latest: DataFrame, dimension: str, n: int = 15) -> DataFrame:
+    """Top-N values of one dimension of the newest export's breakdown, unknown excluded."""
+    found = latest.filter((F.col("dimension_type") == dimension) & (F.col("dimension_value") != UNKNOWN_LABEL))
+    return found.orderBy("rank_within_dimension").limit(n).select(
         "dimension_value", "connection_count", "share_pct"
     )
 
 
-def value_counts(bd: DataFrame) -> DataFrame:
-    """Distinct values per dimension at the newest export, unknown excluded."""
-    latest = _at_latest(bd).filter(F.col("dimension_value") != UNKNOWN_LABEL)
-    return latest.groupBy("dimension_type").agg(F.count(F.lit(1)).alias("distinct_values"))
+def value_counts(latest: DataFrame) -> DataFrame:
+    """Distinct values per dimension of the newest export's breakdown, unknown excluded."""
+    return latest.filter(F.col("dimension_value") != UNKNOWN_LABEL).groupBy("dimension_type").agg(
+        F.count(F.lit(1)).alias("distinct_values"))
 
 
-def undisclosed(bd: DataFrame) -> DataFrame:
-    """Size of each dimension's ``(unknown)`` bucket at the newest export."""
-    return _at_latest(bd).filter(F.col("dimension_value") == UNKNOWN_LABEL).select(
+def undisclosed(latest: DataFrame) -> DataFrame:
+    """Size of each dimension's ``(unknown)`` bucket in the newest export's breakdown."""
+    return latest.filter(F.col("dimension_value") == UNKNOWN_LABEL).select(
         "dimension_type", "connection_count"
     )
 
 
-def connected_over_time(bd: DataFrame) -> DataFrame:
-    """Connections by month, numbered in time order (one row per month)."""
-    latest = _at_latest(bd).filter(F.col("dimension_type") == YEAR_MONTH)
-    return latest.select(F.col("dimension_value").alias("year_month"), "connection_count").withColumn(
+def connected_over_time(latest: DataFrame) -> DataFrame:
+    """Connections by month of the newest export, numbered in time order (one row per month)."""
+    return latest.filter(F.col("dimension_type") == YEAR_MONTH).select(
+        F.col("dimension_value").alias("year_month"), "connection_count").withColumn(
         "month_number", F.expr("row_number() over (order by year_month asc nulls last)")
     ).orderBy("month_number")
 

@@ -85,6 +85,11 @@ def bd(spark, sf):
     return marts.breakdown(fact_ops.build_fact(silver(spark, sf), times(spark, sf)))
 
 
+def bd_latest(spark, sf):
+    """Breakdown of the newest export with an identified row."""
+    return marts.breakdown_at(silver(spark, sf), times(spark, sf).agg(F.max("snapshot_ts")).scalar())
+
+
 def stats(spark, sf):
     s = silver(spark, sf)
     return marts.network_stats(fact_ops.fact_with_flow(s, times(spark, sf)), s)
@@ -204,27 +209,27 @@ def q_labels(spark, sf):
 
 @query("top_breakdown")
 def q_top(spark, sf):
-    return marts.top_values(bd(spark, sf), marts.COMPANY, 15)
+    return marts.top_values(bd_latest(spark, sf), marts.COMPANY, 15)
 
 
 @query("breakdown_value_count")
 def q_value_count(spark, sf):
-    return marts.value_counts(bd(spark, sf))
+    return marts.value_counts(bd_latest(spark, sf))
 
 
 @query("undisclosed_count")
 def q_undisclosed(spark, sf):
-    return marts.undisclosed(bd(spark, sf))
+    return marts.undisclosed(bd_latest(spark, sf))
 
 
 @query("connected_over_time")
 def q_monthly(spark, sf):
-    return marts.connected_over_time(bd(spark, sf))
+    return marts.connected_over_time(bd_latest(spark, sf))
 
 
 @query("cumulative_growth")
 def q_cumulative(spark, sf):
-    return marts.cumulative(marts.connected_over_time(bd(spark, sf)).drop("month_number"))
+    return marts.cumulative(marts.connected_over_time(bd_latest(spark, sf)).drop("month_number"))
 
 
 @query("headline")
