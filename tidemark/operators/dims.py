@@ -32,12 +32,48 @@ def dim_company(silver: DataFrame, dim: DataFrame) -> DataFrame:
         "max(connected_on) AS last_connected_on",
         "count(DISTINCT connection_id) AS connections_ever",
     )])
+    return _with_current_count(agg, dim)
+
+
+def company_links(silver: DataFrame) -> DataFrame:
+    """One row per (employer, entity) of identified rows: first and last time,
+    spelling at the last time (alphabetical on ties), date bounds. Links of
+    several sets of exports merge (:func:`merge_links`)."""
+    return silver.where("is_identifiable").groupBy("company_key", "connection_id").agg(*[F.expr(e) for e in (
+        "min_by(company_label, named_struct('t', -unix_micros(snapshot_ts), 'l', company_label)) AS last_label",
+        "min(company_normalised) AS company_normalised",
+        "min(snapshot_ts) AS first_seen_ts", "max(snapshot_ts) AS last_seen_ts",
+        "min(connected_on) AS first_connected_on", "max(connected_on) AS last_connected_on")])
+
+
+def merge_links(links: DataFrame) -> DataFrame:
+    """Stacked links as one row per (employer, entity); merging a set twice
+    changes nothing."""
+    return links.groupBy("company_key", "connection_id").agg(*[F.expr(e) for e in (
+        "min_by(last_label, named_struct('t', -unix_micros(last_seen_ts), 'l', last_label)) AS last_label",
+        "min(company_normalised) AS company_normalised",
+        "min(first_seen_ts) AS first_seen_ts", "max(last_seen_ts) AS last_seen_ts",
+        "min(first_connected_on) AS first_connected_on", "max(last_connected_on) AS last_connected_on")])
+
+
+def company_of_links(links: DataFrame, dim: DataFrame) -> DataFrame:
+    """:func:`dim_company` from merged links instead of all of Silver."""
+    agg = links.groupBy("company_key").agg(*[F.expr(e) for e in (
+        "min_by(last_label, named_struct('t', -unix_micros(last_seen_ts), 'l', last_label)) AS company_name",
+        "min(company_normalised) AS company_normalised",
+        "min(first_seen_ts) AS first_seen_snapshot_ts", "max(last_seen_ts) AS last_seen_snapshot_ts",
+        "min(first_connected_on) AS first_connected_on", "max(last_connected_on) AS last_connected_on",
+        "count(1) AS connections_ever")])
+    return _with_current_count(agg, dim)
+
+
+def _with_current_count(companies: DataFrame, dim: DataFrame) -> DataFrame:
     cur = (
         dim.where("valid_to IS NULL")
         .groupBy("company_key")
         .agg(F.expr("count(1) AS current_connection_count"))
     )
-    return agg.join(cur, "company_key", "left").selectExpr(
+    return companies.join(cur, "company_key", "left").selectExpr(
         "company_key", "company_name", "company_normalised",
         f"company_name = {sx.lit(UNKNOWN_LABEL)} AS is_unknown_company",
         "first_seen_snapshot_ts", "last_seen_snapshot_ts", "first_connected_on",

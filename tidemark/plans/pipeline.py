@@ -1,23 +1,27 @@
 """One pipeline run: ingest → gate → quality → Silver → SCD2 → Gold/marts →
 mart tests → freshness. Returns a run-report DataFrame (stage, status,
 detail); every stage's output is a versioned table, so a re-run is
-idempotent and a failed run leaves the previous versions current.
+idempotent and a failed run leaves the previous versions current. Silver, fact
+and marts are brought up to date from the new exports (``plans/delta.py``); the
+table tests run over the rows that the run wrote.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import dims, marts, quality as dq, scd2, silver as silver_ops
-from tidemark.operators import fact as fact_ops
+from tidemark.operators import quality as dq, scd2
+from tidemark.plans import delta
 from tidemark.session import checkpoint_dir
 from tidemark.sources import bronze as bz
 from tidemark.sources import landing
 from tidemark.sources import tables
+from tidemark.sources.tables import at_parts
 
 REPORT_SCHEMA = "stage string, status string, detail string, rows long"
 GATE_SCHEMA = "batch_id string, passed boolean"
@@ -57,22 +61,46 @@ def gate(spark: SparkSession, bronze_path: str, url_regex: str) -> tuple[DataFra
     return rows.join(passed, "batch_id", "left_semi").drop("batch_id"), sorted(failed)
 
 
-def next_history(silver: DataFrame, old_dim: DataFrame | None, applied: DataFrame | None) -> tuple[DataFrame, str]:
+def accepted_exports(spark: SparkSession, bronze_path: str, gated: bool) -> DataFrame:
+    """(snapshot_ts, files) of the ingested exports, from the ledger: those of
+    batches that passed the gate, or of all batches."""
+    files = bz.read_ledger(spark, bronze_path).where("status = 'ingested'")
+    if gated:
+        passed = bz.read_table_or_empty(spark, GATE_SCHEMA, f"{bronze_path}_gate").where("passed")
+        files = files.join(passed, "batch_id", "left_semi")
+    return delta.exports_of(files)
+
+
+def new_rows(spark: SparkSession, bronze_path: str, todo: delta.Plan, gated: bool) -> DataFrame:
+    """Bronze rows of the exports to build: all, or the folders of their dates."""
+    rows = bz.read_bronze(spark, bronze_path, True) if todo.full else bz.read_exports(spark, bronze_path, todo.new, True)
+    if gated:
+        passed = bz.read_table_or_empty(spark, GATE_SCHEMA, f"{bronze_path}_gate").where("passed")
+        rows = rows.join(passed, "batch_id", "left_semi")
+    return rows.drop("batch_id")
+
+
+def next_history(silver: DataFrame, old_dim: DataFrame | None, applied: DataFrame | None,
+                 fresh: DataFrame | None = None,
+                 export: Callable[[dt.datetime | None], DataFrame] | None = None) -> tuple[DataFrame, str]:
     """The SCD2 history of all exports in Silver. New exports are folded in one
     by one: the newest of all by ``apply``, one that arrives late by ``splice``
     between its neighbours in time, which reads that export, the next one and
     the versions that cover them. All are replayed if there is no history, an
-    applied export is gone, or more than ``MAX_APPLIES`` are new."""
+    applied export is gone, or more than ``MAX_APPLIES`` are new. ``fresh`` gives
+    the times of new exports and ``export`` the rows of one, so that Silver is
+    not scanned for them."""
     if old_dim is None or applied is None:
         return scd2.replay(silver), "replayed (first run)"
     rows = silver.where("is_identifiable")
-    exports = rows.select("snapshot_ts").distinct()
+    exports = (rows if fresh is None else fresh).select("snapshot_ts").distinct()
     pending = exports.join(applied, "snapshot_ts", "left_anti").checkpoint(eager=True)
-    gone = applied.join(exports, "snapshot_ts", "left_anti").limit(1).count() > 0
+    gone = fresh is None and applied.join(exports, "snapshot_ts", "left_anti").limit(1).count() > 0
     new = [r[0] for r in pending.orderBy("snapshot_ts").limit(MAX_APPLIES + 1).collect()]
     if gone or len(new) > MAX_APPLIES:
         return scd2.replay(silver), "replayed"
-    dim, late, export = old_dim, 0, lambda ts: rows.where(F.col("snapshot_ts") == F.lit(ts))
+    dim, late = old_dim, 0
+    export = export or (lambda ts: rows.where(F.col("snapshot_ts") == F.lit(ts)))
     for k, ts in enumerate(new):  # at most MAX_APPLIES, in the order of time
         known = applied.agg(F.max(F.when(F.col("snapshot_ts") < F.lit(ts), F.col("snapshot_ts"))).alias("previous"),
                             F.min(F.when(F.col("snapshot_ts") > F.lit(ts), F.col("snapshot_ts"))).alias("following")).first()
@@ -80,12 +108,15 @@ def next_history(silver: DataFrame, old_dim: DataFrame | None, applied: DataFram
         late += known.following is not None
         dim = scd2.splice(dim, export(ts), export(known.following), at=ts, previous_ts=before,
                           following_ts=known.following).checkpoint(eager=True)
-    return dim, f"applied {len(new)} export(s), {late} of them late"
+    return dim, f"applied {len(new)} export(s)" + (f", {late} of them late" if late else "")
 
 
 def table_tests(bronze: DataFrame, silver: DataFrame, fact: DataFrame, company: DataFrame, calendar: DataFrame,
-                dim: DataFrame, stats: DataFrame, breakdown: DataFrame, today: str) -> DataFrame:
-    """Every check of the tables that a run builds, one row per check."""
+                dim: DataFrame, stats: DataFrame, breakdown: DataFrame, today: str,
+                history: DataFrame | None = None) -> DataFrame:
+    """Every check of the tables that a run builds, one row per check. Silver,
+    fact and breakdown may be the parts that a run wrote; ``history`` is then the
+    whole fact, for the one check that compares exports."""
     flow = ("total_connections", "new_connections", "lost_connections", "distinct_companies",
             "restricted_profile_rows")
     parts = [
@@ -113,8 +144,8 @@ def table_tests(bronze: DataFrame, silver: DataFrame, fact: DataFrame, company:
         dq.run_checks(bronze, [dq.Check("one_file_per_snapshot", dq.WARN, failures=dq.one_batch_per_snapshot)]),
         dq.run_checks(silver, [dq.Check("identifiable_share", dq.WARN, failures=lambda s: dq.identifiable_share(
             s).where("below_threshold"))]),
-        dq.run_checks(fact, [dq.Check("volume_anomaly", dq.WARN, failures=lambda f: dq.volume_anomaly(f).where(
-            "is_anomalous"))]),
+        dq.run_checks(fact if history is None else history, [dq.Check(
+            "volume_anomaly", dq.WARN, failures=lambda f: dq.volume_anomaly(f).where("is_anomalous"))]),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -150,26 +181,33 @@ def run(spark: SparkSession, landing_dir: str, warehouse: str, *, force: bool =
             raise QualityGateError("bronze checks failed: " + report[-1][2])
         bronze = bz.read_bronze(spark, bronze_path)  # the caller takes refused batches too
 
-    silver = tables.write_table(silver_ops.build_silver(bronze), warehouse, "silver", run_id)
-    note("silver", "ok", run_id, silver.count())
-
-    new_dim, how = next_history(silver, tables.read_table(spark, warehouse, "dim_connection"),
-                                tables.read_table(spark, warehouse, "dim_connection_applied"))
+    gated = not failed
+    todo = delta.plan(spark, warehouse, accepted_exports(spark, bronze_path, gated))
+    silver = delta.build_silver(new_rows(spark, bronze_path, todo, gated), warehouse, run_id, todo)
+    note("silver", "ok", f"{run_id}: {len(todo.new)} export(s) built" + (", all" if todo.full else ""), silver.count())
+
+    read = lambda name, parts=None: tables.read_table(spark, warehouse, name, parts)
+    built = read("silver", None if todo.full else todo.new)  # the rows that this run wrote
+    applied, stamps = read("dim_connection_applied"), built.where("is_identifiable").select("snapshot_ts").distinct()
+    if todo.full:
+        new_dim, how = next_history(silver, None, None)
+        how = how if applied is None else "replayed"
+    else:
+        new_dim, how = next_history(silver, read("dim_connection"), applied, stamps, lambda ts: read(
+            "silver", [] if ts is None else [tables.part_of(ts)]).where("is_identifiable"))
+        stamps = stamps.unionByName(applied).distinct()
     dim = tables.write_table(new_dim, warehouse, "dim_connection", run_id)
-    tables.write_table(silver.where("is_identifiable").select("snapshot_ts").distinct(), warehouse,
-                       "dim_connection_applied", run_id)
+    tables.write_table(stamps, warehouse, "dim_connection_applied", run_id)
     note("scd2", "ok", how, dim.count())
 
-    fact = tables.write_table(fact_ops.fact_with_flow(silver), warehouse, "fct_connection_snapshot", run_id)
-    company = tables.write_table(dims.dim_company(silver, dim), warehouse, "dim_company", run_id)
-    calendar = tables.write_table(dims.dim_date(silver, today), warehouse, "dim_date", run_id)
-    stats = tables.write_table(marts.network_stats(fact, silver), warehouse, "mart_network_stats",
-                               run_id)
-    breakdown = tables.write_table(marts.breakdown(fact), warehouse, "mart_network_breakdown",
-                                   run_id)
-    note("gold", "ok", "fact, dims and marts rebuilt", fact.count())
+    touched = delta.build_gold(spark, warehouse, run_id, todo, dim, today)
+    fact, stats = read(delta.FACT), read("mart_network_stats")
+    company, calendar = read("dim_company"), read("dim_date")
+    note("gold", "ok", f"fact of {len(touched)} export(s) written", fact.count())
 
-    tests = table_tests(bronze, silver, fact, company, calendar, dim, stats, breakdown, today)
+    new = stats.where(at_parts(todo.new))
+    tests = table_tests(bronze, built, read(delta.FACT, touched), company, calendar, dim, new,
+                        read("mart_network_breakdown", todo.new), today, history=fact)
     bad = tests.where("not passed").select("check", "severity").collect()
     level = "failed" if any(r["severity"] == dq.ERROR for r in bad) else "warn" if bad else "ok"
     note("tests", level, ", ".join(sorted(r["check"] for r in bad)) or "all tests passed")

@@ -3,16 +3,18 @@
 Rows are Parquet under ``batch_id=…/snapshot_date=…``; a batch overwrites its
 own folder only. The ledger has one row per file that was ever looked at (key,
 size, time, full hash, status) and is written after the batch's rows: readers
-see the rows of batches that the ledger has. The newest export is selected
-through a scalar subquery on ``max(snapshot_ts)``.
+see the rows of batches that the ledger has. The newest export's time comes from
+the ledger (one row per file), and its rows from the folders of its date.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.tables import at_parts
+
 BRONZE_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in (
         "first_name", "last_name", "url", "email_address", "company", "position", "connected_on")]
@@ -49,14 +51,34 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return read_table_or_empty(spark, LEDGER_SCHEMA, ledger_path(path))
 
 
-def read_bronze(spark: SparkSession, path: str, with_batch: bool = False) -> DataFrame:
-    """The rows of committed batches, or an empty frame when none exists yet."""
-    stored = T.StructType([*BRONZE_SCHEMA.fields, T.StructField("batch_id", T.StringType())])
+def read_bronze(spark: SparkSession, path: str, with_batch: bool = False, at: Column | None = None) -> DataFrame:
+    """The rows of committed batches, or an empty frame when none exists yet.
+    ``at`` selects rows below the join with the batches, by any column and by
+    ``snapshot_date``, of which only the folders that fit are opened."""
+    stored = T.StructType([*BRONZE_SCHEMA.fields, T.StructField("batch_id", T.StringType()),
+                           T.StructField("snapshot_date", T.DateType())])
     committed = read_ledger(spark, path).select("batch_id").distinct()
-    rows = read_table_or_empty(spark, stored, path).join(committed, "batch_id", "left_semi")
+    rows = read_table_or_empty(spark, stored, path)
+    rows = (rows if at is None else rows.where(at)).join(committed, "batch_id", "left_semi")
     return rows.select(*BRONZE_COLUMNS, *(["batch_id"] if with_batch else []))
 
 
+def read_newest(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the newest ingested export: its time is a scalar subquery over the
+    ledger, and the scan is limited to the folders of its date at run time. No
+    export: no rows."""
+    newest = read_ledger(spark, path).where("status = 'ingested'").agg(F.max("snapshot_ts")).scalar()
+    return read_bronze(spark, path, at=(F.col("snapshot_date") == F.to_date(newest)) & (F.col("snapshot_ts") == newest))
+
+
+def read_exports(spark: SparkSession, path: str, parts: list[str], with_batch: bool = False) -> DataFrame:
+    """Rows of the exports of ``parts`` (names by ``tables.part_of``): only the
+    folders of their dates are opened."""
+    days = sorted({f"DATE '{p[:4]}-{p[4:6]}-{p[6:8]}'" for p in parts})
+    at = F.expr(f"snapshot_date IN ({', '.join(days)})") & at_parts(parts) if days else F.lit(False)
+    return read_bronze(spark, path, with_batch, at)
+
+
 def latest_snapshot(bronze: DataFrame, snapshot_ts=None) -> DataFrame:
     """Rows of one export: the given one, or the newest (scalar subquery)."""
     if snapshot_ts is not None:
