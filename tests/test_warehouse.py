@@ -267,6 +267,28 @@ def test_quality_gate_aborts_before_silver(spark, tmp_path):
     assert HEADER.startswith("First Name")
 
 
+def test_a_stale_source_stops_the_run_if_asked(spark, tmp_path):
+    lz, wh = f"{tmp_path}/landing", f"{tmp_path}/warehouse"
+    put(lz, KEY_TS_V1, EXPORT_V1)
+    with pytest.raises(pipeline.StaleSourceError):
+        pipeline.run(spark, lz, wh, today=TODAY, ingested_at="2026-02-01 10:00:00", fail_on_stale=True)
+    assert tables.read_table(spark, wh, "silver") is None
+    status = {r["stage"]: r["status"] for r in pipeline.run(
+        spark, lz, wh, force=True, today="2026-03-20", fail_on_stale=True).collect()}
+    assert status["freshness"] == "warn" and tables.read_table(spark, wh, "silver").count() == 11
+
+
+def test_a_run_writes_only_the_parts_of_new_exports(spark, warehouse):
+    """v1 and v2 came in two runs: Silver of v1 is still that of the first run,
+    and the report counts what was built."""
+    rows = spark.read.parquet(
+        f"{warehouse['wh']}/silver_parts/{tables.current_version(spark, warehouse['wh'], 'silver_parts')}")
+    runs = [r.folder.split("/")[-2] for r in rows.where("part IS NOT NULL").orderBy("part").collect()]
+    assert len(runs) == 2 and runs[0] != runs[1]
+    r1, r2, _ = ({r["stage"]: r["detail"] for r in run} for run in warehouse["runs"])
+    assert r1["silver"].endswith("1 export(s) built, all") and r2["silver"].endswith("1 export(s) built")
+
+
 def _snapshot(ts, names):
     from conftest import export_bytes
     return export_bytes([f"Notes of {ts}:", ""], [

@@ -33,6 +33,10 @@ class QualityGateError(RuntimeError):
     """An error-severity check failed; downstream tables were not rebuilt."""
 
 
+class StaleSourceError(RuntimeError):
+    """The newest ingest is too old; downstream tables were not rebuilt."""
+
+
 def bronze_suite(url_regex: str) -> list[dq.Check]:
     return [
         dq.row_count_at_least(1),
@@ -80,6 +84,14 @@ def new_rows(spark: SparkSession, bronze_path: str, todo: delta.Plan, gated: boo
     return rows.drop("batch_id")
 
 
+def freshness(bronze: DataFrame, today: str) -> str:
+    """``ok``; ``warn`` beyond 30 days since the newest ingest, ``error`` beyond 90."""
+    checks = dq.run_checks(bronze, [dq.freshness("ingested_at", today, 30, dq.WARN),
+                                    dq.freshness("ingested_at", today, 90, dq.ERROR)])
+    failed = {r["severity"] for r in checks.where("not passed").select("severity").collect()}  # two rows at most
+    return "error" if dq.ERROR in failed else "warn" if failed else "ok"
+
+
 def next_history(silver: DataFrame, old_dim: DataFrame | None, applied: DataFrame | None,
                  fresh: DataFrame | None = None,
                  export: Callable[[dt.datetime | None], DataFrame] | None = None) -> tuple[DataFrame, str]:
@@ -155,7 +167,7 @@ def table_tests(bronze: DataFrame, silver: DataFrame, fact: DataFrame, company:
 
 def run(spark: SparkSession, landing_dir: str, warehouse: str, *, force: bool = False,
         today: dt.date | str | None = None, url_regex: str = dq.PROFILE_URL_REGEX,
-        ingested_at=None, fail_on_quality: bool = True) -> DataFrame:
+        ingested_at=None, fail_on_quality: bool = True, fail_on_stale: bool = False) -> DataFrame:
     today = str(today or dt.date.today())
     run_id = "run=" + dt.datetime.now(dt.UTC).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
     bronze_path = f"{warehouse}/bronze"
@@ -181,6 +193,9 @@ def run(spark: SparkSession, landing_dir: str, warehouse: str, *, force: bool =
             raise QualityGateError("bronze checks failed: " + report[-1][2])
         bronze = bz.read_bronze(spark, bronze_path)  # the caller takes refused batches too
 
+    stale = freshness(bronze, today)
+    if stale == "error" and fail_on_stale:
+        raise StaleSourceError(f"no ingest within 90 days of {today}")
     gated = not failed
     todo = delta.plan(spark, warehouse, accepted_exports(spark, bronze_path, gated))
     silver = delta.build_silver(new_rows(spark, bronze_path, todo, gated), warehouse, run_id, todo)
@@ -214,10 +229,5 @@ def run(spark: SparkSession, landing_dir: str, warehouse: str, *, force: bool =
     agree = any(r["check"] == "counts_agree" for r in bad)
     note("counts_agree", "failed" if agree else "ok", "stats and breakdown marts")
 
-    fresh = dq.run_checks(bronze, [dq.freshness("ingested_at", today, 30, dq.WARN),
-                                   dq.freshness("ingested_at", today, 90, dq.ERROR)])
-    stale = fresh.filter(~F.col("passed")).select("severity").collect()
-    level = "error" if any(r["severity"] == dq.ERROR for r in stale) else (
-        "warn" if stale else "ok")
-    note("freshness", level, f"newest ingested_at vs {today}")
+    note("freshness", stale, f"newest ingested_at vs {today}")
     return spark.createDataFrame(report, REPORT_SCHEMA)
