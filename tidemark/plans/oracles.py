@@ -980,6 +980,11 @@ oracle("orders_scd2_replay", "SELECT * FROM scd2_o", "scd2_o")
 oracle("orders_breakdown", "SELECT * FROM breakdown_o", "breakdown_o")
 oracle("breakdown_union", "SELECT * FROM breakdown", "breakdown")
 oracle("parse_exports_split", ORACLES["parse_exports"])
+oracle("newest_export", ORACLES["parse_exports"] + " WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM raw_snap)")
+oracle("delta_stats", ORACLES["network_stats"])
+oracle("delta_fact", ORACLES["fct_snapshot"])
+oracle("delta_breakdown", ORACLES["breakdown"])
+oracle("delta_company", ORACLES["dim_company"])
 
 # --- column checks, shortlist files, pipeline report, scripts -----------------------------
 oracle("dq_columns", """

@@ -776,7 +776,7 @@ def q_silver_dedup(spark, sf):
 import uuid  # noqa: E402
 
 from tidemark.functions import keys as keyfn  # noqa: E402
-from tidemark.plans import pipeline  # noqa: E402
+from tidemark.plans import delta, pipeline  # noqa: E402
 from tidemark.session import checkpoint_dir, table_path  # noqa: E402
 from tidemark.sources import exports as exp  # noqa: E402
 from tidemark.sources import landing  # noqa: E402
@@ -980,6 +980,57 @@ def q_pipeline(spark, sf):
                         url_regex=ADAPTER_URL_REGEX, ingested_at=TODAY, fail_on_quality=False).drop("detail")
 
 
+def built_by_delta(spark, sf) -> str:
+    """A warehouse built in three steps: the exports but three, then the newest,
+    then the oldest and a middle one, which come late. Returns its folder."""
+    rows, root = bronze(spark, sf), scratch(spark, "delta")
+    checkpoint_dir(spark)
+    order = [r[0] for r in rows.select("snapshot_ts").distinct().orderBy("snapshot_ts").collect()]  # one per export
+    newest, late = order[-1:], [x for x in {*order[:1], *order[len(order) // 2:][:1]} if x not in order[-1:]]
+    have: list = []
+    for n, step in enumerate(([x for x in order if x not in newest + late], newest, late)):
+        have += step
+        some = rows.where(F.col("snapshot_ts").isin(have)) if have else rows.where("false")
+        todo = delta.plan(spark, root, delta.exports_of(some))
+        whole = delta.build_silver(some, root, f"run{n}", todo)
+        delta.build_gold(spark, root, f"run{n}", todo, scd2.replay(whole), TODAY)
+    return root
+
+
+@query("delta_stats")
+def q_delta_stats(spark, sf):
+    """Growth per export, built step by step from new exports."""
+    return table_store.read_table(spark, built_by_delta(spark, sf), "mart_network_stats")
+
+
+@query("delta_fact")
+def q_delta_fact(spark, sf):
+    """Fact of all exports in parts, written by three runs."""
+    return table_store.read_table(spark, built_by_delta(spark, sf), delta.FACT).select(*fact_ops.FACT_COLUMNS)
+
+
+@query("delta_breakdown")
+def q_delta_breakdown(spark, sf):
+    return table_store.read_table(spark, built_by_delta(spark, sf), "mart_network_breakdown")
+
+
+@query("delta_company")
+def q_delta_company(spark, sf):
+    """Employer dimension from links merged over three runs."""
+    return table_store.read_table(spark, built_by_delta(spark, sf), "dim_company")
+
+
+@query("newest_export")
+def q_newest_export(spark, sf):
+    """Newest export of a Bronze of many: its time from the ledger, its rows from
+    the folder of its date."""
+    root = landed(spark, sf, "newest")
+    landing.ingest(spark, f"{root}/landing", f"{root}/bronze", ingested_at=TODAY)
+    text = ("first_name", "last_name", "url", "email_address", "company", "position", "connected_on")
+    return bronze_src.read_newest(spark, f"{root}/bronze").select(
+        "snapshot_ts", "source_row_number", *[F.coalesce(c, F.lit("")).alias(c) for c in text])
+
+
 @query("export_shortlist")
 def q_export(spark, sf):
     path = scratch(spark, "shortlist")
